@@ -17,9 +17,9 @@ from .common import table
 
 WINDOW = 1024
 #: Cost, in tokens of padding, of a cut at the end of a document, of a sentence, and within a sentence.
-PENALTIES = (0, 2, 8)
+PENALTIES = (0, 1, 4)
 #: Within sentences, cuts are offered at every multiple of this many tokens from the sentence's start.
-GRAIN = 32
+GRAIN = 16
 #: Tokens of one optimisation; its last window is left open and carried into the next.
 BLOCK = 1 << 17
 
@@ -136,7 +136,7 @@ def sentence_enders(path: str) -> np.ndarray:
     return found
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents, each document's ids followed by end_id, in the order in which the table holds them.
 
     Windows are optimal within blocks of about BLOCK tokens of a partition; no shuffle, and a task holds one block
@@ -169,18 +169,19 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
                 pa.array(totals, pa.int64()),
                 pa.array(sequences, pa.int64()),
                 pa.array(offsets, pa.int64()),
-                pa.array([x.tobytes() for x in ids], pa.binary()),
+                *([pa.array([x.tobytes() for x in ids], pa.binary())] if with_ids else []),
             ],
-            names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+            names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])],
         )
 
     chosen = docs.select(F.col(key), F.col(text))
     kind = chosen.schema[0].dataType.simpleString()
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return chosen.mapInArrow(
-        run, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+        run,
+        f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids,
     )
 
 
 def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary_path()).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)

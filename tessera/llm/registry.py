@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe_speculate_verify
 from .chat import op7_chat_prefix_targets
+from .neardup import op9_probminhash_near_dedup
+from .packing import op5_order_preserving_packing
 from .quality import op4_quality_ledger
 from .sharding import op6_rendezvous_sharding
 
 
 def queries() -> dict:
-    found = [op4_quality_ledger, op6_rendezvous_sharding, op7_chat_prefix_targets]
+    found = [
+        op4_quality_ledger,
+        op5_order_preserving_packing,
+        op6_rendezvous_sharding,
+        op7_chat_prefix_targets,
+        op9_probminhash_near_dedup,
+        op10_bpe_speculate_verify,
+    ]
     return {f.__name__: f for f in found}
 
 
