@@ -26,7 +26,7 @@ BROADCAST_ROWS = 500_000
 #: Shingles in memory at once while signatures are made, and remembered words.
 CHUNK, MEMORY = 1_000_000, 400_000
 
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_GOLDEN_INT = 0x9E3779B97F4A7C15
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -84,7 +84,7 @@ def probminhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs
     while len(run):
         turn += 1
         e, d = element[run], doc[run]
-        draw = _mix(e + _GOLDEN * np.uint64(turn))
+        draw = _mix(e + np.uint64(_GOLDEN_INT * turn & (1 << 64) - 1))
         now = now - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)) / weight[run]
         inside = now < latest[d]
         run, now, e, d, draw = run[inside], now[inside], e[inside], d[inside], draw[inside]
