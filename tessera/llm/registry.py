@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from .bpe import op10_bpe_speculate_verify
 from .chat import op7_chat_prefix_targets
+from .html import op1_dom_tree_extraction
 from .neardup import op9_probminhash_near_dedup
 from .packing import op5_order_preserving_packing
 from .quality import op4_quality_ledger
 from .sharding import op6_rendezvous_sharding
+from .topk import op2_bit_sliced_topk
+from .warc import op3_warc_zstd
 
 
 def queries() -> dict:
     found = [
+        op1_dom_tree_extraction,
+        op2_bit_sliced_topk,
+        op3_warc_zstd,
         op4_quality_ledger,
         op5_order_preserving_packing,
         op6_rendezvous_sharding,
