@@ -7,6 +7,7 @@ from .chat import op7_chat_prefix_targets
 from .html import op1_dom_tree_extraction
 from .neardup import op9_probminhash_near_dedup
 from .packing import op5_order_preserving_packing
+from .pii import op8_pii_surrogates
 from .quality import op4_quality_ledger
 from .sharding import op6_rendezvous_sharding
 from .topk import op2_bit_sliced_topk
@@ -22,6 +23,7 @@ def queries() -> dict:
         op5_order_preserving_packing,
         op6_rendezvous_sharding,
         op7_chat_prefix_targets,
+        op8_pii_surrogates,
         op9_probminhash_near_dedup,
         op10_bpe_speculate_verify,
     ]
