@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Words kept between batches in a task; beyond that the memory is emptied and filled anew.
-MEMORY = 400_000
+MEMORY = 250_000
+#: Rows of a batch that is handed on.
+ROWS = 512
 
 #: How byte-level BPE splits a text into the words that merges never leave (fixed by the public vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -181,14 +183,11 @@ class Codec:
             ids[k] = self.merge(words[k])
         return ids
 
-    def _learn(self, runs: set[str]) -> None:
-        """Remembers the ids of blank-free runs, each with one blank before it unless marked by a leading \\n."""
-        if len(self.memory) + len(runs) > MEMORY:
-            self.memory.clear()
-        runs = list(runs)
+    def _learn(self, runs: list[str]) -> None:
+        """Remembers the ids of runs: of a blank and the run, or of what follows a line feed at its beginning."""
         words, counts = [], []
         for run in runs:
-            found = self.split.findall(run[1:] if run[0] == "\n" else run)
+            found = self.split.findall(run[1:] if run[0] == "\n" else " " + run)
             counts.append(len(found))
             words += found
         distinct = list(dict.fromkeys(words))
@@ -224,23 +223,31 @@ class Codec:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith(" ") or ODD_SPACE.search(text):
             return ["\n" + w for w in self.split.findall(text)]
         runs: list[str] = []
-        lines = text.split("\n")
-        for n, line in enumerate(lines):
+        for n, line in enumerate(text.split("\n")):
             if n:
                 runs.append("\n\n")
             if line:
-                first, *rest = line.split(" ")
+                words = line.split(" ")
+                first = words[0]
                 if first:
-                    runs.append("\n" + first)
-                runs += [" " + w for w in rest]
+                    words[0] = "\n" + first
+                    runs += words
+                else:
+                    runs += words[1:]
         return runs
 
     def _spell(self, plans: list[list]) -> Iterator[bytes]:
-        known = self.memory
-        new = {r for plan in plans for runs in plan if not isinstance(runs, bytes) for r in runs if r not in known}
+        runs: set[str] = set()
+        for plan in plans:
+            for part in plan:
+                if not isinstance(part, bytes):
+                    runs.update(part)
+        new = runs.difference(self.memory)
         if new:
-            before = {r for plan in plans for runs in plan if not isinstance(runs, bytes) for r in runs} if len(known) + len(new) > MEMORY else new
-            self._learn(before)
+            if len(self.memory) + len(new) > MEMORY:
+                self.memory.clear()
+                new = runs
+            self._learn(list(new))
         look = self.memory.__getitem__
         for plan in plans:
             yield b"".join([x if isinstance(x, bytes) else b"".join(map(look, x)) for x in plan])
@@ -269,6 +276,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens and ids (little-endian unsigned 32-bit integers) of every whole text; null texts are empty.
 
@@ -277,7 +290,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             ids = list(c.encode_batch(t or "" for t in batch.column(1).to_pylist()))
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
@@ -292,7 +305,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = pa.array([c.decode(i) for i in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[key, "n_tokens", "ids", "decoded"])
 
