@@ -8,11 +8,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import codec, vocabulary_path
+from .bpe import SPLIT, Codec, small, vocabulary_path
 from .common import table
 
 WINDOW = 1024
@@ -78,6 +79,41 @@ def offered_cuts(ids: np.ndarray, ends_sentence: np.ndarray, doc_ends: np.ndarra
     return ends, cost
 
 
+class LibraryCodec(Codec):
+    """The same ids, but words not met before go through a tokenizer library, many in a call.
+
+    Every run begins with a blank and holds no other white space, so no word of the joined text crosses runs, and
+    the byte lengths of the tokens tell where each run ends.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in self.special.values()}
+        self.library = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = np.array([len(b) for b in self.bytes])
+
+    def _learn(self, runs: list[str]) -> None:
+        super()._learn([r for r in runs if r[0] == "\n"])
+        plain = [r for r in runs if r[0] != "\n"]
+        ids = np.asarray(self.library.encode_to_numpy(" " + " ".join(plain), disallowed_special=()) if plain else [], "<u4")
+        ends = np.cumsum([len(r.encode()) + 1 for r in plain])
+        stops = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
+        spelled, memory, at = ids.tobytes(), self.memory, 0
+        for run, stop in zip(plain, stops.tolist(), strict=True):
+            memory[run] = spelled[at:stop]
+            at = stop
+
+
+_library: dict[str, LibraryCodec] = {}
+
+
+def library_codec(path: str) -> LibraryCodec:
+    """One per Python worker."""
+    if path not in _library:
+        _library[path] = LibraryCodec(path)
+    return _library[path]
+
+
 class Packer:
     """Packs the documents of one stream in their order; sequence numbers begin at `first`."""
 
@@ -132,7 +168,7 @@ class Packer:
 
 def sentence_enders(path: str) -> np.ndarray:
     """For every id: whether its bytes end in a full stop, question or exclamation mark, or hold a line feed."""
-    found = np.array([b[-1:] in (b".", b"?", b"!") or b"\n" in b for b in codec(path).bytes])
+    found = np.array([b[-1:] in (b".", b"?", b"!") or b"\n" in b for b in library_codec(path).bytes])
     return found
 
 
@@ -146,10 +182,10 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = library_codec(path)
         end = np.array([end_id], "<u4")
         packer = Packer(sentence_enders(path), TaskContext.get().partitionId() << 40, window)
-        for batch in batches:
+        for batch in small(batches):
             made = []
             for k, ids in zip(batch.column(0), c.encode_batch(t or "" for t in batch.column(1).to_pylist()), strict=True):
                 made += packer.add(k.as_py(), np.concatenate((np.frombuffer(ids, "<u4"), end)))
