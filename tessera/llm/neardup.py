@@ -167,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until no edge changes; each keeps the number of edges and halves
     paths, so rounds grow with the logarithm of the longest one. Every round is written to the shared folder.
     """
-    star = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    star = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = star.union(star.select("v", "u"))
