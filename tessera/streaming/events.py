@@ -70,12 +70,20 @@ def current_states(spark: SparkSession, states: str) -> DataFrame:
     return rows.groupBy("application_no").agg(F.max_by(F.struct(*rest), "batch").alias("s")).select("application_no", "s.*")
 
 
-def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
-    """Extension beyond the registry's own queries: tumbling or sliding counts under a watermark."""
+def _watermarked(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """A stream has one watermark: without `late`, that which the events already carry stays."""
+    return events.withWatermark(time, late) if late else events
+
+
+def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 day", slide: str | None = None, late: str | None = None) -> DataFrame:
+    """Extension beyond the registry's own queries: tumbling or sliding counts under a watermark.
+
+    Events that come from deduplicated() carry a watermark; others, if streamed, need `late`.
+    """
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    return events.withWatermark(time, late).groupBy(window.alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
+    return _watermarked(events, time, late).groupBy(window.alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
 
 
-def session_counts(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
-    """Extension: sessions of a key, closed by a gap."""
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+def session_counts(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Extension: sessions of a key, closed by a gap. Streamed events need a watermark, as in windowed_counts()."""
+    return _watermarked(events, time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
