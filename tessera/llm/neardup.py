@@ -21,6 +21,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 #: Members of a star compared with each other at once.
 BLOCK = 256
+#: Parts in which a star's members are numbered: steps of similarity, and slices of each by hash.
+STEPS, SALTS = 128, 64
 #: Key lists of at most this many rows (24 bytes each) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Shingles in memory at once while signatures are made, and remembered words.
@@ -263,8 +265,13 @@ def near_duplicate_classes(
     label = labels.select(F.col("node").alias("rid"), "label")
     members = measured.select("lead", "rid", "j").join(label, "rid", "left").select("lead", "rid", "j", F.coalesce("label", "rid").alias("comp"))
     open_stars = members.groupBy("lead").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 and lo <> hi")
-    place = F.row_number().over(W.partitionBy("lead").orderBy("j", "rid")) - 1
-    blocked = cut(members.join(open_stars.select("lead"), "lead").withColumn("block", F.floor(place / BLOCK).cast("int")))
+    # places by j, in STEPS * SALTS parts of a star, so that no task numbers all members of a large one
+    opened = members.join(open_stars.select("lead"), "lead").withColumn("part", F.floor(F.col("j") * STEPS).cast("int") * SALTS + F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    opened = cut(opened)
+    before = W.partitionBy("lead").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = opened.groupBy("lead", "part").agg(F.count("*").alias("n")).select("lead", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.row_number().over(W.partitionBy("lead", "part").orderBy("j", "rid")) - 1
+    blocked = cut(opened.join(starts, ["lead", "part"]).select("lead", "rid", "j", "comp", F.floor(place / BLOCK).cast("int").alias("block")))
     stats = blocked.groupBy("lead", "block").agg(F.min("j").alias("jlo"), F.max("j").alias("jhi"), F.min("comp").alias("clo"), F.max("comp").alias("chi"))
     other = stats.select("lead", *[F.col(c).alias(f"{c}2") for c in ("block", "jlo", "jhi", "clo", "chi")])
     apart = (F.col("clo") != F.col("chi")) | (F.col("clo") != F.col("clo2")) | (F.col("clo2") != F.col("chi2"))
