@@ -143,9 +143,14 @@ def parse(raw: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of pages; where that is too small to train on, sample texts themselves."""
-    sample = pages.where("html is not null").select(F.xxhash64("page_id").alias("h"), F.left("html", F.lit(SAMPLE_CHARS)).alias("html"))
-    texts = [r.html.encode("utf-8", "replace") for r in sample.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]
+    """A dictionary from a bounded sample of pages; where that is too small to train on, sample texts themselves.
+
+    The least hashes of page ids are found first, as numbers alone; then one text of each is read.
+    """
+    h = F.xxhash64("page_id")
+    least = [r.h for r in pages.select(h.alias("h")).orderBy("h").limit(SAMPLE_PAGES).collect()]
+    chosen = pages.where(h <= max(least, default=0)).groupBy(h.alias("h")).agg(F.min(F.left("html", F.lit(SAMPLE_CHARS))).alias("html"))
+    texts = [r.html.encode("utf-8", "replace") for r in sorted(chosen.collect()) if r.html is not None] if least else []
     texts = [SKELETON.encode() + HTTP.encode() + t for t in texts]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
