@@ -180,7 +180,9 @@ def distinct_surrogates(entities: DataFrame, secret_key: str) -> DataFrame:
     Of entities that drew the same surrogate the first by canonical form keeps it; the others, and those that drew
     an original, draw again until no clash is left. Equal entities meet here as one row, hence coreference.
     """
-    originals = cut(entities.select("kind", "canonical").distinct())
+    # few bytes but much work a row: spread by number, which adaptive execution doesn't put together again
+    slices = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    originals = cut(entities.select("kind", "canonical").distinct().repartition(slices, "kind", "canonical"))
     held = cut(originals.withColumn("attempt", F.lit(0)).withColumn("made", surrogate(F.col("kind"), F.col("canonical"), F.lit(0), secret_key)))
     taken = originals.select("kind", F.lower("canonical").alias("low"), F.lit(True).alias("real")).distinct()
     while True:
