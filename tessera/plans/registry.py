@@ -15,7 +15,7 @@ from tessera.functions import classes as C
 from tessera.functions import dates as D
 from tessera.functions import scores as S
 from tessera.functions import text as X
-from tessera.operators import corpus, feeds, lifecycle, merge, rows, scan
+from tessera.operators import corpus, feeds, lifecycle, merge, retrieval, rows, scan, scoring
 from tessera.plans.catalog import AS_OF, GRAMS, NORM, TM, jaccard_sql, query, read, trademarks
 
 
@@ -460,3 +460,14 @@ def q18(spark, sf):
  SELECT count(*) FILTER (WHERE n BETWEEN 0 AND 7) AS critical, count(*) FILTER (WHERE n BETWEEN 0 AND 14) AS urgent, count(*) FILTER (WHERE n BETWEEN 0 AND 30) AS soon FROM d""")
 def q20(spark, sf):
     return feeds.lead_statistics_view(trademarks(spark, sf).where("status = 'Yayında'"), F.datediff("deadline", as_of()))
+
+
+@query("q4_brand_risk")
+def q4(spark, sf):
+    """Candidates for a name, scored with the word classes of the corpus: the 100 of the highest risk."""
+    t = trademarks(spark, sf).select("id", "name", "status")
+    found = retrieval.staged(t, "Red Widget").select("id", "stage_no")
+    pairs = t.join(F.broadcast(found), "id").withColumn("query", F.lit("Red Widget"))  # found has at most 500 rows
+    scored = scoring.score_pairs(pairs, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "doc_id", "text"))
+    ranked = scored.select("id", "name", "status", "stage_no", "score", "path", S.risk_level(F.col("score")).alias("risk_level"))
+    return ranked.orderBy(F.desc("score"), "id").limit(100)

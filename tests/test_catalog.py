@@ -32,7 +32,7 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, sf, con, name):
     df = catalog.QUERIES[name](spark, sf)
     cursor = con.execute(catalog.SQL[name])
