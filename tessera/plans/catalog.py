@@ -100,7 +100,7 @@ def x7(spark, sf):
     return read(spark, sf, "part").select("p_name").distinct().select("p_name", F.round(X.edit_ratio(F.col("p_name"), F.lit("small widget")), 6).alias("ratio"))
 
 
-@query("x13_token_overlap", """SELECT p_partkey, CAST(list_contains(string_split(p_name, ' '), 'red') AS INTEGER) * 0.5 + CAST(list_contains(string_split(p_name, ' '), 'bolt') AS INTEGER) * 0.5 AS overlap,
+@query("x13_token_overlap", """SELECT p_partkey, CAST(list_contains(string_split(p_name, ' '), 'red') AS INTEGER) * 0.5::DOUBLE + CAST(list_contains(string_split(p_name, ' '), 'bolt') AS INTEGER) * 0.5::DOUBLE AS overlap,
  CASE WHEN contains(replace(p_name, ' ', ''), 'red') THEN 1.0 ELSE 0.0 END::DOUBLE AS contained FROM part""")
 def x13(spark, sf):
     return read(spark, sf, "part").select("p_partkey", X.token_overlap(F.lit("Red Bolt"), F.col("p_name")).alias("overlap"), X.contained(F.col("p_name"), F.lit("red")).alias("contained"))
