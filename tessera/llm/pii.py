@@ -42,7 +42,7 @@ _ALL_ADDRESS = "|".join(a.replace(".", r"\.") for names in ADDRESS.values() for
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": rf"(?i:(?<!\w){_SECRET})\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{{8,}}",
+    "secret": rf"(?i:(?<!\w){_SECRET})\s?[=:]\s?[\"']?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{{8,}}",
     "awskey": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -53,6 +53,9 @@ PATTERNS: dict[str, str] = {
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _DIGITAL = ("phone", "ssn", "card", "iban")
+#: Attempts after which a draw leaves its narrow space for a wider one of the same type, and for the widest.
+WIDER, WIDEST = 2, 4
+_PRIVATE = r"^(10|127|192\.168|172\.(1[6-9]|2\d|3[01])|169\.254)\."
 
 
 def _number(seed: Column, at: int, below: int) -> Column:
@@ -94,7 +97,11 @@ def _invented(script: str, role: str, seed: Column, syllables: int) -> Column:
 
 
 def surrogate(kind: Column, canonical: Column, attempt: Column, secret_key: str) -> Column:
-    """The attempt-th surrogate of an entity: a function of the key, its kind and its canonical form alone."""
+    """The attempt-th surrogate of an entity: a function of the key, its kind and its canonical form alone.
+
+    Spaces that a corpus can exhaust grow with the attempts: addresses of a private range move to 10.* and then to IPv6,
+    public ones to IPv6, secrets and numbers get more characters. Card numbers (10^11 at least) and keys don't need it.
+    """
     seed = F.sha2(F.concat_ws("\x1f", F.lit(secret_key), kind, canonical, attempt.cast("string")), 256)
     octet = lambda at, low=1, high=254: (_number(seed, at, high - low + 1) + low).cast("string")
     dot = lambda *parts: F.concat_ws(".", *parts)
@@ -104,17 +111,22 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, secret_key: str)
         .when(canonical.rlike(r"^(192\.168|172\.(1[6-9]|2\d|3[01])|169\.254)\."), dot(kept(2), octet(1), octet(2)))
         .otherwise(dot(_pick(seed, 0, [str(n) for n in range(11, 127)]), octet(1), octet(2), octet(3)))
     )
+    groups = lambda first, n: F.concat_ws(":", *[F.substring(seed, first + 4 * i, 4) for i in range(n)])
+    private = canonical.rlike(_PRIVATE)
+    v6 = F.when(private, F.concat(F.lit("fd"), F.substring(seed, 1, 2), F.lit(":"), groups(3, 7))).otherwise(F.concat(F.lit("2001:db8:"), groups(1, 6)))
+    ip = F.when(attempt >= WIDEST, v6).when(private & (attempt >= WIDER), dot(F.lit("10"), octet(0), octet(1), octet(2))).otherwise(ip)
+    longer = F.substr(F.lpad(_number(seed, 6, 10**8).cast("string"), 8, "0"), F.lit(1), F.greatest(F.lit(0), attempt - (WIDER - 1)))
     email = F.concat(*[_pick(seed, k, SYLLABLES["latin"]) for k in range(4)], F.lit("."), _number(seed, 4, 10**4).cast("string"), F.lit("@mail"), _number(seed, 5, 100).cast("string"), F.lit(".example.org"))
     drawn = _like(canonical, seed)
-    phone = F.concat(F.regexp_extract(canonical, r"^(\+\d)?", 0), (_number(seed, 7, 8) + 2).cast("string"), F.substr(drawn, F.when(canonical.startswith("+"), 4).otherwise(2)))
+    phone = F.concat(F.regexp_extract(canonical, r"^(\+\d)?", 0), (_number(seed, 7, 8) + 2).cast("string"), F.substr(drawn, F.when(canonical.startswith("+"), 4).otherwise(2)), longer)
     body = F.concat(F.substr(canonical, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2), F.length(drawn) - 2))
     fits = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     shift = F.when(_luhn(canonical) == 0, 0).otherwise(1 + _number(seed, 7, 9))
     card = F.concat(body, F.pmod(fits + shift, F.lit(10)).cast("string"))
-    iban = F.concat(F.substr(canonical, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3)))
+    iban = F.concat(F.substr(canonical, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3)), longer)
     head = r"^(?i:" + _SECRET + r")\s?[=:]\s?[\"']?"
     value = F.regexp_replace(canonical, head, "")
-    secret = F.concat(F.regexp_extract(canonical, head, 0), _like(value, seed))
+    secret = F.concat(F.regexp_extract(canonical, head, 0), _like(value, seed), F.when(attempt >= WIDER, F.substring(seed, 33, 16)).otherwise(""))
     aws = F.concat(F.substr(canonical, F.lit(1), F.lit(4)), F.substr(drawn, F.lit(5)))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban)
     out = out.when(kind == "secret", secret).when(kind == "awskey", aws)
@@ -123,7 +135,7 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, secret_key: str)
         if role != "s":
             grown = F.when(attempt == 0, _pick(seed, 7, GIVEN[script, role])).otherwise(grown)
         out = out.when(kind == f"{script} {role}", grown)
-    return out.otherwise(drawn)
+    return out.otherwise(F.concat(drawn, longer))
 
 
 def kind_of(match: Column) -> Column:
@@ -165,11 +177,11 @@ def _parts(match: Column) -> Column:
 
 
 def _render(raw: Column, kind: Column, made: Column) -> Column:
-    """The surrogate in the layout of the original: its separators, or its capitals."""
+    """The surrogate in the layout of the original: its separators, or its capitals. What it is longer by comes last."""
     step = lambda s, c: F.when(
         c.rlike("[0-9A-Z+]"), F.struct(F.concat(s["out"], F.substr(made, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
     ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
-    laid = F.aggregate(F.split(raw, "", -1), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
+    laid = F.aggregate(F.split(raw, "", -1), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: F.concat(s["out"], F.substr(made, s["at"])))
     shouted = (raw == F.upper(raw)) & (raw != F.lower(raw)) & (F.length(raw) > 1)
     return F.when(kind.isNull(), raw).when(kind.isin(*_DIGITAL), laid).when((kind.contains(" ") | (kind == "email")) & shouted, F.upper(made)).otherwise(made)
 

@@ -197,6 +197,19 @@ def test_surrogates_are_distinct(spark):
     assert not {r.made.lower() for r in made if r.kind == "latin f"} & {n.lower() for n in pii.GIVEN["latin", "f"]}
 
 
+def test_redraws_end_in_small_spaces(spark):
+    form = spark.createDataFrame([("Password: ________, secret=-------- and token: ++++++++",)], "text string")
+    assert not form.select(F.col("text").rlike(pii.UNION)).first()[0]
+    octets = lambda head: F.concat(F.lit(head), F.floor(F.col("id") / 254).cast("string"), F.lit("."), (F.col("id") % 254 + 1).cast("string"))
+    ips = spark.range(33000).select(F.lit("ip").alias("kind"), octets("192.168.").alias("canonical"))
+    secrets = spark.range(10).select(F.lit("secret").alias("kind"), F.concat(F.lit("secret=-------"), "id").alias("canonical"))
+    phones = spark.range(2, 10).select(F.lit("phone").alias("kind"), F.concat(F.lit("+1"), "id").alias("canonical"))
+    rows = pii.distinct_surrogates(ips.union(secrets).union(phones), "k").collect()
+    made = {(r.kind, r.made.lower()) for r in rows}
+    assert len(made) == len(rows) == 33018 and not made & {(r.kind, r.canonical) for r in rows}
+    assert all(re.fullmatch(r"(192\.168|10\.\d+)\.\d+\.\d+|fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", r.made) for r in rows if r.kind == "ip")
+
+
 def test_op8_touches_only_pii(spark, sf):
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     planted = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) 555-\d{4}|(?<!\d)\d{16}(?!\d)|\d+\.\d+\.\d+\.\d+|[0-9a-f]{40}")
