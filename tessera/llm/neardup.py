@@ -101,11 +101,6 @@ def probminhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs
     return winner.reshape(n_docs, registers)
 
 
-def weights_of(counts: np.ndarray) -> np.ndarray:
-    """Weight of a shingle by its number of occurrences in the text, dampened."""
-    return 1.0 + np.log(counts)
-
-
 def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(signatures), bands)).copy()
     s = signatures.reshape(len(signatures), bands, rows)
@@ -126,13 +121,14 @@ def _banded(texts: DataFrame, bands: int, rows: int) -> DataFrame:
             while at < len(found):
                 sets, size, end = [], 0, at
                 while end < len(found) and size < CHUNK:
-                    sets.append(np.unique(shingles(found[end] or ""), return_counts=True))
-                    size += len(sets[-1][0])
+                    sets.append(np.unique(shingles(found[end] or "")))
+                    size += len(sets[-1])
                     end += 1
-                doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-                sig = probminhash(doc, np.concatenate([s[0] for s in sets]), weights_of(np.concatenate([s[1] for s in sets])), len(sets), bands * rows)
+                doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                # equal weights, since links are unweighted
+                sig = probminhash(doc, np.concatenate(sets), np.ones(len(doc)), len(sets), bands * rows)
                 hashes = band_hashes(sig, bands, rows)
-                full = np.array([len(s[0]) > 0 for s in sets])
+                full = np.array([len(s) > 0 for s in sets])
                 offsets = np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[full].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), lists], names=["id", "key", "bands"])
@@ -225,7 +221,7 @@ def near_duplicate_classes(
 
     Classes are the connected components of the links between texts whose sets of five-word shingles have a
     Jaccard similarity of at least `similarity`. Equal texts are one text from the start. Links are sought among
-    texts that share a band of their ProbMinHash signatures, weighted by 1 + ln(occurrences), and every link is
+    texts that share a band of their ProbMinHash signatures of equal weights, and every link is
     verified on the whole shingle sets. Texts without words are near to equal texts only; a null text is near to
     none and is a class of its own (class_id = key). Null keys follow their text; a class with no key but null
     has a null class_id. Other columns are not read.

@@ -275,6 +275,15 @@ def test_nulls_and_repeats(spark):
     assert neardup.near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_keep_their_links(spark):
+    rows = []
+    for i in range(30):
+        w = [f"w{i}x{k}" for k in range(113)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:40] + w[40:64] * 100 + w[64:104]))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_blocks_of_stars(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     rows = near_corpus(5, 200)
