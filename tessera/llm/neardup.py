@@ -230,8 +230,18 @@ def near_duplicate_classes(
     that still hold several components are compared within, block by block, so that no link is lost; pairs of
     blocks that the triangle inequality of the Jaccard distance rules out, or of a single component, are left out.
     """
+    alone = docs.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id"))
+    return _labelled(docs, key, text, similarity, bands, rows).select(F.col("id").alias(key), "class_id").unionByName(alone)
+
+
+def _hash(text: str) -> Column:
+    return F.unhex(F.md5(F.encode(F.col(text), "UTF-8")))
+
+
+def _labelled(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, key, label, class_id) of every row with a text: its key, the text's hash, its class and that class's least key."""
     spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("id"), F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("key"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("id"), _hash(text).alias("key"), F.col(text).alias("text"))
     given = source.where(F.col("text").isNotNull())
     banded = cut(_banded(given, bands, rows))
     reps = cut(banded.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))).withColumn("rid", F.monotonically_increasing_id())
@@ -297,13 +307,8 @@ def near_duplicate_classes(
 
     classed = reps.select("rid", "key", "id").join(found.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     least = classed.groupBy("label").agg(F.min("id").alias("class_id"))
-    by_key = classed.join(least, "label").select(F.col("key"), "class_id")
-    return (
-        banded.select("id", "key")
-        .join(by_key, "key")
-        .select(F.col("id").alias(key), "class_id")
-        .unionByName(source.where(F.col("text").isNull()).select(F.col("id").alias(key), F.col("id").alias("class_id")))
-    )
+    by_key = classed.join(least, "label").select("key", "label", "class_id")
+    return banded.select("id", "key").join(by_key, "key").select("id", "key", "label", "class_id")
 
 
 def _slots(spark: SparkSession) -> int:
@@ -312,9 +317,20 @@ def _slots(spark: SparkSession) -> int:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each class the row with the least key. Rows with a null key stay."""
-    classes = near_duplicate_classes(docs, key, text).where(F.col(key) != F.col("class_id")).select(F.col(key)).distinct()
-    return docs.join(classes, key, "left_anti").select(*docs.columns)
+    """The rows of docs that stay: of each class one, that with the least key, then the least hash of the text.
+
+    Rows are told apart by key and text, so a repeated key costs no other text. A null key comes last in its class.
+    Of rows alike in key and text the one with the least hash of all columns stays. Null texts stay.
+    """
+    found = _labelled(docs, key, text).groupBy("label", "id", "key").agg(F.count("*").alias("n"))
+    found = cut(found.select("label", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("at"), "n"))
+    kept = found.groupBy("label").agg(F.min("at").alias("keeper"))
+    told = cut(found.join(kept, "label").select(F.col("at.id").alias("__id"), F.col("at.key").alias("__key"), (F.col("at") == F.col("keeper")).alias("__stays"), "n"))
+    same = F.col(key).eqNullSafe(F.col("__id")) & (_hash(text) == F.col("__key"))
+    single = docs.join(told.where("not __stays or n > 1").select("__id", "__key"), same, "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    many = docs.join(told.where("__stays and n > 1").select("__id", "__key"), same).groupBy("__id", "__key").agg(F.min_by(row, F.md5(F.to_json(row))).alias("row"))
+    return single.unionByName(many.select("row.*"))
 
 
 def op9_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,6 +284,14 @@ def test_repeated_lines_keep_their_links(spark):
     assert got == {i: i - i % 2 for i in range(60)}
 
 
+def test_one_row_of_each_class_stays(spark):
+    text, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, text, "x"), (1, text, "x"), (1, text, "x"), (2, text + " y", "x"), (3, other, "x"), (3, text, "x"), (3, third, "x"), (None, third, "x"), (None, "p q", "x"), (None, "p q", "x"), (8, None, "x"), (8, None, "x")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    wanted = [(1, text, "x"), (3, other, "x"), (3, third, "x"), (None, "p q", "x"), (8, None, "x"), (8, None, "x")]
+    assert got.columns == ["doc_id", "text", "lang"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
+
+
 def test_blocks_of_stars(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     rows = near_corpus(5, 200)
