@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,9 +51,12 @@ STEMS = {
 }
 _WORD = {w: g for g, ws in STEMS.items() for w in ws}
 _LONG = [(w, g) for g, ws in STEMS.items() for w in ws if len(w) >= 6]
-_TOKEN = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>)", re.DOTALL
-)
+_HEAD = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]{0,63}+))")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+#: Tags whose quotes swallow the rest of the page, after which all tags are read up to the next ">".
+BROKEN = 16
+#: Elements nested deeper become children of the last one at this depth.
+DEPTH = 512
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -73,6 +77,64 @@ def attribute_features(attributes: str) -> list[str]:
     return sorted(found)
 
 
+def tags(page: str) -> list[tuple[int, int, bool, str, str]]:
+    """Tags in page order: start, end, whether it closes, name, attributes. What is no text has an empty name.
+
+    Comments, declarations and elements of raw text with all they hold are such; raw text that is never closed is the
+    rest of the page, but for a title, which then ends where the body begins. Time is linear in the page's length.
+    """
+    out: list[tuple[int, int, bool, str, str]] = []
+    ends: dict[str, list[int]] = {}
+    at, broken, last = 0, 0, page.rfind(">")
+
+    def places(pattern: str) -> list[int]:
+        if pattern not in ends:
+            ends[pattern] = [m.start() for m in re.finditer(pattern, page, re.IGNORECASE)]
+        return ends[pattern]
+
+    def first(pattern: str, start: int) -> int:
+        found = places(pattern)
+        k = bisect_left(found, start)
+        return found[k] if k < len(found) else -1
+
+    while (at := page.find("<", at)) >= 0:
+        m = _HEAD.match(page, at)
+        if not m or at > last and not m[1]:
+            at += 1
+            continue
+        start = at
+        if m[1]:
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
+            out.append((start, at, False, "", ""))
+            continue
+        if m[2]:
+            at = page.find(">", at) + 1
+            out.append((start, at, False, "", ""))
+            continue
+        rest = _REST.match(page, m.end()) if broken < BROKEN else None
+        if not rest:
+            broken += 1
+            if broken <= BROKEN:
+                at += 1
+                continue
+        name = m[4].lower()
+        at = rest.end() if rest else page.find(">", m.end()) + 1
+        if m[3] or name not in RAW or name not in DROPPED:
+            out.append((start, at, bool(m[3]), name, page[m.end() : at - 1]))
+            continue
+        end = first(rf"</{name}(?=[\s/>])", at)
+        if end >= 0:
+            close = page.find(">", end)
+            at = close + 1 if close >= 0 else len(page)
+        elif name != "title":
+            at = len(page)
+        elif (body := first(r"<body\b", at)) >= 0:
+            at = body
+        out.append((start, at, False, "", ""))
+    return out
+
+
 class Dom:
     """The block elements and text runs of a page as one tree, in page order; node 0 is the root."""
 
@@ -92,10 +154,11 @@ class Dom:
 
     def _read(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open block elements
+        places: dict[str, list[int]] = {}  # of the open elements of each name in the stack
         run: list[str] = []
         linked = link_depth = 0
-        at, end = 0, len(page)
-        search, unescape = _TOKEN.search, _html.unescape
+        silent = False  # in an element without article text that is never closed, up to the next block
+        unescape = _html.unescape
 
         def close_run() -> None:
             nonlocal linked
@@ -106,83 +169,74 @@ class Dom:
                 run.clear()
             linked = 0
 
-        while at < end:
-            m = search(page, at)
-            start = m.start() if m else end
-            if start > at:
+        def innermost(name: str) -> int:
+            """Place of the innermost open element of a name that no fence hides, or 0."""
+            own = places.get(name)
+            return own[-1] if own and all(not (f := places.get(n)) or f[-1] < own[-1] for n in FENCES.get(name, ())) else 0
+
+        def shut(place: int) -> None:
+            while len(stack) > place:
+                places[stack.pop()[0]].pop()
+
+        found = tags(page)
+        ending: dict[int, int] = {}  # tag that opens an element without article text: the tag that closes it
+        opened: dict[str, list[int]] = {}
+        for i, (_, _, closes, name, attributes) in enumerate(found):
+            if name in DROPPED:
+                if not closes and not attributes.endswith("/"):
+                    opened.setdefault(name, []).append(i)
+                elif closes and opened.get(name):
+                    ending[opened[name].pop()] = i
+
+        i, at = 0, 0
+        while i <= len(found):
+            start, end, closes, name, attributes = found[i] if i < len(found) else (len(page), len(page), False, "", "")
+            if start > at and not silent:
                 text = page[at:start]
                 if "&" in text:
                     text = unescape(text)
                 run.append(text)
                 if link_depth:
                     linked += len(text.strip())
-            if not m:
-                break
-            at = m.end()
-            name = m[2]
-            if not name:
-                continue
-            name = name.lower()
-            if m[1]:
+            i, at = i + 1, end
+            if closes:
                 if name == "a":
                     link_depth = max(0, link_depth - 1)
                 elif name in BLOCKS:
-                    fence = FENCES.get(name, ())
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == name:
-                            close_run()
-                            del stack[k:]
-                            link_depth = 0
-                            break
-                        if stack[k][0] in fence:
-                            break
-                continue
-            if name in DROPPED:
-                if not m[3].endswith("/") or name in RAW:
-                    at = self._skip(page, at, name)
-                continue
-            if name == "a":
+                    silent = False
+                    if place := innermost(name):
+                        close_run()
+                        shut(place)
+                        link_depth = 0
+            elif name in DROPPED:
+                if i - 1 in ending:
+                    i = ending[i - 1] + 1
+                    at = found[i - 1][1]
+                elif not attributes.endswith("/"):
+                    silent = True
+            elif name == "a":
                 link_depth = 1
             elif name == "br":
                 run.append("\n")
             elif name in BLOCKS:
+                silent = False
                 close_run()
                 for kind, ended_by in ENDS.items():
-                    if name in ended_by:
-                        for k in range(len(stack) - 1, 0, -1):
-                            if stack[k][0] == kind:
-                                del stack[k:]
-                                break
-                            if stack[k][0] in FENCES[kind]:
-                                break
+                    if name in ended_by and (place := innermost(kind)):
+                        shut(place)
                 link_depth = 0
                 if name not in VOID:
-                    above, parent = stack[-1]
+                    above, parent = stack[min(len(stack), DEPTH) - 1]
                     features = [f"<{name}>", f"<{name}> in <{above}>"]
-                    if m[3]:
-                        features += attribute_features(m[3])
+                    if attributes:
+                        features += attribute_features(attributes)
                         features.append(f"<{name}> named" if len(features) > 2 else f"<{name}> unnamed")
                     else:
                         features.append(f"<{name}> unnamed")
+                    places.setdefault(name, []).append(len(stack))
                     stack.append((name, self._node(parent, features)))
         close_run()
 
-    @staticmethod
-    def _skip(page: str, at: int, name: str) -> int:
-        """After the end of an element without article text; to the end of the page where it is not closed."""
-        depth = 1
-        for m in re.compile(rf"<(/?){name}\b[^>]*>", re.IGNORECASE).finditer(page, at):
-            if m[1]:
-                depth -= 1
-                if not depth:
-                    return m.end()
-            elif name not in RAW:
-                depth += 1
-        if name in ("head", "title"):  # unclosed: the body follows all the same
-            body = re.compile(r"<body\b", re.IGNORECASE).search(page, at)
-            return body.start() if body else at
-        return len(page)
-
     def _leaf(self, parent: int, tag: str, text: str, linked: int) -> None:
         size = len(text)
         share = linked / size
@@ -425,6 +479,9 @@ def main_texts(pages: list[str], model: Model) -> list[str]:
 def extract(pages: DataFrame, model: Model | None = None, batch: int = 128) -> DataFrame:
     """pages (page_id, url, html) as page_id, url, text. A null html has an empty text; other columns are not read.
 
+    Raw text that is never closed (script, style, textarea) is the rest of its page; other elements without article
+    text that are never closed end at the next block. Without a model, one is fitted on the driver first.
+
     Pages are independent, so rows stay in their partitions; `batch` pages pass their messages together.
     """
     model = model or default_model()

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, fields_of, table, whole_row
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -230,18 +230,18 @@ def near_duplicate_classes(
     that still hold several components are compared within, block by block, so that no link is lost; pairs of
     blocks that the triangle inequality of the Jaccard distance rules out, or of a single component, are left out.
     """
-    alone = docs.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id"))
-    return _labelled(docs, key, text, similarity, bands, rows).select(F.col("id").alias(key), "class_id").unionByName(alone)
+    alone = docs.where(F.col(f"`{text}`").isNull()).select(F.col(f"`{key}`").alias("id"), F.col(f"`{key}`").alias("class_id"))
+    return _labelled(docs, key, text, similarity, bands, rows).select("id", "class_id").union(alone).toDF(key, "class_id")
 
 
 def _hash(text: str) -> Column:
-    return F.unhex(F.md5(F.encode(F.col(text), "UTF-8")))
+    return F.unhex(F.md5(F.encode(F.col(f"`{text}`"), "UTF-8")))
 
 
 def _labelled(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, key, label, class_id) of every row with a text: its key, the text's hash, its class and that class's least key."""
     spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("id"), _hash(text).alias("key"), F.col(text).alias("text"))
+    source = docs.select(F.col(f"`{key}`").alias("id"), _hash(text).alias("key"), F.col(f"`{text}`").alias("text"))
     given = source.where(F.col("text").isNotNull())
     banded = cut(_banded(given, bands, rows))
     reps = cut(banded.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))).withColumn("rid", F.monotonically_increasing_id())
@@ -325,12 +325,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = _labelled(docs, key, text).groupBy("label", "id", "key").agg(F.count("*").alias("n"))
     found = cut(found.select("label", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("at"), "n"))
     kept = found.groupBy("label").agg(F.min("at").alias("keeper"))
-    told = cut(found.join(kept, "label").select(F.col("at.id").alias("__id"), F.col("at.key").alias("__key"), (F.col("at") == F.col("keeper")).alias("__stays"), "n"))
-    same = F.col(key).eqNullSafe(F.col("__id")) & (_hash(text) == F.col("__key"))
-    single = docs.join(told.where("not __stays or n > 1").select("__id", "__key"), same, "left_anti").select(*docs.columns)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    many = docs.join(told.where("__stays and n > 1").select("__id", "__key"), same).groupBy("__id", "__key").agg(F.min_by(row, F.md5(F.to_json(row))).alias("row"))
-    return single.unionByName(many.select("row.*"))
+    told = cut(found.join(kept, "label").select(F.col("at.id").alias("i"), F.col("at.key").alias("k"), (F.col("at") == F.col("keeper")).alias("stays"), "n"))
+    held = docs.select(whole_row(docs).alias("row"), F.col(f"`{key}`").alias("id"), _hash(text).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
+    single = held.join(told.where("not stays or n > 1").select("i", "k"), same, "left_anti").select("row")
+    twice = held.join(told.where("stays and n > 1").select("i", "k"), same)
+    many = twice.groupBy("i", "k").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return single.union(many.select("row")).select(*fields_of("row", docs.columns))
 
 
 def op9_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, table, words_of
+from .common import WS, fields_of, table, whole_row, words_of
 
 WINDOW = 8
 
@@ -39,27 +39,24 @@ def _count(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measurements that the rules use, under these names in a struct column `m`.
-
-    A null text is measured as an empty one. n_repeat_words compares windows within a text by 64-bit hashes.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    step = docs.select("*", t.alias("__t"), words_of(t).alias("__w"), lines.alias("__lines"))
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """(row, m): the input row as one struct, and its measurements as another."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
+    step = docs.select(whole_row(docs).alias("row"), t.alias("t")).select("row", "t", words_of(F.col("t")).alias("w"), lines.alias("lines"))
     hashes = F.when(
-        F.size("__w") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("__w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__w", i, WINDOW))),
+        F.size("w") >= WINDOW,
+        F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW))),
     ).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumn("__h", hashes)
+    step = step.withColumn("h", hashes)
     # only texts in which some window recurs go on to find where
     sorted_h = F.when(
-        F.size(F.array_distinct("__h")) < F.size("__h"),
-        F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.size(F.array_distinct("h")) < F.size("h"),
+        F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    step = step.withColumn("__s", sorted_h)
-    h_at = lambda i: F.get(F.col("__s"), i)["h"]
-    again = F.filter("__s", lambda x, i: F.coalesce(x["h"] == h_at(i - 1), F.lit(False)) | F.coalesce(x["h"] == h_at(i + 1), F.lit(False)))
+    step = step.withColumn("s", sorted_h)
+    h_at = lambda i: F.get(F.col("s"), i)["h"]
+    again = F.filter("s", lambda x, i: F.coalesce(x["h"] == h_at(i - 1), F.lit(False)) | F.coalesce(x["h"] == h_at(i + 1), F.lit(False)))
     starts = F.sort_array(F.transform(again, lambda x: x["i"]))
     covered = F.aggregate(
         starts,
@@ -67,36 +64,49 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n")),
         lambda s: s["n"],
     )
-    bare = F.regexp_replace("__t", WS, "")
+    bare = F.regexp_replace("t", WS, "")
     return step.select(
-        *docs.columns,
+        "row",
         F.struct(
-            F.size("__w").cast("long").alias("n_words"),
+            F.size("w").cast("long").alias("n_words"),
             F.length(bare).cast("long").alias("word_chars"),
-            _count(F.col("__t"), "[#*$%&|<>]+").alias("n_symbols"),
-            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-            F.when(F.size("__s") == 0, F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
-            F.size("__lines").cast("long").alias("n_lines"),
-            _count(F.col("__t"), "!+").alias("n_exclaims"),
-            _count(F.col("__t"), r"\p{Lu}+").alias("n_capitals"),
-            F.length(F.regexp_replace("__t", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
-            F.size(F.filter("__w", lambda w, i: w == F.get(F.col("__w"), i + 1))).cast("long").alias("n_stutters"),
+            _count(F.col("t"), "[#*$%&|<>]+").alias("n_symbols"),
+            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            F.when(F.size("s") == 0, F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
+            F.size("lines").cast("long").alias("n_lines"),
+            _count(F.col("t"), "!+").alias("n_exclaims"),
+            _count(F.col("t"), r"\p{Lu}+").alias("n_capitals"),
+            F.length(F.regexp_replace("t", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
+            F.size(F.filter("w", lambda w, i: w == F.get(F.col("w"), i + 1))).cast("long").alias("n_stutters"),
         ).alias("m"),
     )
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measurements (struct m) and fail_bits: bit i is set where rule i fails."""
-    measured = measure(docs, text)
+def ledger_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, m, fail_bits): the input row as a struct, its measurements, and bit i set where rule i fails.
+
+    A null text is measured as an empty one; repeated rows are measured each; very long texts are a row's work. n_repeat_words
+    compares windows within a text by 64-bit hashes.
+    """
+    measured = _measured(docs, text)
     fields = [x.name for x in measured.schema["m"].dataType.fields]
     bits = None
     for i, (_, condition) in enumerate(RULES):
-        # names are resolved inside m, so that columns of the input with the same names do not clash
         condition = re.sub(rf"\b({'|'.join(fields)})\b", r"m.\1", condition)
         bit = F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0))
         bits = bit if bits is None else bits.bitwiseOR(bit)
     # behind a generator, so that a policy's filter cannot be pushed down to where it would evaluate the rules anew
-    return measured.select("*", F.explode(F.array(bits.cast("long"))).alias("fail_bits"))
+    return measured.select("row", "m", F.explode(F.array(bits.cast("long"))).alias("fail_bits"))
+
+
+def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the measurements (struct m) and fail_bits, as ledger_rows() has them.
+
+    Where docs has a column of either name already, the ledger's gets underscores behind it: m_, fail_bits_.
+    """
+    taken = {c.lower() for c in docs.columns}
+    free = lambda c: c if c not in taken else free(c + "_")
+    return ledger_rows(docs, text).select(*fields_of("row", docs.columns), F.col("m").alias(free("m")), F.col("fail_bits").alias(free("fail_bits")))
 
 
 def apply_policy(led: DataFrame, version: str = CURRENT, column: str = "kept") -> DataFrame:
@@ -119,12 +129,17 @@ def ablation(led: DataFrame, version: str = CURRENT) -> DataFrame:
     )
 
 
+def keep(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of docs that no rule of the policy rejects; columns and their names stay, whatever they are."""
+    return apply_policy(ledger_rows(docs, text), version).where("kept").select(*fields_of("row", docs.columns))
+
+
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = apply_policy(ledger(docs))
+    judged = apply_policy(ledger_rows(docs))
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0
     return judged.select(
-        "doc_id",
+        F.col("row.doc_id").alias("doc_id"),
         *[F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base.alias("base_failed"),
         (~base & F.col("kept")).alias("kept"),

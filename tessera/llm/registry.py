@@ -10,6 +10,7 @@ from .packing import op5_order_preserving_packing
 from .pii import op8_pii_surrogates
 from .quality import op4_quality_ledger
 from .sharding import op6_rendezvous_sharding
+from .sql import SQL
 from .topk import op2_bit_sliced_topk
 from .warc import op3_warc_zstd
 
@@ -31,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

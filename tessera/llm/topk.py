@@ -13,24 +13,33 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 SCALE = 1024
-#: Rows in a block of the index, and queries in a block of queries.
-ROWS, QUERIES = 32_768, 256
+#: Rows in a block of the index, and the most queries in a block of queries: a task works on one of each (26 MB at a
+#: width of 64). The index is sent once for every QUERIES queries, the queries once for every ROWS rows.
+ROWS, QUERIES = 32_768, 16_384
 #: Slices kept of the attributes, from the most significant; the rest of the bits decides only near the boundary.
 SLICES = 6
-#: Quantised components from here on in size are no integers of a double; such vectors take no part.
-LIMIT = float(1 << 53)
+#: Scores and components must be longs; sums that might be larger are worked out in integers of any size.
+LONG = 1 << 63
 
 
 def quantise(vectors: list) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Indices of the vectors that take part, and their components as floor(SCALE * x)."""
+    """Indices of the vectors that take part, and their components as floor(SCALE * x).
+
+    A finite component whose quantised value is no long fails the job: it can't be scored, and it must not be lost.
+    """
     kept, out = [], []
     for i, v in enumerate(vectors):
         if v is None or len(v) == 0 or any(x is None for x in v):
             continue
-        x = np.floor(np.asarray(v, np.float64) * SCALE)
-        if np.isfinite(x).all() and (np.abs(x) < LIMIT).all():
-            kept.append(i)
-            out.append(x.astype(np.int64))
+        x = np.asarray(v, np.float64)
+        if not np.isfinite(x).all():
+            continue
+        with np.errstate(over="ignore"):
+            x = np.floor(x * SCALE)
+        if (np.abs(x) >= float(LONG)).any():
+            raise OverflowError(f"a component of {np.abs(x).max() / SCALE:g} is too large for an integer score")
+        kept.append(i)
+        out.append(x.astype(np.int64))
     return np.array(kept, np.int64), out
 
 
@@ -159,6 +168,10 @@ def search_block(ids, low, values, slices, bits: int, query_id: int, query: np.n
     A negative weight is turned into a positive one on the complement of its component's slices. What the slices
     leave out of a score is between 0 and `rest`; all rows that may reach the k-th are then scored exactly.
     """
+    size = [abs(x) for x in query.tolist()]
+    reach = [max(abs(a), abs(b)) for a, b in zip(values.min(axis=0).tolist(), values.max(axis=0).tolist(), strict=True)]
+    if sum(a * b for a, b in zip(size, reach, strict=True)) >= LONG or sum(size) >= LONG >> 1:
+        return _search_large(ids, values, query_id, query, k)
     n, words = len(ids), slices.shape[2]
     among = np.zeros(words * 64, np.uint8)
     among[:n] = ids != query_id
@@ -184,18 +197,33 @@ def search_block(ids, low, values, slices, bits: int, query_id: int, query: np.n
     return ids[at][best], scores[best]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int = ROWS, query_rows: int = QUERIES) -> DataFrame:
+def _search_large(ids, values, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As search_block, in integers of any size; a score among the best that is no long fails the job."""
+    wide = query.tolist()
+    scored = sorted((-sum(a * b for a, b in zip(row, wide, strict=True)), i) for i, row in zip(ids.tolist(), values.tolist(), strict=True) if i != query_id)[:k]
+    if any(not -LONG <= -s < LONG for s, _ in scored):
+        raise OverflowError(f"a score of query {query_id} is no 64-bit integer")
+    return np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int = ROWS, query_rows: int | None = None) -> DataFrame:
     """Per query the k rows of vectors with the highest inner product of components floor(1024 * x).
 
     Both have vec_id and embedding; a row is no candidate for queries of its own vec_id. Returns query_id, rank
     (from 1), vec_id, score; ties go to the smaller vec_id, and repeated rows stand as often as they occur. Vectors
     that are null or empty, hold null or non-finite components or lack a vec_id take no part; vectors of another
-    width are no candidates. Every block of the index meets every block of queries in a task of its own, which
-    returns at most k rows a query.
+    width are no candidates. Every row of queries is a query of its own, so a repeated one has its ranks twice. Every
+    block of the index meets every block of queries in a task of its own, which returns at most k rows a query. Jobs
+    run while this is called: the index is written, and the queries are counted to deal them to the cores.
     """
+    spark = vectors.sparkSession
     index = cut(build_index(vectors, rows)).withColumn("block", F.monotonically_increasing_id())
     wanted = queries.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    asked = cut(_query_blocks(wanted.repartition(max(1, -(-wanted.count() // query_rows)), "vec_id"), query_rows)).withColumn("qblock", F.monotonically_increasing_id())
+    n = wanted.count()
+    if query_rows is None:
+        # as few blocks as keep all cores busy
+        query_rows = min(QUERIES, max(256, -(-n * max(1, index.count()) // (2 * spark.sparkContext.defaultParallelism))))
+    asked = cut(_query_blocks(wanted.repartition(max(1, -(-n // query_rows)), "vec_id"), query_rows)).withColumn("qblock", F.monotonically_increasing_id())
     sizes = index.groupBy("width").agg(F.collect_list("block").alias("blocks"))  # a number per block
     pairs = asked.select("qblock", F.col("qwidth").alias("width")).join(sizes, "width").select("qblock", F.explode("blocks").alias("block"))
     work = pairs.join(asked.drop("qwidth"), "qblock").join(index, "block").repartition(F.col("block"), F.col("qblock"))
@@ -207,14 +235,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int = ROWS,
                 of = lambda c, kind=np.int64: np.frombuffer(batch.column(c)[r].as_py(), kind)  # noqa: B023, E731
                 ids, low, values = of("ids"), of("low"), of("vals").reshape(-1, width)
                 slices = of("slices", np.uint64).reshape(width, min(SLICES, bits), -1)
-                for query_id, query in zip(of("qids").tolist(), of("qvals").reshape(-1, width), strict=True):
+                qblock = batch.column("qblock")[r].as_py()
+                for at, (query_id, query) in enumerate(zip(of("qids").tolist(), of("qvals").reshape(-1, width), strict=True)):
                     best, scores = search_block(ids, low, values, slices, bits, query_id, query, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(best), query_id)), pa.array(best), pa.array(scores)], names=["query_id", "vec_id", "score"]
-                    )
+                    same = [np.full(len(best), x, np.int64) for x in (qblock, at, query_id)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*same, best, scores)], names=["qblock", "at", "query_id", "vec_id", "score"])
 
-    found = work.select("width", "bits", "ids", "low", "vals", "slices", "qids", "qvals").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = work.select("width", "bits", "ids", "low", "vals", "slices", "qids", "qvals", "qblock").mapInArrow(run, "qblock bigint, at bigint, query_id bigint, vec_id bigint, score bigint")
+    order = W.partitionBy("qblock", "at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 from html import unescape
 
 import pytest
@@ -60,6 +61,25 @@ def test_odd_html(spark, model):
     assert text == "A&B c\nCafé is here, quite so."
 
 
+def test_unclosed_elements_cost_no_text(model):
+    said = "Here is a sentence of some length, which belongs to the article and ends here."
+    for tag in "button select object svg audio video canvas datalist math".split():
+        page = f"<html><body><article><h1>Head</h1><p>{said}</p><{tag}>x<p>{said} Two.</p><p>{said} Three.</p></article></body></html>"
+        dom = html.Dom(page)
+        assert [t for t in dom.texts if t] == ["Head", said, said + " Two.", said + " Three."], tag
+    assert [t for t in html.Dom("<head><title>t<body><p>a").texts if t] == ["a"]
+    assert [t for t in html.Dom("<p>a<select><option>x</select><p>b<button>y</button>c<style>z").texts if t] == ["a", "bc"]
+
+
+def test_hostile_pages_are_read_in_linear_time(model):
+    n = 20_000
+    pages = ["<title>" * n, "<head>" * n, "<ul>" * n, "<a " * n, "<a<" * n, "<a " * n + '">"', "<!" * n, "<!--" * n, "</p>" * n, "<li>" * n, "<p><ul>" * n, "<button>" * n, "</title" * n, "<script>" * n, "<a '\"" * n + ">", "<td><table>" * n, "<p class=" * n, "&amp" * n]
+    for page in pages:
+        start = time.monotonic()
+        html.main_texts([page], model)
+        assert time.monotonic() - start < 5, page[:20]
+
+
 def test_archives_round_trip(spark, sf, tmp_path):
     pages = spark.createDataFrame(
         [(5, "http://a/ b\r\n", "same é"), (3, None, "same é"), (9, "u", "same é"), (9, "u", "same é"), (4, "u", None), (2, "u", ""), (8, "u", "x" * 300_000), (None, "u", "same é")], "page_id long, url string, html string"

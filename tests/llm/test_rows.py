@@ -40,6 +40,20 @@ def test_topk_with_ties_and_odd_vectors(spark, rows):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_queries_and_large_components(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), *[(i, [float(i), float(-i)]) for i in range(1, 21)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id = 100")).collect()
+    assert sorted(r.rank for r in got) == sorted(2 * list(range(1, 11))) and {r.vec_id for r in got} == {*range(1, 21)}
+    small = spark.createDataFrame([(0, [2e6, 1.0]), (1, [2e6, 1.0]), (2, [-2e6, 1.0]), (3, [1e6, 0.5])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(topk.top_k(small, small.where("vec_id = 0")).collect())]
+    assert got == [(1, (2048 * 10**6) ** 2 + 1024**2), (3, 2048 * 10**6 * 1024 * 10**6 + 1024 * 512), (2, -((2048 * 10**6) ** 2) + 1024**2)]
+    for bad in ([1e200, 0.0], [5e12, 5e12]):
+        df = spark.createDataFrame([(0, bad), (1, bad)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large|no 64-bit"):
+            topk.top_k(df, df.where("vec_id = 0")).collect()
+
+
 def test_op2_equals_brute_force(spark, sf):
     data = [(r.vec_id, np.floor(np.array(r.embedding, np.float64) * 1024).astype(np.int64)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(tuple(r) for r in topk.op2_bit_sliced_topk(spark, sf).collect()) == brute_top(data, [d for d in data if d[0] % 100 == 0], 10)
@@ -397,6 +411,36 @@ def test_components_of_a_long_path(spark):
     assert got == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900}
 
 
+# ---- names that clash -------------------------------------------------------------------------------------------
+
+CLASHING = "doc_id long, text string, m string, fail_bits int, t string, w string, `a.b` string, row string, key string, id string, i string, k string, kept boolean, tkey string, items string, named string, found string, n_chars bigint"
+
+
+def clashing(spark):
+    prose = " ".join(f"word{i}" for i in range(80)) + " and Mrs. Anna Keller, a.keller@foo.com."
+    texts = [prose, prose, prose + " more", None, "", "x " * 4, "other " + " ".join(f"term{i}" for i in range(60))]
+    return spark.createDataFrame([(i if i < 6 else None, t, *"abcdefghijklmno"[:1], 7, *"twxrkiik", True, *"tinf", 5) for i, t in enumerate(texts)], CLASHING)
+
+
+def test_every_stage_bears_clashing_names(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    docs = clashing(spark)
+    led = quality.ledger(docs)
+    assert led.columns == [*docs.columns, "m_", "fail_bits_"] and led.count() == 7
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if i < 3:
+            assert docs.columns == columns and docs.select("`a.b`", "m", "row").distinct().count() == 1
+    assert {r.doc_id for r in docs.collect()} == {0, None}
+    odd = clashing(spark)
+    assert neardup.near_duplicate_classes(odd.withColumnsRenamed({"doc_id": "x.y"}), "x.y").columns == ["x.y", "class_id"]
+    assert pii.replace_pii(odd, "k").columns == odd.columns
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------------
 
 

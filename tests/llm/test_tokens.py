@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing
@@ -59,6 +60,7 @@ def test_nulls_and_empty_tables(spark):
     assert bpe.decode(bpe.encode(df.limit(0), path), path).count() == 0
     assert packing.pack(df.limit(0), path).count() == 0
     assert packing.pack(df, path).count() >= 4
+    assert packing.pack(df.withColumn("doc_id", F.struct("doc_id")), path).count() >= 4
 
 
 def brute(ends, costs, window):
@@ -89,8 +91,13 @@ def test_offered_cuts_cover_the_stream():
     ends_sentence[7] = True
     for n in (1, 5, 400):
         ids = rng.integers(0, 100, n)
-        ends, costs = packing.offered_cuts(ids, ends_sentence, np.array([n]))
-        assert ends[-1] == n and costs[-1] == 0 and (np.diff(np.concatenate(([0], ends))) <= packing.GRAIN).all()
+        ends, costs = packing.offered_cuts(ids, ends_sentence, np.array([n]), long=64)
+        gaps = np.diff(np.concatenate(([0], ends)))
+        assert ends[-1] == n and costs[-1] == 0 and (gaps <= 64).all()
+        # within a sentence only where it is long
+        marks = {0, n, *(np.flatnonzero(ids == 7) + 1).tolist()}
+        inner = [e for e in ends.tolist() if e not in marks]
+        assert all(min(m for m in marks if m > e) - max(m for m in marks if m < e) > 64 for e in inner)
         assert all(costs[i] == 1 for i, e in enumerate(ends[:-1]) if ids[e - 1] == 7)
 
 
