@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import neardup, packing, pii, quality
 from tessera.llm.bpe import vocabulary_path
-from tessera.llm.common import shared_dir
+from tessera.llm.common import remove, shared_dir
 
 #: Policy of the quality ledger, and key of the surrogates; a deployment passes a key of its own.
 POLICY, SECRET_KEY = quality.CURRENT, pii.DEMO_KEY
@@ -19,7 +19,7 @@ POLICY, SECRET_KEY = quality.CURRENT, pii.DEMO_KEY
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the policy rejects."""
-    return quality.apply_policy(quality.ledger(docs), POLICY, "__kept").where("__kept").select(*docs.columns)
+    return quality.keep(docs, POLICY)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = pii.replace_pii(docs, SECRET_KEY)
     if "n_chars" not in docs.columns:
         return done
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    counted = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return done.select(*[counted if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents. Of the written ones the last, which the result reads from, stays in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_dir(spark)
     for i, (name, stage) in enumerate(STAGES):
@@ -55,4 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
