@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import status as ST
+
 
 def parse_date(c: Column, day_first: bool = True) -> Column:
     """A date in one of three layouts, tried in the order of the caller's kind of source; null if none fits."""
@@ -17,14 +19,16 @@ def appeal_deadline(published: Column) -> Column:
     return F.add_months(published, 2)
 
 
-def deadline_status(status: Column, deadline: Column, as_of: Column) -> Column:
-    """Stage of the opposition period of an application."""
+def deadline_status(status: Column, published: Column, deadline: Column, as_of: Column) -> Column:
+    """Stage of the opposition period of an application; published is the date of its bulletin."""
     left = F.datediff(deadline, as_of)
+    final = ST.canonical(status)
     return (
-        F.when(status.isin("Reddedildi", "Geri Çekildi", "İptal Edildi"), "resolved")
-        .when(status == "İtiraz", "opposed")
-        .when(status.isin("Tescil", "Yenilendi"), "registered")
-        .when(deadline.isNull() & status.isin("Başvuru", "İncelemede"), "pre_publication")
+        F.when(final.isin(ST.REFUSED, ST.WITHDRAWN), "resolved")
+        .when(final == ST.OPPOSED, "opposed")
+        .when(final.isin(ST.REGISTERED, ST.RENEWED), "registered")
+        .when(final == ST.EXPIRED, "expired")
+        .when(published.isNull(), "pre_publication")
         .when(deadline.isNull(), "unknown")
         .when(left < 0, "expired")
         .when(left <= 7, "active_critical")
@@ -60,3 +64,18 @@ def bulletin_number(c: Column) -> Column:
     """"2025-08" and "2025/8" alike as "2025/8"."""
     t = F.trim(c)
     return F.when(t.rlike(r"^\d{4}[-/]0*\d+$"), F.concat(F.regexp_extract(t, r"^(\d{4})", 1), F.lit("/"), F.regexp_extract(t, r"[-/]0*(\d+)$", 1))).otherwise(t)
+
+
+def bulletin_of(folder: Column) -> Column:
+    """struct<no, day> that a delivery's folder tells: BLT_2024_05 is number 2024/05 of May 2024, GZ-481_2023-02-07 number 481."""
+    head = r"(?i)(?:BLT|BULTEN|GZ|GAZETE)[_-]?"
+    period = F.nullif(F.regexp_extract(folder, "^" + head + r"(\d{4})[_-]\d{2}$", 1), F.lit(""))
+    number = F.nullif(F.regexp_extract(folder, head + r"(\d+)", 1), F.lit(""))
+    written = F.replace(F.regexp_extract(folder, r"\d{4}[_-]\d{2}[_-]\d{2}|\d{4}[_-]\d{2}", 0), F.lit("_"), F.lit("-"))
+    day = F.try_to_date(F.when(F.length(written) == 7, F.concat(written, F.lit("-01"))).otherwise(written), "yyyy-MM-dd")
+    return F.struct(F.coalesce(F.concat(period, F.lit("/"), F.right(folder, F.lit(2))), number).alias("no"), day.alias("day"))
+
+
+def alert_visible(kind: Column, deadline: Column, final_status: Column, current_status: Column, as_of: Column) -> Column:
+    """Alerts on similar marks are shown while their deadline is open, all others always."""
+    return (F.coalesce(kind, F.lit("")) != "similarity") | deadline_open(deadline, final_status, current_status, as_of)

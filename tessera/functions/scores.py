@@ -50,15 +50,31 @@ def score_severity(score: Column) -> Column:
     return F.when(score >= 0.85, "critical").when(score >= 0.70, "high").when(score >= 0.55, "medium").otherwise("low")
 
 
-def risk_level(score: Column) -> Column:
-    return F.when(score >= 0.90, "critical").when(score >= 0.80, "very_high").when(score >= 0.70, "high").when(score >= 0.50, "medium").otherwise("low")
+#: Severity of a registry event; that of others is medium.
+EVENT_SEVERITY = {
+    "critical": "cancellation seizure precautionary_seizure bankruptcy".split(),
+    "high": "injunction precautionary_injunction transfer merger partial_transfer withdrawal".split(),
+    "medium": "renewal license".split(),
+    "low": "seizure_lift injunction_lift restriction_lift correction address_change name_change".split(),
+}
+
+
+def event_severity(kind: Column) -> Column:
+    """Null for an absent or empty event type."""
+    out = F.when(F.coalesce(kind, F.lit("")) == "", F.lit(None).cast("string"))
+    for severity, kinds in EVENT_SEVERITY.items():
+        out = out.when(F.lower(kind).isin(kinds), severity)
+    return out.otherwise("medium")
 
 
-def status_weight(status: Column) -> Column:
-    """Weight of an existing right by its status: live ones count fully, pending ones less, dead ones little."""
-    return F.when(status.isin("Tescil", "Yenilendi", "Yayında"), 1.0).when(status.isin("Başvuru", "İncelemede", "İtiraz"), 0.8).otherwise(0.2)
+def risk_level(score: Column) -> Column:
+    return F.when(score >= 0.90, "critical").when(score >= 0.80, "very_high").when(score >= 0.70, "high").when(score >= 0.50, "medium").otherwise("low")
 
 
 def bounded(floor: float, ceiling: float, evidence: Column) -> Column:
     """A cap between floor and ceiling by evidence clamped to 0..1."""
     return floor + (ceiling - floor) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), evidence))
+
+
+def translation_band(score: Column) -> Column:
+    return F.when(score >= 1.0, "translation_exact").when(score >= 0.85, "translation_high").when(score >= 0.6, "translation_partial").otherwise("none")

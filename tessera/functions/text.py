@@ -85,7 +85,7 @@ def like_escaped(text: str) -> str:
 
 def clean_name(c: Column) -> Column:
     """A mark's name without the word for a figure in it, trimmed; null where nothing is left."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?iu)\b[şs]ek[iı]l\b", " "), r"\s+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?iuU)(?:\+\s*)?\b[şs]ek[iıİ]l\b", ""), r"\s+", " "))
     return F.nullif(bare, F.lit(""))
 
 
@@ -116,8 +116,40 @@ def class_list(c: Column) -> Column:
 
 
 def fingerprint(*parts: Column) -> Column:
-    """SHA-256 over the trimmed parts, joined by a separator that keeps nulls apart from empty texts."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.trim(p.cast("string")), F.lit("\\N")) for p in parts]), 256)
+    """SHA-256 over the trimmed parts as JSON, which keeps their borders, and nulls apart from any text."""
+    return F.sha2(F.to_json(F.struct(*[F.trim(p.cast("string")).alias(f"p{i}") for i, p in enumerate(parts)])), 256)
+
+
+def event_fingerprint(bulletin: Column, application: Column, kind: Column, text: Column) -> Column:
+    """The registry's own short one: 16 hexadecimal digits over its parts and the first 200 characters of the text."""
+    parts = [F.coalesce(p.cast("string"), F.lit("")) for p in (bulletin, application, kind, F.left(text, F.lit(200)))]
+    return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16))
+
+
+#: What the code page of Windows has where Latin-1 has control codes, and those codes.
+_WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+_CODES = "".join(map(chr, [128, *range(130, 141), 142, *range(145, 157), 158, 159]))
+
+
+def repair_mojibake(c: Column, rounds: int = 3) -> Column:
+    """UTF-8 that was read as Latin-1 or as the Windows code page, read anew, up to three times over; other texts stay."""
+    for _ in range(rounds):
+        latin = F.encode(F.when(c.rlike(r"^[\x00-\xFF]*$"), c), "ISO-8859-1").cast("string")
+        coded = F.translate(c, _WINDOWS, _CODES)
+        windows = F.encode(F.when(coded.rlike(r"^[\x00-\xFF]*$") & ~c.rlike(r"[\x80-\x9F]"), coded), "ISO-8859-1").cast("string")
+        read = F.coalesce(F.when(F.is_valid_utf8(latin), latin), F.when(F.is_valid_utf8(windows), windows), c)
+        c = F.when(c.rlike("[ÃÄÅÂ]"), read).otherwise(c)
+    return c
+
+
+def phrase_key(c: Column) -> Column:
+    """A phrase for comparison: single blanks, lower case."""
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
+def goods_present(c: Column) -> Column:
+    """Whether a JSON text of goods holds any: not null, not an empty list, not JSON's null."""
+    return F.coalesce(~F.trim(c).isin("", "[]", "null"), F.lit(False))
 
 
 #: Record type by kind code of a publication.

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.dates import parse_date
+
 # fixed values: lifecycle of patents ---------------------------------------------------------------------------
 PATENT_SEED = {"PUBLISHED_APP": "PENDING", "PUBLISHED_UM_APP": "PENDING", "GRANTED_PATENT": "ACTIVE", "GRANTED_UM": "ACTIVE"}
 PATENT_RANK = {
@@ -107,29 +109,46 @@ def design_status(events: DataFrame, designs: DataFrame, as_of: Column) -> DataF
     )
 
 
+# fixed values: events of trademarks ---------------------------------------------------------------------------
+RESTRICTIONS = ("seizure", "precautionary_seizure", "injunction", "precautionary_injunction")
+LIFTS = ("seizure_lift", "injunction_lift", "restriction_lift")
+TRANSFERS = ("transfer", "merger", "partial_transfer")
+MARK_STATUS = {**dict.fromkeys(TRANSFERS, "Devredildi"), "cancellation": "İptal Edildi", "withdrawal": "Geri Çekildi", "renewal": "Yenilendi"}
+FLAGS = {"license": "has_license", "bankruptcy": "has_bankruptcy", "correction": "has_correction", "madrid_registration": "madrid_protected", "madrid_renewal": "madrid_protected"}
+
+
 def trademark_fold(events: DataFrame) -> DataFrame:
     """State of a trademark by application_no, from events in the order of bulletin_date (unknown first), created_at, id.
 
-    Last-wins columns are max_by over the order; the count of active restrictions is floored at 0 at every step,
-    which is the final running sum less the least running sum below 0. All of it is one window and one aggregation.
+    events: application_no, event_type, event_subtype, new_value, details (a map, may be absent), bulletin_date,
+    created_at, id. Last-wins columns are max_by over the order; the count of active restrictions is floored at 0 at
+    every step, which is the final running sum less the least running sum below 0. All of it is one window and one
+    aggregation. A renewal of 29 February expires on 28 February where ten years on has no such day.
     """
     order = W.partitionBy("application_no").orderBy(F.col("bulletin_date").asc_nulls_first(), "created_at", "id")
-    delta = F.when(F.col("event_type") == "restriction", 1).when(F.col("event_type") == "restriction_lift", -1).otherwise(0)
+    kind = F.col("event_type")
+    delta = F.when(kind.isin(*RESTRICTIONS), 1).when(kind.isin(*LIFTS), -1).otherwise(0)
     seen = events.select("*", F.row_number().over(order).alias("n"), F.sum(delta).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("running"))
-    status = _lookup({"transfer": "Devredildi", "merger": "Devredildi", "partial_transfer": "Devredildi", "cancellation": "İptal Edildi", "withdrawal": "Geri Çekildi", "renewal": "Yenilendi"}, F.col("event_type"))
-    moved = F.col("event_type").isin("transfer", "merger", "partial_transfer")
+    status = _lookup(MARK_STATUS, kind)
     holder = F.trim(F.substring_index("new_value", "(", 1))
+    named = kind.isin(*TRANSFERS) & (holder != "")
+    told = F.coalesce(F.nullif(F.col("details")["renewal_date"], F.lit("")), F.col("new_value")) if "details" in events.columns else F.col("new_value")
+    renewed = parse_date(told, day_first=False)
     last = lambda value, when: F.max_by(value, F.when(when, F.col("n")))
-    renewed = F.col("event_type") == "renewal"
+    court = F.contains(F.lower("event_subtype"), F.lit("court"))
+    active = (F.max_by("running", "n") - F.least(F.lit(0), F.min("running"))).cast("int")
+    flags = F.array_sort(F.array_compact(F.array_union(F.collect_set(_lookup(FLAGS, kind)), F.array(F.when(F.bool_or(court), F.lit("has_court_order"))))))
     return seen.groupBy("application_no").agg(
         last(status, status.isNotNull()).alias("effective_status"),
-        (F.max_by("running", "n") - F.least(F.lit(0), F.min("running"))).cast("int").alias("active_restriction_count"),
-        last(holder, moved & (holder != "")).alias("current_holder_name"),
-        last(F.col("bulletin_date"), moved & (holder != "")).alias("holder_changed_at"),
-        last(F.add_months(F.coalesce(F.try_to_date("new_value"), F.col("bulletin_date")), 120), renewed).alias("renewal_expiry"),
+        active.alias("active_restriction_count"),
+        (active > 0).alias("has_restrictions"),
+        last(holder, named).alias("current_holder_name"),
+        last(F.col("bulletin_date"), named).alias("holder_changed_at"),
+        last(F.add_months(renewed, 120), (kind == "renewal") & renewed.isNotNull()).alias("renewal_expiry"),
         F.max_by("event_type", "n").alias("last_event_type"),
         F.max_by("bulletin_date", "n").alias("last_event_date"),
-        F.coalesce(F.bool_or(F.col("event_subtype").contains("court")), F.lit(False)).alias("has_court_order"),
+        F.map_from_arrays(flags, F.transform(flags, lambda _: F.lit(True))).alias("event_flags"),
+        F.coalesce(F.bool_or(court), F.lit(False)).alias("has_court_order"),
         F.count("*").alias("total_event_count"),
     )
 

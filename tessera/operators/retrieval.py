@@ -23,6 +23,76 @@ def _top(df: DataFrame, key: str, score: Column, k: int) -> DataFrame:
     return df.select(F.col(key), F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def _capped(found: DataFrame, key: str, caps: dict[str, int], order: list[Column] | None = None) -> DataFrame:
+    """Of every stage its first rows, by score and key if no order is given, as many as its cap."""
+    rank = F.row_number().over(W.partitionBy("stage_no").orderBy(*(order or [F.desc("score")]), key))
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col("stage")]
+    return found.withColumn("r", rank).where((F.col("r") <= max(caps.values())) & (F.col("r") <= cap)).drop("r")
+
+
+#: Stages of the registry's own search, their caps and scores, in their order.
+STAGES = {
+    "exact": (25, 1.0), "compact": (80, 0.88), "containment": (60, 0.86), "short-all-token": (80, 0.82), "short-token": (120, 0.78), "all-token": (100, 0.85),
+    "any-token": (80, 0.80), "fuzzy": (120, None), "visual": (50, None), "OCR": (20, 0.75), "phonetic": (100, 0.70),
+}
+
+
+def prescreen(rows: DataFrame, query: str, anchors: list[str], key: str = "id", name: str = "name", image: list[float] | None = None, vector: str | None = None, ocr: str | None = None, sounds: DataFrame | None = None, limit: int = 500) -> DataFrame:
+    """Candidates (key, stage_no, stage, score, stages) for a name by the registry's eleven stages; the first owns a row.
+
+    anchors are the query's telling words, at most eight, best first; those of two or three letters are sought as
+    whole words, longer ones anywhere in the name. image and vector are a logo's embedding and the column to compare
+    it with; ocr is the column of texts read from logos. sounds (norm, code) gives sound codes of normalised names
+    and of the query; without it the last stage is left out. One scan serves all stages; within a stage shorter
+    names come first, in fuzzy and visual stages the most similar ones. Stages that would begin with `limit` rows in
+    the pool add nothing.
+    """
+    q = F.lit(query)
+    fields = [F.col(key), F.col(name).alias("n"), X.normalize(F.col(name)).alias("norm"), F.length(F.coalesce(name, F.lit(""))).alias("size")]
+    held = rows.select(*fields, *([F.col(vector).alias("v")] if vector else []), *([F.col(ocr).alias("o")] if ocr else []))
+    qn, qc = X.normalize(q), X.compact(q)
+    compact = F.replace("norm", F.lit(" "), F.lit(""))
+    short, broad = [a for a in anchors[:8] if 2 <= len(a) <= 3], [a for a in anchors[:8] if len(a) > 3]
+    padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
+    word = [F.contains(padded, F.lit(f" {a} ")) for a in short]
+    part = [F.contains("norm", F.lit(a)) | F.contains(compact, F.lit(a)) for a in broad]
+    every, some = lambda tests: reduce(lambda x, y: x & y, tests), lambda tests: reduce(lambda x, y: x | y, tests)
+    similar = X.trigram_similarity(F.col("norm"), qn)
+    tests: dict[str, tuple[Column, Column]] = {
+        "exact": (F.col("norm") == qn, F.lit(0)),
+        "compact": ((qc != "") & F.contains(compact, qc), F.when(compact == qc, 0).otherwise(1)),
+        "containment": ((F.length(qn) >= 4) & F.contains(qn, F.lit(" ")) & F.contains("norm", qn), F.lit(0)),
+        "fuzzy": ((F.lower(F.coalesce("n", F.lit(""))) != F.lower(q)) & (similar >= 0.3), F.lit(0)),
+    }
+    if len(short) > 1:
+        tests["short-all-token"] = (every(word), F.lit(0))
+    if short:
+        tests["short-token"] = (some(word), F.lit(0))
+    if len(broad) > 1:
+        tests["all-token"] = (every(part), F.lit(0))
+    if broad:
+        tests["any-token"] = (some(part), F.lit(0))
+    measured = {"fuzzy": similar}
+    if image and vector:
+        measured["visual"] = S.cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in image]))
+        tests["visual"] = (F.col("v").isNotNull(), F.lit(0))
+    if ocr:
+        tests["OCR"] = ((F.length(qn) >= 2) & (F.coalesce("o", F.lit("")) != "") & F.contains(X.normalize(F.col("o")), qn), F.lit(0))
+    if sounds is not None:
+        mine = F.broadcast(sounds.where(F.col("norm") == qn).select(F.col("code").alias("qcode")).limit(1))  # one row
+        held = held.join(sounds.select("norm", "code"), "norm", "left").crossJoin(mine)
+        near = F.length("norm").between(F.greatest(F.lit(2), F.length(qn) - 2), F.length(qn) + 4)
+        tests["phonetic"] = ((F.length(qn) >= 2) & near & (F.col("code") != "") & (F.col("code") == F.col("qcode")), F.levenshtein("norm", qn))
+    spec = [(i, s, *tests[s]) for i, s in enumerate(STAGES) if s in tests]
+    score = lambda s: F.round(measured[s], 6) if s in measured else F.lit(STAGES[s][1])
+    first = lambda s, o: -score(s) if s in measured else o.cast("double")
+    met = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(i).alias("no"), F.lit(s).alias("stage"), score(s).cast("double").alias("score"), first(s, o).alias("o"))) for i, s, t, o in spec]))
+    flat = held.select(F.col(key), "size", F.explode(met).alias("m")).select(key, "size", F.col("m.no").alias("stage_no"), "m.stage", "m.score", "m.o")
+    by_size = F.when(F.col("stage").isin(*measured), 0).otherwise(F.col("size"))
+    found = _capped(flat, key, {s: STAGES[s][0] for _, s, *_ in spec}, [F.col("o"), by_size]).drop("size", "o")
+    return _first_stage_owns(found, key, limit)
+
+
 def staged(rows: DataFrame, query: str, key: str = "id", name: str = "name", limit: int = 500, caps: dict[str, int] | None = None) -> DataFrame:
     """Candidates (key, stage_no, stage, score, stages) for a name: the first stage to find a row owns it.
 
@@ -48,16 +118,20 @@ def staged(rows: DataFrame, query: str, key: str = "id", name: str = "name", lim
         ("token", shared > 0, shared / F.greatest(F.size(words), F.lit(1))),
         ("trigram", (similar >= 0.3) & (F.lower("n") != F.lower(q)), similar),
     ]
-    found = reduce(
-        DataFrame.unionByName,
-        [_top(held.where(test), key, score, caps[s]).select("*", F.lit(i).alias("stage_no"), F.lit(s).alias("stage")) for i, (s, test, score) in enumerate(tests)],
-    )
-    # at most the sum of the caps in rows
+    # one scan: a row gives the stages that it meets, and each stage keeps its first rows before the shuffle
+    stages = [(i, s, test, score) for i, (s, test, score) in enumerate(tests)]
+    met = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(i).alias("no"), F.lit(s).alias("stage"), F.round(score.cast("double"), 6).alias("score"))) for i, s, test, score in stages]))
+    found = _capped(held.select(F.col(key), F.explode(met).alias("m")).select(key, "m.score", F.col("m.no").alias("stage_no"), "m.stage"), key, caps)
+    return _first_stage_owns(found, key, limit)
+
+
+def _first_stage_owns(found: DataFrame, key: str, limit: int) -> DataFrame:
+    """One row per key of the stages' rows, at most the sum of their caps: its first stage, and all that found it."""
     mine = W.partitionBy(key).orderBy("stage_no")
     first = found.withColumn("n_before", F.row_number().over(mine) - 1)
     owned = first.where("n_before = 0").groupBy("stage_no").agg(F.count("*").alias("owned"))
     before = owned.select(F.col("stage_no").alias("s"), F.coalesce(F.sum("owned").over(W.orderBy("stage_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("pool"))
-    open_stages = found.join(F.broadcast(before), F.col("stage_no") == F.col("s"), "left").where(F.coalesce("pool", F.lit(0)) < limit)
+    open_stages = found.join(F.broadcast(before), F.col("stage_no") == F.col("s"), "left").where(F.coalesce("pool", F.lit(0)) < limit)  # a row a stage
     best = open_stages.groupBy(key).agg(
         F.min("stage_no").alias("stage_no"),
         F.min_by("stage", "stage_no").alias("stage"),
@@ -102,25 +176,34 @@ def unified(registries: dict[str, DataFrame], k: int = 50) -> DataFrame:
     return counted.orderBy(F.desc("similarity"), "registry", "id").limit(k)
 
 
-def fuzzy_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, name: str, least: float) -> DataFrame:
-    """Pairs of names with a trigram similarity of at least `least` > 0.
+def similar_names(a: DataFrame, b: DataFrame, name: str, least: float) -> DataFrame:
+    """(na, nb, similarity) of distinct names with a trigram similarity of at least `least` > 0.
 
-    Exact without a nested loop: distinct names meet on shared trigrams, and the number of meetings gives the
-    similarity. Only the ceil((1 - least) * n) + 1 rarest-hashed trigrams of a name need be looked up (prefix
-    filter); pairs of names are scored, then spread to the rows that bear them.
+    Exact without a nested loop: two such names share one of the size - ceil(least * size) + 1 rarest trigrams of
+    either (prefix filter), rarity being counted over both sides; names whose sizes alone rule a pair out don't
+    meet. A common trigram is in few prefixes, and what is left of its skew the adaptive join splits.
     """
 
     def grams(df: DataFrame) -> DataFrame:
-        g = F.array_sort(X.trigrams(F.col(name)), lambda x, y: F.when(F.xxhash64(x) < F.xxhash64(y), -1).when(F.xxhash64(x) > F.xxhash64(y), 1).otherwise(0))
-        return df.select(name).where(F.col(name).isNotNull()).distinct().select(F.col(name).alias("n"), g.alias("g")).where(F.size("g") > 0)
+        return df.select(F.col(name).alias("n")).where(F.col(name).isNotNull()).distinct().select("n", X.trigrams(F.col("n")).alias("g")).where(F.size("g") > 0)
+
+    ga, gb = grams(a), grams(b)
+    rarity = ga.union(gb).distinct().select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("f"))
 
-    def prefix(df: DataFrame) -> DataFrame:
+    def prefix(g: DataFrame) -> DataFrame:
+        ranked = g.select("n", F.explode("g").alias("gram")).join(rarity, "gram").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("fg"))
+        kept = ranked.select("n", F.transform("fg", lambda x: x["gram"]).alias("g"))
         keep = F.size("g") - F.ceil(F.size("g") * F.lit(least) - 1e-9) + 1
-        return df.select("n", "g", F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("gram"))
+        return kept.select("n", "g", F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("gram"))
+
+    x, y = prefix(ga), prefix(gb)
+    sized = (F.size("gb") >= F.size("ga") * F.lit(least) - 1e-9) & (F.size("ga") >= F.size("gb") * F.lit(least) - 1e-9)
+    met = x.select(F.col("n").alias("na"), F.col("g").alias("ga"), "gram").join(y.select(F.col("n").alias("nb"), F.col("g").alias("gb"), "gram"), "gram").where(sized)
+    return met.dropDuplicates(["na", "nb"]).select("na", "nb", F.round(X.set_similarity(F.col("ga"), F.col("gb")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
-    x, y = prefix(grams(a)), prefix(grams(b))
-    met = x.select(F.col("n").alias("na"), F.col("g").alias("ga"), "gram").join(y.select(F.col("n").alias("nb"), F.col("g").alias("gb"), "gram"), "gram")
-    scored = met.dropDuplicates(["na", "nb"]).select("na", "nb", F.round(X.set_similarity(F.col("ga"), F.col("gb")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+def fuzzy_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, name: str, least: float) -> DataFrame:
+    """Pairs of rows whose names have a trigram similarity of at least `least`: similar_names(), spread to the rows."""
     left = a.select(F.col(a_key), F.col(name).alias("na"))
     right = b.select(F.col(b_key), F.col(name).alias("nb"))
-    return left.join(scored, "na").join(right, "nb").select(a_key, b_key, "similarity")
+    return left.join(similar_names(a, b, name, least), "na").join(right, "nb").select(a_key, b_key, "similarity")

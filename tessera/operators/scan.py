@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classes as C
 from tessera.functions import text as X
-from tessera.operators.retrieval import fuzzy_join
+from tessera.operators.retrieval import similar_names
 from tessera.operators.rows import first_per_key
 
 
@@ -19,15 +19,17 @@ def conflicts(watch: DataFrame, marks: DataFrame, least: float = 0.5, k: int = 1
     """The k most similar marks for every watched item: (watch_id, mark_id, similarity, overlap).
 
     watch: watch_id, name, classes, holder; marks: mark_id, name, classes, holder. A pair needs a shared class, a
-    trigram similarity of at least `least` and different holders. Names meet on trigrams first, which is the more
-    selective key; classes are compared on what is left.
+    trigram similarity of at least `least` and different holders. Distinct names meet on trigrams first, which is the
+    more selective key; only the k best rows of a watched item leave a task.
     """
-    near = fuzzy_join(watch, marks, "watch_id", "mark_id", "name", least)
-    w = watch.select("watch_id", F.col("classes").alias("cw"), F.col("holder").alias("hw"))
-    m = marks.select("mark_id", F.col("classes").alias("cm"), F.col("holder").alias("hm"))
-    pairs = near.join(w, "watch_id").join(m, "mark_id").where(~same_holder(F.col("hw"), F.col("hm")))
-    shared = pairs.withColumn("overlap", C.overlap(F.col("cw"), F.col("cm"))).where(F.size("overlap") > 0)
-    return first_per_key(shared, ["watch_id"], [F.desc("similarity"), F.col("mark_id")], k).select("watch_id", "mark_id", "similarity", "overlap")
+    near = similar_names(watch, marks, "name", least)
+    w = watch.select("watch_id", F.col("name").alias("na"), C.expand(F.col("classes")).alias("cw"), F.col("holder").alias("hw"))
+    m = marks.select("mark_id", F.col("name").alias("nb"), C.expand(F.col("classes")).alias("cm"), F.col("holder").alias("hm"))
+    # classes and holders are part of the join's condition, so that no pair of rows that fails them is ever made
+    both = (F.col("near.nb") == F.col("m.nb")) & F.arrays_overlap("cw", "cm") & ~same_holder(F.col("hw"), F.col("hm"))
+    pairs = w.join(near, "na").alias("near").join(m.alias("m"), both).select("watch_id", "mark_id", "similarity", "cw", "cm")
+    best = first_per_key(pairs, ["watch_id"], [F.desc("similarity"), F.col("mark_id")], k)
+    return best.select("watch_id", "mark_id", "similarity", F.array_sort(F.array_intersect("cw", "cm")).alias("overlap"))
 
 
 def event_alerts(events: DataFrame, watch: DataFrame, alerted: DataFrame) -> DataFrame:

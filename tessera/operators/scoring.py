@@ -6,9 +6,12 @@ of the first, so a pair is scored inside the JVM; a pair is a row, and pairs com
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.functions import phonetic as P
 from tessera.functions import text as X
 
 # fixed values: weight of a word by its class; floors, ceilings and caps of scores
@@ -130,3 +133,47 @@ def score_pairs(pairs: DataFrame, a: str, b: str, stats: DataFrame) -> DataFrame
         .otherwise(F.struct(F.round(F.least(best["score"], cap), 6).alias("score"), best["path"].alias("path")))
     )
     return held.withColumn("__r", result).select(*[F.col(f"`{c}`") for c in pairs.columns], F.col("__r.score").alias("score"), F.col("__r.path").alias("path"))
+
+
+#: Weight of a word by its class in the multilevel similarity, and the least ratio of words that match.
+LEVEL_WEIGHTS, LIKE = {"distinctive": 1.0, "semi_generic": 0.5, "generic": 0.1}, 0.75
+
+
+def _levels(q: str, t: str, weights: dict[str, float]) -> float:
+    """Of two normalised names: letters (0.25), weighed words (0.65) and build (0.10); at most 0.99 unless equal.
+
+    Words that differ are matched greedily in alphabetical order, each with the most alike of those left.
+    """
+    if not q or not t:
+        return 0.0
+    if q == t:
+        return 1.0
+    own, other = set(q.split()), set(t.split())
+    weight = lambda w: weights.get(w, 1.0)
+    matched, lost, left = sum(map(weight, own & other)), 0.0, sorted(other - own)
+    for w in sorted(own - other):
+        best = max(((P.ratio(w, x), -i) for i, x in enumerate(left)), default=(0.0, 0))
+        if best[0] >= LIKE:
+            matched += weight(w) * best[0]
+            left.pop(-best[1])
+        else:
+            lost += weight(w)
+    whole = matched + 0.3 * lost + 0.2 * sum(map(weight, left))
+    share = lambda a, b: min(a, b) / max(a, b)
+    build = 0.25 * share(len(q), len(t)) + 0.25 * share(len(own), len(other)) + 0.50 * (q in t or t in q)
+    return min(0.99, 0.25 * P.ratio(q, t) + 0.65 * (matched / whole if whole else 0.0) + 0.10 * build)
+
+
+@F.pandas_udf(T.DoubleType())
+def _multilevel(q: pd.Series, t: pd.Series, words: pd.Series, weights: pd.Series) -> pd.Series:
+    return pd.Series([round(_levels(a, b, dict(zip(w, x, strict=True))), 6) for a, b, w, x in zip(q, t, words, weights, strict=True)], dtype="float64")
+
+
+def multilevel(pairs: DataFrame, a: str, b: str, stats: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with their multilevel similarity; the weights of a pair's words come by a join on words."""
+    classes = F.create_map(*[F.lit(x) for kv in LEVEL_WEIGHTS.items() for x in kv])
+    named = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().select("a", "b", X.normalize(F.col("a")).alias("q"), X.normalize(F.col("b")).alias("t"))
+    words = named.select("a", "b", "q", "t", F.explode_outer(F.array_distinct(F.concat(F.split("q", " ", -1), F.split("t", " ", -1)))).alias("word"))
+    known = words.join(stats.select("word", classes[F.col("word_class")].alias("w")), "word", "left")
+    listed = known.groupBy("a", "b", "q", "t").agg(F.collect_list(F.struct("word", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("x"))
+    return listed.select(F.col("a").alias(a), F.col("b").alias(b), _multilevel("q", "t", "x.word", "x.w").alias("similarity"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import classes as C
 from tessera.functions import dates as D
 from tessera.functions import scores as S
+from tessera.functions import status as ST
 from tessera.functions import text as X
 from tessera.operators import corpus, feeds, lifecycle, merge, retrieval, rows, scan
 
@@ -37,7 +38,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-STATUSES = ["Tescil", "Yayında", "Başvuru", "İtiraz", "Yenilendi", "Reddedildi"]
+STATUSES = [ST.REGISTERED, ST.PUBLISHED, ST.APPLIED, ST.OPPOSED, ST.RENEWED, ST.REFUSED]
 
 
 def trademarks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def trademarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TM = """tm AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand,
  CASE WHEN p_partkey % 97 = 0 THEN [99] ELSE [CAST(p_size % 45 + 1 AS INTEGER), CAST(p_size * 7 % 45 + 1 AS INTEGER)] END AS classes,
  'Supplier ' || CAST(p_partkey % 100 AS VARCHAR) AS holder,
- ['Tescil','Yayında','Başvuru','İtiraz','Yenilendi','Reddedildi'][CAST(p_partkey % 6 AS INTEGER) + 1] AS status,
+ ['Tescil Edildi','Yayında','Başvuruldu','İtiraz Edildi','Yenilendi','Reddedildi'][CAST(p_partkey % 6 AS INTEGER) + 1] AS status,
  CASE WHEN p_partkey % 50 <> 0 THEN DATE '2010-01-01' + CAST(p_partkey * 3 % 5400 AS INTEGER) END AS applied,
  CASE WHEN p_partkey % 4 <> 0 THEN DATE '2024-05-01' + CAST(p_partkey % 90 AS INTEGER) END AS deadline FROM part)"""
 #: Trigrams of a name in SQL, as X.trigrams makes them.
@@ -106,7 +107,7 @@ def x13(spark, sf):
     return read(spark, sf, "part").select("p_partkey", X.token_overlap(F.lit("Red Bolt"), F.col("p_name")).alias("overlap"), X.contained(F.col("p_name"), F.lit("red")).alias("contained"))
 
 
-@query("x25_event_fingerprint", """SELECT event_id, sha256(concat_ws('|', trim(CAST(user_id AS VARCHAR)), trim(event_type), trim(props))) AS fingerprint FROM events""")
+@query("x25_event_fingerprint", """SELECT event_id, sha256(CAST(to_json({'p0': trim(CAST(user_id AS VARCHAR)), 'p1': trim(event_type), 'p2': trim(props)}) AS VARCHAR)) AS fingerprint FROM events""")
 def x25(spark, sf):
     return read(spark, sf, "events").select("event_id", X.fingerprint(F.col("user_id"), F.col("event_type"), F.col("props")).alias("fingerprint"))
 
@@ -133,12 +134,13 @@ def x17(spark, sf):
     return trademarks(spark, sf).select("id", D.appeal_deadline(F.col("applied")).alias("appeal"), D.expiry(F.col("applied")).alias("expires"))
 
 
-@query("x18_deadline_status", f"""WITH {TM}, d AS (SELECT id, status, deadline, date_diff('day', DATE '{AS_OF}', deadline) AS n FROM tm)
- SELECT stage, count(*) AS n FROM (SELECT CASE WHEN status IN ('Reddedildi','Geri Çekildi','İptal Edildi') THEN 'resolved' WHEN status = 'İtiraz' THEN 'opposed'
- WHEN status IN ('Tescil','Yenilendi') THEN 'registered' WHEN deadline IS NULL AND status IN ('Başvuru','İncelemede') THEN 'pre_publication' WHEN deadline IS NULL THEN 'unknown'
- WHEN n < 0 THEN 'expired' WHEN n <= 7 THEN 'active_critical' WHEN n <= 30 THEN 'active_urgent' ELSE 'active' END AS stage FROM d) GROUP BY stage""")
+@query("x18_deadline_status", f"""WITH {TM}, d AS (SELECT CASE WHEN id % 11 = 0 THEN 'Süresi Doldu' WHEN id % 13 = 0 THEN 'Opposed' WHEN id % 17 = 0 THEN 'İptal Edildi' ELSE status END AS status, applied, deadline, date_diff('day', DATE '{AS_OF}', deadline) AS n FROM tm)
+ SELECT stage, count(*) AS n FROM (SELECT CASE WHEN status IN ('Reddedildi', 'Geri Çekildi') THEN 'resolved' WHEN status IN ('İtiraz Edildi', 'Opposed') THEN 'opposed' WHEN status IN ('Tescil Edildi', 'Yenilendi') THEN 'registered'
+ WHEN status = 'Süresi Doldu' THEN 'expired' WHEN applied IS NULL THEN 'pre_publication' WHEN deadline IS NULL THEN 'unknown' WHEN n < 0 THEN 'expired' WHEN n <= 7 THEN 'active_critical' WHEN n <= 30 THEN 'active_urgent' ELSE 'active' END AS stage FROM d) GROUP BY stage""")
 def x18(spark, sf):
-    stage = D.deadline_status(F.col("status"), F.col("deadline"), F.lit(AS_OF).cast("date"))
+    k = F.col("id")
+    status = F.when(k % 11 == 0, ST.EXPIRED).when(k % 13 == 0, "Opposed").when(k % 17 == 0, ST.CANCELLED).otherwise(F.col("status"))
+    stage = D.deadline_status(status, F.col("applied"), F.col("deadline"), F.lit(AS_OF).cast("date"))
     return trademarks(spark, sf).groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
 
 
@@ -276,12 +278,12 @@ def j10(spark, sf):
     return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(ordered, lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
 
 
-@query("j11_class_pairs", f"""WITH {TM}, w AS (SELECT * FROM tm WHERE status = 'İtiraz'), n AS (SELECT * FROM tm WHERE status = 'Başvuru'),
+@query("j11_class_pairs", f"""WITH {TM}, w AS (SELECT * FROM tm WHERE status = 'İtiraz Edildi'), n AS (SELECT * FROM tm WHERE status = 'Başvuruldu'),
  e AS (SELECT id, unnest(CASE WHEN list_contains(classes, 99) THEN range(1, 46) ELSE list_distinct(classes) END) AS c FROM w), f AS (SELECT id, unnest(CASE WHEN list_contains(classes, 99) THEN range(1, 46) ELSE list_distinct(classes) END) AS c FROM n)
  SELECT watch_id, count(DISTINCT mark_id) AS n_marks, min(mark_id) AS first_mark FROM (SELECT e.id AS watch_id, f.id AS mark_id FROM e JOIN f USING (c)) GROUP BY watch_id""")
 def j11(spark, sf):
     t = trademarks(spark, sf)
-    pairs = rows.class_overlap_pairs(t.where("status = 'İtiraz'").withColumnRenamed("id", "watch_id"), t.where("status = 'Başvuru'").withColumnRenamed("id", "mark_id"), "watch_id", "mark_id")
+    pairs = rows.class_overlap_pairs(t.where("status = 'İtiraz Edildi'").withColumnRenamed("id", "watch_id"), t.where("status = 'Başvuruldu'").withColumnRenamed("id", "mark_id"), "watch_id", "mark_id")
     return pairs.groupBy("watch_id").agg(F.count("*").alias("n_marks"), F.min("mark_id").alias("first_mark"))
 
 
@@ -329,34 +331,42 @@ def w5(spark, sf):
     return rows.first_per_key(line, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 10).drop("l_partkey")
 
 
-MARK_TYPES = {"signup": "renewal", "purchase": "transfer", "error": "restriction", "view": "restriction_lift", "click": "cancellation"}
+MARK_TYPES = {"signup": "renewal", "purchase": "transfer", "error": "seizure", "view": "seizure_lift", "click": "bankruptcy"}
 
 
-@query("l1_trademark_fold", """WITH e AS (SELECT user_id AS application_no, CASE event_type WHEN 'signup' THEN 'renewal' WHEN 'purchase' THEN 'transfer' WHEN 'error' THEN 'restriction' WHEN 'view' THEN 'restriction_lift' ELSE 'cancellation' END AS t,
- CAST(ts AS DATE) AS d, ts, event_id FROM events), l AS (SELECT application_no, list(t ORDER BY d, ts, event_id) AS ts, last(d ORDER BY d, ts, event_id) AS last_event_date, count(*) AS total_event_count FROM e GROUP BY application_no)
- SELECT application_no, last_event_date, total_event_count, ts[len(ts)] AS last_event_type,
- CAST(list_reduce(list_prepend(0, list_transform(ts, lambda t: CASE t WHEN 'restriction' THEN 1 WHEN 'restriction_lift' THEN -1 ELSE 0 END)), lambda a, x: greatest(0, a + x)) AS INTEGER) AS active_restriction_count,
- CASE list_filter(ts, lambda t: t IN ('renewal', 'transfer', 'cancellation'))[-1] WHEN 'renewal' THEN 'Yenilendi' WHEN 'transfer' THEN 'Devredildi' WHEN 'cancellation' THEN 'İptal Edildi' END AS effective_status FROM l""")
+@query("l1_trademark_fold", """WITH e AS (SELECT user_id AS application_no, CASE WHEN event_type = 'signup' THEN 'renewal' WHEN event_type = 'purchase' THEN 'transfer' WHEN event_type = 'error' AND value > 50 THEN 'precautionary_injunction' WHEN event_type = 'error' THEN 'seizure'
+  WHEN event_type = 'view' AND value > 50 THEN 'injunction_lift' WHEN event_type = 'view' THEN 'seizure_lift' WHEN value > 99 THEN 'cancellation' ELSE 'bankruptcy' END AS t,
+ CASE WHEN event_id % 9 = 0 THEN 'By COURT order' END AS sub, CASE WHEN event_type = 'signup' THEN strftime(ts, '%d/%m/%Y') ELSE 'Holder ' || (event_id % 5) || ' (77)' END AS v, CAST(ts AS DATE) AS d, ts, event_id FROM events),
+ l AS (SELECT application_no, list(t ORDER BY d, ts, event_id) AS ts, last(d ORDER BY d, ts, event_id) AS last_event_date, count(*) AS total_event_count, bool_or(t = 'bankruptcy') AS has_bankruptcy, coalesce(bool_or(contains(lower(sub), 'court')), false) AS has_court_order,
+  last(v ORDER BY d, ts, event_id) FILTER (t = 'transfer') AS h, last(d ORDER BY d, ts, event_id) FILTER (t = 'transfer') AS holder_changed_at, last(d ORDER BY d, ts, event_id) FILTER (t = 'renewal') AS r FROM e GROUP BY application_no),
+ c AS (SELECT *, CAST(list_reduce(list_prepend(0, list_transform(ts, lambda t: CASE WHEN t IN ('seizure', 'precautionary_injunction') THEN 1 WHEN t IN ('seizure_lift', 'injunction_lift') THEN -1 ELSE 0 END)), lambda a, x: greatest(0, a + x)) AS INTEGER) AS n FROM l)
+ SELECT application_no, last_event_date, total_event_count, ts[len(ts)] AS last_event_type, n AS active_restriction_count, n > 0 AS has_restrictions, has_court_order, trim(string_split(h, '(')[1]) AS current_holder_name, holder_changed_at, CAST(r + INTERVAL 10 YEAR AS DATE) AS renewal_expiry,
+ CASE WHEN has_bankruptcy AND has_court_order THEN 'has_bankruptcy,has_court_order' WHEN has_bankruptcy THEN 'has_bankruptcy' WHEN has_court_order THEN 'has_court_order' ELSE '' END AS flags,
+ CASE list_filter(ts, lambda t: t IN ('renewal', 'transfer', 'cancellation'))[-1] WHEN 'renewal' THEN 'Yenilendi' WHEN 'transfer' THEN 'Devredildi' WHEN 'cancellation' THEN 'İptal Edildi' END AS effective_status FROM c""")
 def l1(spark, sf):
-    kind = lifecycle._lookup(MARK_TYPES, F.col("event_type"))
+    kind, high = F.col("event_type"), F.col("value") > 50
+    mark = F.when((kind == "error") & high, "precautionary_injunction").when((kind == "view") & high, "injunction_lift").when((kind == "click") & (F.col("value") > 99), "cancellation").otherwise(lifecycle._lookup(MARK_TYPES, kind))
+    number = F.col("event_id")
     e = read(spark, sf, "events").select(
-        F.col("user_id").alias("application_no"), kind.alias("event_type"), F.lit(None).cast("string").alias("event_subtype"), F.lit("Holder (1)").alias("new_value"),
-        F.col("ts").cast("date").alias("bulletin_date"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"),
+        F.col("user_id").alias("application_no"), mark.alias("event_type"), F.when(number % 9 == 0, "By COURT order").alias("event_subtype"),
+        F.when(kind == "signup", F.date_format("ts", "dd/MM/yyyy")).otherwise(F.concat(F.lit("Holder "), (number % 5).cast("string"), F.lit(" (77)"))).alias("new_value"),
+        F.col("ts").cast("date").alias("bulletin_date"), F.col("ts").alias("created_at"), number.alias("id"),
     )
-    return lifecycle.trademark_fold(e).select("application_no", "last_event_date", "total_event_count", "last_event_type", "active_restriction_count", "effective_status")
+    state = lifecycle.trademark_fold(e).withColumn("flags", F.array_join(F.array_sort(F.map_keys("event_flags")), ","))
+    return state.select(
+        "application_no", "last_event_date", "total_event_count", "last_event_type", "active_restriction_count", "has_restrictions", "has_court_order", "current_holder_name", "holder_changed_at", "renewal_expiry", "flags", "effective_status"
+    )
 
 
 PATENT_TYPES = {"signup": "APPLICATION_PUBLISHED", "purchase": "GRANT_ANNOUNCED", "error": "GRANT_FEE_LAPSE", "view": "GRANT_FEE_REVALIDATION", "click": "APPLICATION_FEE_LAPSE"}
 
 
-@query("l2_patent_status", """WITH e AS (SELECT user_id AS application_no, event_type AS t, CAST(ts AS DATE) AS d, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 WHEN 'view' THEN 2 ELSE -2 END AS r FROM events WHERE event_id % 7 = 0),
+@query("l2_patent_status", """WITH e AS (SELECT event_id % 1000 AS application_no, event_type AS t, CAST(ts AS DATE) AS d, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 WHEN 'view' THEN 2 ELSE -2 END AS r FROM events),
  l AS (SELECT application_no, list(t ORDER BY d, r, t) AS ts FROM e GROUP BY application_no)
- SELECT u.application_no, coalesce(list_reduce(list_prepend('PENDING', ts), lambda s, t: CASE WHEN t = 'purchase' THEN 'ACTIVE' WHEN t = 'error' AND s <> 'LAPSED_GRANT' THEN 'LAPSED_GRANT' WHEN t = 'view' AND s <> 'ACTIVE' THEN 'ACTIVE' WHEN t = 'click' AND s = 'PENDING' THEN 'LAPSED_APPLICATION' ELSE s END), 'PENDING') AS status
- FROM (SELECT DISTINCT user_id AS application_no FROM events) u LEFT JOIN l USING (application_no)""")
+ SELECT application_no, list_reduce(list_prepend('PENDING', ts), lambda s, t: CASE WHEN t = 'purchase' THEN 'ACTIVE' WHEN t = 'error' AND s <> 'LAPSED_GRANT' THEN 'LAPSED_GRANT' WHEN t = 'view' AND s <> 'ACTIVE' THEN 'ACTIVE' WHEN t = 'click' AND s = 'PENDING' THEN 'LAPSED_APPLICATION' ELSE s END) AS status FROM l""")
 def l2(spark, sf):
-    all_events = read(spark, sf, "events")
-    e = all_events.where("event_id % 7 = 0").select(F.col("user_id").alias("application_no"), lifecycle._lookup(PATENT_TYPES, F.col("event_type")).alias("event_type"), F.lit(None).cast("date").alias("event_date"), F.col("ts").cast("date").alias("bulletin_date"))
-    patents = all_events.select(F.col("user_id").alias("application_no")).distinct().withColumn("record_type", F.lit("PUBLISHED_APP"))
+    e = read(spark, sf, "events").select((F.col("event_id") % 1000).alias("application_no"), lifecycle._lookup(PATENT_TYPES, F.col("event_type")).alias("event_type"), F.lit(None).cast("date").alias("event_date"), F.col("ts").cast("date").alias("bulletin_date"))
+    patents = e.select("application_no").distinct().withColumn("record_type", F.lit("PUBLISHED_APP"))
     return lifecycle.patent_status(e, patents).select("application_no", "status")
 
 
@@ -412,7 +422,7 @@ def q23(spark, sf):
  FROM documents WHERE trim(text) <> ''), n AS (SELECT count(*) AS n FROM documents WHERE trim(text) <> ''), f AS (SELECT word, count(*) AS doc_freq FROM w GROUP BY word)
  SELECT word, doc_freq, round(ln(n::DOUBLE / doc_freq), 4) AS idf, CASE WHEN doc_freq::DOUBLE / n > 0.005 THEN 'generic' WHEN doc_freq::DOUBLE / n > 0.001 THEN 'semi_generic' ELSE 'distinctive' END AS word_class, doc_freq::DOUBLE / n > 0.005 AS is_generic FROM f, n""")
 def q22(spark, sf):
-    return corpus.word_statistics(read(spark, sf, "documents"), "doc_id", "text")
+    return corpus.word_statistics(read(spark, sf, "documents"), "text")
 
 
 @query("q8_fuzzy_search", f"""WITH g AS (SELECT p_partkey, p_name, {GRAMS.format('p_name')} AS a, {GRAMS.format("'blue gadget'")} AS b FROM part), s AS (SELECT p_partkey, p_name, {jaccard_sql('a', 'b')} AS s FROM g)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import classes as C
 from tessera.functions import dates as D
 from tessera.functions import scores as S
+from tessera.functions import status as ST
 from tessera.functions import text as X
 from tessera.operators import corpus, feeds, lifecycle, merge, retrieval, rows, scan, scoring
 from tessera.plans.catalog import AS_OF, GRAMS, NORM, TM, jaccard_sql, query, read, trademarks
@@ -45,9 +46,9 @@ def f4(spark, sf):
     return trademarks(spark, sf).where(F.arrays_overlap("classes", wanted) & F.col("applied").between("2012-01-01", "2020-12-31")).select("id")
 
 
-@query("f6_live_status", f"WITH {TM} SELECT id, status FROM tm WHERE status NOT IN ('Reddedildi', 'İtiraz')")
+@query("f6_live_status", f"WITH {TM} SELECT id, status FROM tm WHERE status NOT IN ('Reddedildi', 'İtiraz Edildi')")
 def f6(spark, sf):
-    return trademarks(spark, sf).where(~F.col("status").isin("Reddedildi", "İtiraz")).select("id", "status")
+    return trademarks(spark, sf).where(~F.col("status").isin("Reddedildi", "İtiraz Edildi")).select("id", "status")
 
 
 @query("f7_escaped_like", "SELECT p_partkey FROM part WHERE contains(p_brand || '_50%', '_50%') AND contains(p_brand, '#1')")
@@ -117,14 +118,13 @@ def j17(spark, sf):
     return p.join(p.groupBy("k").agg(F.min("p_partkey").alias("canonical")), "k").select("p_partkey", "canonical")
 
 
-@query("j18_link_orphans", """SELECT event_id, coalesce('customer ' || c_custkey, 'supplier ' || s_suppkey) AS linked FROM events
- LEFT JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) ON c_custkey = user_id LEFT JOIN supplier ON s_suppkey = user_id""")
+@query("j18_link_orphans", """SELECT event_id, coalesce('supplier ' || s_suppkey, 'customer ' || c_custkey) AS linked FROM events LEFT JOIN supplier ON s_suppkey = user_id LEFT JOIN customer ON c_custkey = user_id""")
 def j18(spark, sf):
-    c = read(spark, sf, "customer").where("c_nationkey < 12").select("c_custkey")
+    c = read(spark, sf, "customer").select("c_custkey")
     s = read(spark, sf, "supplier").select("s_suppkey")
     e = read(spark, sf, "events").select("event_id", "user_id")
-    linked = F.coalesce(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")))
-    return e.join(c, F.col("c_custkey") == F.col("user_id"), "left").join(s, F.col("s_suppkey") == F.col("user_id"), "left").select("event_id", linked.alias("linked"))
+    linked = F.coalesce(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")))
+    return e.join(s, F.col("s_suppkey") == F.col("user_id"), "left").join(c, F.col("c_custkey") == F.col("user_id"), "left").select("event_id", linked.alias("linked"))
 
 
 @query("j22_filter_after_top", "SELECT p_partkey FROM (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 200) WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)")
@@ -186,13 +186,13 @@ def a11(spark, sf):
  f AS (SELECT doc_id, source, word, max((pos = 1)::INTEGER) AS f, max((pos = n)::INTEGER) AS l, max((n = 1)::INTEGER) AS s FROM u GROUP BY ALL)
  SELECT word, count(*) AS doc_freq, sum(f)::BIGINT AS first_count, sum(l)::BIGINT AS last_count, sum(s)::BIGINT AS single_count, count(DISTINCT source) AS unique_group_count FROM f GROUP BY word HAVING count(*) >= 10""")
 def a14(spark, sf):
-    return corpus.dispersion(read(spark, sf, "documents"), "doc_id", "text", "source", 10)
+    return corpus.dispersion(read(spark, sf, "documents"), "text", "source", 10)
 
 
 @query("a14_word_partners", """WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part)
  SELECT a.w AS word, count(DISTINCT b.w) AS unique_partner_count FROM t a JOIN t b ON a.p_partkey = b.p_partkey AND a.w <> b.w WHERE length(a.w) > 1 AND length(b.w) > 1 GROUP BY a.w""")
 def a14b(spark, sf):
-    return corpus.partner_counts(read(spark, sf, "part"), "p_partkey", "p_name")
+    return corpus.partner_counts(read(spark, sf, "part"), "p_name")
 
 
 @query("a18_category_counts", "SELECT count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'error' AND value > 50) AS severe, count(*) FILTER (WHERE event_type IN ('signup', 'purchase')) AS conversions FROM events")
@@ -238,28 +238,27 @@ def w6(spark, sf):
     return read(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"))
 
 
-@query("w8_best_class_evidence", f"WITH {TM} SELECT brand, id FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY CASE WHEN status = 'Tescil' THEN 0 ELSE 1 END, len(classes) DESC, id DESC) AS r FROM tm) WHERE r = 1")
+@query("w8_best_class_evidence", f"WITH {TM} SELECT brand, id FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY CASE WHEN status = 'Tescil Edildi' THEN 0 ELSE 1 END, len(classes) DESC, id DESC) AS r FROM tm) WHERE r = 1")
 def w8(spark, sf):
     t = trademarks(spark, sf).select("brand", "id", "status", F.size("classes").alias("n"))
-    return rows.first_per_key(t, ["brand"], [F.when(F.col("status") == "Tescil", 0).otherwise(1), F.desc("n"), F.desc("id")]).select("brand", "id")
+    return rows.first_per_key(t, ["brand"], [F.when(F.col("status") == "Tescil Edildi", 0).otherwise(1), F.desc("n"), F.desc("id")]).select("brand", "id")
 
 
-DESIGN_TYPES = {"signup": "renewal", "purchase": "transfer", "error": "seizure", "view": "partial_renewal", "click": "full_cancellation_applicant"}
+DESIGN_TYPES = {"signup": "renewal", "purchase": "transfer", "error": "seizure", "view": "partial_renewal", "click": "partial_provisional_injunction"}
 
 
-@query("l3_design_status", f"""WITH e AS (SELECT user_id, event_type AS t, CAST(ts AS DATE) AS d, CASE event_type WHEN 'signup' THEN 'renewal' WHEN 'purchase' THEN 'transfer' WHEN 'view' THEN 'partial_renewal' ELSE 'full_cancellation_applicant' END AS k,
- CASE event_type WHEN 'click' THEN -3 WHEN 'purchase' THEN 2 ELSE 3 END AS r FROM events WHERE event_type <> 'error' AND (event_type <> 'click' OR value > 90)),
- l AS (SELECT user_id, list(t ORDER BY d, r, k) AS ts FROM e GROUP BY user_id), s AS (SELECT u.user_id AS application_no, coalesce(list_reduce(list_prepend('Yayında', ts), lambda s, t: CASE WHEN s = 'İptal Edildi' THEN s WHEN t IN ('signup', 'view') THEN 'Yenilendi' WHEN t = 'purchase' THEN 'Devredildi' ELSE 'İptal Edildi' END), 'Yayında') AS status
- FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l USING (user_id))
+@query("l3_design_status", f"""WITH e AS (SELECT event_id % 2000 AS application_no, CASE WHEN event_type = 'signup' THEN 'renewal' WHEN event_type = 'purchase' THEN 'transfer' WHEN event_type = 'view' THEN 'partial_renewal' WHEN value > 95 THEN 'full_cancellation_applicant' END AS k, CAST(ts AS DATE) AS d,
+  CASE event_type WHEN 'error' THEN -3 WHEN 'click' THEN -3 WHEN 'purchase' THEN 2 ELSE 3 END AS r FROM events),
+ l AS (SELECT application_no, list(k ORDER BY d, r, k) FILTER (k IS NOT NULL) AS ks FROM e GROUP BY application_no), s AS (SELECT application_no, coalesce(list_reduce(list_prepend('Yayında', ks), lambda s, k: CASE WHEN s = 'İptal Edildi' THEN s WHEN k IN ('renewal', 'partial_renewal') THEN 'Yenilendi' WHEN k = 'transfer' THEN 'Devredildi' ELSE 'İptal Edildi' END), 'Yayında') AS status FROM l)
  SELECT application_no, CASE WHEN status <> 'İptal Edildi' AND DATE '1990-01-01' + CAST(application_no * 97 % 9000 AS INTEGER) + 9131 < DATE '{AS_OF}' THEN 'Süresi Doldu' ELSE status END AS status FROM s""")
 def l3(spark, sf):
-    all_events = read(spark, sf, "events")
-    e = all_events.where("event_type <> 'click' or value > 90").select(
-        F.col("user_id").alias("application_no"), lifecycle._lookup(DESIGN_TYPES, F.col("event_type")).alias("event_type"), F.lit(None).cast("date").alias("event_date"),
-        F.col("ts").cast("date").alias("bulletin_date"), F.lit(None).cast("array<int>").alias("design_indices"),
-    )
+    kind = F.col("event_type")
+    design = F.when(kind.isin("error", "click") & (F.col("value") > 95), "full_cancellation_applicant").otherwise(lifecycle._lookup(DESIGN_TYPES, kind))
+    e = read(spark, sf, "events").select(
+        (F.col("event_id") % 2000).alias("application_no"), design.alias("event_type"), F.lit(None).cast("date").alias("event_date"), F.col("ts").cast("date").alias("bulletin_date"), F.lit(None).cast("array<int>").alias("design_indices")
+    )
     k = F.col("application_no")
-    designs = all_events.select(F.col("user_id").alias("application_no")).distinct().select(
+    designs = e.select("application_no").distinct().select(
         k, F.lit(1).alias("design_index"), F.lit("hague").alias("section"), F.date_add(F.lit("1990-01-01").cast("date"), (k * 97 % 9000).cast("int")).alias("application_date")
     )
     return lifecycle.design_status(e, designs, as_of()).select("application_no", "status")
@@ -310,9 +309,13 @@ def x24(spark, sf):
     return read(spark, sf, "supplier").select("s_suppkey", X.client_id(full).alias("client_id"), X.without_client_id(full).alias("holder"))
 
 
-@query("x28_status_weights", f"WITH {TM} SELECT status, CASE WHEN status IN ('Tescil', 'Yenilendi', 'Yayında') THEN 1.0 WHEN status IN ('Başvuru', 'İncelemede', 'İtiraz') THEN 0.8 ELSE 0.2 END::DOUBLE AS weight, count(*) AS n FROM tm GROUP BY ALL")
+@query("x28_status_weights", f"""WITH {TM}, s AS (SELECT CASE id % 9 WHEN 0 THEN 'Expired' WHEN 1 THEN 'Kısmi Red' WHEN 2 THEN 'Cancelled' WHEN 3 THEN 'else' ELSE status END AS status FROM tm)
+ SELECT status, CASE WHEN status IN ('Tescil Edildi', 'Yayında', 'Yenilendi') THEN 1.0 WHEN status = 'İtiraz Edildi' THEN 0.9 WHEN status = 'Başvuruldu' THEN 0.85 WHEN status = 'Reddedildi' THEN 0.8 WHEN status = 'Cancelled' THEN 0.75 WHEN status = 'Kısmi Red' THEN 0.6 WHEN status = 'Expired' THEN 0.3 ELSE 0.5 END::DOUBLE AS weight,
+ CASE WHEN status IN ('Tescil Edildi', 'Yayında', 'Yenilendi', 'İtiraz Edildi', 'Başvuruldu') THEN 'RISK' WHEN status IN ('Reddedildi', 'Cancelled', 'Kısmi Red') THEN 'WARNING' WHEN status = 'Expired' THEN 'OPPORTUNITY' ELSE 'UNKNOWN' END AS level, count(*) AS n FROM s GROUP BY ALL""")
 def x28(spark, sf):
-    return trademarks(spark, sf).groupBy("status", S.status_weight(F.col("status")).alias("weight")).agg(F.count("*").alias("n"))
+    k = F.col("id") % 9
+    status = F.when(k == 0, "Expired").when(k == 1, ST.PARTIAL).when(k == 2, "Cancelled").when(k == 3, "else").otherwise(F.col("status"))
+    return trademarks(spark, sf).select(status.alias("status")).groupBy("status", ST.weight(F.col("status")).alias("weight"), ST.level(F.col("status")).alias("level")).agg(F.count("*").alias("n"))
 
 
 @query("x31_design_scores", "SELECT p_partkey, round(p_size / 50.0::DOUBLE * 0.55 + (p_partkey % 10) / 10.0::DOUBLE * 0.30 + (p_partkey % 3) / 3.0::DOUBLE * 0.05, 6) AS total FROM part")
@@ -344,9 +347,10 @@ def x40(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", D.bulletin_number(F.date_format("o_orderdate", "yyyy-MM")).alias("bulletin_no"))
 
 
-@query("x42_short_fingerprint", "SELECT event_id, left(sha256(concat_ws('|', trim(CAST(user_id AS VARCHAR)), trim(event_type), left(props, 200))), 16) AS fingerprint FROM events")
+@query("x42_short_fingerprint", "SELECT event_id, left(sha256(concat_ws('|', CAST(user_id % 7 AS VARCHAR), CAST(user_id AS VARCHAR), event_type, left(props, 200))), 16) AS fingerprint FROM events")
 def x42(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.left(X.fingerprint(F.col("user_id"), F.col("event_type"), F.left("props", F.lit(200))), F.lit(16)).alias("fingerprint"))
+    u = F.col("user_id")
+    return read(spark, sf, "events").select("event_id", X.event_fingerprint(u % 7, u, F.col("event_type"), F.col("props")).alias("fingerprint"))
 
 
 @query("x43_kind_codes", """SELECT p_partkey, CASE code WHEN 'B' THEN 'GRANTED_PATENT' WHEN 'A1' THEN 'PUBLISHED_APP' WHEN 'T5' THEN 'PUBLISHED_UM_APP' ELSE 'UNKNOWN' END AS record_type FROM (SELECT p_partkey, ['B', 'A1', 'U3', 'T5'][p_size % 4 + 1] AS code FROM part)""")
@@ -358,23 +362,30 @@ def x43(spark, sf):
 # ---- merges and repairs ------------------------------------------------------------------------------------------------
 
 
-@query("sk2_priority_merge", f"""WITH {TM}, t AS (SELECT id, ['BLT','GZ','APP'][CAST(id % 3 AS INTEGER) + 1] AS source, status, name, 'b' || id AS b, NULL::VARCHAR AS r, classes FROM tm WHERE len(name) < 11),
- i AS (SELECT id, ['APP','BLT','GZ'][CAST(id % 3 AS INTEGER) + 1] AS source, 'Tescil' AS status, brand AS name, NULL::VARCHAR AS b, 'r' || id AS r, [1, 2, 3] AS classes FROM tm WHERE len(name) > 8),
- k AS (SELECT *, CASE source WHEN 'BLT' THEN 1 WHEN 'GZ' THEN 2 WHEN 'APP' THEN 3 END AS rank FROM t), n AS (SELECT *, CASE source WHEN 'BLT' THEN 1 WHEN 'GZ' THEN 2 WHEN 'APP' THEN 3 END AS rank FROM i),
- j AS (SELECT coalesce(k.id, n.id) AS application_no, coalesce(n.rank, 0) >= coalesce(k.rank, 0) AS w, k.source AS ks, n.source AS ns, k.status AS kt, n.status AS nt, k.name AS kn, n.name AS nn, k.b AS kb, n.b AS nb, k.r AS kr, n.r AS nr, k.classes AS kc, n.classes AS nc FROM k FULL JOIN n ON k.id = n.id)
- SELECT application_no, CASE WHEN w THEN coalesce(ns, ks) ELSE ks END AS source, CASE WHEN w THEN coalesce(nt, kt) ELSE coalesce(kt, nt) END AS status, CASE WHEN w THEN coalesce(nn, kn) ELSE coalesce(kn, nn) END AS name, coalesce(kb, nb) AS bulletin_no, coalesce(nr, kr) AS registration_no,
- array_to_string(CASE WHEN nc IS NULL OR (ns = 'APP' AND kc IS NOT NULL) THEN kc ELSE nc END, ',') AS classes FROM j""")
+@query("sk2_priority_merge", f"""WITH {TM}, t AS (SELECT id, ['BLT','GZ','APP'][CAST(id % 3 AS INTEGER) + 1] AS source, status, name, CASE WHEN id % 2 = 0 THEN 'b' || id END AS b, NULL::VARCHAR AS r, CASE id % 5 WHEN 0 THEN [1, 2, 3, 4, 5, 6, 7] WHEN 1 THEN NULL ELSE classes END AS classes FROM tm WHERE len(name) < 11),
+ i AS (SELECT id, ['APP','BLT','GZ'][CAST(id // 3 % 3 AS INTEGER) + 1] AS source, 'Yenilendi' AS status, CASE WHEN id % 7 <> 0 THEN brand END AS name, 'n' || id AS b, 'r' || id AS r, CASE id % 4 WHEN 0 THEN [1, 2, 3, 4, 5, 6] WHEN 1 THEN NULL WHEN 2 THEN [1, 2, 3, 4, 5, 6, 7, 8] ELSE [1, 2, 3] END AS classes, id % 13 = 0 AS clear_name FROM tm WHERE len(name) > 8),
+ j AS (SELECT coalesce(t.id, i.id) AS application_no, t.id IS NULL AS fresh, i.id IS NULL AS untouched, t.source AS ts, i.source AS src, t.status AS tst, i.status AS ist, t.name AS tn, i.name AS inn, t.b AS tb, i.b AS ib, t.r AS tr, i.r AS ir, t.classes AS tc, i.classes AS ic, clear_name,
+  coalesce(len(t.classes), 0) AS nt, coalesce(len(i.classes), 0) AS ni FROM t FULL JOIN i ON t.id = i.id),
+ k AS (SELECT *, CASE src WHEN 'APP' THEN false WHEN 'GZ' THEN coalesce(ts, '') = 'APP' ELSE coalesce(ts, '') IN ('APP', 'GZ') END AS held FROM j),
+ n AS (SELECT *, CASE WHEN untouched THEN tst WHEN fresh OR NOT held OR (ts = 'APP' AND tst = 'Başvuruldu') THEN ist ELSE tst END AS next FROM k)
+ SELECT application_no, CASE WHEN untouched OR next = tst THEN ts ELSE src END AS source, next AS status, CASE WHEN untouched THEN tn WHEN fresh THEN inn WHEN clear_name THEN NULL WHEN held THEN coalesce(tn, inn) ELSE coalesce(inn, tn) END AS name,
+ CASE WHEN fresh THEN ib WHEN src = 'BLT' THEN coalesce(ib, tb) ELSE tb END AS bulletin_no, CASE WHEN fresh THEN ir WHEN src = 'GZ' THEN coalesce(ir, tr) ELSE tr END AS registration_no,
+ array_to_string(CASE WHEN untouched THEN tc WHEN fresh THEN ic WHEN src = 'APP' THEN CASE WHEN nt = 0 THEN coalesce(ic, tc) WHEN ni > 6 AND ni > nt THEN ic ELSE tc END WHEN ni = 6 AND nt > 6 THEN tc WHEN held THEN coalesce(tc, ic) ELSE coalesce(ic, tc) END, ',') AS classes FROM n""")
 def sk2(spark, sf):
     tm = trademarks(spark, sf)
     k = F.col("id")
-    of = lambda *s: F.get(F.array(*[F.lit(x) for x in s]), (k % 3).cast("int")).alias("source")
+    of = lambda at, *s: F.get(F.array(*[F.lit(x) for x in s]), at.cast("int")).alias("source")
     tag = lambda p: F.concat(F.lit(p), k.cast("string"))
-    none = F.lit(None).cast("string")
+    upto = lambda n: F.sequence(F.lit(1), F.lit(n))
     size = F.length("name")
-    t = tm.where(size < 11).select(k.alias("application_no"), of("BLT", "GZ", "APP"), "status", "name", tag("b").alias("bulletin_no"), none.alias("registration_no"), "classes")
+    t = tm.where(size < 11).select(
+        k.alias("application_no"), of(k % 3, "BLT", "GZ", "APP"), "status", "name", F.when(k % 2 == 0, tag("b")).alias("bulletin_no"), F.lit(None).cast("string").alias("registration_no"),
+        F.when(k % 5 == 0, upto(7)).when(k % 5 != 1, F.col("classes")).alias("classes"),
+    )
     i = tm.where(size > 8).select(
-        k.alias("application_no"), of("APP", "BLT", "GZ"), F.lit("Tescil").alias("status"), F.col("brand").alias("name"), none.alias("bulletin_no"), tag("r").alias("registration_no"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("classes")
-    )
+        k.alias("application_no"), of(F.floor(k / 3) % 3, "APP", "BLT", "GZ"), F.lit(ST.RENEWED).alias("status"), F.when(k % 7 != 0, F.col("brand")).alias("name"), tag("n").alias("bulletin_no"), tag("r").alias("registration_no"),
+        F.when(k % 4 == 0, upto(6)).when(k % 4 == 2, upto(8)).when(k % 4 == 3, upto(3)).alias("classes"), (k % 13 == 0).alias("clear_name"),
+    )
     return merge.priority_merge(t, i).withColumn("classes", F.array_join(F.transform("classes", lambda c: c.cast("string")), ","))
 
 
@@ -390,10 +401,10 @@ def sk6(spark, sf):
     return merge.prune_scopes(p, p.where("p_size = 7"), ["p_brand"]).select("p_partkey", "p_brand")
 
 
-@query("q25_status_repair", f"""WITH {TM} SELECT id, CASE WHEN id % 4 = 0 THEN 'Devredildi' WHEN id % 4 <> 1 AND id % 3 = 0 THEN 'Tescil' WHEN id % 5 = 0 THEN 'Yayında' ELSE status END AS status FROM tm""")
+@query("q25_status_repair", f"""WITH {TM} SELECT id, CASE WHEN id % 4 = 0 THEN 'Devredildi' WHEN id % 4 <> 1 AND id % 3 = 0 THEN 'Tescil Edildi' WHEN id % 5 = 0 THEN 'Yayında' ELSE status END AS status FROM tm""")
 def q25(spark, sf):
     k, none = F.col("id"), F.lit(None).cast("string")
-    evidence = F.when(k % 4 == 0, "Devredildi").when(k % 4 == 1, "Başvuru")
+    evidence = F.when(k % 4 == 0, "Devredildi").when(k % 4 == 1, "Başvuruldu")
     gazette = F.when((k % 4 != 1) & (k % 3 == 0), "g")
     return trademarks(spark, sf).select("id", merge.repair_status(F.col("status"), evidence, gazette, none, F.when(k % 5 == 0, "b").otherwise(" ")).alias("status"))
 
@@ -422,14 +433,14 @@ def q2(spark, sf):
     return e.select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(50)
 
 
-@query("q13_universal_conflicts", f"""WITH {TM}, g AS (SELECT *, {GRAMS.format('name')} AS g, {EXPANDED} AS c FROM tm), w AS (SELECT * FROM g WHERE status = 'Başvuru'), m AS (SELECT * FROM g WHERE status IN ('Tescil', 'Yayında', 'Yenilendi') AND applied + 3652 >= DATE '{AS_OF}' - 183),
+@query("q13_universal_conflicts", f"""WITH {TM}, g AS (SELECT *, {GRAMS.format('name')} AS g, {EXPANDED} AS c FROM tm), w AS (SELECT * FROM g WHERE status = 'Başvuruldu'), m AS (SELECT * FROM g WHERE status IN ('Tescil Edildi', 'Yayında', 'Yenilendi') AND applied + 3652 >= DATE '{AS_OF}' - 183),
  n AS (SELECT DISTINCT name, g FROM g), s AS (SELECT a.name AS x, b.name AS y, round({jaccard_sql('a.g', 'b.g')}, 6) AS similarity FROM n a, n b),
  p AS (SELECT w.id AS watch_id, m.id AS mark_id, similarity FROM w JOIN s ON s.x = w.name AND similarity >= 0.5 JOIN m ON m.name = s.y WHERE w.holder <> m.holder AND list_has_any(w.c, m.c))
  SELECT watch_id, mark_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY watch_id ORDER BY similarity DESC, mark_id) AS r FROM p) WHERE r <= 20""")
 def q13(spark, sf):
     t = trademarks(spark, sf)
-    live = t.where(F.col("status").isin("Tescil", "Yayında", "Yenilendi") & (F.date_add("applied", 3652) >= F.date_sub(as_of(), 183)))
-    found = scan.conflicts(t.where("status = 'Başvuru'").withColumnRenamed("id", "watch_id"), live.withColumnRenamed("id", "mark_id"), 0.5, 20)
+    live = t.where(F.col("status").isin("Tescil Edildi", "Yayında", "Yenilendi") & (F.date_add("applied", 3652) >= F.date_sub(as_of(), 183)))
+    found = scan.conflicts(t.where("status = 'Başvuruldu'").withColumnRenamed("id", "watch_id"), live.withColumnRenamed("id", "mark_id"), 0.5, 20)
     return found.select("watch_id", "mark_id", "similarity")
 
 
@@ -448,11 +459,11 @@ def q16(spark, sf):
     return rows.page(t.withColumn("urgency", D.urgency(F.col("days_left"))), [F.col("days_left"), F.col("id")], 50)
 
 
-@query("q18_holder_portfolio", f"""WITH {TM} SELECT holder, count(*) AS n, count(*) FILTER (WHERE status = 'Tescil') AS n_registered, count(*) FILTER (WHERE status = 'Yayında') AS n_published, min(applied) AS first_applied, max(applied) AS last_applied FROM tm GROUP BY holder""")
+@query("q18_holder_portfolio", f"""WITH {TM} SELECT holder, count(*) AS n, count(*) FILTER (WHERE status = 'Tescil Edildi') AS n_registered, count(*) FILTER (WHERE status = 'Yayında') AS n_published, min(applied) AS first_applied, max(applied) AS last_applied FROM tm GROUP BY holder""")
 def q18(spark, sf):
     s = F.col("status")
     return trademarks(spark, sf).groupBy("holder").agg(
-        F.count("*").alias("n"), F.count_if(s == "Tescil").alias("n_registered"), F.count_if(s == "Yayında").alias("n_published"), F.min("applied").alias("first_applied"), F.max("applied").alias("last_applied")
+        F.count("*").alias("n"), F.count_if(s == "Tescil Edildi").alias("n_registered"), F.count_if(s == "Yayında").alias("n_published"), F.min("applied").alias("first_applied"), F.max("applied").alias("last_applied")
     )
 
 
@@ -468,6 +479,6 @@ def q4(spark, sf):
     t = trademarks(spark, sf).select("id", "name", "status")
     found = retrieval.staged(t, "Red Widget").select("id", "stage_no")
     pairs = t.join(F.broadcast(found), "id").withColumn("query", F.lit("Red Widget"))  # found has at most 500 rows
-    scored = scoring.score_pairs(pairs, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "doc_id", "text"))
+    scored = scoring.score_pairs(pairs, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"))
     ranked = scored.select("id", "name", "status", "stage_no", "score", "path", S.risk_level(F.col("score")).alias("risk_level"))
     return ranked.orderBy(F.desc("score"), "id").limit(100)

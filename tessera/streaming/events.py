@@ -31,33 +31,47 @@ def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], like.schema)
 
 
+#: Parts of the store and of the states, by hash of the application: a batch reads those that it touches.
+BUCKETS = 256
+
+
 def fold_batch(store: str, states: str, fold: Callable[[DataFrame], DataFrame] = lifecycle.trademark_fold) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps events at `store` and the states of touched keys at `states`.
 
-    Both outputs are partitioned by batch and a repeated batch overwrites its own part, so a restart after a lost
-    executor or driver leaves every event once. Readers of `states` take the newest batch of a key.
+    Both are partitioned by batch and bucket and a repeated batch overwrites its own part, so a restart after a lost
+    executor or driver leaves every event once. Only the buckets of the batch's keys are read again. Readers of
+    `states` take the newest batch of a key; compact_states() leaves one row a key.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         once = batch.withColumn("fingerprint", X.fingerprint(*[F.col(c) for c in batch.columns])).dropDuplicates(["fingerprint"])
+        once = once.withColumn("bucket", F.pmod(F.xxhash64("application_no"), F.lit(BUCKETS)).cast("int")).persist()
+        touched_buckets = [r.bucket for r in once.select("bucket").distinct().collect()]  # at most BUCKETS
         old = _stored(spark, store, once.withColumn("batch", F.lit(0)))
-        before = old.where(F.col("batch") != number)
-        new = once.join(before.select("fingerprint"), "fingerprint", "left_anti")
-        new.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        fresh = spark.read.parquet(f"{store}/batch={number}")
+        before = old.where((F.col("batch") != number) & F.col("bucket").isin(touched_buckets))
+        new = once.join(before.select("bucket", "fingerprint"), ["bucket", "fingerprint"], "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={number}")
+        once.unpersist()
+        fresh = _stored(spark, f"{store}/batch={number}", new)
         touched = fresh.select("application_no").distinct()
-        history = before.drop("batch").unionByName(fresh).join(touched, "application_no", "left_semi")
-        fold(history.drop("fingerprint")).write.mode("overwrite").parquet(f"{states}/batch={number}")
+        rest = [c for c in batch.columns]
+        history = before.select(*rest).unionByName(fresh.select(*rest)).join(touched, "application_no", "left_semi")
+        fold(history).write.mode("overwrite").parquet(f"{states}/batch={number}")
 
     return run
 
 
+def compact_states(spark: SparkSession, states: str, target: str) -> None:
+    """Writes the newest state of every key to `target`, as batch 0 of a new folder of states."""
+    current_states(spark, states).write.mode("overwrite").parquet(f"{target}/batch=0")
+
+
 def start_fold(events: DataFrame, store: str, states: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     writer = events.writeStream.foreachBatch(fold_batch(store, states)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()

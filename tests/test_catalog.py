@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from tessera.plans import catalog, registry  # noqa: F401  registry adds to the catalog
+from tessera.plans import catalog, registry, searches  # noqa: F401  they add to the catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.operators import lifecycle
-from tessera.sources import files
+from tessera.sources import files, sinks
 from tessera.streaming import events as stream
 
 
@@ -29,8 +29,17 @@ def test_metadata_csv_and_log(spark, tmp_path):
     assert [tuple(r) for r in t] == [("1", "it's, ok", None), ("2", "", "3")]
 
 
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(i, [i, 9], f"n,{i}") for i in range(9)], "id int, classes array<int>, name string")
+    sinks.export_csv(df, str(tmp_path / "c"), [F.desc("id")], 2)
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()] == [("8", "8;9", "n,8"), ("7", "7;9", "n,7")]
+    sinks.reload(df, str(tmp_path / "t"))
+    sinks.reload(df.limit(3), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
 def test_incremental_fold_equals_full(spark, sf, tmp_path):
-    kind = lifecycle._lookup({"signup": "renewal", "purchase": "transfer", "error": "restriction", "view": "restriction_lift", "click": "cancellation"}, F.col("event_type"))
+    kind = lifecycle._lookup({"signup": "renewal", "purchase": "transfer", "error": "seizure", "view": "restriction_lift", "click": "cancellation"}, F.col("event_type"))
     e = spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("user_id").alias("application_no"), kind.alias("event_type"), F.lit("x").alias("event_subtype"), F.lit("H").alias("new_value"), F.col("ts").cast("date").alias("bulletin_date"), F.col("ts").alias("created_at"), F.col("event_id").alias("id")
     )
@@ -42,6 +51,8 @@ def test_incremental_fold_equals_full(spark, sf, tmp_path):
     got = stream.current_states(spark, str(tmp_path / "states"))
     full = lifecycle.trademark_fold(e)
     assert sorted(map(str, got.select(full.columns).collect())) == sorted(map(str, full.collect()))
+    stream.compact_states(spark, str(tmp_path / "states"), str(tmp_path / "compact"))
+    assert sorted(map(str, stream.current_states(spark, str(tmp_path / "compact")).select(full.columns).collect())) == sorted(map(str, full.collect()))
 
 
 def test_streaming_windows(spark, sf, tmp_path):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classes as C
 from tessera.functions import dates as D
+from tessera.functions import phonetic as P
 from tessera.functions import scores as S
+from tessera.functions import status as ST
 from tessera.functions import text as X
 
 
@@ -57,8 +59,40 @@ def test_dates(spark):
     assert one(spark, D.expiry(F.lit("2012-02-29").cast("date"))) == dt.date(2012, 2, 29) + dt.timedelta(3652 + 183)
     assert one(spark, D.bulletin_number(F.lit("2025-08"))) == "2025/8"
     as_of = F.lit("2024-06-15").cast("date")
-    for status, day, wanted in [("Yayında", "2024-06-20", "active_critical"), ("Yayında", "2024-06-14", "expired"), ("Tescil", None, "registered"), ("Başvuru", None, "pre_publication")]:
-        assert one(spark, D.deadline_status(F.lit(status), F.lit(day).cast("date"), as_of)) == wanted
+    for status, day, wanted in [("Yayında", "2024-06-20", "active_critical"), ("Yayında", "2024-06-14", "expired"), ("Tescil Edildi", None, "registered"), ("Registered", None, "registered"), ("Süresi Doldu", None, "expired"), ("Başvuruldu", None, "unknown")]:
+        assert one(spark, D.deadline_status(F.lit(status), as_of, F.lit(day).cast("date"), as_of)) == wanted
+
+
+def test_deadline_needs_a_bulletin(spark):
+    none, day = F.lit(None).cast("date"), F.lit("2024-06-20").cast("date")
+    assert one(spark, D.deadline_status(F.lit("Başvuruldu"), none, day, day)) == "pre_publication"
+
+
+def test_fingerprints_keep_borders(spark):
+    f = lambda *p: one(spark, X.fingerprint(*[F.lit(x).cast("string") for x in p]))
+    assert len({f("a|b", "c"), f("a", "b|c"), f("a", None), f("a", ""), f("a", "\\N")}) == 5 and f(" a ", "c") == f("a", "c")
+
+
+@pytest.mark.parametrize("text", ["Yayında şişe ğ", "Çağrı İş", "plain", "Ümit — “x” €", None, "Ä alone"])
+def test_repair_of_misread_text(spark, text):
+    for code in ("latin1", "cp1252"):
+        misread = text
+        for _ in range(2):
+            try:
+                misread = misread and misread.encode().decode(code)
+            except UnicodeDecodeError:
+                break
+        assert one(spark, X.repair_mojibake(F.lit(misread).cast("string"))) == text
+
+
+def test_statuses(spark):
+    s = lambda x: F.lit(x).cast("string")
+    for text, wanted in [("Başvuru GEÇERSİZ", ST.REFUSED), ("marka tescil edildi", ST.REGISTERED), ("İTİRAZ aşamasında", ST.OPPOSED), ("x", None), (None, None), ("Yenilendi", ST.RENEWED)]:
+        assert one(spark, ST.told(s(text))) == wanted, text
+    assert one(spark, ST.from_delivery(s("GZ_481"), s(None), s("-"))) == ST.REGISTERED and one(spark, ST.from_delivery(s("APP_1"), s(""), s("yok"))) == ST.APPLIED
+    assert one(spark, ST.rank(s("Registered"))) == 3 and one(spark, ST.weight(s("nothing"))) == 0.5
+    assert [one(spark, D.bulletin_of(s(f)))["no"] for f in ("BLT_2024_05", "GZ-481_2023-02-07", "x")] == ["2024/05", "481", None]
+    assert str(one(spark, D.bulletin_of(s("GZ-481_2023-02-07")))["day"]) == "2023-02-07" and str(one(spark, D.bulletin_of(s("BLT_2024_05")))["day"]) == "2024-05-01"
 
 
 def test_classes(spark):
@@ -77,3 +111,19 @@ def test_scores(spark):
     assert abs(one(spark, S.text_visual(F.lit(0.5), F.lit(0.9))) - 0.95) < 1e-12
     assert abs(one(spark, S.visual_score(F.lit(0.8), F.lit(0.0), F.lit(0.0), F.lit(False))) - 0.8) < 1e-12
     assert one(spark, S.bounded(0.4, 0.6, F.lit(5.0))) == 0.6
+
+
+@pytest.mark.parametrize("name, codes", [
+    ("Smith", ("SM0", "XMT")), ("Schmidt", ("XMT", "SMT")), ("Thomas", ("TMS", "TMS")), ("Knight", ("NT", "NT")), ("Nike", ("NK", "NK")), ("Naik", ("NK", "NK")),
+    ("Philips", ("FLPS", "FLPS")), ("Xerox", ("SRKS", "SRKS")), ("Wright", ("RT", "RT")), ("Cheese", ("XS", "XS")), ("Bacher", ("PKR", "PKR")), ("Ghost", ("KST", "KST")), ("Laugh", ("LF", "LF")), ("Sugar", ("XKR", "SKR")), ("Jose", ("HS", "HS")), ("", ("", "")),
+])
+def test_double_metaphone(name, codes):
+    assert P.double_metaphone(name) == codes
+
+
+def test_sound_similarity(spark):
+    s = lambda a, b: one(spark, P.sound_similarity(F.lit(a), F.lit(b)))
+    assert s("NIKE", "nike") == 1.0 and s("", "x") == 0.0 and s("Nike", "Naik") > 0.7 > s("Nike", "Samsung") and s("Doğan", "Togan") > 0.8
+    assert P.first_syllable("samsung") == "sam" and P.first_syllable("google") == "goog" and P.first_syllable("apple") == "ap"
+    assert one(spark, P.ocr_similarity(F.lit("AB C"), F.lit("abc"))) == 1.0 and one(spark, P.ocr_similarity(F.lit("abcd"), F.lit("abce"))) == 0.68
+    assert one(spark, P.difference_ratio(F.lit("abcd"), F.lit("bcde"))) == 0.75

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, feeds, lifecycle, merge, retrieval, rows, scan
+from tessera.operators import corpus, feeds, lifecycle, merge, retrieval, rows, scan, search
 
 DAY = dt.date(2024, 1, 1)
 
@@ -35,7 +35,7 @@ def test_design_machine(spark):
 
 def test_trademark_fold_equals_stepwise(spark):
     rng = random.Random(4)
-    kinds = ["restriction", "restriction_lift", "transfer", "renewal", "cancellation", "other"]
+    kinds = ["seizure", "injunction", "restriction_lift", "seizure_lift", "transfer", "renewal", "cancellation", "other"]
     data = [(f"a{rng.randrange(5)}", rng.choice(kinds), rng.choice([None, "court order"]), f"Holder {i} (7)" if i % 3 else "(7)", DAY + dt.timedelta(rng.randrange(9)) if i % 11 else None, i) for i in range(200)]
     e = spark.createDataFrame(data, "application_no string, event_type string, event_subtype string, new_value string, bulletin_date date, id int").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     got = {r.application_no: r for r in lifecycle.trademark_fold(e).collect()}
@@ -43,7 +43,7 @@ def test_trademark_fold_equals_stepwise(spark):
     for key in got:
         active, status, holder = 0, None, None
         for _, kind, _, value, _, _ in sorted((x for x in data if x[0] == key), key=lambda x: (x[4] is not None, x[4] or DAY, x[5])):
-            active = max(0, active + {"restriction": 1, "restriction_lift": -1}.get(kind, 0))
+            active = max(0, active + {"seizure": 1, "injunction": 1, "restriction_lift": -1, "seizure_lift": -1}.get(kind, 0))
             status = to.get(kind, status)
             if kind == "transfer" and value.split("(")[0].strip():
                 holder = value.split("(")[0].strip()
@@ -52,17 +52,17 @@ def test_trademark_fold_equals_stepwise(spark):
 
 def test_merges(spark):
     schema = "application_no string, source string, status string, name string, bulletin_no string, registration_no string, classes array<int>"
-    old = spark.createDataFrame([("1", "APP", "Tescil", None, None, "R1", list(range(1, 9))), ("2", "BLT", "Yayında", "old", "B1", None, [1])], schema)
-    new = spark.createDataFrame([("1", "BLT", "Yayında", "n", "B9", "R9", [1, 2, 3, 4, 5, 6]), ("2", "GZ", "Tescil", None, "B2", "R2", [1, 2]), ("3", "BLT", "Yayında", "x", None, None, None)], schema)
+    old = spark.createDataFrame([("1", "APP", "Tescil Edildi", None, None, "R1", list(range(1, 9))), ("2", "BLT", "Yayında", "old", "B1", None, [1])], schema)
+    new = spark.createDataFrame([("1", "BLT", "Yayında", "n", "B9", "R9", [1, 2, 3, 4, 5, 6]), ("2", "GZ", "Tescil Edildi", None, "B2", "R2", [1, 2]), ("3", "BLT", "Yayında", "x", None, None, None)], schema)
     got = {r.application_no: r for r in merge.priority_merge(old, new).collect()}
-    assert (got["1"].source, got["1"].status, got["1"].name, got["1"].bulletin_no, got["1"].registration_no, len(got["1"].classes)) == ("APP", "Tescil", "n", "B9", "R1", 8)
-    assert (got["2"].source, got["2"].status, got["2"].name, got["2"].bulletin_no, got["2"].registration_no) == ("GZ", "Tescil", "old", "B1", "R2")
+    assert (got["1"].source, got["1"].status, got["1"].name, got["1"].bulletin_no, got["1"].registration_no, len(got["1"].classes)) == ("APP", "Tescil Edildi", "n", "B9", "R1", 8)
+    assert (got["2"].source, got["2"].status, got["2"].name, got["2"].bulletin_no, got["2"].registration_no) == ("GZ", "Tescil Edildi", "old", "B1", "R2")
     assert got["3"].status == "Yayında"
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert sorted(merge.overwrite(t, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert merge.prune_scopes(t, spark.createDataFrame([(1,)], "k int"), ["k"]).collect() == [(1, "a")]
     lit = lambda s: F.lit(s).cast("string")
-    decided = spark.range(1).select(merge.repair_status(lit("Başvuru"), lit(None), lit(None), lit(" "), lit("2024/1")), merge.repair_status(lit("x"), lit("Reddedildi"), lit("1"), lit(None), lit(None)))
+    decided = spark.range(1).select(merge.repair_status(lit("Başvuruldu"), lit(None), lit(None), lit(" "), lit("2024/1")), merge.repair_status(lit("x"), lit("Reddedildi"), lit("1"), lit(None), lit(None)))
     assert tuple(decided.first()) == ("Yayında", "Reddedildi")
 
 
@@ -100,7 +100,32 @@ def test_scan_and_rows(spark):
 
 def test_dispersion(spark):
     docs = spark.createDataFrame([(1, "kuzey su", "h1"), (2, "su", "h2"), (3, "kuzey kuzey su", "h1"), (4, " ", "h3")], "id int, name string, holder string")
-    got = {r.word: r for r in corpus.dispersion(docs, "id", "name", "holder", 2).collect()}
+    got = {r.word: r for r in corpus.dispersion(docs, "name", "holder", 2).collect()}
     assert (got["su"].doc_freq, got["su"].first_count, got["su"].last_count, got["su"].single_count, got["su"].unique_group_count) == (3, 1, 3, 1, 2)
     assert (got["kuzey"].doc_freq, got["kuzey"].first_count) == (2, 2)
-    assert {r.word: r.unique_partner_count for r in corpus.partner_counts(docs, "id", "name").collect()} == {"kuzey": 1, "su": 1}
+    assert {r.word: r.unique_partner_count for r in corpus.partner_counts(docs, "name").collect()} == {"kuzey": 1, "su": 1}
+
+
+def test_search_helpers(spark):
+    assert search.application_id(" 2017/15048 B1 ") == "2017/15048" and search.application_id("2017/15048x") is None and search.application_id("name") is None
+    phrases = spark.createDataFrame([("Red kararı", "R"), ("Red kararı iptali", "C")], "phrase string, event_type string")
+    said = spark.createDataFrame([("RED  kararı",), ("Red kararı iptali hk.",), ("red",), ("",), (None,), ("x",)], "said string")
+    assert {r.said: r.event_type for r in search.phrase_types(said, phrases, "said").collect()} == {"RED  kararı": "R", "Red kararı iptali hk.": "C", "red": "C", "": "UNKNOWN", None: "UNKNOWN", "x": "UNKNOWN"}
+
+
+def test_repairs(spark):
+    r = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6]), (2, [1]), (3, [1, 2, 3, 4, 5, 6])], "k int, classes array<int>")
+    long = list(range(1, 9))
+    e = spark.createDataFrame([(1, "BLT", list(range(1, 12)), "z"), (1, "GZ", long, "a"), (1, "GZ", long[::-1], "b"), (2, "GZ", long, "a"), (3, "GZ", long[:6], "a")], "k int, source string, classes array<int>, folder string")
+    assert [tuple(x) for x in merge.repair_classes(r, e, "k").collect()] == [(1, long[::-1])]
+    old = spark.createDataFrame([("1", "APP", "Başvuruldu", "n", [1])], "application_no string, source string, status string, name string, classes array<int>")
+    new = spark.createDataFrame([("1", "BLT", "Yayında", None, [2], True)], old.schema.simpleString()[7:-1].replace(":", " ").replace("array<int>", "array<int>") + ", clear_name boolean")
+    assert tuple(merge.priority_merge(old, new).first()) == ("1", "BLT", "Yayında", None, [1])
+
+
+def test_prescreen_caps_and_pool(spark):
+    rows = spark.createDataFrame([(i, "red widget" if i < 40 else f"red {i}") for i in range(200)], "id int, name string")
+    got = retrieval.prescreen(rows, "Red Widget", ["widget", "red"]).collect()
+    by_stage = {s: sum(s in r.stages for r in got) for s in retrieval.STAGES}
+    assert by_stage["exact"] == 25 and by_stage["short-token"] == 120 and by_stage["any-token"] == 40 and by_stage["phonetic"] == 0
+    assert max(r.stage_no for r in retrieval.prescreen(rows, "Red Widget", ["widget", "red"], limit=30).collect()) <= 1
