@@ -324,14 +324,19 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = _labelled(docs, key, text).groupBy("label", "id", "key").agg(F.count("*").alias("n"))
     found = cut(found.select("label", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("at"), "n"))
-    kept = found.groupBy("label").agg(F.min("at").alias("keeper"))
-    told = cut(found.join(kept, "label").select(F.col("at.id").alias("i"), F.col("at.key").alias("k"), (F.col("at") == F.col("keeper")).alias("stays"), "n"))
+    # keepers are brought back by (id, key), which no class makes hot, and not by label
+    kept = found.groupBy("label").agg(F.min("at").alias("at")).select(F.col("at.id").alias("ki"), F.col("at.key").alias("kk"))
+    told = found.select(F.col("at.id").alias("i"), F.col("at.key").alias("k"), "n").join(kept, F.col("i").eqNullSafe(F.col("ki")) & (F.col("k") == F.col("kk")), "left")
+    told = cut(told.select("i", "k", F.col("kk").isNotNull().alias("stays"), "n"))
     held = docs.select(whole_row(docs).alias("row"), F.col(f"`{key}`").alias("id"), _hash(text).alias("key"))
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
-    single = held.join(told.where("not stays or n > 1").select("i", "k"), same, "left_anti").select("row")
-    twice = held.join(told.where("stays and n > 1").select("i", "k"), same)
-    many = twice.groupBy("i", "k").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
-    return single.union(many.select("row")).select(*fields_of("row", docs.columns))
+    gone, twice = told.where("not stays or n > 1").select("i", "k"), told.where("stays and n > 1").select("i", "k")
+    small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    kept_rows = held.join(small(gone), same, "left_anti").select("row")
+    if not twice.isEmpty():
+        many = held.join(small(twice), same).groupBy("i", "k").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+        kept_rows = kept_rows.union(many.select("row"))
+    return kept_rows.select(*fields_of("row", docs.columns))
 
 
 def op9_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
