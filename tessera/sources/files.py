@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -23,10 +23,20 @@ def _struct(fields: str) -> str:
     return ",".join(":".join(part.split(" ", 1)) for part in fields.split(", "))
 
 
-def event_files(spark: SparkSession, path: str) -> DataFrame:
-    """Events of JSON envelopes with status success, with their file; envelopes without events give none."""
+def _folder(file: Column) -> Column:
+    """The name of the folder that a file lies in."""
+    return F.element_at(F.split(file, "/", -1), -2)
+
+
+def event_files(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """Events of JSON envelopes with status success, with their file; envelopes without events give none.
+
+    source (BLT or GZ) keeps files in folders of that prefix; the filter is on the file's name, before it is parsed.
+    """
     schema = f"status string, source_type string, bulletin_no string, gazette_no string, total int, events array<struct<{_struct(EVENT)}>>"
     files = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+    if source:
+        files = files.where(_folder(F.col("file")).startswith(f"{source}_"))
     e = files.where("status = 'success'").select("file", F.col("source_type").alias("s"), F.coalesce("bulletin_no", "gazette_no").alias("no"), F.explode("events").alias("e"))
     kept = e.select("file", "e.*", "s", "no").withColumn("source_type", F.coalesce("source_type", "s")).withColumn("bulletin_no", F.coalesce("bulletin_no", "gazette_no", "no"))
     keyed = kept.where(F.col("application_no").isNotNull() & F.col("event_type").isNotNull()).drop("s", "no")
@@ -50,6 +60,17 @@ def metadata_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def salvaged_metadata(spark: SparkSession, path: str, regenerated: DataFrame) -> DataFrame:
+    """As metadata_files(), with the records that were made anew (folder and the same columns but file) for corrupt files.
+
+    regenerated comes from the deliveries' own logs (insert_log) and counts only for folders whose file can't be read.
+    """
+    rows = spark.read.schema(METADATA).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    broken = rows.select(F.col("_metadata.file_path").alias("file"), "_corrupt", "APPLICATIONNO").where("_corrupt is not null and APPLICATIONNO is null").select(_folder(F.col("file")).alias("folder"), "file").distinct()
+    sound = metadata_files(spark, path)
+    return sound.unionByName(regenerated.join(broken, "folder").select(*sound.columns))
+
+
 #: Headers under which upload files name the columns of a watchlist.
 ALIASES = {"name": ["name", "brand", "trademark", "marka", "marka adı"], "classes": ["classes", "class", "nice", "sınıf", "sınıflar"], "application_no": ["application no", "application_no", "başvuru no"]}
 

@@ -29,6 +29,16 @@ def test_metadata_csv_and_log(spark, tmp_path):
     assert [tuple(r) for r in t] == [("1", "it's, ok", None), ("2", "", "3")]
 
 
+def test_folders_and_salvage(spark, tmp_path):
+    for folder in ("GZ_1", "BLT_2"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "events.json").write_text(json.dumps({"status": "success", "events": [{"application_no": folder, "event_type": "transfer"}]}))
+        (tmp_path / folder / "metadata.json").write_text(json.dumps([{"APPLICATIONNO": folder, "STATUS": "s"}])[: None if folder == "GZ_1" else 20])
+    assert {r.application_no for r in files.event_files(spark, str(tmp_path / "*" / "events.json"), "GZ").collect()} == {"GZ_1"}
+    made = spark.createDataFrame([("BLT_2", "b", "s", "n", [1], "h", "7"), ("GZ_1", "no", "s", "n", [1], "h", "7")], "folder string, application_no string, status string, name string, classes array<int>, holder string, client_id string")
+    assert {r.application_no for r in files.salvaged_metadata(spark, str(tmp_path / "*" / "metadata.json"), made).collect()} == {"GZ_1", "b"}
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(i, [i, 9], f"n,{i}") for i in range(9)], "id int, classes array<int>, name string")
     sinks.export_csv(df, str(tmp_path / "c"), [F.desc("id")], 2)
