@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
 from tessera.functions import text as X
 from tessera.operators.retrieval import merge_signals, nearest
-from tessera.operators.rows import having_any
+from tessera.operators.rows import first_per_key, having_any
 
 #: Candidates that an arm hands on, the least trigram similarity, and sections that hold notices only.
 POOL, IMAGE_POOL, LEAST = 200, 100, 0.2
@@ -39,6 +38,26 @@ def views_arm(views: DataFrame, vector: list[float], key: str, column: str, k: i
     return best.select(key, F.round("s", 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Queries of a block that meets the rows at once, and the most queries that are broadcast (60 MB at a width of 768).
+BLOCK, BROADCAST_QUERIES = 256, 20_000
+
+
+def nearest_many(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
+    """(query_id, key, score): for every query (query_id, vector) its k nearest rows by cosine, itself left out.
+
+    Queries travel in blocks of about BLOCK vectors, each block to every partition of rows; a row is scored against a block
+    in place, and only the k best of a query leave a task.
+    """
+    held = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("q"))
+    n = held.count()
+    slot = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK))))
+    blocks = held.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs")).select("qs")
+    met = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).alias("v")).crossJoin(F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks)
+    scored = met.select(key, F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), S.cosine(F.col("v"), x["q"]).alias("s")))).alias("x"))
+    pairs = scored.select("x.query_id", key, F.round("x.s", 6).alias("score")).where(F.col("query_id") != F.col(key))
+    return first_per_key(pairs, ["query_id"], [F.desc("score"), F.col(key)], k)
+
+
 def ranked(arms: dict[str, DataFrame], weights: dict[str, float], records: DataFrame, key: str, k: int = 20, allowed: DataFrame | None = None) -> DataFrame:
     """The k best of all arms, with their signals, total and records.
 
@@ -140,7 +159,3 @@ def phrase_types(texts: DataFrame, phrases: DataFrame, text: str) -> DataFrame:
     best = met.groupBy("t").agg(F.max_by("event_type", F.struct((F.col("k") == F.col("p")).alias("same"), F.length("p").alias("n"), "event_type")).alias("event_type"))
     return texts.join(best, F.col(text) == F.col("t"), "left").drop("t").withColumn("event_type", F.coalesce("event_type", F.lit("UNKNOWN")))
 
-
-def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__n", rank).where("__n = 1").drop("__n")

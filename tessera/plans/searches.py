@@ -121,6 +121,13 @@ def q6(spark, sf):
     return retrieval.merge_signals(arms, "id").withColumn("best", F.round(F.greatest("clip", "dino"), 6))
 
 
+@query("j13_nearest_many", f"""WITH {VEC}, s AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(b.a, a.a), 6) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id)
+ SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""")
+def j13(spark, sf):
+    e, _ = vectors(spark, sf)
+    return search.nearest_many(e, e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), "id", "a", 5)
+
+
 @query("q8_design_search", f"""WITH {MK}, {VEC}, {NAME_GRAMS}, t AS (SELECT id, round({jaccard_sql('g', 'p')}, 6) AS text FROM g WHERE contains(n, 'ander the') OR {jaccard_sql('g', 'p')} > 0.2 ORDER BY text DESC, id LIMIT 200),
  d AS (SELECT id, round(list_cosine_similarity(a, q), 6) AS dinov2 FROM e, v ORDER BY dinov2 DESC, id LIMIT 200), c AS (SELECT id, round(list_cosine_similarity(list_reverse(a), q), 6) AS clip FROM e, v ORDER BY clip DESC, id LIMIT 100),
  h AS (SELECT id // 2 AS id, round(max(list_cosine_similarity(a[1:8], q[1:8])), 6) AS color FROM e, v GROUP BY 1 ORDER BY color DESC, id LIMIT 100),
