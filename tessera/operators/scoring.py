@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import phonetic as P
+from tessera.functions import scores as S
 from tessera.functions import text as X
+from tessera.functions import visual as V
 
 # fixed values: weight of a word by its class; floors, ceilings and caps of scores
 WEIGHTS = {"distinctive": 1.0, "semi_generic": 0.65, "generic": 0.10}
 EXACT, COMPACT, NO_WORDS = 1.0, 0.96, 0.45
 GENERIC_ONLY, MISSING_ANCHOR, SEMI_ONLY, NO_DISTINCTIVE, SOME_DISTINCTIVE = 0.18, 0.18, 0.45, 0.55, 0.69
+SHORT_INEXACT, NO_FIRST_ANCHOR, NO_ANCHOR = 0.58, 0.62, 0.45
+#: Caps of a text score that gives way to the logo's.
+WEAK = ["generic_only", "missing_anchor", "no_distinctive", "no_first_anchor", "no_anchor"]
 
 
 def weighted_words(names: DataFrame, name: str, stats: DataFrame) -> DataFrame:
@@ -51,11 +56,13 @@ def word_similarity(x: Column, y: Column) -> Column:
 def align(q: Column, t: Column) -> Column:
     """Greedy alignment: each word of q in turn takes the most similar free word of t, if that is similar by 0.70.
 
-    Returns struct<left, own, other, good, distinctive, anchors, plain>: free words of t; weights of the matched words
-    of q and of t; the former times similarity; and numbers of matched distinctive, non-generic and generic words.
+    Returns struct<left, own, other, good, distinctive, anchors, plain, hits>: free words of t; weights of the matched
+    words of q and of t; the former times similarity; numbers of matched distinctive, non-generic and generic words;
+    and the matches (w, y) with a word that is not generic on either side.
     """
     zero = F.lit(0.0)
-    start = F.struct(t.alias("left"), zero.alias("own"), zero.alias("other"), zero.alias("good"), F.lit(0).alias("distinctive"), F.lit(0).alias("anchors"), F.lit(0).alias("plain"))
+    none = F.array().cast("array<struct<w: string, y: string>>")
+    start = F.struct(t.alias("left"), zero.alias("own"), zero.alias("other"), zero.alias("good"), F.lit(0).alias("distinctive"), F.lit(0).alias("anchors"), F.lit(0).alias("plain"), none.alias("hits"))
 
     def step(s: Column, x: Column) -> Column:
         best = F.array_max(F.transform(s["left"], lambda y: F.struct(word_similarity(x, y).alias("sim"), y.alias("y"))))
@@ -69,6 +76,7 @@ def align(q: Column, t: Column) -> Column:
             (s["distinctive"] + one(x["less"] == -WEIGHTS["distinctive"])).alias("distinctive"),
             (s["anchors"] + one(~plain)).alias("anchors"),
             (s["plain"] + one(plain)).alias("plain"),
+            F.when(plain & (b["y"]["less"] == -WEIGHTS["generic"]), s["hits"]).otherwise(F.array_append(s["hits"], F.struct(x["t"].alias("w"), b["y"]["t"].alias("y")))).alias("hits"),
         )
         # the best is bound once, as the one element of an array
         return F.get(F.transform(F.array(best), lambda b: F.when(F.coalesce(b["sim"] >= 0.70, F.lit(False)), took(b)).otherwise(s)), F.lit(0))
@@ -92,7 +100,7 @@ def containment(qn: Column, tn: Column, q: Column, t: Column) -> Column:
 
 
 def score_pairs(pairs: DataFrame, a: str, b: str, stats: DataFrame) -> DataFrame:
-    """pairs with score (0 to 1) and path, of the name in column a, as the query, against that in b.
+    """pairs with score (0 to 1), path and caps (names of those that apply), of the name in column a against that in b.
 
     Null names are empty. Equal normalised names score 1; equal compact ones of four letters 0.96; without words at
     most 0.45. Otherwise the greatest of alignment, containment and spelling counts, under the caps of absent anchors.
@@ -104,35 +112,108 @@ def score_pairs(pairs: DataFrame, a: str, b: str, stats: DataFrame) -> DataFrame
     held = named.join(both.select(F.col("name").alias("__a"), F.col("words").alias("__q")), "__a").join(both.select(F.col("name").alias("__b"), F.col("words").alias("__t")), "__b")
     held = held.withColumns({"__m": align(F.col("__q"), F.col("__t")), "__qn": qn, "__tn": tn, "__tri": X.trigram_similarity(F.col("__a"), F.col("__b"))})
 
+    # each step is a column of its own, so that no step's code holds that of the steps before
     total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, x: s - x["less"])
+    squeeze = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     m = F.col("__m")
-    recall, precision = m["own"] / F.nullif(total(F.col("__q")), F.lit(0.0)), m["other"] / F.nullif(total(F.col("__t")), F.lit(0.0))
-    f1 = F.when(m["own"] > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0)
-    aligned = f1 * (0.8 + 0.2 * F.when(m["own"] > 0, m["good"] / F.nullif(m["own"], F.lit(0.0))).otherwise(0.0))
-    inside = containment(F.col("__qn"), F.col("__tn"), F.col("__q"), F.col("__t"))
-    letters = F.greatest(F.col("__tri"), X.edit_ratio(F.col("__qn"), F.col("__tn")))
-    spelled = F.when(m["anchors"] > 0, F.least(F.lit(0.75), letters * 0.80 + F.coalesce(recall, F.lit(0.0)) * 0.20)).otherwise(F.least(F.lit(0.45), letters * 0.55))
+    count = lambda w: F.size(F.filter("__q", lambda x: x["less"] == -WEIGHTS[w]))
+    held = held.withColumns({
+        "__recall": F.coalesce(m["own"] / F.nullif(total(F.col("__q")), F.lit(0.0)), F.lit(0.0)),
+        "__precision": m["other"] / F.nullif(total(F.col("__t")), F.lit(0.0)),
+        "__inside": containment(F.col("__qn"), F.col("__tn"), F.col("__q"), F.col("__t")),
+        "__letters": F.greatest(F.col("__tri"), X.edit_ratio(F.col("__qn"), F.col("__tn"))),
+        "__distinctive": count("distinctive"), "__semi": count("semi_generic"),
+        "__qc": squeeze(F.col("__qn")), "__tc": squeeze(F.col("__tn")),
+        "__heavy": F.transform(F.filter("__q", lambda x: x["less"] != -WEIGHTS["generic"]), lambda x: x["t"]),
+    })
+    recall, inside, heavy, distinctive = F.col("__recall"), F.col("__inside"), F.col("__heavy"), F.col("__distinctive")
+    f1 = 2 * recall * F.col("__precision") / (recall + F.col("__precision"))
+    aligned = F.when(m["own"] > 0, f1 * (0.8 + 0.2 * (m["good"] / F.nullif(m["own"], F.lit(0.0))))).otherwise(0.0)
+    spelled = F.when(m["anchors"] > 0, F.least(F.lit(0.75), F.col("__letters") * 0.80 + recall * 0.20)).otherwise(F.least(F.lit(0.45), F.col("__letters") * 0.55))
     best = F.array_max(F.array(*[F.struct(v.alias("score"), F.lit(p).alias("path")) for v, p in ((aligned, "alignment"), (inside, "containment"), (spelled, "spelling"))]))
 
-    count = lambda w: F.size(F.filter("__q", lambda x: x["less"] == -WEIGHTS[w]))
-    distinctive, semi = count("distinctive"), count("semi_generic")
-    cap = (
-        F.when(distinctive + semi == 0, GENERIC_ONLY)
-        .when((m["anchors"] == 0) & (m["plain"] > 0), MISSING_ANCHOR)
-        .when(distinctive == 0, SEMI_ONLY)
-        .when(m["distinctive"] == 0, NO_DISTINCTIVE)
-        .when(m["distinctive"] < distinctive, SOME_DISTINCTIVE)
-        .otherwise(1.0)
+    cap = lambda name, value: F.struct(F.lit(name).alias("name"), F.lit(value).alias("value"))
+    anchored = (
+        F.when(distinctive + F.col("__semi") == 0, cap("generic_only", GENERIC_ONLY))
+        .when((m["anchors"] == 0) & (m["plain"] > 0), cap("missing_anchor", MISSING_ANCHOR))
+        .when(distinctive == 0, cap("semi_only", SEMI_ONLY))
+        .when(m["distinctive"] == 0, cap("no_distinctive", NO_DISTINCTIVE))
+        .when(m["distinctive"] < distinctive, cap("some_distinctive", SOME_DISTINCTIVE))
     )
-    squeeze = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    fixed = lambda v, p: F.struct(F.round(v, 6).alias("score"), F.lit(p).alias("path"))
+    hits, only = m["hits"], F.get(m["hits"], F.lit(0))
+    short = (F.size(hits) == 1) & (only["w"] != only["y"]) & (F.least(F.length(only["w"]), F.length(only["y"])) <= 4) & (F.size("__q") + F.size("__t") > 2)
+    # the first word in the query's order that is not generic
+    first = F.get(F.filter(F.split("__qn", " ", -1), lambda w: F.array_contains(heavy, w)), F.lit(0))
+    headless = (F.size(heavy) >= 2) & (m["anchors"] > 0) & ~F.array_contains(F.transform(hits, lambda h: h["w"]), first)
+    caps = F.array_compact(F.array(
+        anchored,
+        F.when(short, cap("short_inexact", SHORT_INEXACT)),
+        F.when(headless, cap("no_first_anchor", NO_FIRST_ANCHOR)),
+        F.when((m["anchors"] == 0) & (inside == 0), cap("no_anchor", NO_ANCHOR)),
+    ))
+    held = held.withColumns({"__best": best, "__caps": caps})
+    nothing = F.array().cast("array<string>")
+    fixed = lambda v, p, c=nothing: F.struct(F.round(v, 6).alias("score"), F.lit(p).alias("path"), c.alias("caps"))
+    least = F.coalesce(F.array_min(F.transform("__caps", lambda c: c["value"])), F.lit(1.0))
     result = (
         F.when((F.col("__qn") != "") & (F.col("__qn") == F.col("__tn")), fixed(F.lit(EXACT), "exact"))
-        .when((F.length(squeeze(F.col("__qn"))) >= 4) & (squeeze(F.col("__qn")) == squeeze(F.col("__tn"))), fixed(F.lit(COMPACT), "compact"))
-        .when((F.size("__q") == 0) | (F.size("__t") == 0), fixed(F.least(F.lit(NO_WORDS), F.col("__tri")), "no words"))
-        .otherwise(F.struct(F.round(F.least(best["score"], cap), 6).alias("score"), best["path"].alias("path")))
+        .when((F.length("__qc") >= 4) & (F.col("__qc") == F.col("__tc")), fixed(F.lit(COMPACT), "compact"))
+        .when((F.size("__q") == 0) | (F.size("__t") == 0), fixed(F.least(F.lit(NO_WORDS), F.col("__tri")), "no words", F.array(F.lit("no_anchor"))))
+        .otherwise(F.struct(F.round(F.least(F.col("__best.score"), least), 6).alias("score"), F.col("__best.path").alias("path"), F.transform("__caps", lambda c: c["name"]).alias("caps")))
+    )
+    scored = held.withColumn("__r", result)
+    return scored.select(*[F.col(f"`{c}`") for c in pairs.columns], F.col("__r.score").alias("score"), F.col("__r.path").alias("path"), F.col("__r.caps").alias("caps"))
+
+
+def collapsed(own: Column, other: Column, name: Column, translated: Column, path: Column) -> Column:
+    """The score of a translated name, capped where the translation is but the name itself, or a rest of it.
+
+    own, other: scores of the name and of its translation; path: how the latter came about.
+    """
+    n, t = X.compact(name), X.compact(translated)
+    words = F.split(X.normalize(translated), " ", -1)
+    near = P.difference_ratio(n, t) >= 0.72
+    exactish = path.isin("exact", "compact") | (other >= 0.90)
+    short = (F.size(words) == 1) & (F.length(t) <= 3) & (F.length(n) > F.length(t)) & (path == "exact") & (F.contains(n, t) | ((F.length(n) <= 4) & near))
+    rest = (F.length(t) >= 4) & ((F.contains(n, t) & (F.length(n) - F.length(t) >= 3)) | ((F.length(n) >= 4) & near))
+    return (
+        F.when((n == "") | (t == ""), other)
+        .when(n == t, F.least(own, other))
+        .when(exactish & short, F.least(other, F.greatest(own, F.lit(0.45))))
+        .when(exactish & rest, F.least(other, F.greatest(own, F.lit(0.70))))
+        .otherwise(other)
     )
-    return held.withColumn("__r", result).select(*[F.col(f"`{c}`") for c in pairs.columns], F.col("__r.score").alias("score"), F.col("__r.path").alias("path"))
+
+
+def score_translated(pairs: DataFrame, a: str, b: str, translated: str, stats: DataFrame, translated_stats: DataFrame) -> DataFrame:
+    """pairs with score, path, caps and source: of b or, where that is strictly more alike, of its translation.
+
+    A null or blank translation does not count. Each of the two scores uses the statistics of its own corpus of words.
+    """
+    kept = [F.col(f"`{c}`") for c in pairs.columns]
+    own = score_pairs(pairs, a, b, stats).select(*kept, F.struct("score", "path", "caps", F.lit("original").alias("source")).alias("__own"))
+    both = score_pairs(own, a, translated, translated_stats)
+    there = F.trim(F.coalesce(F.col(f"`{translated}`"), F.lit(""))) != ""
+    value = F.when(there, collapsed(F.col("__own.score"), F.col("score"), F.col(f"`{b}`"), F.col(f"`{translated}`"), F.col("path"))).otherwise(0.0)
+    other = F.struct(F.round(value, 6).alias("score"), "path", "caps", F.lit("translated").alias("source"))
+    chosen = both.withColumn("__r", F.when(value > F.col("__own.score"), other).otherwise(F.col("__own")))
+    return chosen.select(*kept, "__r.score", "__r.path", "__r.caps", "__r.source")
+
+
+def hybrid_risk(scored: DataFrame, a: str, b: str, clip: str = "clip", dino: str = "dino", ocr: str = "ocr", has_ocr: str = "has_ocr", plain_a: str = "plain_a", plain_b: str = "plain_b") -> DataFrame:
+    """Rows of score_pairs() or score_translated() with visual (guarded similarity of the logos), total and risk_level.
+
+    clip, dino and ocr are the logos' similarities by two models and by the text read from them, has_ocr whether both
+    bear text; plain_a and plain_b tell a logo that is but a written name. Nulls are 0 or false.
+    """
+    c, d, o = F.col(clip), F.col(dino), F.col(ocr)
+    raw = V.unit(S.visual_score(c, d, o, F.coalesce(F.col(has_ocr), F.lit(False))))
+    agreement = F.greatest(F.col("score"), X.trigram_similarity(F.col(a), F.col(b)), V.unit(o))
+    guarded = scored.withColumn("__raw", raw).withColumn("visual", F.round(V.plain_wordmark(F.col("__raw"), agreement, F.col(plain_a), F.col(plain_b)), 6))
+    marked = lambda *names: F.arrays_overlap("caps", F.array(*[F.lit(n) for n in names]))
+    short = marked("short_inexact")
+    total = V.with_text(F.col("score"), F.col("visual"), c, d, o, marked(*WEAK), short, short, F.col("visual") < F.round("__raw", 6))
+    return guarded.withColumn("total", total).withColumn("risk_level", S.risk_level(F.col("total"))).drop("__raw")
 
 
 #: Weight of a word by its class in the multilevel similarity, and the least ratio of words that match.

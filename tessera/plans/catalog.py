@@ -431,13 +431,16 @@ def q8(spark, sf):
     return retrieval.fuzzy_names(read(spark, sf, "part"), "blue gadget", "p_partkey", "p_name")
 
 
-@query("q1_staged_candidates", f"""WITH n AS (SELECT p_partkey AS id, p_name AS n, {NORM.format('p_name')} AS norm, {GRAMS.format('p_name')} AS g, {GRAMS.format("'Red Widget'")} AS q FROM part),
+STAGED = f"""n AS (SELECT p_partkey AS id, p_name AS n, {NORM.format('p_name')} AS norm, {GRAMS.format('p_name')} AS g, {GRAMS.format("'Red Widget'")} AS q FROM part),
  s AS (SELECT *, replace(norm, ' ', '') AS c, {jaccard_sql('g', 'q')} AS sim, len(list_intersect(list_distinct(string_split(norm, ' ')), ['red', 'widget'])) AS shared FROM n),
  x AS (SELECT * FROM (SELECT id, 1.0::DOUBLE AS score, 0 AS stage_no FROM s WHERE norm = 'red widget' ORDER BY id LIMIT 25)
  UNION ALL SELECT * FROM (SELECT id, 0.98::DOUBLE, 1 FROM s WHERE c = 'redwidget' ORDER BY id LIMIT 80)
  UNION ALL SELECT * FROM (SELECT id, round(least(length(c), 9)::DOUBLE / greatest(length(c), 9), 6) AS score, 2 FROM s WHERE c <> '' AND (contains(c, 'redwidget') OR contains('redwidget', c)) ORDER BY score DESC, id LIMIT 60)
  UNION ALL SELECT * FROM (SELECT id, round(shared / 2.0::DOUBLE, 6) AS score, 3 FROM s WHERE shared > 0 ORDER BY score DESC, id LIMIT 100)
- UNION ALL SELECT * FROM (SELECT id, round(sim, 6) AS score, 4 FROM s WHERE sim >= 0.3 AND lower(n) <> 'red widget' ORDER BY score DESC, id LIMIT 120))
+ UNION ALL SELECT * FROM (SELECT id, round(sim, 6) AS score, 4 FROM s WHERE sim >= 0.3 AND lower(n) <> 'red widget' ORDER BY score DESC, id LIMIT 120))"""
+
+
+@query("q1_staged_candidates", f"""WITH {STAGED}
  SELECT id, min(stage_no) AS stage_no, min_by(score, stage_no) AS score, array_to_string(list(CAST(stage_no AS VARCHAR) ORDER BY stage_no), ',') AS stages FROM x GROUP BY id""")
 def q1(spark, sf):
     found = retrieval.staged(read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "Red Widget")

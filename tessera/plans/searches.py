@@ -14,9 +14,10 @@ from tessera.functions import phonetic as P
 from tessera.functions import scores as S
 from tessera.functions import status as ST
 from tessera.functions import text as X
+from tessera.functions import visual as V
 from tessera.operators import corpus, feeds, merge, retrieval, rows, scoring, search
 from tessera.plans.catalog import AS_OF, GRAMS, TM, jaccard_sql, query, read, trademarks
-from tessera.plans.registry import as_of
+from tessera.plans.registry import RISK, SCORED, as_of
 
 MK = r"""mk AS (SELECT doc_id AS id, translate(array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')[1:3], ' '), 'sogSOG', 'şöğŞÖĞ') AS name, source AS holder, lang,
  [CAST(doc_id % 45 + 1 AS INTEGER), CAST(doc_id * 7 % 45 + 1 AS INTEGER)] AS classes, DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER) AS day,
@@ -294,6 +295,48 @@ def x14(spark, sf):
     return scoring.multilevel(names, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"))
 
 
+#: Logo signals of a mark: odd divisors keep totals off the borders of rounding.
+SIGNALS = "sg AS (SELECT id, name, (id % 97) / 97.0::DOUBLE AS c, (id % 89) / 89.0::DOUBLE AS d, (id % 83) / 83.0::DOUBLE AS o, id % 3 > 0 AS has, id % 5 = 0 AS pa, id % 4 = 0 AS pb FROM mk)"
+
+
+def signals(m: DataFrame) -> DataFrame:
+    k = F.col("id")
+    return m.select(
+        "id", "name", (k % 97 / F.lit(97.0)).alias("clip"), (k % 89 / F.lit(89.0)).alias("dino"), (k % 83 / F.lit(83.0)).alias("ocr"),
+        (k % 3 > 0).alias("has_ocr"), (k % 5 == 0).alias("plain_a"), (k % 4 == 0).alias("plain_b"),
+    )
+
+
+@query("q3_hybrid_risk", f"""WITH RECURSIVE {MK}, {SIGNALS}, pr AS (SELECT id, 'Ander the thing' AS a, name AS b FROM mk), {SCORED},
+ tx AS (SELECT scored.*, name, c, d, o, pa, pb, has, greatest(score, tri, o) AS e FROM scored JOIN sg USING (id) JOIN (SELECT id, tri FROM sm) USING (id)),
+ rw AS (SELECT *, coalesce((0.45::DOUBLE * c + 0.35::DOUBLE * d + CASE WHEN has THEN 0.15::DOUBLE * o ELSE 0 END) / nullif(CASE WHEN c <> 0 THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN d <> 0 THEN 0.35 ELSE 0 END::DOUBLE + CASE WHEN has THEN 0.15 ELSE 0 END::DOUBLE, 0), 0) AS raw FROM tx),
+ gu AS (SELECT *, round(CASE WHEN (pa OR pb) AND e < 0.78 AND raw > lim THEN round(lim, 4) ELSE raw END, 6) AS v, o >= 0.78 AS so, o >= 0.78 OR (c >= 0.9 AND d >= 0.9) AS sure
+  FROM (SELECT *, CASE WHEN pa AND pb THEN 0.35::DOUBLE + 0.10::DOUBLE * least(1, e / 0.78::DOUBLE) ELSE 0.45::DOUBLE + 0.10::DOUBLE * least(1, e / 0.78::DOUBLE) END AS lim FROM rw)),
+ fl AS (SELECT *, weak AND v > 0 AS w, short AND v > 0 AND (v < 0.8 OR NOT sure) AS l, short AND v > 0 AND NOT sure AS s FROM gu),
+ bs AS (SELECT *, CASE WHEN w THEN 0 ELSE score END AS t FROM fl),
+ tt AS (SELECT *, round(least(1, greatest(t, v) + CASE WHEN l OR s OR v < round(raw, 6) THEN 0 WHEN least(t, v) >= 0.40 THEN least(0.08::DOUBLE, least(t, v) * 0.10::DOUBLE) ELSE least(0.03::DOUBLE, least(t, v) * 0.05::DOUBLE) END), 4) AS t0 FROM bs),
+ wk AS (SELECT *, CASE WHEN NOT w THEN t0 WHEN v < 0.8 THEN least(t0, round(0.20::DOUBLE + 0.25::DOUBLE * v / 0.8::DOUBLE, 4)) WHEN v < 0.9 AND NOT so THEN least(t0, round(0.55::DOUBLE + 0.14::DOUBLE * (v - 0.8::DOUBLE) / 0.1::DOUBLE, 4))
+  WHEN v >= 0.9 AND NOT sure THEN least(t0, round(0.66::DOUBLE + 0.03::DOUBLE * (v - 0.9::DOUBLE) / 0.1::DOUBLE, 4)) ELSE t0 END AS t1 FROM tt),
+ lm AS (SELECT *, CASE WHEN NOT l THEN t1 WHEN v < 0.8 THEN least(t1, round(0.58::DOUBLE + 0.08::DOUBLE * v / 0.8::DOUBLE, 4)) ELSE least(t1, round(0.62::DOUBLE + 0.07::DOUBLE * (v - 0.8::DOUBLE) / 0.2::DOUBLE, 4)) END AS t2 FROM wk),
+ fi AS (SELECT *, CASE WHEN s THEN least(t2, 0.58::DOUBLE) ELSE t2 END AS total FROM lm)
+ SELECT id, score AS text, v AS visual, total, {RISK.replace('score', 'total')} AS risk_level FROM fi""")
+def q3(spark, sf):
+    """Every mark against one: the names' score and the logos', under the guards that tie one to the other."""
+    pairs = signals(marks(spark, sf)).withColumn("query", F.lit("Ander the thing"))
+    scored = scoring.score_pairs(pairs, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"))
+    return scoring.hybrid_risk(scored, "query", "name").select("id", F.col("score").alias("text"), "visual", "total", "risk_level")
+
+
+@query("q3_image_only", f"""WITH {MK}, {SIGNALS}, n AS (SELECT *, greatest(c, d) AS hi, CASE WHEN c > 0 AND d > 0 THEN least(c, d) ELSE greatest(c, d) END AS lo, CASE WHEN c > 0 AND d > 0 THEN (c + d) / 2 ELSE c + d END AS mean, greatest(c, d, o) AS v FROM sg)
+ SELECT id, round(CASE WHEN hi = 0 OR has AND pa THEN v WHEN c > 0 AND d > 0 AND lo >= 0.88 AND mean >= 0.88 THEN v
+  WHEN c > 0 AND d > 0 AND NOT pb AND ((hi >= 0.84 AND lo >= 0.72 AND mean >= 0.78) OR (hi >= 0.81 AND lo >= 0.74 AND mean >= 0.765 AND hi - lo <= 0.10)) THEN least(v, 0.84::DOUBLE)
+  ELSE least(v, 0.50::DOUBLE + 0.18::DOUBLE * (0.5::DOUBLE * least(1, mean / 0.88::DOUBLE) + 0.4::DOUBLE * least(1, lo / 0.88::DOUBLE) + 0.1::DOUBLE * least(1, o / 0.78::DOUBLE))) END, 4) AS visual FROM n""")
+def q3b(spark, sf):
+    c, d, o = F.col("clip"), F.col("dino"), F.col("ocr")
+    guarded = V.image_only(F.greatest(c, d, o), c, d, o, F.col("has_ocr") & F.col("plain_a"), ~F.col("plain_b"))
+    return signals(marks(spark, sf)).select("id", F.round(guarded, 4).alias("visual"))
+
+
 # ---- feeds -----------------------------------------------------------------------------------------------------------
 
 EV = "ev AS (SELECT event_id, user_id AS id, CASE event_type WHEN 'click' THEN 'cancellation' WHEN 'purchase' THEN 'transfer' WHEN 'error' THEN 'bankruptcy' WHEN 'view' THEN 'merger' ELSE 'renewal' END AS event_type, CAST(ts AS DATE) AS event_date FROM events)"

@@ -11,7 +11,7 @@ from tessera.operators import scoring
 from tessera.plans import catalog, registry  # noqa: F401  registry adds to the catalog
 
 CLASSES = {"group": "generic", "house": "semi_generic", "and": "generic"}
-NAMES = ["Nike", "nike", "Ni ke", "Nikee", "Nike Group", "Group", "House", "Blue House", "Blue Horse", "Blue Horse Group", "blue and red", "Redd Bluee", "", "!", "x", "Kuzey Yıldızı", "KUZEY YILDIZ", "house and group"]
+NAMES = ["Nike", "nike", "Ni ke", "Nikee", "Nike Group", "Group", "House", "Blue House", "Blue Horse", "Blue Horse Group", "blue and red", "Redd Bluee", "Reda Blue", "Pearl Nikes", "Pearle House", "", "!", "x", "Kuzey Yıldızı", "KUZEY YILDIZ", "house and group"]
 
 
 def levenshtein(a, b):
@@ -46,7 +46,7 @@ def brute(qn, tn, tri):
             r = min(r, 0.69)
         return r if r >= 0.84 else r * 0.95 if r >= 0.74 and min(len(a), len(b)) >= 4 else 0.0
 
-    left, own, other, good, hits = list(t), 0.0, 0.0, 0.0, []
+    left, own, other, good, hits, met = list(t), 0.0, 0.0, 0.0, [], []
     for w in q:
         if left:
             sim, _, mate = max((near(w, y), -weight(y), y) for y in left)
@@ -54,6 +54,8 @@ def brute(qn, tn, tri):
                 left.remove(mate)
                 own, other, good = own + weight(w), other + weight(mate), good + weight(w) * sim
                 hits.append(weight(w))
+                if max(weight(w), weight(mate)) > 0.10:
+                    met.append((w, mate))
     recall, precision = own / sum(map(weight, q)), other / sum(map(weight, t))
     aligned = 2 * recall * precision / (recall + precision) * (0.8 + 0.2 * good / own) if own else 0.0
     inside = 0.0
@@ -67,6 +69,11 @@ def brute(qn, tn, tri):
     distinctive, semi = sum(weight(w) == 1 for w in q), sum(weight(w) == 0.65 for w in q)
     found = sum(h == 1 for h in hits)
     cap = 0.18 if not distinctive + semi else 0.18 if hits and not anchors else 0.45 if not distinctive else 0.55 if not found else 0.69 if found < distinctive else 1.0
+    if len(met) == 1 and met[0][0] != met[0][1] and min(map(len, met[0])) <= 4 and len(q) + len(t) > 2:
+        cap = min(cap, 0.58)
+    heavy = [w for w in qn.split() if len(w) > 1 and weight(w) > 0.10]
+    if len(set(heavy)) > 1 and anchors and heavy[0] not in [w for w, _ in met]:
+        cap = min(cap, 0.62)
     return min(cap, max(aligned, inside, spelled))
 
 
@@ -91,3 +98,45 @@ def test_brand_risk_query(spark, sf):
     rows = catalog.QUERIES["q4_brand_risk"](spark, sf).collect()
     assert 0 < len(rows) <= 100 and rows == sorted(rows, key=lambda r: (-r.score, r.id))
     assert all((r.score == 1.0) == (r.name == "red widget") for r in rows)
+
+
+def test_translations_count_where_more_alike(spark):
+    stats = spark.createDataFrame(list(CLASSES.items()), "word string, word_class string")
+    told = [
+        ("Blue Horse", "Mavi At", "blue horse"),  # a translation
+        ("Blue Horse", "Blue Horse", "Blue Horse"),  # the name itself: nothing gained
+        ("Bluehorse", "Bluehorses inn", "bluehorse"),  # a rest of the name: at most 0.70 or the name's own score
+        ("Ox", "Oxa", "ox"),  # short, and near the name
+        ("Blue Horse", "Mavi At", None),
+        ("Blue Horse", "Mavi At", "  "),
+        (None, "Mavi At", "mavi at"),
+        ("Blue Horse", None, "blue horse"),
+    ]
+    pairs = spark.createDataFrame([(i, *t) for i, t in enumerate(told)], "id int, a string, b string, tr string")
+    rows = {r.id: r for r in scoring.score_translated(pairs, "a", "b", "tr", stats, stats).collect()}
+    own = {r.id: r.score for r in scoring.score_pairs(pairs, "a", "b", stats).collect()}
+    assert len(rows) == len(told)
+    assert (rows[0].score, rows[0].source, rows[0].path) == (1.0, "translated", "exact")
+    assert (rows[1].score, rows[1].source) == (1.0, "original")
+    assert rows[2].score == max(own[2], 0.70)
+    assert rows[3].score == max(own[3], 0.45) < 1
+    assert all(rows[i].source == "original" and rows[i].score == own[i] for i in (4, 5, 6))
+    assert (rows[7].score, rows[7].source) == (1.0, "translated")
+
+
+def test_logos_and_names(spark):
+    given = [
+        # text, clip, dino, ocr, has_ocr, plain_a, plain_b, caps -> visual, total
+        ((0.9, 0.9, 0.9, 0.0, False, False, False, []), 0.9, 0.98),  # two signals that agree
+        ((0.2, 0.9, 0.9, 0.0, False, True, True, []), 0.35 + 0.1 * 0.2 / 0.78, 0.3756),  # written names that differ
+        ((0.55, 0.5, 0.5, 0.0, False, False, False, ["no_distinctive"]), 0.5, 0.20 + 0.25 * 0.5 / 0.8),  # the logo alone, capped
+        ((0.55, 0.95, 0.95, 0.0, False, False, False, ["no_distinctive"]), 0.95, 0.95),  # the logo alone, confirmed
+        ((0.58, 0.6, 0.6, 0.0, False, False, False, ["short_inexact"]), 0.6, 0.58),  # short and inexact
+        ((0.5, None, None, None, None, None, None, []), 0.0, 0.5),  # no logo
+    ]
+    rows = [(i, "alpha", "omega", *g[:1], "x", g[7], *g[1:7]) for i, (g, _, _) in enumerate(given)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, score double, path string, caps array<string>, clip double, dino double, ocr double, has_ocr boolean, plain_a boolean, plain_b boolean")
+    got = {r.id: r for r in scoring.hybrid_risk(df, "a", "b").collect()}
+    for i, (_, visual, total) in enumerate(given):
+        assert (got[i].visual, got[i].total) == (pytest.approx(visual, abs=1e-4), pytest.approx(total, abs=1e-4)), i
+    assert got[0].risk_level == "critical"
