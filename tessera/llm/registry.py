@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .bpe import op10_bpe_speculate_verify
 from .chat import op7_chat_prefix_targets
+from .fingerprint import op13_weighted_sampling
 from .html import op1_dom_tree_extraction
+from .kmeans import op11_weighted_lloyd
+from .merkle import op12_merkle_manifest
 from .neardup import op9_probminhash_near_dedup
 from .packing import op5_order_preserving_packing
 from .pii import op8_pii_surrogates
@@ -27,6 +30,9 @@ def queries() -> dict:
         op8_pii_surrogates,
         op9_probminhash_near_dedup,
         op10_bpe_speculate_verify,
+        op11_weighted_lloyd,
+        op12_merkle_manifest,
+        op13_weighted_sampling,
     ]
     return {f.__name__: f for f in found}
 

@@ -1,7 +1,7 @@
 """Equals in SQL (DuckDB) of the queries that SQL can express, written from the contracts and not from the operators.
 
-op1, op5, op8 and op10 rest on a trained model, a tokenizer or keyed draws until no clash is left; tests hold them
-against plain versions.
+op1, op5, op8, op10 and op13 rest on a trained model, a tokenizer, keyed draws until no clash is left or hashed samples;
+tests hold them against plain versions.
 """
 
 from __future__ import annotations
@@ -68,7 +68,40 @@ NEAR = f"""WITH RECURSIVE x AS MATERIALIZED (SELECT text, row_number() OVER (ORD
  k AS (SELECT node, min(d.doc_id) AS class_id FROM r JOIN x ON x.tid = r.other JOIN documents d ON d.text = x.text GROUP BY node)
  SELECT d.doc_id, CASE WHEN d.text IS NULL THEN d.doc_id ELSE k.class_id END AS class_id FROM documents d LEFT JOIN x ON x.text = d.text LEFT JOIN k ON k.node = x.tid"""
 
+# one round of assignment, and one of moving, as often as there are rounds
+_ASSIGN = """a{0} AS MATERIALIZED (SELECT row, min(struct_pack(d := d, c := c)) AS best FROM (SELECT v.row, k.c, list_sum(list_transform(list_zip(v.q, k.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{0} k) GROUP BY row)"""
+_MOVE = """c{1} AS MATERIALIZED (SELECT k.c, coalesce(m.q, k.q) AS q FROM c{0} k LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM
+   (SELECT a.best.c AS c, i, sum(v.q[i]) AS s, count(*) AS n FROM a{0} a JOIN v USING (row), range(1, 65) AS r(i) GROUP BY ALL) GROUP BY c) m USING (c))"""
+LLOYD = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 8)),
+ {", ".join(f"{_ASSIGN.format(i)}, {_MOVE.format(i, i + 1)}" for i in range(10))}, {_ASSIGN.format(10)}
+ SELECT v.vec_id, k.c::INTEGER AS cluster, a.best.d AS distance, (sum(a.best.d) OVER (PARTITION BY k.c))::BIGINT AS cluster_inertia, (sum(a.best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(k.q, ',')) AS centroid_sha256 FROM v JOIN a10 a USING (row) JOIN c10 k ON k.c = a.best.c"""
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+_CRC_OF = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode({{0}})), '(.)(.)', '\\2\\1', 'g'), ''), lambda x: strpos('0123456789ABCDEF', x)::BIGINT - 1)), lambda r, x: xor(r >> 4, {_CRC}[xor(r & 15, x) + 1]::BIGINT)))"
+_UP = "SELECT {0}, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {1} WHERE n > 1 GROUP BY {0}, lvl, pos // 2, n"
+_SIBLING = "SELECT {0}, lvl, pos, h, lag(h) OVER w AS l, lead(h) OVER w AS r, n FROM {1} WINDOW w AS (PARTITION BY {0}, lvl, pos // 2 ORDER BY pos)"
+MERKLE = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf,
+   {_LEAF.format(f"(n_chars + CASE WHEN {_CRC_OF.format('doc_id::VARCHAR')} % 7 = 0 THEN 1 ELSE 0 END)")} AS altered FROM documents),
+ o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+ t AS (SELECT tree, 0 AS lvl, pos, leaf AS h, n FROM o UNION ALL {_UP.format("tree", "t")}),
+ s AS MATERIALIZED (SELECT tree, h FROM t WHERE n = 1),
+ u AS (SELECT 0 AS top, 0 AS lvl, tree AS pos, h, (SELECT count(*) FROM s) AS n FROM s UNION ALL {_UP.format("top", "u")}),
+ a AS MATERIALIZED ({_SIBLING.format("tree", "t")}), b AS MATERIALIZED ({_SIBLING.format("top", "u")}),
+ x AS (SELECT doc_id, tree, pos AS own, 0 AS lvl, pos, altered AS h, leaf, '' AS proof, true AS low FROM o UNION ALL
+  SELECT x.doc_id, x.tree, x.own, CASE WHEN low AND a.n = 1 THEN 0 ELSE x.lvl + 1 END, CASE WHEN low AND a.n = 1 THEN x.tree ELSE x.pos // 2 END,
+   CASE WHEN low AND a.n = 1 THEN x.h ELSE sha256(coalesce(coalesce(a.l, b.l), '') || x.h || coalesce(coalesce(a.r, b.r), '')) END, x.leaf,
+   CASE WHEN low AND a.n = 1 THEN x.proof ELSE x.proof || coalesce(coalesce(a.l, b.l), '') || coalesce(coalesce(a.r, b.r), '') END, low AND a.n > 1
+  FROM x LEFT JOIN a ON low AND a.tree = x.tree AND a.lvl = x.lvl AND a.pos = x.pos LEFT JOIN b ON NOT low AND b.lvl = x.lvl AND b.pos = x.pos WHERE low OR b.n > 1),
+ e AS (SELECT x.* FROM x JOIN b ON NOT low AND b.lvl = x.lvl AND b.pos = x.pos WHERE b.n = 1)
+ SELECT e.doc_id, e.leaf, s.h AS subroot, w.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = w.h AS verified FROM e JOIN s USING (tree), (SELECT h FROM u WHERE n = 1) w"""
+
 SQL = {
+    "op11_weighted_lloyd": LLOYD,
+    "op12_merkle_manifest": MERKLE,
     "op2_bit_sliced_topk": TOPK,
     "op3_warc_zstd": WARC,
     "op4_quality_ledger": QUALITY,
