@@ -81,7 +81,7 @@ def descriptors(docs: DataFrame, text: str, holder: str, classes: str, least: in
     frequent = base.select("word")
     of_class = live.select(F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("word"), classes).join(frequent, "word")
     n_classes = of_class.select("word", F.explode(classes).alias("c")).groupBy("word").agg(F.count_distinct("c").alias("n_classes"))
-    partners = partner_counts(docs, text)
+    partners = partner_counts(docs, text, frequent)
     hits = compound_hits(docs, text, frequent)
     zero = lambda c: F.coalesce(c, F.lit(0))
     p = base.join(n_classes, "word", "left").join(partners, "word", "left").join(hits, "word", "left").select(
@@ -103,11 +103,25 @@ def descriptors(docs: DataFrame, text: str, holder: str, classes: str, least: in
     enough = lambda c, least, share: F.col(c) >= F.greatest(F.lit(least), F.floor(d * share))
     spread = enough("partners", 80, 0.45) & enough("holders", 50, 0.30) & (F.col("n_classes") >= 8)
     suffix = (F.col("last") >= STRONG_SUFFIX) | ((F.col("last") >= SOME_SUFFIX) & spread) | enough("hits", 15, 0.02)
+    flags = [F.col("last") >= STRONG_SUFFIX, F.col("first") <= FIRST_RATE, F.col("single") <= SINGLE_RATE, (F.col("last") >= SOME_SUFFIX) & spread, enough("hits", 15, 0.02)]
+    p = p.withColumn("signals", sum((f.cast("int") for f in flags[1:]), flags[0].cast("int")))
     return p.withColumn("score", score).withColumn("descriptor_like", (F.col("score") >= SCORE) & (F.col("first") <= FIRST_RATE) & (F.col("single") <= SINGLE_RATE) & suffix)
 
 
-def partner_counts(docs: DataFrame, text: str) -> DataFrame:
-    """Per word the number of distinct other words it shares a short text with."""
-    words = docs.select(X.token_set(F.col(text)).alias("ws"))
-    pairs = words.select(F.explode("ws").alias("word"), "ws").select("word", F.explode("ws").alias("partner")).where("word <> partner").distinct()
+def partner_counts(docs: DataFrame, text: str, words: DataFrame | None = None) -> DataFrame:
+    """Per word, or per one of `words`, the number of distinct other words it shares a text with.
+
+    A word that nobody asks for is dropped before its partners are made; pairs are told apart before they are counted.
+    """
+    texts = docs.select(X.token_set(F.col(text)).alias("ws"))
+    first = texts.select(F.explode("ws").alias("word"), "ws")
+    if words is not None:
+        first = first.join(words.select("word"), "word", "left_semi")
+    pairs = first.select("word", F.explode("ws").alias("partner")).where("word <> partner").distinct()
     return pairs.groupBy("word").agg(F.count("*").alias("unique_partner_count"))
+
+
+def lexical_statistics(docs: DataFrame, text: str, holder: str, classes: str, least: int | None = None) -> DataFrame:
+    """word_statistics() with the profile of descriptors() where a word is frequent enough: what lexicon.roles() asks for."""
+    profile = descriptors(docs, text, holder, classes, least).select("word", "first", "last", "single", "signals", "score", "descriptor_like")
+    return word_statistics(docs, text).join(profile, "word", "left")

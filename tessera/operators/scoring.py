@@ -1,7 +1,8 @@
-"""Lexical score of name pairs: words aligned by weight, containment, spelling, and caps where the anchors are missing.
+"""Lexical score of name pairs: words aligned by weight, containment, spelling, sound and copied cores, under caps.
 
-Words are weighted by their class in the corpus. The alignment of two names is one built-in aggregate over the words
-of the first, so a pair is scored inside the JVM; a pair is a row, and pairs come from joins on blocking keys.
+A word's role in the corpus decides its weight; words that differ are compared once per distinct pair of words and
+joined in. The alignment of two names is one built-in aggregate over the words of the first, and everything after it
+is columns, so a pair of names is a row that never leaves the JVM but for its ratios and sounds.
 """
 
 from __future__ import annotations
@@ -15,71 +16,65 @@ from tessera.functions import phonetic as P
 from tessera.functions import scores as S
 from tessera.functions import text as X
 from tessera.functions import visual as V
+from tessera.operators import lexicon, retrieval
+from tessera.operators.lineage import cut
 
-# fixed values: weight of a word by its class; floors, ceilings and caps of scores
-WEIGHTS = {"distinctive": 1.0, "semi_generic": 0.65, "generic": 0.10}
+# fixed values: scores of equal names, and caps by name
 EXACT, COMPACT, NO_WORDS = 1.0, 0.96, 0.45
-GENERIC_ONLY, MISSING_ANCHOR, SEMI_ONLY, NO_DISTINCTIVE, SOME_DISTINCTIVE = 0.18, 0.18, 0.45, 0.55, 0.69
-SHORT_INEXACT, NO_FIRST_ANCHOR, NO_ANCHOR = 0.58, 0.62, 0.45
-#: Caps of a text score that gives way to the logo's.
-WEAK = ["generic_only", "missing_anchor", "no_distinctive", "no_first_anchor", "no_anchor"]
+CAPS = {
+    "generic_only": 0.18, "missing_anchor": 0.18, "contained_without_anchor": 0.18, "semi_only": 0.45, "no_distinctive": 0.55, "some_distinctive": 0.69,
+    "no_common": 0.18, "some_common": 0.69, "short_inexact": 0.58, "short_anchor": 0.45, "no_first_anchor": 0.62, "no_anchor": 0.45,
+}
+#: Floor and ceiling of caps that rest on evidence.
+ADDED = {
+    "single_short_anchor": (0.80, 0.84), "single_anchor": (0.66, 0.78), "distinctive_extra": (0.80, 0.84), "single_weak_extra": (0.66, 0.78), "semi_extra": (0.80, 0.88),
+    "changed_on_both_sides": (0.44, 0.58), "asymmetric": (0.58, 0.68), "changed_rest": (0.65, 0.78), "partial_core": (0.50, 0.78),
+}
+WEAK_ANCHOR = {True: (0.50, 0.65), False: (0.42, 0.58)}  # by whether the match is exact
+ACRONYM, INEXACT = (0.68, 0.82), {("phonetic", True): (0.42, 0.58), ("phonetic", False): (0.54, 0.68), ("fuzzy", True): (0.46, 0.62), ("fuzzy", False): (0.56, 0.68)}  # by kind and fragment
+#: Caps of a text score that gives way to the logo's, and of one that the logo lifts only so far.
+WEAK = ["generic_only", "missing_anchor", "contained_without_anchor", "no_common", "no_distinctive", "no_first_anchor", "short_anchor", "no_anchor"]
+LIMITED = ["changed_on_both_sides", "asymmetric", "single_weak_extra", "inexact_anchor", "weak_shared_anchor", "short_inexact", "acronym"]
 
+#: Every cap that a score may bear.
+NAMED_CAPS = [*CAPS, *ADDED, "weak_shared_anchor", "acronym", "inexact_anchor"]
+#: A pool whose best score is below asks for fresh candidates.
+LIVE = 0.75
 
-def weighted_words(names: DataFrame, name: str, stats: DataFrame) -> DataFrame:
-    """(name, words) of every distinct name: its distinct words as structs of (less, t), the weightiest first.
+_MATCH = "array<struct<x: string, y: string, kind: string, sim: double, fuzzy: double, xw: double, yw: double, xr: string, yr: string>>"
 
-    less is the negative weight, so that the natural order of the structs is the order of the alignment. Words that
-    the statistics (word, word_class) do not know are distinctive.
-    """
-    classes = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    known = stats.select("word", classes[F.col("word_class")].alias("weight"))
-    words = names.select(F.col(name).alias("name")).distinct().select("name", F.explode_outer(X.token_set(F.col("name"))).alias("word"))
-    weighed = words.join(known, "word", "left").select("name", F.when(F.col("word").isNotNull(), F.struct((-F.coalesce("weight", F.lit(1.0))).alias("less"), F.col("word").alias("t"))).alias("w"))
-    return weighed.groupBy("name").agg(F.sort_array(F.collect_list("w")).alias("words"))
-
-
-def word_similarity(x: Column, y: Column) -> Column:
-    """Of two weighted words: 1 if equal, 0 if one alone is generic, else the edit ratio where it is high enough."""
-    a, b = x["t"], y["t"]
-    generic = F.lit(-WEIGHTS["generic"])
-    within = F.contains(a, b) | F.contains(b, a)
-    ratio = F.when(within, F.least(X.edit_ratio(a, b), F.lit(0.69))).otherwise(X.edit_ratio(a, b))
-    return (
-        F.when(a == b, 1.0)
-        .when((x["less"] == generic) != (y["less"] == generic), 0.0)
-        .when(ratio >= 0.84, ratio)
-        .when((ratio >= 0.74) & (F.least(F.length(a), F.length(b)) >= 4), ratio * 0.95)
-        .otherwise(0.0)
-    )
+
+def anchor(role: Column) -> Column:
+    return ~lexicon.generic(role)
 
 
-def align(q: Column, t: Column) -> Column:
-    """Greedy alignment: each word of q in turn takes the most similar free word of t, if that is similar by 0.70.
+def _short(w: Column) -> Column:
+    return anchor(w["role"]) & (F.length(w["t"]) <= 2)
 
-    Returns struct<left, own, other, good, distinctive, anchors, plain, hits>: free words of t; weights of the matched
-    words of q and of t; the former times similarity; numbers of matched distinctive, non-generic and generic words;
-    and the matches (w, y) with a word that is not generic on either side.
+
+def align(q: Column, t: Column, sims: Column) -> Column:
+    """Greedy alignment: each word of q in turn takes itself among the free words of t, else the most alike by sims.
+
+    sims: (x, y, fuzzy, sim, kind) of the words that match at all; ties go to the greater (sim, weightier y). Returns
+    struct<left, hits, shy>: free words of t, matches, and whether an anchor of one or two letters met another word.
     """
-    zero = F.lit(0.0)
-    none = F.array().cast("array<struct<w: string, y: string>>")
-    start = F.struct(t.alias("left"), zero.alias("own"), zero.alias("other"), zero.alias("good"), F.lit(0).alias("distinctive"), F.lit(0).alias("anchors"), F.lit(0).alias("plain"), none.alias("hits"))
+    start = F.struct(t.alias("left"), F.array().cast(_MATCH).alias("hits"), F.lit(False).alias("shy"))
 
     def step(s: Column, x: Column) -> Column:
-        best = F.array_max(F.transform(s["left"], lambda y: F.struct(word_similarity(x, y).alias("sim"), y.alias("y"))))
-        one = lambda on: F.when(on, 1).otherwise(0)
-        plain = x["less"] == -WEIGHTS["generic"]
-        took = lambda b: F.struct(
-            F.filter(s["left"], lambda y: y["t"] != b["y"]["t"]).alias("left"),
-            (s["own"] - x["less"]).alias("own"),
-            (s["other"] - b["y"]["less"]).alias("other"),
-            (s["good"] - x["less"] * b["sim"]).alias("good"),
-            (s["distinctive"] + one(x["less"] == -WEIGHTS["distinctive"])).alias("distinctive"),
-            (s["anchors"] + one(~plain)).alias("anchors"),
-            (s["plain"] + one(plain)).alias("plain"),
-            F.when(plain & (b["y"]["less"] == -WEIGHTS["generic"]), s["hits"]).otherwise(F.array_append(s["hits"], F.struct(x["t"].alias("w"), b["y"]["t"].alias("y")))).alias("hits"),
-        )
+        same = F.exists(s["left"], lambda y: y["t"] == x["t"])
+        # the match in sims of each free word, if there is one
+        found = F.transform(s["left"], lambda y: F.struct(F.get(F.filter(sims, lambda m: (m["x"] == x["t"]) & (m["y"] == y["t"])), F.lit(0)).alias("m"), y.alias("y")))
+        best = F.array_max(F.transform(F.filter(found, lambda f: f["m"].isNotNull()), lambda f: F.struct(f["m"]["sim"].alias("sim"), f["y"].alias("y"), f["m"].alias("m"))))
+        mine = F.array_max(F.transform(F.filter(s["left"], lambda y: y["t"] == x["t"]), lambda y: F.struct(F.lit(1.0).alias("sim"), y.alias("y"), F.struct(x["t"].alias("x"), y["t"].alias("y"), F.lit(1.0).alias("fuzzy"), F.lit(1.0).alias("sim"), F.lit("exact").alias("kind")).alias("m"))))
+        hit = lambda b: F.struct(
+            x["t"].alias("x"), b["y"]["t"].alias("y"), b["m"]["kind"].alias("kind"), b["m"]["sim"].alias("sim"), b["m"]["fuzzy"].alias("fuzzy"),
+            (-x["less"]).alias("xw"), (-b["y"]["less"]).alias("yw"), x["role"].alias("xr"), b["y"]["role"].alias("yr"),
+        )
+        shy = s["shy"] | (~same & F.exists(s["left"], lambda y: _short(x) | _short(y)))
+        took = lambda b: F.struct(F.filter(s["left"], lambda y: y["t"] != b["y"]["t"]).alias("left"), F.array_append(s["hits"], hit(b)).alias("hits"), shy.alias("shy"))
+        none = F.struct(s["left"].alias("left"), s["hits"].alias("hits"), shy.alias("shy"))
         # the best is bound once, as the one element of an array
-        return F.get(F.transform(F.array(best), lambda b: F.when(F.coalesce(b["sim"] >= 0.70, F.lit(False)), took(b)).otherwise(s)), F.lit(0))
+        return F.get(F.transform(F.array(F.when(same, mine).otherwise(best)), lambda b: F.when(b.isNotNull(), took(b)).otherwise(none)), F.lit(0))
 
     return F.aggregate(q, start, step)
 
@@ -99,69 +94,238 @@ def containment(qn: Column, tn: Column, q: Column, t: Column) -> Column:
     )
 
 
-def score_pairs(pairs: DataFrame, a: str, b: str, stats: DataFrame) -> DataFrame:
-    """pairs with score (0 to 1), path and caps (names of those that apply), of the name in column a against that in b.
+def _matched(pairs: DataFrame, words: DataFrame, stats: DataFrame, sounds: bool) -> DataFrame:
+    """Distinct pairs (a, b) with both names' words and their alignment m."""
+    side = lambda n, p: words.select(F.col("name").alias(n), *[F.col(c).alias(f"{p}{c}") for c in ("norm", "words", "ordered", "split", "raw")])
+    held = cut(pairs.join(side("a", "q_"), "a").join(side("b", "t_"), "b"))
+    two = held.select("a", "b", F.explode("q_words").alias("x"), F.col("t_words")).select("a", "b", "x", F.explode("t_words").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    fit = (x["t"] != y["t"]) & (lexicon.generic(x["role"]) == lexicon.generic(y["role"])) & ~_short(x) & ~_short(y) & lexicon.may_match(x["t"], y["t"])
+    two = two.where(fit).select("a", "b", F.col("x.t").alias("x"), F.col("y.t").alias("y"))
+    near = lexicon.alike(cut(two.select("x", "y").distinct()), stats, sounds)
+    sims = two.join(near, ["x", "y"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("x", "y", "fuzzy", "sim", "kind"))).alias("sims"))
+    none = F.array().cast("array<struct<x: string, y: string, fuzzy: double, sim: double, kind: string>>")
+    return held.join(sims, ["a", "b"], "left").withColumn("m", align(F.col("q_words"), F.col("t_words"), F.coalesce("sims", none))).drop("sims")
 
-    Null names are empty. Equal normalised names score 1; equal compact ones of four letters 0.96; without words at
-    most 0.45. Otherwise the greatest of alignment, containment and spelling counts, under the caps of absent anchors.
-    Distinct names are tokenised and weighed once; they come back by two joins on the names.
+
+def _sum(items: Column, value) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda s, x: s + value(x))
+
+
+def _count(items: Column, test) -> Column:
+    return F.size(F.filter(items, test))
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.coalesce(part / F.nullif(whole, F.lit(0.0)), F.lit(0.0))
+
+
+def evidence(held: DataFrame) -> DataFrame:
+    """Rows of _matched() with what the caps rest on.
+
+    recall, precision: weighed share of the words of either name that are matched; q_cov, t_cov: of its anchors. q_extra,
+    t_extra: words that are not. n_anchors: matches with an anchor on either side, met the first; quality their mean.
     """
-    qn, tn = X.normalize(F.col("__a")), X.normalize(F.col("__b"))
-    named = pairs.withColumns({"__a": F.coalesce(a, F.lit("")), "__b": F.coalesce(b, F.lit(""))})
-    both = weighted_words(named.select(F.col("__a").alias("n")).union(named.select(F.col("__b").alias("n"))), "n", stats)
-    held = named.join(both.select(F.col("name").alias("__a"), F.col("words").alias("__q")), "__a").join(both.select(F.col("name").alias("__b"), F.col("words").alias("__t")), "__b")
-    held = held.withColumns({"__m": align(F.col("__q"), F.col("__t")), "__qn": qn, "__tn": tn, "__tri": X.trigram_similarity(F.col("__a"), F.col("__b"))})
-
-    # each step is a column of its own, so that no step's code holds that of the steps before
-    total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, x: s - x["less"])
-    squeeze = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    m = F.col("__m")
-    count = lambda w: F.size(F.filter("__q", lambda x: x["less"] == -WEIGHTS[w]))
+    hits, q, t = F.col("m.hits"), F.col("q_words"), F.col("t_words")
+    heavy = lambda ws: F.filter(ws, lambda w: anchor(w["role"]))
+    total = lambda ws: _sum(ws, lambda w: -w["less"])
+    anchored = F.filter(hits, lambda h: anchor(h["xr"]) | anchor(h["yr"]))
+    rest = lambda ws, f: F.filter(ws, lambda w: ~F.exists(hits, lambda h: h[f] == w["t"]))
+    exact = F.filter(hits, lambda h: h["kind"] == "exact")
+    first = held.withColumns({
+        "hits": hits, "q_anchors": heavy(q), "t_anchors": heavy(t), "q_extra": rest(q, "x"), "t_extra": rest(t, "y"), "exact": exact, "anchored": anchored,
+        "recall": _share(_sum(hits, lambda h: h["xw"] * h["sim"]), total(q)), "precision": _share(_sum(hits, lambda h: h["yw"] * h["sim"]), total(t)),
+        "good": _share(_sum(hits, lambda h: h["xw"] * h["sim"]), _sum(hits, lambda h: h["xw"])),
+    })
+    # generic as an anchor, overridden words count as matter that is added
+    matter = lambda ws: _count(ws, lambda w: w["role"] != "generic")
+    strict = lambda ws: _count(ws, lambda w: anchor(w["role"]))
+    both = lambda test: _count(F.col("q_extra"), test) + _count(F.col("t_extra"), test)
+    head = F.get(F.filter("t_ordered", lambda o: F.exists(t, lambda w: w["t"] == o)), F.lit(0))
+    full_q, full_t = (F.size("q_words") > 0) & (F.size("exact") == F.size("q_words")), (F.size("t_words") > 0) & (F.size("exact") == F.size("t_words"))
+    second = first.withColumns({
+        "q_cov": _share(_sum(F.filter("hits", lambda h: anchor(h["xr"])), lambda h: h["xw"] * h["sim"]), total(F.col("q_anchors"))),
+        "t_cov": _share(_sum(F.filter("hits", lambda h: anchor(h["yr"])), lambda h: h["yw"] * h["sim"]), total(F.col("t_anchors"))),
+        "n_anchors": F.size("anchored"), "met": F.get("anchored", F.lit(0)),
+        "quality": _share(_sum(F.col("anchored"), lambda h: h["sim"]), F.size("anchored").cast("double")),
+        "q_matter": matter(F.col("q_extra")), "t_matter": matter(F.col("t_extra")), "q_strict": strict(F.col("q_extra")), "t_strict": strict(F.col("t_extra")),
+        "extras": F.size("q_extra") + F.size("t_extra"), "brandlike": both(lambda w: w["role"].isin("common_anchor", "distinctive", "overridden")),
+        "weak_extras": both(lambda w: w["role"] == "weak_anchor"), "semi_extras": both(lambda w: w["role"] == "semi_generic"),
+        "generic_extras": both(lambda w: lexicon.generic(w["role"])),
+        "leads": F.coalesce(F.exists("t_extra", lambda w: (w["t"] == head) & (w["role"] != "generic")), F.lit(False)),
+        "full_q": full_q, "full_t": full_t,
+        "exact_anchors": F.filter("exact", lambda h: anchor(h["xr"])),
+    })
+    return second.withColumns({
+        "one_each": (_count(F.col("hits"), lambda h: anchor(h["xr"])) == 1) & (_count(F.col("hits"), lambda h: anchor(h["yr"])) == 1),
+        "copied": F.when(F.col("full_q"), F.size("q_words")).when(F.col("full_t"), F.size("t_words")).otherwise(0),
+    })
+
+
+def _calibrated(name: str, balanced: bool = False, brandlike: str = "brandlike") -> Column:
+    """A cap between its floor and ceiling by how much of both names is matched, less what is added."""
+    c = F.col
+    both = (lambda a, b: F.least(a, b)) if balanced else (lambda a, b: a * 0.65 + b * 0.35)
+    added = F.least(F.lit(0.24), F.greatest(F.lit(0), c("q_matter") + c("t_matter") - 1) * 0.04) + F.least(F.lit(0.12), c(brandlike) * 0.02)
+    return S.bounded(*ADDED[name], both(c("q_cov"), c("t_cov")) * 0.45 + both(c("recall"), c("precision")) * 0.35 + c("quality") * 0.20 - added)
+
+
+def added_matter(held: DataFrame) -> DataFrame:
+    """Rows of evidence() with core, the score of a copied core beside added matter, and core_cap, the cap's name if it is one.
+
+    The first that applies: a name copied whole with words added, one shared anchor where both sides change, one shared
+    anchor and matter added to one side, the query's anchors kept, or some of them. An exact anchor must be shared.
+    """
+    c = F.col
+    many = (F.size("q_anchors") >= 2) | (F.size("t_anchors") >= 2)
+    changed = c("one_each") & many & (c("q_strict") > 0) & (c("t_strict") > 0)
+    generic_left = _count(c("q_extra"), lambda w: lexicon.generic(w["role"])) - (c("q_matter") - c("q_strict"))
+    lopsided = (
+        c("one_each") & (F.size("q_anchors") == 1) & ~changed & (generic_left + (c("q_matter") - c("q_strict")) > 0) & (c("q_strict") == 0) & (c("t_matter") > 0)
+        & ((c("t_matter") >= 2) | c("leads") | (F.size("t_extra") >= 2))
+    )
+    short = c("full_q") & (F.size("q_words") == 1) & (F.size("exact_anchors") == 1) & (F.length(F.get("exact_anchors", F.lit(0))["x"]) <= 4)
+    copied = (c("full_q") | c("full_t")) & (c("extras") > 0)
+    one = c("copied") <= 1
+    case = lambda name, value: F.struct(value.alias("score"), F.lit(name).alias("cap"))
+    calibrated = lambda name, **k: case(name, _calibrated(name, **k))
+    found = (
+        F.when(copied & (c("brandlike") > 0) & one & short, calibrated("single_short_anchor"))
+        .when(copied & (c("brandlike") > 0) & one, calibrated("single_anchor"))
+        .when(copied & (c("brandlike") > 0), calibrated("distinctive_extra"))
+        .when(copied & (c("weak_extras") > 0) & one, calibrated("single_weak_extra", brandlike="weak_extras"))
+        .when(copied & (c("semi_extras") > 0), case("semi_extra", F.greatest(F.lit(0.80), 0.88 - F.least(F.lit(0.06), c("semi_extras") * 0.03))))
+        .when(copied, case(None, F.greatest(F.lit(0.88), 0.96 - F.least(F.lit(0.08), c("generic_extras") * 0.02))))
+        .when(changed, calibrated("changed_on_both_sides", balanced=True))
+        .when(lopsided, calibrated("asymmetric", balanced=True))
+        .when((c("extras") > 0) & (c("q_cov") >= 0.98), calibrated("changed_rest"))
+        .when(c("extras") > 0, calibrated("partial_core"))
+    )
+    core = F.when((F.size("q_anchors") > 0) & (c("q_cov") > 0) & (F.size("exact_anchors") > 0), found)
+    return held.withColumn("core", core).withColumns({"core": F.round(F.coalesce("core.score", F.lit(0.0)), 4), "core_cap": F.col("core.cap")})
+
+
+def guards(held: DataFrame) -> DataFrame:
+    """Rows of added_matter() with weak_shared, acronym and inexact (caps by evidence, null where they don't apply), short_inexact and headless."""
+    c = F.col
+    m, cov = c("met"), lambda n: F.round(c(n), 4)
+    one = c("n_anchors") == 1
+    exact = m["kind"] == "exact"
+    # one shared anchor that hardly tells names apart
+    stronger = F.exists("q_anchors", lambda w: w["role"] != "weak_anchor")
+    weak = one & ((m["xr"] == "weak_anchor") | (m["yr"] == "weak_anchor")) & ((F.size("q_extra") > 0) | ~stronger)
+    proof = (
+        m["sim"] * 0.45 + F.least(cov("q_cov"), cov("t_cov")) * 0.25 + F.least(cov("recall"), cov("precision")) * 0.20 + F.when(exact, 0.10).otherwise(0.0)
+        - F.least(F.lit(0.12), (c("q_matter") + c("t_matter")) * 0.04)
+    )
+    weak_cap = F.when(weak & exact, S.bounded(*WEAK_ANCHOR[True], proof)).when(weak, S.bounded(*WEAK_ANCHOR[False], proof))
+    # one short word on one side, exactly met, of several on the other
+    brief = F.filter("exact", lambda h: anchor(h["xr"]) & anchor(h["yr"]) & (F.length(h["x"]) <= 2))
+    alone = lambda small, big, part, extra, matter: (F.size(small) == 1) & (F.size(big) >= 2) & (cov(part) < 0.98) & ((F.size(extra) > 0) | (c(matter) > 0))
+    q_long = alone("t_words", "q_words", "recall", "q_extra", "q_matter")
+    t_long = alone("q_words", "t_words", "precision", "t_extra", "t_matter")
+    missing = F.when(q_long, F.greatest("q_matter", F.size("q_extra"))).otherwise(F.greatest("t_matter", F.size("t_extra")))
+    copied = F.least(cov("recall"), cov("precision")) * 0.45 + cov("q_cov") * 0.20 + cov("t_cov") * 0.15 + 0.20 - F.least(F.lit(0.18), missing * 0.06)
+    acronym = F.when((F.size(brief) == 1) & (q_long | t_long), S.bounded(*ACRONYM, copied))
+    # one anchor that is met by spelling or sound alone
+    inexact = one & m["kind"].isin("fuzzy", "phonetic")
+    long, brief_length = F.greatest(F.length(m["x"]), F.length(m["y"])), F.least(F.length(m["x"]), F.length(m["y"]))
+    edits = F.levenshtein(m["x"], m["y"])
+    length_ratio, raw = brief_length / long, F.round(m["fuzzy"], 4)
+    near_miss = (length_ratio >= 0.80) & (m["fuzzy"] >= 0.78) & (edits <= F.greatest(F.lit(1), F.ceil(long * 0.20)))
+    fragment = length_ratio < 0.78
+    # coverage by this match alone, which is the only one with an anchor
+    kept = raw * 0.35 + F.round(length_ratio, 4) * 0.25 + F.round(1 - edits / long, 4) * 0.25 + F.least(c("q_cov"), c("t_cov")) * 0.15
+    grades = [F.when((m["kind"] == kind) & (fragment == F.lit(part)), S.bounded(*bounds, kept)) for (kind, part), bounds in INEXACT.items()]
+    quality = F.when((F.size("q_anchors") > 0) & inexact & ~near_miss, F.coalesce(*grades))
+    first = F.get(F.filter("q_ordered", lambda o: F.exists("q_anchors", lambda w: w["t"] == o)), F.lit(0))
+    return held.withColumns({
+        "weak_shared": weak_cap, "acronym": acronym, "inexact": quality,
+        "short_inexact": F.coalesce(inexact & (brief_length <= 4) & (c("extras") > 0), F.lit(False)),
+        "headless": (F.size("q_anchors") >= 2) & F.exists("hits", lambda h: anchor(h["xr"])) & ~F.exists("hits", lambda h: h["x"] == first),
+    })
+
+
+def _scored(pairs: DataFrame, stats: DataFrame, sounds: bool, overrides: DataFrame | None) -> DataFrame:
+    """Distinct pairs (a, b) with r: struct of score, path and caps."""
+    words = cut(lexicon.names(pairs.select(F.col("a").alias("n")).union(pairs.select("b")), "n", stats, LEVEL_WEIGHTS, overrides))
+    held = cut(guards(added_matter(evidence(_matched(pairs, words, stats, sounds)))))
+    c = F.col
+    squeeze = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    qn, tn, hits = c("q_norm"), c("t_norm"), c("hits")
+    told = F.array_distinct(F.concat("q_raw", "t_raw"))
     held = held.withColumns({
-        "__recall": F.coalesce(m["own"] / F.nullif(total(F.col("__q")), F.lit(0.0)), F.lit(0.0)),
-        "__precision": m["other"] / F.nullif(total(F.col("__t")), F.lit(0.0)),
-        "__inside": containment(F.col("__qn"), F.col("__tn"), F.col("__q"), F.col("__t")),
-        "__letters": F.greatest(F.col("__tri"), X.edit_ratio(F.col("__qn"), F.col("__tn"))),
-        "__distinctive": count("distinctive"), "__semi": count("semi_generic"),
-        "__qc": squeeze(F.col("__qn")), "__tc": squeeze(F.col("__tn")),
-        "__heavy": F.transform(F.filter("__q", lambda x: x["less"] != -WEIGHTS["generic"]), lambda x: x["t"]),
+        "qc": squeeze(qn), "tc": squeeze(tn), "tri": X.trigram_similarity(c("a"), c("b")), "level": _multilevel("q_norm", "t_norm", F.transform(told, lambda x: x["t"]), F.transform(told, lambda x: x["w"])),
+        "sound": P.sound_similarity(qn, tn) if sounds else F.lit(0.0),
     })
-    recall, inside, heavy, distinctive = F.col("__recall"), F.col("__inside"), F.col("__heavy"), F.col("__distinctive")
-    f1 = 2 * recall * F.col("__precision") / (recall + F.col("__precision"))
-    aligned = F.when(m["own"] > 0, f1 * (0.8 + 0.2 * (m["good"] / F.nullif(m["own"], F.lit(0.0))))).otherwise(0.0)
-    spelled = F.when(m["anchors"] > 0, F.least(F.lit(0.75), F.col("__letters") * 0.80 + recall * 0.20)).otherwise(F.least(F.lit(0.45), F.col("__letters") * 0.55))
-    best = F.array_max(F.array(*[F.struct(v.alias("score"), F.lit(p).alias("path")) for v, p in ((aligned, "alignment"), (inside, "containment"), (spelled, "spelling"))]))
-
-    cap = lambda name, value: F.struct(F.lit(name).alias("name"), F.lit(value).alias("value"))
-    anchored = (
-        F.when(distinctive + F.col("__semi") == 0, cap("generic_only", GENERIC_ONLY))
-        .when((m["anchors"] == 0) & (m["plain"] > 0), cap("missing_anchor", MISSING_ANCHOR))
-        .when(distinctive == 0, cap("semi_only", SEMI_ONLY))
-        .when(m["distinctive"] == 0, cap("no_distinctive", NO_DISTINCTIVE))
-        .when(m["distinctive"] < distinctive, cap("some_distinctive", SOME_DISTINCTIVE))
+    begun = lambda a, w: (a["t"] == w["t"]) | (F.startswith(w["t"], a["t"]) & (F.length(w["t"]) - F.length(a["t"]) >= 3))
+    part = containment(qn, tn, c("q_words"), c("t_words"))
+    glued = c("q_split") & (F.size("exact_anchors") > 0) & (F.length("qc") >= 4) & F.contains(c("tc"), c("qc"))
+    compound = F.when(glued, F.least(F.lit(0.96), 0.88 + 0.08 * F.length("qc") / F.length("tc"))).otherwise(0.0)
+    held = held.withColumns({"inside": F.greatest(part, compound), "matched": _count(hits, lambda h: anchor(h["xr"])), "letters": F.greatest("tri", "level")})
+    within = lambda ws: (c("inside") > 0) & F.exists(ws, lambda a: F.exists("t_anchors", lambda w: begun(a, w)))
+    held = held.withColumns({"kept": within(c("q_anchors")), "kept_common": within(F.filter("q_anchors", lambda a: a["role"] == "common_anchor"))})
+    held = held.withColumn("lexical", (c("matched") > 0) | c("kept"))
+    recall, precision = c("recall"), c("precision")
+    aligned = _share(2 * recall * precision, recall + precision) * (0.8 + 0.2 * c("good"))
+    spelled = F.when(c("lexical"), F.least(F.lit(0.75), c("letters") * 0.80 + recall * 0.20)).otherwise(F.least(F.lit(0.45), c("letters") * 0.55))
+    heard = F.when(c("sound") >= 0.82, F.when(c("lexical") | (c("letters") >= 0.55), F.least(F.lit(0.72), 0.42 + c("sound") * 0.30)).otherwise(F.least(F.lit(0.45), c("sound") * 0.40))).otherwise(0.0)
+    limit = F.when(c("short_inexact"), CAPS["short_inexact"]).otherwise(1.0)
+    # of equal components the first named
+    parts = [(aligned, "alignment"), (c("inside"), "containment"), (spelled, "spelling"), (heard, "sound"), (c("core"), "core")]
+    best = F.array_max(F.array(*[F.struct(F.least(v, limit).alias("score"), F.lit(-i).alias("no"), F.lit(p).alias("path")) for i, (v, p) in enumerate(parts)]))
+
+    have = lambda role: _count(c("q_words"), lambda w: w["role"] == role)
+    got = lambda role: _count(hits, lambda h: h["xr"] == role)
+    plain = F.exists(hits, lambda h: lexicon.generic(h["xr"]))
+    cap = lambda name, value=None: F.struct(F.lit(name).alias("name"), (F.lit(CAPS[name]) if value is None else value).alias("value"))
+    absent = (
+        F.when(F.size("q_anchors") == 0, cap("generic_only"))
+        .when((c("matched") == 0) & plain, cap("missing_anchor"))
+        .when((c("matched") == 0) & (c("inside") > 0) & ~c("kept"), cap("contained_without_anchor"))
+        .when((have("distinctive") == 0) & (have("common_anchor") == 0) & (have("semi_generic") > 0), cap("semi_only"))
+        .when((have("distinctive") > 0) & (got("distinctive") == 0), cap("no_distinctive"))
+        .when(got("distinctive") < have("distinctive"), cap("some_distinctive"))
+        .when((have("common_anchor") > 0) & (got("common_anchor") == 0) & ~c("kept_common"), cap("no_common"))
+        .when((got("common_anchor") < have("common_anchor")) & ~c("kept_common"), cap("some_common"))
     )
-    hits, only = m["hits"], F.get(m["hits"], F.lit(0))
-    short = (F.size(hits) == 1) & (only["w"] != only["y"]) & (F.least(F.length(only["w"]), F.length(only["y"])) <= 4) & (F.size("__q") + F.size("__t") > 2)
-    # the first word in the query's order that is not generic
-    first = F.get(F.filter(F.split("__qn", " ", -1), lambda w: F.array_contains(heavy, w)), F.lit(0))
-    headless = (F.size(heavy) >= 2) & (m["anchors"] > 0) & ~F.array_contains(F.transform(hits, lambda h: h["w"]), first)
     caps = F.array_compact(F.array(
-        anchored,
-        F.when(short, cap("short_inexact", SHORT_INEXACT)),
-        F.when(headless, cap("no_first_anchor", NO_FIRST_ANCHOR)),
-        F.when((m["anchors"] == 0) & (inside == 0), cap("no_anchor", NO_ANCHOR)),
+        absent,
+        F.when(c("core_cap").isNotNull() & c("weak_shared").isNull(), F.struct(c("core_cap").alias("name"), F.when(c("core_cap") == "semi_extra", ADDED["semi_extra"][1]).otherwise(c("core")).alias("value"))),
+        F.when(c("weak_shared").isNotNull(), cap("weak_shared_anchor", c("weak_shared"))),
+        F.when(c("acronym").isNotNull(), cap("acronym", c("acronym"))),
+        F.when(c("short_inexact"), cap("short_inexact")),
+        F.when(c("inexact").isNotNull(), cap("inexact_anchor", c("inexact"))),
+        F.when(c("m.shy") & (F.size("q_anchors") > 0) & (c("matched") == 0), cap("short_anchor")),
+        F.when(c("headless"), cap("no_first_anchor")),
+        F.when(~c("lexical"), cap("no_anchor")),
     ))
-    held = held.withColumns({"__best": best, "__caps": caps})
+    held = held.withColumns({"best": best, "caps": caps})
     nothing = F.array().cast("array<string>")
-    fixed = lambda v, p, c=nothing: F.struct(F.round(v, 6).alias("score"), F.lit(p).alias("path"), c.alias("caps"))
-    least = F.coalesce(F.array_min(F.transform("__caps", lambda c: c["value"])), F.lit(1.0))
-    result = (
-        F.when((F.col("__qn") != "") & (F.col("__qn") == F.col("__tn")), fixed(F.lit(EXACT), "exact"))
-        .when((F.length("__qc") >= 4) & (F.col("__qc") == F.col("__tc")), fixed(F.lit(COMPACT), "compact"))
-        .when((F.size("__q") == 0) | (F.size("__t") == 0), fixed(F.least(F.lit(NO_WORDS), F.col("__tri")), "no words", F.array(F.lit("no_anchor"))))
-        .otherwise(F.struct(F.round(F.least(F.col("__best.score"), least), 6).alias("score"), F.col("__best.path").alias("path"), F.transform("__caps", lambda c: c["name"]).alias("caps")))
-    )
-    scored = held.withColumn("__r", result)
+    fixed = lambda v, p, n=nothing: F.struct(F.round(v, 4).alias("score"), F.lit(p).alias("path"), n.alias("caps"))
+    least = F.coalesce(F.array_min(F.transform("caps", lambda x: x["value"])), F.lit(1.0))
+    empty = (F.size("q_words") == 0) | (F.size("t_words") == 0)
+    return held.select("a", "b", (
+        F.when(empty & (c("qc") == c("tc")) & (F.length("qc") >= 2), fixed(F.lit(COMPACT), "compact"))
+        .when(empty, fixed(F.least(F.lit(NO_WORDS), c("tri") * 0.50), "no words", F.array(F.lit("no_anchor"))))
+        .when(qn == tn, fixed(F.lit(EXACT), "exact"))
+        .when((F.length("qc") >= 4) & (c("qc") == c("tc")), fixed(F.lit(COMPACT), "compact"))
+        .otherwise(F.struct(F.round(F.least(c("best.score"), least), 4).alias("score"), c("best.path").alias("path"), F.transform("caps", lambda x: x["name"]).alias("caps")))
+    ).alias("r"))
+
+
+def score_pairs(pairs: DataFrame, a: str, b: str, stats: DataFrame, sounds: bool = True, overrides: DataFrame | None = None) -> DataFrame:
+    """pairs with score (0 to 1), path and caps (names of those that apply), of the name in column a against that in b.
+
+    Null names are empty. Equal normalised names score 1; equal compact ones of four letters 0.96; without words at
+    most 0.45. Otherwise the greatest of alignment, containment, spelling, sound and copied core counts, under the caps
+    of absent anchors, added matter, weak or inexact anchors. stats: word, word_class and, where known, idf and the
+    profile of corpus.lexical_statistics(); overrides (word): words that count as generic. Without `sounds` neither
+    words nor names match by sound. Distinct pairs of names are scored once and joined back.
+    """
+    named = pairs.withColumns({"__a": F.coalesce(F.col(f"`{a}`"), F.lit("")), "__b": F.coalesce(F.col(f"`{b}`"), F.lit(""))})
+    found = _scored(cut(named.select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct()), cut(stats), sounds, overrides)
+    scored = named.join(found.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("r").alias("__r")), ["__a", "__b"])
     return scored.select(*[F.col(f"`{c}`") for c in pairs.columns], F.col("__r.score").alias("score"), F.col("__r.path").alias("path"), F.col("__r.caps").alias("caps"))
 
 
@@ -185,14 +349,14 @@ def collapsed(own: Column, other: Column, name: Column, translated: Column, path
     )
 
 
-def score_translated(pairs: DataFrame, a: str, b: str, translated: str, stats: DataFrame, translated_stats: DataFrame) -> DataFrame:
+def score_translated(pairs: DataFrame, a: str, b: str, translated: str, stats: DataFrame, translated_stats: DataFrame, sounds: bool = True) -> DataFrame:
     """pairs with score, path, caps and source: of b or, where that is strictly more alike, of its translation.
 
     A null or blank translation does not count. Each of the two scores uses the statistics of its own corpus of words.
     """
     kept = [F.col(f"`{c}`") for c in pairs.columns]
-    own = score_pairs(pairs, a, b, stats).select(*kept, F.struct("score", "path", "caps", F.lit("original").alias("source")).alias("__own"))
-    both = score_pairs(own, a, translated, translated_stats)
+    own = score_pairs(pairs, a, b, stats, sounds).select(*kept, F.struct("score", "path", "caps", F.lit("original").alias("source")).alias("__own"))
+    both = score_pairs(own, a, translated, translated_stats, sounds)
     there = F.trim(F.coalesce(F.col(f"`{translated}`"), F.lit(""))) != ""
     value = F.when(there, collapsed(F.col("__own.score"), F.col("score"), F.col(f"`{b}`"), F.col(f"`{translated}`"), F.col("path"))).otherwise(0.0)
     other = F.struct(F.round(value, 6).alias("score"), "path", "caps", F.lit("translated").alias("source"))
@@ -212,10 +376,24 @@ def hybrid_risk(scored: DataFrame, a: str, b: str, clip: str = "clip", dino: str
     guarded = scored.withColumn("__raw", raw).withColumn("visual", F.round(V.plain_wordmark(F.col("__raw"), agreement, F.col(plain_a), F.col(plain_b)), 6))
     marked = lambda *names: F.arrays_overlap("caps", F.array(*[F.lit(n) for n in names]))
     short = marked("short_inexact")
-    total = V.with_text(F.col("score"), F.col("visual"), c, d, o, marked(*WEAK), short, short, F.col("visual") < F.round("__raw", 6))
+    total = V.with_text(F.col("score"), F.col("visual"), c, d, o, marked(*WEAK), marked(*LIMITED), short, F.col("visual") < F.round("__raw", 6))
     return guarded.withColumn("total", total).withColumn("risk_level", S.risk_level(F.col("total"))).drop("__raw")
 
 
+def brand_risk(rows: DataFrame, query: str, anchors: list[str], stats: DataFrame, key: str = "id", name: str = "name", k: int = 100, sounds: bool = True, **stages) -> DataFrame:
+    """The k candidates of the highest score for a name: key, name, stage_no, score, path, risk_level and needs_live.
+
+    Candidates come from retrieval.prescreen(), which takes `stages` besides; needs_live tells that the best of all of
+    them scores below LIVE.
+    """
+    found = retrieval.prescreen(rows, query, anchors, key, name, **stages).select(key, "stage_no")
+    pairs = rows.select(key, name).join(F.broadcast(found), key).withColumn("query", F.lit(query))  # found has at most 500 rows
+    scored = cut(score_pairs(pairs, "query", name, stats, sounds))
+    best = F.broadcast(scored.agg((F.max("score") < LIVE).alias("needs_live")))  # one row
+    ranked = scored.select(key, name, "stage_no", "score", "path", S.risk_level(F.col("score")).alias("risk_level")).crossJoin(best)
+    return ranked.orderBy(F.desc("score"), key).limit(k)
+
+
 #: Weight of a word by its class in the multilevel similarity, and the least ratio of words that match.
 LEVEL_WEIGHTS, LIKE = {"distinctive": 1.0, "semi_generic": 0.5, "generic": 0.1}, 0.75
 

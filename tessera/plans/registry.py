@@ -473,50 +473,4 @@ def q20(spark, sf):
     return feeds.lead_statistics_view(trademarks(spark, sf).where("status = 'Yayında'"), F.datediff("deadline", as_of()))
 
 
-_WORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda x: length(x) > 1))"
-_NORM = f"trim(regexp_replace(translate(lower(translate({{0}}, 'Iİ', 'ıi')), '{X.MARKED}', '{X.BARE}'), '[^a-z0-9]+', ' ', 'g'))"
-_GRAMS = GRAMS.replace("[^a-z0-9]+", r"[^\p{{L}}\p{{N}}]+")
-_RATIO = "(1 - levenshtein({0}, {1})::DOUBLE / greatest(length({0}), length({1})))"
-_NEAR = f"(CASE WHEN contains(q[i].t, y.t) OR contains(y.t, q[i].t) THEN least({_RATIO.format('q[i].t', 'y.t')}, 0.69::DOUBLE) ELSE {_RATIO.format('q[i].t', 'y.t')} END)"
-_ALIKE = f"""CASE WHEN q[i].t = y.t THEN 1 WHEN (q[i].less = -0.10::DOUBLE) <> (y.less = -0.10::DOUBLE) THEN 0 WHEN {_NEAR} >= 0.84 THEN {_NEAR}
- WHEN {_NEAR} >= 0.74 AND least(length(q[i].t), length(y.t)) >= 4 THEN {_NEAR} * 0.95::DOUBLE ELSE 0 END::DOUBLE"""
-_ONLY = "len(list_filter({0}, lambda x: NOT list_contains(list_transform({1}, lambda z: z.t), x.t)))"
-#: Scores of the pairs in pr(id, a, b) by the rules of names: CTEs up to scored(id, score, path, weak, short). A pair is one row of the recursion a word.
-SCORED = f"""dw AS (SELECT unnest({_WORDS.format(_NORM.format('text'))}) AS word FROM documents WHERE trim(text) <> ''), nd AS (SELECT count(*) AS n FROM documents WHERE trim(text) <> ''),
- cl AS (SELECT word, CASE WHEN count(*)::DOUBLE / any_value(n) > 0.005 THEN 0.10 WHEN count(*)::DOUBLE / any_value(n) > 0.001 THEN 0.65 ELSE 1 END::DOUBLE AS weight FROM dw, nd GROUP BY word),
- nm AS (SELECT name, {_NORM.format('name')} AS norm FROM (SELECT a AS name FROM pr UNION SELECT b FROM pr)),
- wd AS (SELECT name, list(struct_pack(less := -coalesce(weight, 1::DOUBLE), t := w) ORDER BY -coalesce(weight, 1::DOUBLE), w) AS words FROM (SELECT name, unnest({_WORDS.format('norm')}) AS w FROM nm) LEFT JOIN cl ON w = word GROUP BY name),
- hd AS (SELECT pr.id, x.norm AS qn, y.norm AS tn, replace(x.norm, ' ', '') AS qc, replace(y.norm, ' ', '') AS tc, coalesce(u.words, []) AS q, coalesce(v.words, []) AS t, {_GRAMS.format('a')} AS ga, {_GRAMS.format('b')} AS gb
-  FROM pr JOIN nm x ON x.name = a JOIN nm y ON y.name = b LEFT JOIN wd u ON u.name = a LEFT JOIN wd v ON v.name = b),
- al AS (SELECT id, 1 AS i, q, t AS free, 0::DOUBLE AS own, 0::DOUBLE AS other, 0::DOUBLE AS good, 0 AS n_d, 0 AS n_a, 0 AS n_p, CAST([] AS STRUCT(w VARCHAR, y VARCHAR)[]) AS hits FROM hd
-  UNION ALL SELECT id, i + 1, q, CASE WHEN ok THEN list_filter(free, lambda z: z.t <> b.y.t) ELSE free END, CASE WHEN ok THEN own - q[i].less ELSE own END, CASE WHEN ok THEN other - b.y.less ELSE other END, CASE WHEN ok THEN good - q[i].less * b.sim ELSE good END,
-  n_d + CAST(ok AND q[i].less = -1 AS INTEGER), n_a + CAST(ok AND q[i].less <> -0.10::DOUBLE AS INTEGER), n_p + CAST(ok AND q[i].less = -0.10::DOUBLE AS INTEGER),
-  CASE WHEN ok AND (q[i].less <> -0.10::DOUBLE OR b.y.less <> -0.10::DOUBLE) THEN list_append(hits, struct_pack(w := q[i].t, y := b.y.t)) ELSE hits END
-  FROM (SELECT *, coalesce(b.sim >= 0.70, false) AS ok FROM (SELECT *, list_max(list_transform(free, lambda y: struct_pack(sim := {_ALIKE}, y := y))) AS b FROM al WHERE i <= len(q)))),
- sm AS (SELECT hd.*, al.* EXCLUDE (id, q), list_sum(list_transform(hd.q, lambda x: -x.less)) AS wq, list_sum(list_transform(t, lambda x: -x.less)) AS wt, list_transform(list_filter(hd.q, lambda x: x.less <> -0.10::DOUBLE), lambda x: x.t) AS heavy,
-  len(list_filter(hd.q, lambda x: x.less = -1)) AS distinctive, {jaccard_sql('ga', 'gb')} AS tri FROM hd JOIN al ON al.id = hd.id AND al.i = len(hd.q) + 1),
- pt AS (SELECT *, coalesce(own / wq, 0) AS recall, CASE WHEN own > 0 THEN 2 * (own / wq) * (other / wt) / (own / wq + other / wt) * (0.8::DOUBLE + 0.2::DOUBLE * good / own) ELSE 0 END::DOUBLE AS aligned,
-  CASE WHEN qc = '' OR tc = '' THEN 0 WHEN contains(tn, qn) OR (length(qc) >= 4 AND contains(tc, qc)) THEN greatest(0.65::DOUBLE, 0.84::DOUBLE + 0.12::DOUBLE * length(qc) / length(tc) - least(0.18::DOUBLE, {_ONLY.format('t', 'q')} * 0.035::DOUBLE))
-   WHEN contains(qn, tn) OR (length(tc) >= 4 AND contains(qc, tc)) THEN greatest(0.60::DOUBLE, 0.84::DOUBLE + 0.12::DOUBLE * length(tc) / length(qc) - least(0.10::DOUBLE, {_ONLY.format('q', 't')} * 0.02::DOUBLE)) ELSE 0 END::DOUBLE AS inside,
-  greatest(tri, {_RATIO.format('qn', 'tn')}) AS letters, list_filter(string_split(qn, ' '), lambda w: list_contains(heavy, w)) AS ordered FROM sm),
- gd AS (SELECT *, len(hits) = 1 AND hits[1].w <> hits[1].y AND least(length(hits[1].w), length(hits[1].y)) <= 4 AND len(q) + len(t) > 2 AS short,
-  len(heavy) >= 2 AND n_a > 0 AND NOT list_contains(list_transform(hits, lambda h: h.w), ordered[1]) AS headless FROM pt),
- cp AS (SELECT *, CASE WHEN n_a > 0 THEN least(0.75::DOUBLE, letters * 0.80::DOUBLE + recall * 0.20::DOUBLE) ELSE least(0.45::DOUBLE, letters * 0.55::DOUBLE) END AS spelled,
-  list_min([CASE WHEN len(heavy) = 0 THEN 0.18 WHEN n_a = 0 AND n_p > 0 THEN 0.18 WHEN distinctive = 0 THEN 0.45 WHEN n_d = 0 THEN 0.55 WHEN n_d < distinctive THEN 0.69 ELSE 1 END::DOUBLE,
-   CASE WHEN short THEN 0.58 ELSE 1 END::DOUBLE, CASE WHEN headless THEN 0.62 ELSE 1 END::DOUBLE, CASE WHEN n_a = 0 AND inside = 0 THEN 0.45 ELSE 1 END::DOUBLE]) AS cap FROM gd),
- scored AS (SELECT id, round(CASE WHEN qn <> '' AND qn = tn THEN 1 WHEN length(qc) >= 4 AND qc = tc THEN 0.96 WHEN len(q) = 0 OR len(t) = 0 THEN least(0.45, tri) ELSE least(greatest(aligned, inside, spelled), cap) END::DOUBLE, 6) AS score,
-  CASE WHEN qn <> '' AND qn = tn THEN 'exact' WHEN length(qc) >= 4 AND qc = tc THEN 'compact' WHEN len(q) = 0 OR len(t) = 0 THEN 'no words' WHEN spelled >= greatest(inside, aligned) THEN 'spelling' WHEN inside >= aligned THEN 'containment' ELSE 'alignment' END AS path,
-  NOT same AND (len(q) = 0 OR len(t) = 0 OR len(heavy) = 0 OR (n_a = 0 AND (n_p > 0 OR inside = 0)) OR (distinctive > 0 AND n_d = 0) OR headless) AS weak, NOT same AND coalesce(short, false) AS short FROM (SELECT *, (qn <> '' AND qn = tn) OR (length(qc) >= 4 AND qc = tc) AS same FROM cp))"""
 RISK = "CASE WHEN score >= 0.90 THEN 'critical' WHEN score >= 0.80 THEN 'very_high' WHEN score >= 0.70 THEN 'high' WHEN score >= 0.50 THEN 'medium' ELSE 'low' END"
-
-
-@query("q4_brand_risk", f"""WITH RECURSIVE {TM}, {STAGED}, f AS (SELECT id, min(stage_no) AS stage_no FROM x GROUP BY id), pr AS (SELECT id, 'Red Widget' AS a, coalesce(name, '') AS b FROM f JOIN tm USING (id)), {SCORED}
- SELECT id, name, status, stage_no, score, path, {RISK} AS risk_level FROM scored JOIN f USING (id) JOIN tm USING (id) ORDER BY score DESC, id LIMIT 100""")
-def q4(spark, sf):
-    """Candidates for a name, scored with the word classes of the corpus: the 100 of the highest risk."""
-    t = trademarks(spark, sf).select("id", "name", "status")
-    found = retrieval.staged(t, "Red Widget").select("id", "stage_no")
-    pairs = t.join(F.broadcast(found), "id").withColumn("query", F.lit("Red Widget"))  # found has at most 500 rows
-    scored = scoring.score_pairs(pairs, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"))
-    ranked = scored.select("id", "name", "status", "stage_no", "score", "path", S.risk_level(F.col("score")).alias("risk_level"))
-    return ranked.orderBy(F.desc("score"), "id").limit(100)

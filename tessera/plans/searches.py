@@ -15,9 +15,10 @@ from tessera.functions import scores as S
 from tessera.functions import status as ST
 from tessera.functions import text as X
 from tessera.functions import visual as V
-from tessera.operators import corpus, feeds, merge, retrieval, rows, scoring, search
+from tessera.operators import corpus, feeds, lexicon, merge, retrieval, rows, scoring, search
 from tessera.plans.catalog import AS_OF, GRAMS, TM, jaccard_sql, query, read, trademarks
-from tessera.plans.registry import RISK, SCORED, as_of
+from tessera.plans.pair_sql import SCORED, STATISTICS, lookup_sql
+from tessera.plans.registry import RISK, as_of
 
 MK = r"""mk AS (SELECT doc_id AS id, translate(array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')[1:3], ' '), 'sogSOG', 'şöğŞÖĞ') AS name, source AS holder, lang,
  [CAST(doc_id % 45 + 1 AS INTEGER), CAST(doc_id * 7 % 45 + 1 AS INTEGER)] AS classes, DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER) AS day,
@@ -95,6 +96,23 @@ def q1(spark, sf):
     return found.select("id", "stage_no", "score", F.array_join(F.transform("stages", lambda s: number[s]), ",").alias("stages"))
 
 
+_TEXT_STAGES = "x AS (SELECT * FROM (SELECT id, 1.0::DOUBLE AS score, 0 AS stage_no FROM u WHERE n = 'the and' ORDER BY size, id LIMIT 25) " + " ".join(
+    f"UNION ALL SELECT * FROM (SELECT id, {score}, {no} FROM u WHERE {test} ORDER BY {order}, id LIMIT {cap})" for no, score, cap, order, test in (
+        (1, 0.88, 80, "CASE WHEN c = 'theand' THEN 0 ELSE 1 END, size", "contains(c, 'theand')"), (2, 0.86, 60, "size", "contains(n, 'the and')"),
+        (3, 0.82, 80, "size", "contains(' ' || n || ' ', ' the ') AND contains(' ' || n || ' ', ' and ')"), (4, 0.78, 120, "size", "contains(' ' || n || ' ', ' the ') OR contains(' ' || n || ' ', ' and ')"),
+        (7, "round(sim, 6) AS s", 120, "s DESC", "lower(name) <> 'the and' AND sim >= 0.3"),
+    )
+) + ")"
+
+
+@query("q4_brand_risk", f"""WITH RECURSIVE {MK}, t AS (SELECT *, replace(n, ' ', '') AS c, {GRAMS.format('n')} AS g, {GRAMS.format("'the and'")} AS p FROM (SELECT id, name, length(name) AS size, {NORM_TR.format('name')} AS n FROM mk)), u AS (SELECT *, {jaccard_sql('g', 'p')} AS sim FROM t), {_TEXT_STAGES},
+ fo AS (SELECT id, min(stage_no) AS stage_no FROM x GROUP BY id), pr AS (SELECT id, 'The and' AS a, name AS b FROM fo JOIN mk USING (id)), {STATISTICS}, {SCORED}
+ SELECT id, name, stage_no, score, path, {RISK} AS risk_level, (SELECT max(score) FROM scored) < 0.75 AS needs_live FROM scored JOIN fo USING (id) JOIN mk USING (id) ORDER BY score DESC, id LIMIT 100""")
+def q4(spark, sf):
+    """Candidates for a name by the registry's stages, scored by the word classes of the corpus: the 100 of the highest risk."""
+    return scoring.brand_risk(marks(spark, sf), "The and", ["the", "and"], corpus.word_statistics(read(spark, sf, "documents"), "text"), sounds=False)
+
+
 @query("q1_prescreen_by_sound")
 def q1b(spark, sf):
     """All eleven stages; the phonetic one has no form in SQL."""
@@ -307,12 +325,12 @@ def signals(m: DataFrame) -> DataFrame:
     )
 
 
-@query("q3_hybrid_risk", f"""WITH RECURSIVE {MK}, {SIGNALS}, pr AS (SELECT id, 'Ander the thing' AS a, name AS b FROM mk), {SCORED},
- tx AS (SELECT scored.*, name, c, d, o, pa, pb, has, greatest(score, tri, o) AS e FROM scored JOIN sg USING (id) JOIN (SELECT id, tri FROM sm) USING (id)),
+@query("q3_hybrid_risk", f"""WITH RECURSIVE {MK}, {SIGNALS}, pr AS (SELECT id, 'Ander the thing' AS a, name AS b FROM mk), {STATISTICS}, {SCORED},
+ tx AS (SELECT scored.*, name, c, d, o, pa, pb, has, greatest(score, tri, o) AS e FROM scored JOIN sg USING (id)),
  rw AS (SELECT *, coalesce((0.45::DOUBLE * c + 0.35::DOUBLE * d + CASE WHEN has THEN 0.15::DOUBLE * o ELSE 0 END) / nullif(CASE WHEN c <> 0 THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN d <> 0 THEN 0.35 ELSE 0 END::DOUBLE + CASE WHEN has THEN 0.15 ELSE 0 END::DOUBLE, 0), 0) AS raw FROM tx),
  gu AS (SELECT *, round(CASE WHEN (pa OR pb) AND e < 0.78 AND raw > lim THEN round(lim, 4) ELSE raw END, 6) AS v, o >= 0.78 AS so, o >= 0.78 OR (c >= 0.9 AND d >= 0.9) AS sure
   FROM (SELECT *, CASE WHEN pa AND pb THEN 0.35::DOUBLE + 0.10::DOUBLE * least(1, e / 0.78::DOUBLE) ELSE 0.45::DOUBLE + 0.10::DOUBLE * least(1, e / 0.78::DOUBLE) END AS lim FROM rw)),
- fl AS (SELECT *, weak AND v > 0 AS w, short AND v > 0 AND (v < 0.8 OR NOT sure) AS l, short AND v > 0 AND NOT sure AS s FROM gu),
+ fl AS (SELECT *, weak AND v > 0 AS w, limited AND v > 0 AND (v < 0.8 OR NOT sure) AS l, short AND v > 0 AND NOT sure AS s FROM gu),
  bs AS (SELECT *, CASE WHEN w THEN 0 ELSE score END AS t FROM fl),
  tt AS (SELECT *, round(least(1, greatest(t, v) + CASE WHEN l OR s OR v < round(raw, 6) THEN 0 WHEN least(t, v) >= 0.40 THEN least(0.08::DOUBLE, least(t, v) * 0.10::DOUBLE) ELSE least(0.03::DOUBLE, least(t, v) * 0.05::DOUBLE) END), 4) AS t0 FROM bs),
  wk AS (SELECT *, CASE WHEN NOT w THEN t0 WHEN v < 0.8 THEN least(t0, round(0.20::DOUBLE + 0.25::DOUBLE * v / 0.8::DOUBLE, 4)) WHEN v < 0.9 AND NOT so THEN least(t0, round(0.55::DOUBLE + 0.14::DOUBLE * (v - 0.8::DOUBLE) / 0.1::DOUBLE, 4))
@@ -321,12 +339,58 @@ def signals(m: DataFrame) -> DataFrame:
  fi AS (SELECT *, CASE WHEN s THEN least(t2, 0.58::DOUBLE) ELSE t2 END AS total FROM lm)
  SELECT id, score AS text, v AS visual, total, {RISK.replace('score', 'total')} AS risk_level FROM fi""")
 def q3(spark, sf):
-    """Every mark against one: the names' score and the logos', under the guards that tie one to the other."""
+    """Every mark against one: the names' score and the logos', under the guards that tie one to the other. SQL has no sounds."""
     pairs = signals(marks(spark, sf)).withColumn("query", F.lit("Ander the thing"))
-    scored = scoring.score_pairs(pairs, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"))
+    scored = scoring.score_pairs(pairs, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"), sounds=False)
     return scoring.hybrid_risk(scored, "query", "name").select("id", F.col("score").alias("text"), "visual", "total", "risk_level")
 
 
+@query("q3_hybrid_risk_by_sound")
+def q3_sound(spark, sf):
+    """As q3_hybrid_risk, words and names matching by sound, too; sound codes have no form in SQL."""
+    pairs = signals(marks(spark, sf)).withColumn("query", F.lit("Ander the thing"))
+    scored = scoring.score_pairs(pairs, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"))
+    return scoring.hybrid_risk(scored, "query", "name").select("id", F.col("score").alias("text"), "path", "visual", "total", "risk_level")
+
+
+#: Statistics of the marks' own words, their profile included, as words of eight marks or more have it.
+PROFILE = f"""tk AS (SELECT id, holder, classes, {TOKENS} AS ws FROM mk WHERE trim(name) <> ''), dd AS (SELECT id, holder, classes, unnest(list_distinct(ws)) AS word, ws[1] AS head, ws[-1] AS tail, len(ws) AS n FROM tk),
+ bs AS (SELECT word, count(*) AS df, count(*) FILTER (word = head) AS f, count(*) FILTER (word = tail) AS l, count(*) FILTER (n = 1) AS s, count(DISTINCT holder) AS holders FROM dd GROUP BY word),
+ pn AS (SELECT a.word, count(DISTINCT b.word) AS partners FROM dd a JOIN dd b ON a.id = b.id AND a.word <> b.word GROUP BY a.word), cn AS (SELECT word, count(DISTINCT c) AS n_classes FROM (SELECT word, unnest(classes) AS c FROM dd) GROUP BY word),
+ hn AS (SELECT substr(word, i) AS word, count(*) AS hits FROM dd, unnest(range(5, length(word) - 1)) AS r(i) WHERE length(word) >= 7 GROUP BY 1),
+ rt0 AS (SELECT word, df, f::DOUBLE / df AS first, l::DOUBLE / df AS last, s::DOUBLE / df AS single, coalesce(partners, 0) AS partners, holders, coalesce(n_classes, 0) AS n_classes, coalesce(hits, 0)::BIGINT AS hits FROM bs LEFT JOIN pn USING (word) LEFT JOIN cn USING (word) LEFT JOIN hn USING (word) WHERE df >= 8),
+ zs AS (SELECT *, round(least(1.0, least(1.0, last / 0.45) * 0.30 + (1 - least(1.0, first / 0.25)) * 0.16 + (1 - least(1.0, single / 0.05)) * 0.10 + least(1.0, partners / greatest(df * 0.50::DOUBLE, 1)) * 0.14 + least(1.0, holders / greatest(df * 0.35::DOUBLE, 1)) * 0.12 + least(1.0, n_classes / 8.0::DOUBLE) * 0.13
+   + least(1.0, hits / greatest(df * 0.04::DOUBLE, 10)) * 0.15), 4)::DOUBLE AS score, last >= 0.45 AS s1, first <= 0.25 AS s2, single <= 0.05 AS s3, last >= 0.15 AND partners >= greatest(80, floor(df * 0.45)) AND holders >= greatest(50, floor(df * 0.30)) AND n_classes >= 8 AS s4, hits >= greatest(15, floor(df * 0.02)) AS s5 FROM rt0),
+ st AS MATERIALIZED (SELECT word, CASE WHEN bs.df::DOUBLE / n > 0.005 THEN 'generic' WHEN bs.df::DOUBLE / n > 0.001 THEN 'semi_generic' ELSE 'distinctive' END AS cls, round(ln(n::DOUBLE / bs.df), 4) AS idf, bs.df AS doc_freq, first, last, single, s1::INT + s2::INT + s3::INT + s4::INT + s5::INT AS signals, score,
+   score >= 0.72 AND s2 AND s3 AND (s1 OR s4 OR s5) AS descr FROM bs LEFT JOIN zs USING (word), (SELECT count(*) AS n FROM tk))"""
+
+
+@query("q3_caps", f"""WITH RECURSIVE {MK}, pr AS (SELECT id, 'Ander tion, the thingen' AS a, name AS b FROM mk), {PROFILE}, {SCORED}
+ SELECT id, score, path, {", ".join(f"list_contains(caps, '{c}') AS {c}" for c in scoring.NAMED_CAPS)} FROM scored""")
+def q3_caps(spark, sf):
+    """Every mark against one by the profile of the marks' own words: the score, and a column for each cap."""
+    m = marks(spark, sf)
+    stats = corpus.lexical_statistics(m, "name", "holder", "classes", least=8)
+    scored = scoring.score_pairs(m.withColumn("query", F.lit("Ander tion, the thingen")), "query", "name", stats, sounds=False)
+    return scored.select("id", "score", "path", *[F.array_contains("caps", c).alias(c) for c in scoring.NAMED_CAPS])
+
+
+@query("x12_word_roles", f"""WITH RECURSIVE {MK}, pr AS (SELECT id, name AS a, name AS b FROM mk), {PROFILE}, {SCORED} SELECT rl.word, role, rl.cls AS word_class, array_to_string(parts, '+') AS parts FROM sgm JOIN rl USING (word)""")
+def x12(spark, sf):
+    """Every word of the marks: its role, its class (of its stem, if it has none of its own), and the parts of glued words."""
+    m = marks(spark, sf)
+    stats = corpus.lexical_statistics(m, "name", "holder", "classes", least=8)
+    words = m.select(F.explode(F.split(X.normalize(F.col("name")), " ", -1)).alias("word")).where("word <> ''").distinct()
+    return lexicon.segmented(words, stats).select("word", "role", F.col("class").alias("word_class"), F.array_join(F.transform("parts", lambda p: p["t"]), "+").alias("parts"))
+
+
+@query("x11_stemmed_classes", f"""WITH {MK}, {STATISTICS}, ws AS (SELECT DISTINCT unnest(string_split({NORM_TR.format('name')}, ' ')) || e AS word FROM mk, unnest(['', 'leri', 'in', 'si', 'ya']) AS u(e) WHERE trim(name) <> ''), {lookup_sql('rl', 'ws')} SELECT word, cls AS word_class, role FROM rl""")
+def x11(spark, sf):
+    """Words of the marks under five endings: the class of the first stem that the corpus knows."""
+    words = marks(spark, sf).where(F.trim("name") != "").select(F.explode(F.split(X.normalize(F.col("name")), " ", -1)).alias("w")).select(F.explode(F.array(*[F.concat("w", F.lit(e)) for e in ("", "leri", "in", "si", "ya")])).alias("word")).distinct()
+    return lexicon.roles(words, corpus.word_statistics(read(spark, sf, "documents"), "text")).select("word", F.col("class").alias("word_class"), "role")
+
+
 @query("q3_image_only", f"""WITH {MK}, {SIGNALS}, n AS (SELECT *, greatest(c, d) AS hi, CASE WHEN c > 0 AND d > 0 THEN least(c, d) ELSE greatest(c, d) END AS lo, CASE WHEN c > 0 AND d > 0 THEN (c + d) / 2 ELSE c + d END AS mean, greatest(c, d, o) AS v FROM sg)
  SELECT id, round(CASE WHEN hi = 0 OR has AND pa THEN v WHEN c > 0 AND d > 0 AND lo >= 0.88 AND mean >= 0.88 THEN v
   WHEN c > 0 AND d > 0 AND NOT pb AND ((hi >= 0.84 AND lo >= 0.72 AND mean >= 0.78) OR (hi >= 0.81 AND lo >= 0.74 AND mean >= 0.765 AND hi - lo <= 0.10)) THEN least(v, 0.84::DOUBLE)
