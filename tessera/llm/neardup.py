@@ -121,14 +121,13 @@ def _banded(texts: DataFrame, bands: int, rows: int) -> DataFrame:
             while at < len(found):
                 sets, size, end = [], 0, at
                 while end < len(found) and size < CHUNK:
-                    sets.append(np.unique(shingles(found[end] or "")))
-                    size += len(sets[-1])
+                    sets.append(np.unique(shingles(found[end] or ""), return_counts=True))
+                    size += len(sets[-1][0])
                     end += 1
-                doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                # equal weights, since links are unweighted
-                sig = probminhash(doc, np.concatenate(sets), np.ones(len(doc)), len(sets), bands * rows)
+                doc = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
+                sig = probminhash(doc, np.concatenate([s for s, _ in sets]), weight_of(np.concatenate([n for _, n in sets])), len(sets), bands * rows)
                 hashes = band_hashes(sig, bands, rows)
-                full = np.array([len(s) > 0 for s in sets])
+                full = np.array([len(s) > 0 for s, _ in sets])
                 offsets = np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[full].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), lists], names=["id", "key", "bands"])
@@ -137,26 +136,53 @@ def _banded(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(run, f"id {kind}, key binary, bands array<bigint>")
 
 
+def weight_of(count: np.ndarray) -> np.ndarray:
+    """The weight of a shingle that occurs so often in its text; 0 for none."""
+    return np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0.0)
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """(rid, text) to (rid, shingles): the sorted distinct shingle hashes as 8-byte integers."""
+    """(rid, text) to (rid, shingles, counts): the sorted distinct shingle hashes as 8-byte integers, their occurrences as 4-byte ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
-            sets = [np.unique(shingles(t or "")).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rid", "shingles"])
+            sets = [np.unique(shingles(t or ""), return_counts=True) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([s.tobytes() for s, _ in sets], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["rid", "shingles", "counts"])
 
-    return texts.mapInArrow(run, "rid bigint, shingles binary")
+    return texts.mapInArrow(run, "rid bigint, shingles binary, counts binary")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def probability_jaccard(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
+    """Exact probability Jaccard similarity of two weighted sets, given by sorted elements and their occurrences.
+
+    The sum, over common elements i of weights x and y, of 1 / sum over all j of max(x_j / x_i, y_j / y_i). Elements of
+    equal occurrences on both sides are one term, so there are few; with weights of 1 it is the Jaccard similarity.
+    """
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(ia):
+        return 0.0
+    if na.max() == 1 and nb.max() == 1:
+        return len(ia) / (len(a) + len(b) - len(ia))
+    pairs = (na[ia].astype(np.uint64) << np.uint64(32)) | nb[ib].astype(np.uint64)
+    both, n = np.unique(pairs, return_counts=True)
+    x, y = weight_of((both >> np.uint64(32)).astype(np.int64)), weight_of((both & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    only = [np.unique(np.delete(c, i), return_counts=True) for c, i in ((na, ia), (nb, ib))]
+    none = [np.zeros(len(v)) for v, _ in only]
+    all_x = np.concatenate((x, weight_of(only[0][0]), none[1]))
+    all_y = np.concatenate((y, none[0], weight_of(only[1][0])))
+    all_n = np.concatenate((n, only[0][1], only[1][1]))
+    return float((n / (np.maximum(all_x / x[:, None], all_y / y[:, None]) @ all_n)).sum())
+
+
+def _read(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(shingles, np.uint64), np.frombuffer(counts, "<u4")
 
 
 @F.pandas_udf(T.DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _similarity(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
+    return pd.Series([probability_jaccard(*_read(x, n), *_read(y, m)) for x, n, y, m in zip(a, na, b, nb, strict=True)], dtype="float64")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,27 +211,54 @@ def components(edges: DataFrame) -> DataFrame:
 def _links_within(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links between members of different components in one pair of blocks of a star.
 
-    Counts of common shingles come from products of 0/1 matrices over slices of the shingles.
+    Products of matrices over slices of the shingles give, for every pair, the common count and either text's weight
+    in common elements. The share of that weight in a text bounds the similarity from above, and where no shingle is
+    repeated the counts give it exactly; pairs within the bound are worked out exactly, unless links already join them.
     """
     out: list[tuple[int, int]] = []
     for (_, i, j), part in pdf.groupby(["lead", "i", "j"], sort=False):
-        sets = [np.frombuffer(s, np.uint64) for s in part["shingles"]]
+        sets = [_read(s, n) for s, n in zip(part["shingles"], part["counts"], strict=True)]
         rid, comp, block = part["rid"].to_numpy(), part["comp"].to_numpy(), part["block"].to_numpy()
-        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        names, column = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(s) for s, _ in sets])
+        rows = np.repeat(np.arange(len(sets)), size)
+        names, column = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+        weight = weight_of(np.concatenate([n for _, n in sets])).astype(np.float32)
+        repeated = np.array([n.max(initial=0) > 1 for _, n in sets])
+        total = np.bincount(rows, weight, len(sets))
         order = np.argsort(column, kind="stable")
-        rows, column = rows[order], column[order]
+        rows, column, weight = rows[order], column[order], weight[order]
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        common = np.zeros((len(one), len(two)), np.float32)
+        common, mine, theirs = (np.zeros((len(one), len(two)), np.float32) for _ in range(3))
         for at in range(0, len(names), 4096):
             lo, hi = np.searchsorted(column, [at, at + 4096])
             x = np.zeros((len(sets), min(4096, len(names) - at)), np.float32)
             x[rows[lo:hi], column[lo:hi] - at] = 1
             common += x[one] @ x[two].T
-        size = np.array([len(s) for s in sets])
+            if repeated.any():
+                w = np.zeros_like(x)
+                w[rows[lo:hi], column[lo:hi] - at] = weight[lo:hi]
+                mine += w[one] @ x[two].T
+                theirs += x[one] @ w[two].T
+        apart = comp[one][:, None] != comp[two][None, :]
+        plain = ~repeated[one][:, None] & ~repeated[two][None, :]
         either = size[one][:, None] + size[two][None, :] - common
-        hit = (common >= similarity * either - 1e-6) & (comp[one][:, None] != comp[two][None, :])
+        hit = apart & plain & (common >= similarity * either - 1e-6)
         out += [(int(rid[one[p]]), int(rid[two[q]])) for p, q in zip(*np.nonzero(hit), strict=True)]
+        maybe = apart & ~plain & (mine >= (similarity - 1e-4) * total[one][:, None]) & (theirs >= (similarity - 1e-4) * total[two][None, :])
+        joined = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while joined[c] != c:  # noqa: B023
+                joined[c] = c = joined[joined[c]]  # noqa: B023
+            return c
+
+        for p, q in zip(*np.nonzero(hit), strict=True):
+            joined[root(int(comp[one[p]]))] = root(int(comp[two[q]]))
+        for p, q in zip(*np.nonzero(maybe), strict=True):
+            a, b = one[p], two[q]
+            if root(int(comp[a])) != root(int(comp[b])) and probability_jaccard(*sets[a], *sets[b]) >= similarity - 1e-9:
+                joined[root(int(comp[a]))] = root(int(comp[b]))
+                out.append((int(rid[a]), int(rid[b])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -219,16 +272,16 @@ def near_duplicate_classes(
 ) -> DataFrame:
     """(key, class_id) of every row: class_id is the least key among the texts of its class.
 
-    Classes are the connected components of the links between texts whose sets of five-word shingles have a
-    Jaccard similarity of at least `similarity`. Equal texts are one text from the start. Links are sought among
-    texts that share a band of their ProbMinHash signatures of equal weights, and every link is
-    verified on the whole shingle sets. Texts without words are near to equal texts only; a null text is near to
+    Classes are the connected components of the links between texts whose weighted sets of five-word shingles have a
+    probability Jaccard similarity of at least `similarity`; a shingle that occurs n times weighs 1 + ln n. Equal texts
+    are one text from the start. Links are sought among texts that share a band of their ProbMinHash signatures, and
+    every link is verified exactly on the whole sets, by the same weights and measure that the signatures estimate. Texts without words are near to equal texts only; a null text is near to
     none and is a class of its own (class_id = key). Null keys follow their text; a class with no key but null
     has a null class_id. Other columns are not read.
 
     In each bucket all texts are compared with one, the leader, which joins most. Then the stars of a leader
     that still hold several components are compared within, block by block, so that no link is lost; pairs of
-    blocks that the triangle inequality of the Jaccard distance rules out, or of a single component, are left out.
+    blocks that the triangle inequality rules out (1 less the similarity is a metric, as signatures collide with it), or of a single component, are left out.
     """
     alone = docs.where(F.col(f"`{text}`").isNull()).select(F.col(f"`{key}`").alias("id"), F.col(f"`{key}`").alias("class_id"))
     return _labelled(docs, key, text, similarity, bands, rows).select("id", "class_id").union(alone).toDF(key, "class_id")
@@ -260,11 +313,11 @@ def _labelled(docs: DataFrame, key: str, text: str, similarity: float = SIMILARI
     sets = cut(_sets(met.select("rid", "text")).dropDuplicates(["rid"]))
 
     measured = cut(
-        stars.join(sets.select("rid", F.col("shingles").alias("y")), "rid")
-        .join(sets.select(F.col("rid").alias("lead"), F.col("shingles").alias("x")), "lead")
-        .select("lead", "rid", _jaccard("x", "y").alias("j"))
+        stars.join(sets.select("rid", F.col("shingles").alias("y"), F.col("counts").alias("ny")), "rid")
+        .join(sets.select(F.col("rid").alias("lead"), F.col("shingles").alias("x"), F.col("counts").alias("nx")), "lead")
+        .select("lead", "rid", _similarity("x", "nx", "y", "ny").alias("j"))
     )
-    linked = measured.where(F.col("j") >= similarity).select(F.col("lead").alias("a"), F.col("rid").alias("b"))
+    linked = measured.where(F.col("j") >= similarity - 1e-9).select(F.col("lead").alias("a"), F.col("rid").alias("b"))
     labels = components(linked)
 
     # stars of several components, compared within
@@ -291,7 +344,7 @@ def _labelled(docs: DataFrame, key: str, text: str, similarity: float = SIMILARI
         blocked.select("lead", "block", "rid", "comp")
         .join(sides, ["lead", "block"])
         .join(sets, "rid")
-        .select("lead", "i", F.col("j2").alias("j"), "block", "rid", "comp", "shingles")
+        .select("lead", "i", F.col("j2").alias("j"), "block", "rid", "comp", "shingles", "counts")
     )
     slot = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("lead"), F.lit(_slots(spark)))).otherwise(F.xxhash64("lead", "i", "j"))
     more = work.groupBy(slot.alias("slot")).applyInPandas(lambda pdf: _links_within(pdf, similarity), "a bigint, b bigint")

@@ -60,9 +60,11 @@ CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, (sum(chars) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars FROM b GROUP BY conv_id"""
 
 NEAR = f"""WITH RECURSIVE x AS MATERIALIZED (SELECT text, row_number() OVER (ORDER BY text) AS tid, list_filter(string_split_regex(text, '{_SPACE}'), lambda w: w <> '') AS ws FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
- s AS MATERIALIZED (SELECT DISTINCT tid, array_to_string(ws[i:i+4], ' ') AS g FROM x, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
- n AS (SELECT tid, count(*) AS n FROM s GROUP BY tid), c AS (SELECT a.tid AS a, b.tid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.tid < b.tid GROUP BY ALL),
- l AS MATERIALIZED (SELECT a, b FROM c JOIN n p ON p.tid = a JOIN n q ON q.tid = b WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+ s AS MATERIALIZED (SELECT tid, g, 1 + ln(count(*)) AS w FROM (SELECT tid, array_to_string(ws[i:i+4], ' ') AS g FROM x, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0) GROUP BY tid, g),
+ n AS (SELECT tid, count(*) AS n, sum(w) AS w FROM s GROUP BY tid), c AS MATERIALIZED (SELECT a.tid AS a, b.tid AS b, sum(a.w) AS wa, sum(b.w) AS wb FROM s a JOIN s b ON a.g = b.g AND a.tid < b.tid GROUP BY ALL),
+ m AS MATERIALIZED (SELECT a, b FROM c JOIN n p ON p.tid = a JOIN n q ON q.tid = b WHERE wa >= 0.79 * p.w AND wb >= 0.79 * q.w),
+ v AS MATERIALIZED (SELECT a, b, x, y, count(*) AS n FROM (SELECT m.a, m.b, s.g, max(CASE WHEN s.tid = m.a THEN w ELSE 0 END) AS x, max(CASE WHEN s.tid = m.b THEN w ELSE 0 END) AS y FROM m JOIN s ON s.tid = m.a OR s.tid = m.b GROUP BY ALL) GROUP BY ALL),
+ l AS MATERIALIZED (SELECT a, b FROM (SELECT i.a, i.b, i.x, i.y, i.n / sum(j.n * greatest(j.x / i.x, j.y / i.y)) AS part FROM v i JOIN v j ON j.a = i.a AND j.b = i.b WHERE i.x > 0 AND i.y > 0 GROUP BY i.a, i.b, i.x, i.y, i.n) GROUP BY a, b HAVING sum(part) >= 0.8 - 1e-9),
  e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
  r AS (SELECT tid AS node, tid AS other FROM x UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
  k AS (SELECT node, min(d.doc_id) AS class_id FROM r JOIN x ON x.tid = r.other JOIN documents d ON d.text = x.text GROUP BY node)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -310,12 +311,27 @@ def test_op8_touches_only_pii(spark, sf):
 # ---- near duplicates ---------------------------------------------------------------------------------------------
 
 
+def weighted(text):
+    w = text.encode().split()
+    grams = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    return {g: 1 + math.log(n) for g, n in grams.items()}
+
+
+def plain_similarity(x, y):
+    """The sum over common elements of 1 / sum of the greater of both ratios, as it is written."""
+    if x.keys() == y.keys() and x == y:
+        return 1.0
+    total = 0.0
+    for i in x.keys() & y.keys():
+        total += 1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys())
+    return total
+
+
 def brute_classes(rows):
     sets, keys = {}, collections.defaultdict(list)
     for key, text in rows:
         keys[text].append(key)
-        w = text.encode().split()
-        sets[text] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        sets[text] = weighted(text)
     texts, up = list(keys), {}
 
     def root(t):
@@ -325,7 +341,9 @@ def brute_classes(rows):
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            # the share of common weight bounds the similarity
+            x, y = sets[a], sets[b]
+            if x and y and sum(w for g, w in x.items() if g in y) >= 0.79 * sum(x.values()) and plain_similarity(x, y) >= 0.8 - 1e-9:
                 up[root(a)] = root(b)
     out, classes = {}, collections.defaultdict(list)
     for t in texts:
@@ -363,13 +381,76 @@ def test_nulls_and_repeats(spark):
     assert neardup.near_duplicate_classes(df.limit(0)).count() == 0
 
 
-def test_repeated_lines_keep_their_links(spark):
+def repeated_corpus(seed, n):
+    """Texts with repeated lines; each third one, or the next two, nearly alike."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        w = [f"w{i}x{k}" for k in range(rng.randint(60, 120))]
+        line = w[10:30] * rng.randint(1, 40)
+        base = w[:30] + line + w[30:]
+        rows.append((3 * i, " ".join(base)))
+        for v in (1, 2):
+            doc = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                doc[rng.randrange(len(doc))] = f"new{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                doc = w[:30] + w[10:30] * rng.randint(1, 40) + w[30:]
+            rows.append((3 * i + v, " ".join(doc)))
+    return rows
+
+
+def test_repeated_lines_weigh_more(spark):
+    rows = repeated_corpus(1, 40)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    w = [f"v{k}" for k in range(113)]
+    once, often = weighted(" ".join(w)), weighted(" ".join(w[:40] + w[40:64] * 100 + w[64:104]))
+    assert plain_similarity(once, often) < 0.8 <= len(once.keys() & often.keys()) / len(once.keys() | often.keys()) + 0.1
+
+
+def test_blocks_of_stars_with_repeats(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng, words = random.Random(8), [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(80)]
+    base = base + base[:20] * 3
     rows = []
-    for i in range(30):
-        w = [f"w{i}x{k}" for k in range(113)]
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:40] + w[40:64] * 100 + w[64:104]))]
+    for i in range(120):
+        doc = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            doc[rng.randrange(len(doc))] = rng.choice(words)
+        rows.append((i, " ".join(doc)))
     got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: i - i % 2 for i in range(60)}
+    assert got == brute_classes(rows)
+
+
+def test_exact_similarity_equals_the_sum_as_written():
+    rng = random.Random(6)
+    shingles = neardup.Shingles()
+    for n in range(40):
+        a = " ".join(rng.choice("abcdef") * rng.randint(1, 3) for _ in range(rng.randint(1, 60)))
+        b = " ".join([*a.split()[: rng.randint(0, 60)], *(rng.choice("abcx") for _ in range(rng.randint(1, 9)))])
+        x, y = (np.unique(shingles(t), return_counts=True) for t in (a, b))
+        assert neardup.probability_jaccard(*x, *y) == pytest.approx(plain_similarity(weighted(a), weighted(b)), abs=1e-12)
+
+
+def test_recall_of_planted_links(spark):
+    """More than 500 links between different texts, most of them not far above the threshold."""
+    rng, rows, links = random.Random(12), [], []
+    for i in range(700):
+        base = [f"d{i}w{rng.randrange(60)}" for _ in range(rng.randint(60, 160))]
+        doc, wanted = list(base), rng.uniform(0.80, 0.93)
+        x = weighted(" ".join(base))
+        while True:
+            tried = list(doc)
+            tried[rng.randrange(len(doc))] = f"n{rng.randrange(10**6)}"
+            if plain_similarity(x, weighted(" ".join(tried))) < wanted:
+                break
+            doc = tried
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(doc))]
+        if doc != base:
+            links.append(i)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(links) >= 500 and sum(got[2 * i] == got[2 * i + 1] for i in links) >= 0.99 * len(links)
 
 
 def test_one_row_of_each_class_stays(spark):
