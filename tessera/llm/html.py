@@ -51,12 +51,10 @@ STEMS = {
 }
 _WORD = {w: g for g, ws in STEMS.items() for w in ws}
 _LONG = [(w, g) for g, ws in STEMS.items() for w in ws if len(w) >= 6]
-_HEAD = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]{0,63}+))")
+_HEAD = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
 _REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
-#: Tags whose quotes swallow the rest of the page, after which all tags are read up to the next ">".
-BROKEN = 16
-#: Elements nested deeper become children of the last one at this depth.
-DEPTH = 512
+#: Elements and attribute words that set a page's content off from what surrounds it.
+FRAMES = frozenset(["<nav>", "<header>", "<footer>", "<aside>", "<form>", "<article>", "<main>", *(f"says {g}" for g in STEMS)])
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -77,15 +75,34 @@ def attribute_features(attributes: str) -> list[str]:
     return sorted(found)
 
 
+def tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of all ">" and quotes, and for each where a tag ends that comes to it outside quotes (-1: nowhere).
+
+    One pass from the last to the first: a quote leads on behind the next one of its kind; without one it is a character.
+    """
+    places = [m.start() for m in re.finditer("[>\"']", page)]
+    ends = [-1] * (len(places) + 1)
+    nearest = {'"': len(places), "'": len(places)}
+    for k in range(len(places) - 1, -1, -1):
+        c = page[places[k]]
+        if c == ">":
+            ends[k] = places[k]
+        else:
+            ends[k] = ends[(nearest[c] if nearest[c] < len(places) else k) + 1]
+            nearest[c] = k
+    return places, ends
+
+
 def tags(page: str) -> list[tuple[int, int, bool, str, str]]:
     """Tags in page order: start, end, whether it closes, name, attributes. What is no text has an empty name.
 
     Comments, declarations and elements of raw text with all they hold are such; raw text that is never closed is the
-    rest of the page, but for a title, which then ends where the body begins. Time is linear in the page's length.
+    rest of the page, but for a title, which then ends where the body begins. A tag whose quotes would swallow all that
+    is left ends at its next ">". Time is linear in the page's length.
     """
     out: list[tuple[int, int, bool, str, str]] = []
     ends: dict[str, list[int]] = {}
-    at, broken, last = 0, 0, page.rfind(">")
+    at, last, known = 0, page.rfind(">"), None
 
     def places(pattern: str) -> list[int]:
         if pattern not in ends:
@@ -112,14 +129,15 @@ def tags(page: str) -> list[tuple[int, int, bool, str, str]]:
             at = page.find(">", at) + 1
             out.append((start, at, False, "", ""))
             continue
-        rest = _REST.match(page, m.end()) if broken < BROKEN else None
-        if not rest:
-            broken += 1
-            if broken <= BROKEN:
-                at += 1
-                continue
+        if known is None:
+            rest = _REST.match(page, m.end())
+            end = rest.end() - 1 if rest else -1
+            if end < 0:  # from now on by the table, so that no other such tag is followed to the page's end
+                known = tag_ends(page)
+        else:
+            end = known[1][bisect_left(known[0], m.end())]
         name = m[4].lower()
-        at = rest.end() if rest else page.find(">", m.end()) + 1
+        at = (end if end >= 0 else page.find(">", m.end())) + 1
         if m[3] or name not in RAW or name not in DROPPED:
             out.append((start, at, bool(m[3]), name, page[m.end() : at - 1]))
             continue
@@ -145,6 +163,14 @@ class Dom:
         self.features: list[list[str]] = [["root"]]
         self.texts: list[str | None] = [None]
         self._read(page)
+        frame = "framed" if any(f in FRAMES for fs in self.features for f in fs) else "bare"
+        for home in ("<article>", "<main>"):
+            same = [fs for fs in self.features if fs[0] == home]
+            for fs in same:
+                fs.append(f"{home} once" if len(same) == 1 else f"{home} among others")
+        for fs, text in zip(self.features, self.texts, strict=True):
+            if text is not None:
+                fs += [frame, f"{frame} {fs[-1]}", f"{frame} {fs[2]}"]
 
     def _node(self, parent: int, features: list[str], text: str | None = None) -> int:
         self.parents.append(parent)
@@ -226,7 +252,7 @@ class Dom:
                         shut(place)
                 link_depth = 0
                 if name not in VOID:
-                    above, parent = stack[min(len(stack), DEPTH) - 1]
+                    above, parent = stack[-1]
                     features = [f"<{name}>", f"<{name}> in <{above}>"]
                     if attributes:
                         features += attribute_features(attributes)
@@ -390,7 +416,7 @@ def sample_pages(count: int, seed: int = 0) -> list[tuple[str, str]]:
 
     def wrap(inner: str, tags: str, names: str) -> str:
         tag = pick(tags.split())
-        named = f' {pick(["class", "id", "class"])}="{pick(names.split())}"' if names and (tag in ("div", "section", "ul", "p", "span") or rng.random() < 0.4) else ""
+        named = f' {pick(["class", "id", "class"])}="{pick(names.split())}"' if names and (tag in ("div", "section", "article", "li", "ul", "p", "span") or rng.random() < 0.4) else ""
         return f"<{tag}{named}>{inner}</{tag}>"
 
     def chrome(kind: str) -> str:
@@ -399,7 +425,7 @@ def sample_pages(count: int, seed: int = 0) -> list[tuple[str, str]]:
         if kind == "header":
             return wrap(pick([f"<h1>{words(2)}</h1>", f"<p>{sentence()}</p>", words(3)]) + (chrome("nav") if rng.random() < 0.4 else ""), "header header div", "header site-header masthead banner topbar")
         if kind == "footer":
-            return wrap(pick([f"&copy; {words(3)} &middot; {prose()}", f"<p>{prose()}</p><ul>{links(3)}</ul>", words(4)]), "footer footer div", "footer site-footer copyright page-footer")
+            return wrap(pick([f"&copy; {words(3)} &middot; {prose()}", f"<p>{prose()}</p><ul>{links(3)}</ul>", f"<p>{prose()}</p>", f"<p>{sentence()} {sentence()}</p>", words(4)]), "footer footer div", "footer site-footer copyright page-footer")
         if kind == "side":
             return wrap(f"<h3>{words(2)}</h3>" + pick([f"<ul>{links(4)}</ul>", f"<p>{prose()}</p>", prose()]), "aside aside div", "sidebar widget related related-posts right-rail trending")
         if kind == "ad":
@@ -413,9 +439,40 @@ def sample_pages(count: int, seed: int = 0) -> list[tuple[str, str]]:
         said = "".join(wrap(f"<b>{words(1)}</b><p>{prose()}</p>" if rng.random() < 0.5 else f"<p>{prose()}</p><p>{prose()}</p>", "div li article", "comment comment-body reply") for _ in range(rng.randint(1, 4)))
         return wrap(pick(["", f"<h2>{words(2)}</h2>", f"<h3>{words(1)}</h3>"]) + said, "section div div ol", "comments comment-list discussion replies commentlist")
 
+    def framed(body: list[str]) -> str:
+        """The content in a home of its own, among what surrounds it."""
+        home = pick(["<article>", "<article>", '<article class="post">', "<main>", '<div class="content">', '<div id="main-content">', '<div class="entry-content">', '<div class="article-body">', "<main><article>", '<section class="story">'])
+        tags = re.findall(r"<(\w+)", home)
+        main = home + "".join(body) + "".join(f"</{t}>" for t in reversed(tags))
+        least = 0 if rng.random() < 0.15 else 1
+        before = [chrome(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "side"], rng.randint(least, 4))]
+        after = [chrome(k) for k in rng.sample(["comment", "footer", "side", "ad", "share", "notice", "form"], rng.randint(least, 4))]
+        inner = "".join([*before, main, *after])
+        inner = pick(["{}", "{}", '<div id="page">{}</div>', '<div class="wrapper"><div class="row">{}</div></div>']).format(inner)
+        full = f"<!DOCTYPE html><html><head><title>{words(3)}</title><style>p{{margin:0}}</style></head><body>{inner}</body></html>"
+        return pick([full, full, f"<body>{inner}</body>", inner])
+
+    def bare(body: list[str]) -> str:
+        """The content and nothing else, in the page or in elements without names."""
+        inner = pick(["{}", "{}", "<div>{}</div>", "<div><div>{}</div></div>", "<section>{}</section>", "<center>{}</center>"]).format("".join(body))
+        return pick(["{}", "<title>t</title>{}", "<body>{}</body>", "<!DOCTYPE html><html><head><title>t</title></head><body>{}</body></html>"]).format(inner)
+
+    def homeless(body: list[str]) -> str:
+        """Among what surrounds it, but in no home of its own."""
+        before = [chrome(k) for k in rng.sample(["nav", "header", "ad", "notice"], rng.randint(1, 2))]
+        after = [chrome(k) for k in rng.sample(["footer", "side", "ad", "comment"], rng.randint(0, 2))]
+        return pick(["<body>{}</body>", "<body><div>{}</div></body>", "{}"]).format("".join([*before, *body, *after]))
+
     out = []
-    for _ in range(count):
+    for n in range(count):
         kept: list[str] = []
+        kind = (framed, framed, framed, framed, bare, framed, framed, homeless, framed, framed, framed, "text")[n % 12]
+        if kind == "text":
+            said = [prose() for _ in range(rng.choice([1, 1, 2, 4]))]
+            tag = pick(["", "", "<br><br>", "<p>"])
+            kept = said if tag == "<p>" else [" ".join(said)]
+            out.append(((tag or "\n\n").join(said), "\n".join(kept)))
+            continue
 
         def block(text: str, tag: str, kept: list[str] = kept) -> str:
             kept.append(text)
@@ -425,11 +482,16 @@ def sample_pages(count: int, seed: int = 0) -> list[tuple[str, str]]:
                 shown[k] = pick([f"<b>{shown[k]}</b>", f'<a href="/z">{shown[k]}</a>', f"<em>{shown[k]}</em>"])
             return f"<{tag}>" + " ".join(shown) + ("" if tag == "p" and rng.random() < 0.15 else f"</{tag}>")
 
-        body = [block(words(rng.randint(1, 9)).capitalize(), "h1")] if rng.random() < 0.85 else []
-        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9])):
+        body = [block(words(rng.randint(1, 9)).capitalize(), "h1")] if rng.random() < 0.75 else []
+        if body and kind is framed and rng.random() < 0.15:
+            body = [f"<header>{body[0]}</header>"]
+        if rng.random() < 0.08:
+            kept.append(sentence())
+            body.append(kept[-1])
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9])):
             roll = rng.random()
             if roll < 0.72:
-                body.append(block(prose(), "p"))
+                body.append(block(prose() if rng.random() < 0.93 else words(rng.randint(1, 2)), "p"))
             elif roll < 0.8:
                 body.append(block(words(rng.randint(1, 5)), pick(["h2", "h3"])))
             elif roll < 0.86:
@@ -438,21 +500,16 @@ def sample_pages(count: int, seed: int = 0) -> list[tuple[str, str]]:
                 body.append("<blockquote>" + block(prose(), "p") + "</blockquote>")
             elif roll < 0.93:
                 body.append("<table><tr>" + block(words(2), "td") + block(words(2), "td") + "</tr></table>")
-            else:
+            elif kind is not bare:
                 body.append(chrome(pick(["ad", "notice", "share", "form", "side"])))
-        home = pick(["<article>", "<article>", '<article class="post">', "<main>", '<div class="content">', '<div id="main-content">', '<div class="entry-content">', '<div class="article-body">', "<main><article>", '<section class="story">'])
-        tags = re.findall(r"<(\w+)", home)
-        main = home + "".join(body) + "".join(f"</{t}>" for t in reversed(tags))
-        before = [chrome(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "side"], rng.randint(1, 4))]
-        after = [chrome(k) for k in rng.sample(["comment", "footer", "side", "ad", "share", "notice", "form"], rng.randint(1, 4))]
-        inner = "".join([*before, main, *after])
-        inner = pick(["{}", "{}", '<div id="page">{}</div>', '<div class="wrapper"><div class="row">{}</div></div>']).format(inner)
-        out.append((f"<!DOCTYPE html><html><head><title>{words(3)}</title><style>p{{margin:0}}</style></head><body>{inner}</body></html>", "\n".join(kept)))
+        if kind is not framed and not kept:
+            body.append(block(prose(), "p"))
+        out.append((kind(body), "\n".join(kept)))
     return out
 
 
 #: Pages in the labelled sample that the model is fitted on.
-TRAINING_PAGES = 500
+TRAINING_PAGES = 900
 _model: list[Model] = []
 
 
