@@ -285,7 +285,8 @@ def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens and ids (little-endian unsigned 32-bit integers) of every whole text; null texts are empty.
 
-    Texts stay in their partitions and are read in Arrow batches; no shuffle. Only key and text are read.
+    Texts stay in their partitions and are read in Arrow batches; no shuffle. Only key and text are read. Repeated rows
+    are encoded as often as they occur; a text of any length is one row, held whole by its task.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,11 +294,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         for batch in small(batches):
             ids = list(c.encode_batch(t or "" for t in batch.column(1).to_pylist()))
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
-    chosen = docs.select(F.col(key), F.col(text))
+    chosen = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = chosen.schema[0].dataType.simpleString()
-    return chosen.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids binary")
+    return chosen.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary").withColumnRenamed("id", key)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -307,10 +308,11 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
         c = codec(path)
         for batch in small(batches):
             texts = pa.array([c.decode(i) for i in batch.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[key, "n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=["id", "n_tokens", "ids", "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, "n_tokens", "ids").mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids binary, decoded string")
+    chosen = encoded.select(F.col(f"`{key}`").alias("id"), "n_tokens", "ids")
+    return chosen.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, decoded string").withColumnRenamed("id", key)
 
 
 def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,12 +17,12 @@ from .bpe import SPLIT, Codec, small, vocabulary_path
 from .common import table
 
 WINDOW = 1024
-#: Cost, in tokens of padding, of a cut at the end of a document, of a sentence, and within a sentence.
-PENALTIES = (0, 1, 4)
-#: Within sentences longer than LONG tokens (tables, lists, text without stops), and in no others, cuts are offered at
-#: multiples of GRAIN tokens. A sentence that no window holds must be cut; with LONG at a window's 1024 tokens 3.0 % of
-#: the sequences were padding and 1 % of them ended within a sentence, with 128 they are 2.2 % and 4 %, with 16 0.6 % and 45 %.
-LONG, GRAIN = 128, 16
+#: Cost, in tokens of padding, of a cut at the end of a document, of a sentence, of a clause, and anywhere else.
+PENALTIES = (0, 1, 2, 8)
+#: In sentences longer than LONG tokens (tables, lists, text without stops) the ends of clauses count as ends, too. Only
+#: what still exceeds a window, so that no window holds it, may be cut elsewhere, at multiples of GRAIN tokens.
+LONG, GRAIN = 32, 16
+SENTENCE, CLAUSE = 1, 2
 #: Tokens of one optimisation; its last window is left open and carried into the next.
 BLOCK = 1 << 17
 
@@ -59,25 +59,36 @@ def best_cuts(ends: list[int], costs: list[int], window: int = WINDOW) -> list[i
     return cuts[::-1]
 
 
-def offered_cuts(ids: np.ndarray, ends_sentence: np.ndarray, doc_ends: np.ndarray, penalties=PENALTIES, grain: int = GRAIN, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+def _within(marks: np.ndarray, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches between marks that are longer than `most`."""
+    starts, stops = np.concatenate(([0], marks)), np.concatenate((marks, [size]))
+    long = stops - starts > most
+    return starts[long], stops[long]
+
+
+def offered_cuts(ids: np.ndarray, kinds: np.ndarray, doc_ends: np.ndarray, penalties=PENALTIES, grain: int = GRAIN, long: int = LONG, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Token positions at which a stream may be cut, rising, and the cost of each.
 
-    ends_sentence tells for every vocabulary id whether a sentence ends with it; doc_ends are the positions after
-    each document. Gaps are at most `long`: a longer sentence may be cut within, at multiples of `grain`.
+    kinds tells for every vocabulary id whether a SENTENCE or a CLAUSE ends with it; doc_ends are the positions after
+    each document. Gaps are at most `window`: a sentence of more than `long` tokens may be cut where its clauses end,
+    and what is longer than a window without any such place at multiples of `grain`.
     """
-    size = len(ids)
-    sentence = np.flatnonzero(ends_sentence[ids]) + 1
+    size, found = len(ids), kinds[ids]
+    sentence, clause = np.flatnonzero(found == SENTENCE) + 1, np.flatnonzero(found == CLAUSE) + 1
     marks = np.union1d(sentence, doc_ends)
-    starts = np.concatenate(([0], marks))
-    stops = np.concatenate((marks, [size]))
-    counts = np.where(stops - starts > long, (stops - starts - 1) // grain, 0)
+    starts, stops = _within(marks, size, long)
+    k = np.searchsorted(starts, clause, side="right") - 1
+    inside = clause[(k >= 0) & (clause < stops[np.maximum(k, 0)])] if len(starts) else clause[:0]
+    ends = np.union1d(marks, inside)
+    starts, stops = _within(ends, size, window)
+    counts = (stops - starts - 1) // grain
     inner = np.repeat(starts, counts) + grain * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + 1)
-    ends = np.union1d(marks, inner)
+    ends = np.union1d(ends, inner)
     if size and (not len(ends) or ends[-1] != size):
         ends = np.append(ends, size)
-    cost = np.full(len(ends), penalties[2])
-    cost[np.isin(ends, sentence, assume_unique=True)] = penalties[1]
-    cost[np.isin(ends, doc_ends)] = penalties[0]
+    cost = np.full(len(ends), penalties[3])
+    for at, p in ((inside, penalties[2]), (sentence, penalties[1]), (doc_ends, penalties[0])):
+        cost[np.isin(ends, at)] = p
     return ends, cost
 
 
@@ -122,8 +133,8 @@ def library_codec(path: str) -> LibraryCodec:
 class Packer:
     """Packs the documents of one stream in their order; sequence numbers begin at `first`."""
 
-    def __init__(self, ends_sentence: np.ndarray, first: int = 0, window: int = WINDOW, block: int = BLOCK, penalties=PENALTIES):
-        self.ends_sentence, self.next, self.window, self.block, self.penalties = ends_sentence, first, window, block, penalties
+    def __init__(self, kinds: np.ndarray, first: int = 0, window: int = WINDOW, block: int = BLOCK, penalties=PENALTIES):
+        self.kinds, self.next, self.window, self.block, self.penalties = kinds, first, window, block, penalties
         self.docs: deque = deque()  # [key, ids, tokens of it already packed]
         self.held = 0
 
@@ -147,7 +158,7 @@ class Packer:
                 if got >= 2 * self.block:
                     break
             stream = np.concatenate(parts)
-            places, costs = offered_cuts(stream, self.ends_sentence, np.array(ends, np.int64), self.penalties, min(GRAIN, self.window), min(LONG, self.window))
+            places, costs = offered_cuts(stream, self.kinds, np.array(ends, np.int64), self.penalties, min(GRAIN, self.window), LONG, self.window)
             cuts = [int(places[i]) for i in best_cuts(places.tolist(), costs.tolist(), self.window)]
             if not final or got < self.held:
                 cuts = cuts[:-2] or cuts
@@ -171,10 +182,10 @@ class Packer:
         self.next += 1
 
 
-def sentence_enders(path: str) -> np.ndarray:
-    """For every id: whether its bytes end in a full stop, question or exclamation mark, or hold a line feed."""
-    found = np.array([b[-1:] in (b".", b"?", b"!") or b"\n" in b for b in library_codec(path).bytes])
-    return found
+def end_kinds(path: str) -> np.ndarray:
+    """For every id: SENTENCE if its bytes end in a full stop, question or exclamation mark or hold a line feed, CLAUSE if in , ; : | or a bracket."""
+    kind = lambda b: SENTENCE if b[-1:] in (b".", b"?", b"!") or b"\n" in b else CLAUSE if b[-1:] in (b",", b";", b":", b"|", b")", b"]") else 0
+    return np.array([kind(b) for b in library_codec(path).bytes], np.uint8)
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
@@ -182,14 +193,14 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
 
     Windows are optimal within blocks of about BLOCK tokens of a partition; no shuffle, and a task holds one block
     and one Arrow batch. A null text is empty and gives the end id alone. sequence_id is unique and rises in the
-    order of the stream within a partition; each partition's last sequence may be short. Repeated rows are packed
+    order of the stream within a partition; each partition's last sequence may be short, so small partitions cost padding. Repeated rows are packed
     as often as they occur; only key and text are read. The key may be of any type.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = library_codec(path)
         end = np.array([end_id], "<u4")
-        packer = Packer(sentence_enders(path), TaskContext.get().partitionId() << 40, window)
+        packer = Packer(end_kinds(path), TaskContext.get().partitionId() << 40, window)
         key_type = None
         for batch in small(batches):
             made, key_type = [], batch.column(0).type
@@ -213,15 +224,15 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
                 pa.array(offsets, pa.int64()),
                 *([pa.array([x.tobytes() for x in ids], pa.binary())] if with_ids else []),
             ],
-            names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])],
+            names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])],
         )
 
-    chosen = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    chosen = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = chosen.schema[0].dataType.simpleString()
     return chosen.mapInArrow(
         run,
-        f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids,
-    )
+        f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids,
+    ).withColumnRenamed("id", key)
 
 
 def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,8 @@ def test_nulls_and_empty_tables(spark):
     assert packing.pack(df.limit(0), path).count() == 0
     assert packing.pack(df, path).count() >= 4
     assert packing.pack(df.withColumn("doc_id", F.struct("doc_id")), path).count() >= 4
+    odd = df.withColumnRenamed("doc_id", "a.b")
+    assert bpe.decode(bpe.encode(odd, path, "a.b"), path, "a.b").columns == ["a.b", "n_tokens", "ids", "decoded"]
 
 
 def brute(ends, costs, window):
@@ -87,18 +89,26 @@ def test_cuts_are_optimal():
 
 def test_offered_cuts_cover_the_stream():
     rng = np.random.default_rng(0)
-    ends_sentence = np.zeros(100, bool)
-    ends_sentence[7] = True
-    for n in (1, 5, 400):
+    kinds = np.zeros(100, np.uint8)
+    kinds[7], kinds[8] = packing.SENTENCE, packing.CLAUSE
+    for n in (1, 5, 400, 3000):
         ids = rng.integers(0, 100, n)
-        ends, costs = packing.offered_cuts(ids, ends_sentence, np.array([n]), long=64)
+        ids[n // 2 : n // 2 + 200][ids[n // 2 : n // 2 + 200] < 9] = 50
+        ends, costs = packing.offered_cuts(ids, kinds, np.array([n]), long=32, window=64)
         gaps = np.diff(np.concatenate(([0], ends)))
         assert ends[-1] == n and costs[-1] == 0 and (gaps <= 64).all()
-        # within a sentence only where it is long
-        marks = {0, n, *(np.flatnonzero(ids == 7) + 1).tolist()}
-        inner = [e for e in ends.tolist() if e not in marks]
-        assert all(min(m for m in marks if m > e) - max(m for m in marks if m < e) > 64 for e in inner)
-        assert all(costs[i] == 1 for i, e in enumerate(ends[:-1]) if ids[e - 1] == 7)
+        around = lambda e, marks: min(m for m in marks if m > e) - max(m for m in marks if m < e)
+        sentences = {0, n, *(np.flatnonzero(ids == 7) + 1).tolist()}
+        clauses = sentences | {e for e in ends.tolist() if ids[e - 1] == 8}
+        for e, cost in zip(ends[:-1].tolist(), costs.tolist()):
+            if ids[e - 1] == 7:
+                assert cost == packing.PENALTIES[1]
+            elif ids[e - 1] == 8 and cost == packing.PENALTIES[2]:
+                assert around(e, sentences) > 32
+            else:  # elsewhere only where no window holds the sentence or its clauses
+                assert cost == packing.PENALTIES[3] and around(e, clauses - {e}) > 64
+        # every end of a clause in a long sentence is offered
+        assert all(e in set(ends.tolist()) for e in (np.flatnonzero(ids == 8) + 1).tolist() if e not in sentences and around(e, sentences) > 32)
 
 
 def test_op5(spark, sf, tok):
@@ -124,8 +134,8 @@ def test_op5(spark, sf, tok):
 
 
 def test_blocks_keep_order():
-    ends_sentence = np.zeros(50, bool)
-    ends_sentence[3] = True
+    ends_sentence = np.zeros(50, np.uint8)
+    ends_sentence[3] = packing.SENTENCE
     rng, docs = np.random.default_rng(1), []
     p, out = packing.Packer(ends_sentence, 100, 64, 256), []
     for k in range(60):
