@@ -11,8 +11,8 @@ from .common import cut, table
 
 #: Given names by script and gender, and forms of address by gender (u: either).
 GIVEN = {
-    ("latin", "f"): "Anna Maria Julia Laura Emma Sophie Claire Camille Elena Lucia Carmen Isabel Ingrid Greta Heidi Helga Mary Linda Susan Karen Sarah Emily".split(),
-    ("latin", "m"): "Peter Thomas Martin Daniel David Michael Lucas Pierre Antoine Julien Carlos Miguel Javier Pedro Hans Jürgen Klaus Dieter John James Robert William".split(),
+    ("latin", "f"): "Anna Maria Julia Laura Emma Sophie Claire Camille Elena Lucia Carmen Isabel Ingrid Greta Heidi Helga Mary Linda Susan Karen Sarah Emily Olga Irina Svetlana Tatiana Natalia Ekaterina Elizabeth Jennifer Patricia Barbara Jessica Nancy Margaret Catherine Alice Charlotte Ursula Sabine Petra Monika Giulia Francesca Chiara Pilar Dolores".split(),
+    ("latin", "m"): "Peter Thomas Martin Daniel David Michael Lucas Pierre Antoine Julien Carlos Miguel Javier Pedro Hans Jürgen Klaus Dieter John James Robert William Ivan Dmitri Sergei Andrei Nikolai Vladimir Richard Joseph Charles Christopher Matthew Anthony Andrew Paul George Edward Henry Wolfgang Stefan Günther Giovanni Marco Francesco Luis Jorge Fernando".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Татьяна Наталья Ирина Светлана Екатерина Людмила".split(),
     ("cyrillic", "m"): "Иван Пётр Алексей Дмитрий Сергей Андрей Николай Михаил Владимир Борис".split(),
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Ειρήνη Αγγελική Δήμητρα".split(),
@@ -54,20 +54,25 @@ _ALL_GIVEN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + r"
 _LAST = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_WORD}"
 _FORMS = [a for forms in ADDRESS.values() for a in forms]
 _forms = lambda capital: "(?:" + "|".join(a.replace(".", "") + (r"\." if "." in a else r"\.?") for a in _FORMS if a[0].isupper() == capital) + ")"
+#: Words before a given name alone, by which someone is greeted or called.
+CALLED = "Dear dear called named Hello Hi Lieber Liebe Cher Chère Querido Querida genannt nommé nommée llamado llamada".split()
+#: Country codes of telephone numbers, all others having three digits.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _ADDRESSED = rf" (?:\p{{Lu}}\. ){{0,3}}{_LAST}(?: (?:\p{{Lu}}\. ){{0,2}}{_LAST}){{0,2}}"
 #: What may be asked for at the place before the alternatives of a kind are tried.
 _DIGITS, _CAPITAL = r"(?=[\d+(])", r"(?=\p{Lu})"
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS: dict[str, str] = {
     "ip": rf"{_DIGITS}(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
-    "phone": rf"{_DIGITS}(?<!\+)(?:\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\)|[ .-]\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}|\+\d{{8,15}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|\d{{3}} \d{{3}} \d{{4}}|0\d{{2,4}}[ /-]\d{{6,8}})(?!\w)",
-    "ssn": rf"{_DIGITS}(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])",
+    "phone": rf"{_DIGITS}(?<!\+)(?:\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\)|[ .-]\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}|\+\d{{8,15}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|\d{{3}} \d{{3}} \d{{4}}|0\d{{2,4}}[ /-]\d{{3,4}}[ -]?\d{{3,4}})(?!\w)",
+    "ssn": rf"{_DIGITS}(?:(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])|(?<!\d )\d{{3}} \d{{2}} \d{{4}}(?! ?[\w-]))",
     "card": rf"{_DIGITS}(?<!-)\d(?:[ -]?\d){{12,18}}(?![\w-])",
     "iban": rf"{_CAPITAL}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w)",
     "key": rf"(?=[Aegrpsx])(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|{_KEY}(?=[A-Za-z_.-]{{0,80}}?\d)[A-Za-z0-9_.-]{{15,255}}[A-Za-z0-9_])(?!\w)",
-    "name": rf"(?:{_CAPITAL}(?:{_forms(True)}{_ADDRESSED}|{_ALL_GIVEN}(?: (?:{_ALL_GIVEN}|\p{{Lu}}\.)){{0,3}} {_LAST})|(?=[гκ]){_forms(False)}{_ADDRESSED})(?!\p{{L}})",
+    "name": rf"(?:{_CAPITAL}(?:{_forms(True)}{_ADDRESSED}|{_ALL_GIVEN}(?: (?:{_ALL_GIVEN}|\p{{Lu}}\.)){{0,3}} {_LAST}|(?:{'|'.join(w for w in CALLED if w[0].isupper())}) {_ALL_GIVEN})|(?=[dcngl])(?:{'|'.join(w for w in CALLED if w[0].islower())}) {_ALL_GIVEN}|(?=[гκ]){_forms(False)}{_ADDRESSED})(?!\p{{L}})",
+    "login": r"[A-Za-z][A-Za-z0-9+.-]{0,20}+://[^\s/@:\"'<>]{1,256}+:[^\s/@\"'<>]{1,256}+@",
     "email": r"(?<![.+%-])[\w\p{L}.+%-]++@(?:[\p{L}\p{N}-]{1,63}+\.){1,126}\p{L}{2,24}",
-    "secret": rf"(?<![.-])(?=[\w.-]*+[\"']?\s?[=:])(?i:[\w.-]{{0,64}}?{_SECRET}\w{{0,64}})[\"']?\s?(?:[=:]\s?[\"']|=\s?|:(?=\S)|:\s(?=\S{{0,63}}[\d!@#$%^&*_+/=-]))(?=[^\s\"'<>]{{0,200}}?[A-Za-z0-9])[^\s\"'<>]{{8,4096}}",
+    "secret": rf"(?:(?i:(?:password|passwd|pwd|passcode) (?:is|was) )(?=[^\s\"'<>]{{0,63}}?\d)[^\s\"'<>]{{8,256}}|(?<![.-])(?=[\w.-]*+[\"']?\s?[=:])(?i:[\w.-]{{0,64}}?{_SECRET}\w{{0,64}})[\"']?\s?(?:[=:]\s?[\"']|=\s?|:(?=\S)|:\s(?=\S{{0,63}}[\d!@#$%^&*_+/=-]))(?=[^\s\"'<>]{{0,200}}?[A-Za-z0-9])[^\s\"'<>]{{8,4096}})",
     "ip6": rf"(?<!:)(?=[0-9A-Fa-f:]{{0,39}}?\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
 }
 _START = r"(?<![\p{L}\p{N}_])"
@@ -119,6 +124,13 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + value(i) - F.when(value(i) > 9, 9).otherwise(0)), F.lit(10))
 
 
+def _mod97(text: Column) -> Column:
+    """The number that digits and capitals (10 to 35) spell, modulo 97."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    chars = F.filter(F.split(text, "", -1), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda s, c: F.pmod(s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)).cast("int"))
+
+
 def _by(column: Column, values: dict[str, Column]) -> Column:
     return reduce(lambda c, kv: c.when(column == kv[0], kv[1]), values.items(), F.when(F.lit(False), next(iter(values.values()))))
 
@@ -144,7 +156,7 @@ def draw(entities: DataFrame, secret_key: str) -> DataFrame:
     steps are columns of their own, so that each is worked out once a row.
     """
     kind, canonical, attempt, seed, drawn = (F.col(c) for c in ("kind", "canonical", "attempt", "seed", "drawn"))
-    head = F.when(kind == "secret", F.regexp_extract(canonical, r"^[^=:]*[=:]\s?[\"']?", 0)).when(kind == "key", F.regexp_extract(canonical, "^" + _KEY, 0)).otherwise("")
+    head = F.when(kind == "secret", F.regexp_extract(canonical, r"^(?:[^=: ]* (?:is|was) |[^=:]*[=:]\s?[\"']?)", 0)).when(kind == "key", F.regexp_extract(canonical, "^" + _KEY, 0)).when(kind == "login", F.regexp_extract(canonical, "^[^/]*://", 0)).otherwise("")
     step = entities.select("kind", "canonical", "attempt", F.sha2(F.concat_ws("\x1f", F.lit(secret_key), kind, canonical, attempt.cast("string")), 256).alias("seed"), head.alias("head"))
     step = step.withColumn("drawn", F.when(~(kind.contains(" ") | kind.isin("email", "ip", "ip6")), _like(F.substr(canonical, F.length("head") + 1), seed)))
     octet = lambda at, low=1, high=254: (_number(seed, at, high - low + 1) + low).cast("string")
@@ -163,9 +175,17 @@ def draw(entities: DataFrame, secret_key: str) -> DataFrame:
     longer = F.substr(F.lpad(_number(seed, 6, 10**8).cast("string"), 8, "0"), F.lit(1), F.greatest(F.lit(0), attempt - (WIDER - 1)))
     syllable = lambda k: _pick(seed, k, SYLLABLES["latin"])
     email = F.concat(*map(syllable, range(4)), F.lit("."), _number(seed, 4, 10**4).cast("string"), F.lit("@mail"), _number(seed, 5, 100).cast("string"), F.lit(".example.org"))
-    phone = F.concat(F.regexp_extract(canonical, r"^(\+\d)?", 0), (_number(seed, 7, 8) + 2).cast("string"), F.substr(drawn, F.when(canonical.startswith("+"), 4).otherwise(2)), longer)
+    area = F.coalesce(F.nullif(F.regexp_extract(canonical, _COUNTRY, 0), F.lit("")), F.regexp_extract(canonical, "^0?", 0))
+    phone = F.concat(area, (_number(seed, 7, 8) + 2).cast("string"), F.substr(drawn, F.length(area) + 2), longer)
     body = F.concat(F.substr(canonical, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2), F.length(drawn) - 2))
     step = step.withColumn("fits", F.when(kind == "card", F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))))
+    # check digits of accounts as of cards: right where the original's are, wrong where they are not
+    country = F.substr(canonical, F.lit(1), F.lit(2))
+    account = F.concat(F.substr(drawn, F.lit(5)), longer)
+    step = step.withColumn("rest97", F.when(kind == "iban", _mod97(F.concat(account, country, F.lit("00")))))
+    off = F.when(_mod97(F.concat(F.substr(canonical, F.lit(5)), F.substr(canonical, F.lit(1), F.lit(4)))) == 1, 0).otherwise(1 + _number(seed, 7, 95))
+    check = F.lpad((F.pmod(98 - F.col("rest97") - 2 + off, F.lit(97)) + 2).cast("string"), 2, "0")
+    iban = F.concat(country, check, account)
     shift = F.when(_luhn(canonical) == 0, 0).otherwise(1 + _number(seed, 7, 9))
     card = F.concat(body, F.pmod(F.col("fits") + shift, F.lit(10)).cast("string"))
     more = F.when((attempt >= WIDER) & ~F.col("head").isin("AKIA", "ASIA"), F.substring(seed, 33, 16)).otherwise("")
@@ -174,7 +194,8 @@ def draw(entities: DataFrame, secret_key: str) -> DataFrame:
         .when(kind.isin("ip", "ip6"), ip)
         .when(kind == "phone", phone)
         .when(kind == "card", card)
-        .when(kind == "iban", F.concat(F.substr(canonical, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3)), longer))
+        .when(kind == "iban", iban)
+        .when(kind == "login", F.concat("head", F.substr(drawn, F.lit(1), F.length(drawn) - 1), more, F.lit("@")))
         .when(kind.isin("secret", "key"), F.concat("head", "drawn", more))
         .when(kind.contains(" "), _name(kind, seed, attempt))
         .otherwise(F.concat(drawn, longer))
@@ -212,8 +233,8 @@ def _parts(match: Column, kind: Column) -> Column:
         given = F.coalesce(
             F.when(among(head, listed["f"]), "f").when(among(head, listed["m"]), "m"), F.when(among(first, forms["f"]), "f").when(among(first, forms["m"]), "m"), by_ending("f", "m"), F.lit("u")
         )
-        role = F.when(i == F.size(words) - 1, F.coalesce(by_ending("sf", "sm"), F.lit("s"))).otherwise(given)
-        still = ((i == 0) & among(first, sum(forms.values(), []))) | among(w, PARTICLES) | w.rlike(r"^\p{Lu}\.$")
+        role = F.when((i == F.size(words) - 1) & ~among(first, CALLED), F.coalesce(by_ending("sf", "sm"), F.lit("s"))).otherwise(given)
+        still = ((i == 0) & among(first, sum(forms.values(), CALLED))) | among(w, PARTICLES) | w.rlike(r"^\p{Lu}\.$")
         return F.struct(w.alias("raw"), F.when(~still, F.concat_ws(" ", script, role)).alias("kind"), low.alias("canonical"))
 
     canonical = (
@@ -273,7 +294,7 @@ def replace_pii(docs: DataFrame, secret_key: str, text: str = "text", count: str
     """docs with every entity in `text` replaced, and optionally the number of replaced places in a column `count`.
 
     Entities are addresses (e-mail, IP), numbers (phone, social security, card, account), secrets behind a telling
-    name, keys of known form, and names behind a form of address or a listed given name; within a text, later or
+    name, logins in web addresses, keys of known form, given names that someone is called or greeted by, and names behind a form of address or a listed given name; within a text, later or
     earlier bare mentions of a word of such a name are the same entity. Texts without entities, nulls and empty ones
     included, pass through unread by any shuffle. The entities of all other texts are gathered as one row for each
     distinct entity, given surrogates, and brought back by the hash of the text, so equal texts are treated once and

@@ -242,6 +242,48 @@ def test_wider_forms(spark):
     assert re.search("ίδου$", pii.replace_pii(df.where("was like 'Κυ%'"), "k").first().text)
 
 
+#: Patterns of the tests' own, by the published forms, and not the operator's.
+OWN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ipv4": r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", "card": r"\b\d{4}(?:[ -]?\d{4}){3}\b",
+    "phone": r"\+\d{1,3} \d{2} \d{4} \d{4}|\b0\d{2} \d{4} \d{4}\b", "ssn": r"\b\d{3}[- ]\d{2}[- ]\d{4}\b",
+}
+SAID = [
+    "Write to jane.roe@example.org or call +44 20 7946 0958 soon.", "Call 020 7946 0958 or +49 30 1234 5678.", "Pay DE89 3704 0044 0532 0130 00 and GB29 NWBK 6016 1331 9268 19 now.", "Card 4111 1111 1111 1111 from 10.1.2.3, SSN 123-45-6789 or 123 45 6789.",
+    "Pay FR14 2004 1010 0505 0001 3M02 606 or NL91ABNA0417164300.", "Wrong DE00 3704 0044 0532 0130 00 stays wrong.",
+]
+
+
+def mod97(iban):
+    raw = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97
+
+
+def test_surrogates_by_patterns_of_the_tests_own(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SAID)], "doc_id int, text string")
+    for r in pii.replace_pii(df, "k").collect():
+        was = SAID[r.doc_id]
+        for kind, pattern in OWN.items():
+            old, new = re.findall(pattern, was), re.findall(pattern, r.text)
+            assert len(old) == len(new) and not set(old) & set(new), (kind, was, r.text)
+            for a, b in zip(old, new):
+                if kind == "iban":
+                    assert a[:2] == b[:2] and (mod97(a) == 1) == (mod97(b) == 1) and len(a) == len(b) and [c == " " for c in a] == [c == " " for c in b]
+                if kind == "phone":
+                    assert a.split()[0][:3] == b.split()[0][:3] if a[0] == "+" else b[0] == "0"
+        assert re.sub("[A-Za-z0-9@.+]+", "", was) == re.sub("[A-Za-z0-9@.+]+", "", r.text)
+
+
+def test_logins_spoken_secrets_and_names_alone(spark):
+    said = ["see https://user:pa55word1@host.com/x now", "the password is hunter2secret and stays", "Dear John, a boy called Peter met Olga Ivanova. John left.", "password is required here", "They named it Berlin, and Paul is there."]
+    got = [r.text for r in pii.replace_pii(spark.createDataFrame([(t,) for t in said], "text string").coalesce(1), "k").collect()]
+    by = {next(i for i, s in enumerate(said) if s.split()[0] == g.split()[0] and s.split()[-1] == g.split()[-1]): g for g in got}
+    assert re.fullmatch(r"see https://[a-z]{4}:[a-z0-9]{9}@host\.com/x now", by[0]) and "pa55" not in by[0]
+    assert re.fullmatch(r"the password is [a-z0-9]{13} and stays", by[1]) and "hunter2" not in by[1]
+    m = re.fullmatch(r"Dear (\w+), a boy called (\w+) met (\w+) (\w+)\. (\w+) left\.", by[2])
+    assert m[1] == m[5] and not {*m.groups()} & {"John", "Peter", "Olga", "Ivanova"}
+    assert by[3] == said[3] and by[4] == said[4]
+
+
 def test_long_texts_of_every_alphabet(spark):
     """A million characters of what each pattern repeats end soon and crash nothing."""
     n = 1_000_000
