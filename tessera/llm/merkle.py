@@ -217,7 +217,10 @@ def manifest(leaves: DataFrame, group: str, key: str, height: int = HEIGHT, fano
     heads = _descend(over, leaves.sparkSession.range(1).select(F.col("id").alias("tree"), F.lit(b"").alias("path")), height, fanout)
     above = cut(_members(over[0], heads, height, fanout).select(F.col("pos").alias("tree"), "path"))
     paths = _descend(layers, above, height, fanout)
-    work = layers[0].drop("root").join(paths, ["tree", "block"]).join(subroots.withColumnRenamed("root", "subroot"), "tree").join(F.broadcast(root))
+    # in as many tasks as a shuffle has, which adaptive execution does not put together: folding is what takes the time
+    slices = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = layers[0].drop("root").repartition(slices, "tree", "block")
+    work = dealt.join(paths, ["tree", "block"]).join(subroots.withColumnRenamed("root", "subroot"), "tree").join(F.broadcast(root))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
