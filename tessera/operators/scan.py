@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import classes as C
+from tessera.functions import scores as S
 from tessera.functions import text as X
+from tessera.operators import lexicon, scoring
+from tessera.operators.lineage import cut
 from tessera.operators.retrieval import similar_names
 from tessera.operators.rows import first_per_key
 
@@ -32,6 +35,44 @@ def conflicts(watch: DataFrame, marks: DataFrame, least: float = 0.5, k: int = 1
     return best.select("watch_id", "mark_id", "similarity", F.array_sort(F.array_intersect("cw", "cm")).alias("overlap"))
 
 
+def name_candidates(watch: DataFrame, marks: DataFrame, stats: DataFrame, least: float = 0.3) -> DataFrame:
+    """(na, nb): every pair of distinct names of both sides that the registry's retrieval would bring together.
+
+    Names equal but for blanks, names that share an anchor (a word or part of one that is not generic), names of which
+    one has an anchor that begins, three letters longer, with an anchor of the other, and names whose trigram similarity
+    is at least `least`. Each rule is an equi join on keys of its own, so no pair of names that shares none is ever made.
+    """
+    both = cut(watch.select("name").union(marks.select("name")).where("name is not null").distinct())
+    words = cut(lexicon.names(both, "name", stats, scoring.LEVEL_WEIGHTS))
+    anchors = F.transform(F.filter("words", lambda w: ~lexicon.generic(w["role"])), lambda w: w["t"])
+    begun = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(t) - 4)), lambda i: F.substr(t, F.lit(1), F.when(i == 0, F.length(t)).otherwise(i)))
+    compact = F.replace("norm", F.lit(" "), F.lit(""))
+    named = lambda side, keys: words.join(side.select("name").distinct(), "name").select("name", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), compact)), keys))).alias("key")).where("key <> '='")
+    one = named(watch, anchors).select(F.col("name").alias("na"), "key")
+    two = named(marks, F.flatten(F.transform(anchors, begun))).select(F.col("name").alias("nb"), "key")
+    return cut(one.join(two, "key").select("na", "nb").union(similar_names(watch, marks, "name", least).select("na", "nb")).distinct())
+
+
+def name_conflicts(watch: DataFrame, marks: DataFrame, stats: DataFrame, least: float = 0.5, k: int = 20, sounds: bool = True) -> DataFrame:
+    """The k marks of the highest score for every watched item: watch_id, mark_id, score, path, risk_level, conflict_type, overlap.
+
+    watch: watch_id, name, classes, holder, application_no; marks: mark_id and the same. A pair needs a shared class,
+    different holders and applications, and a score of at least `least`. overlap is what both share or, where either
+    holds class 99, all that they name. Distinct pairs of names are scored once, by scoring.score_pairs().
+    """
+    near = scoring.score_pairs(name_candidates(watch, marks, stats), "na", "nb", stats, sounds).where(F.col("score") >= least).select("na", "nb", "score", "path")
+    w = watch.select("watch_id", F.col("name").alias("na"), F.col("classes").alias("cw"), F.col("holder").alias("hw"), F.col("application_no").alias("aw"))
+    m = marks.select("mark_id", F.col("name").alias("nb"), F.col("classes").alias("cm"), F.col("holder").alias("hm"), F.col("application_no").alias("am"))
+    mine = same_holder(F.col("hw"), F.col("hm")) | F.coalesce(F.col("aw") == F.col("am"), F.lit(False))
+    gate = (F.col("near.nb") == F.col("m.nb")) & F.arrays_overlap(C.expand(F.col("cw")), C.expand(F.col("cm"))) & ~mine
+    pairs = w.join(near, "na").alias("near").join(m.alias("m"), gate).select("watch_id", "mark_id", "score", "path", "cw", "cm")
+    best = first_per_key(pairs, ["watch_id"], [F.desc("score"), F.col("mark_id")], k)
+    every = F.array_contains("cw", C.ALL) | F.array_contains("cm", C.ALL)
+    overlap = F.array_sort(F.when(every, F.array_union("cw", "cm")).otherwise(F.array_intersect("cw", "cm")))
+    # meanings of names no longer count, so a conflict rests on the text
+    return best.select("watch_id", "mark_id", "score", "path", S.risk_level(F.col("score")).alias("risk_level"), F.lit("TEXT").alias("conflict_type"), overlap.alias("overlap"))
+
+
 def event_alerts(events: DataFrame, watch: DataFrame, alerted: DataFrame) -> DataFrame:
     """Events on watched applications for which no alert stands yet (application_no, event_type, event_date, watch_id)."""
     hits = events.join(watch.select("application_no", "watch_id"), "application_no")

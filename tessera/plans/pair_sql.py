@@ -10,7 +10,7 @@ from tessera.functions import text as X
 from tessera.operators import lexicon, scoring
 
 NORM = f"trim(regexp_replace(translate(lower(translate({{0}}, 'Iİ', 'ıi')), '{X.MARKED}', '{X.BARE}'), '[^a-z0-9]+', ' ', 'g'))"
-_TRI = r"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+TRIGRAMS = r"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 #: Word statistics of documents, without the profile of descriptors.
 STATISTICS = f"""dw AS (SELECT unnest(list_distinct(list_filter(string_split({NORM.format("text")}, ' '), lambda x: length(x) > 1))) AS word FROM documents WHERE trim(text) <> ''), nd AS (SELECT count(*) AS n FROM documents WHERE trim(text) <> ''),
@@ -100,7 +100,7 @@ SCORED = f"""nm AS MATERIALIZED (SELECT name, {NORM.format("name")} AS norm FROM
   FROM (SELECT hd.*, ra.r, lost, got + coalesce(list_sum(list_transform(list_filter(qr, lambda z: list_contains(list_transform(tr, lambda o: o.t), z.t)), lambda z: z.w)), 0) AS m, coalesce(list_sum(list_transform(lft, lambda z: z.w)), 0) AS rest
    FROM hd JOIN ml ON ml.a = hd.a AND ml.b = hd.b AND ml.i = len(ml.own) + 1 JOIN ra ON ra.x = qn AND ra.y = tn)),
  e1 AS (SELECT hd.*, hits, shy, level, list_filter(hits, lambda h: h.xr <> 'generic' OR h.yr <> 'generic') AS anch, list_filter(hits, lambda h: h.kind = 'exact') AS ex, list_filter(hits, lambda h: h.kind = 'exact' AND h.xr <> 'generic') AS exa, list_filter(q, lambda w: w.role <> 'generic') AS qa, list_filter(t, lambda w: w.role <> 'generic') AS ta,
-   list_filter(q, lambda w: NOT {_HAS.format("hits", "x", "w.t")}) AS qx, list_filter(t, lambda w: NOT {_HAS.format("hits", "y", "w.t")}) AS tx, {_TRI.format("hd.a")} AS ga, {_TRI.format("hd.b")} AS gb
+   list_filter(q, lambda w: NOT {_HAS.format("hits", "x", "w.t")}) AS qx, list_filter(t, lambda w: NOT {_HAS.format("hits", "y", "w.t")}) AS tx, {TRIGRAMS.format("hd.a")} AS ga, {TRIGRAMS.format("hd.b")} AS gb
   FROM hd JOIN (SELECT a, b, shy, hits FROM al WHERE i = len(q) + 1) al ON al.a = hd.a AND al.b = hd.b JOIN lv ON lv.a = hd.a AND lv.b = hd.b),
  e2 AS (SELECT *, {_OF.format(_SUM.format("hits", "xw"), _TOTAL.format("q"))} AS recall, {_OF.format(_SUM.format("hits", "yw"), _TOTAL.format("t"))} AS prec, {_OF.format(_SUM.format("hits", "xw"), "coalesce(list_sum(list_transform(hits, lambda h: h.xw)), 0)")} AS good,
    {_OF.format(_SUM.format("list_filter(hits, lambda z: z.xr <> 'generic')", "xw"), _TOTAL.format("qa"))} AS q_cov, {_OF.format(_SUM.format("list_filter(hits, lambda z: z.yr <> 'generic')", "yw"), _TOTAL.format("ta"))} AS t_cov, coalesce(list_avg(list_transform(anch, lambda h: h.sim)), 0) AS quality,

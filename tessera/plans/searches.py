@@ -15,9 +15,9 @@ from tessera.functions import scores as S
 from tessera.functions import status as ST
 from tessera.functions import text as X
 from tessera.functions import visual as V
-from tessera.operators import corpus, feeds, lexicon, merge, retrieval, rows, scoring, search
+from tessera.operators import corpus, feeds, lexicon, merge, retrieval, rows, scan, scoring, search
 from tessera.plans.catalog import AS_OF, GRAMS, TM, jaccard_sql, query, read, trademarks
-from tessera.plans.pair_sql import SCORED, STATISTICS, lookup_sql
+from tessera.plans.pair_sql import SCORED, STATISTICS, TRIGRAMS, lookup_sql
 from tessera.plans.registry import RISK, as_of
 
 MK = r"""mk AS (SELECT doc_id AS id, translate(array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')[1:3], ' '), 'sogSOG', 'şöğŞÖĞ') AS name, source AS holder, lang,
@@ -401,6 +401,34 @@ def q3b(spark, sf):
     return signals(marks(spark, sf)).select("id", F.round(guarded, 4).alias("visual"))
 
 
+_CLASSES = "[CASE WHEN id % 31 = 0 THEN 99 ELSE classes[1] END, classes[2]]"
+_FULL = "CASE WHEN list_contains({0}, 99) THEN range(1, 46) ELSE {0} END"
+_SHARED = "CASE WHEN list_contains(wc, 99) OR list_contains(mc, 99) THEN list_distinct(wc || mc) ELSE list_intersect(list_distinct(wc), mc) END"
+
+
+def with_all(m: DataFrame) -> DataFrame:
+    """Marks of which some bear class 99."""
+    return m.withColumn("classes", F.array(F.when(F.col("id") % 31 == 0, 99).otherwise(F.get("classes", F.lit(0))), F.get("classes", F.lit(1))))
+
+
+@query("q12_watch_scan", f"""WITH RECURSIVE {MK}, wm AS (SELECT *, {_CLASSES} AS c FROM mk), {PROFILE},
+ g AS MATERIALIZED (SELECT name, replace({NORM_TR.format('name')}, ' ', '') AS cn, {TRIGRAMS.format('name')} AS g FROM (SELECT DISTINCT name FROM mk)),
+ wn AS (SELECT DISTINCT name FROM mk WHERE holder = 'src3'), sw AS (SELECT DISTINCT unnest(string_split({NORM_TR.format('name')}, ' ')) AS word FROM mk WHERE trim(name) <> ''),
+ pr AS (SELECT row_number() OVER () AS id, a.name AS a, b.name AS b FROM wn a, (SELECT DISTINCT name FROM mk WHERE section = 'published') b), {SCORED},
+ ck AS (SELECT pr.a, pr.b, score, path FROM scored JOIN pr USING (id) JOIN hd ON hd.a = pr.a AND hd.b = pr.b JOIN g x ON x.name = pr.a JOIN g y ON y.name = pr.b
+  WHERE score >= 0.5 AND ((x.cn = y.cn AND x.cn <> '') OR len(list_filter(hd.q, lambda u: u.role <> 'generic' AND len(list_filter(hd.t, lambda v: v.role <> 'generic' AND (v.t = u.t OR (starts_with(v.t, u.t) AND length(v.t) - length(u.t) >= 3)))) > 0)) > 0
+   OR coalesce(len(list_intersect(x.g, y.g))::DOUBLE / nullif(len(list_distinct(x.g || y.g)), 0), 0) >= 0.3)),
+ pp AS (SELECT w.id AS watch_id, m.id AS mark_id, score, path, w.c AS wc, m.c AS mc FROM wm w JOIN ck ON ck.a = w.name JOIN wm m ON m.name = ck.b AND m.section = 'published' AND w.holder = 'src3' AND w.holder <> m.holder AND w.application_no <> m.application_no AND list_has_any({_FULL.format('w.c')}, {_FULL.format('m.c')}))
+ SELECT watch_id, mark_id, score, path, {RISK} AS risk_level, 'TEXT' AS conflict_type, array_to_string(list_sort({_SHARED}), ',') AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY watch_id ORDER BY score DESC, mark_id) AS r FROM pp) WHERE r <= 10""")
+def q12_scan(spark, sf):
+    """One organisation's marks against those just published, by the pair scorer."""
+    m = with_all(marks(spark, sf))
+    stats = corpus.lexical_statistics(m, "name", "holder", "classes", least=8)
+    watch = m.where("holder = 'src3'").withColumnRenamed("id", "watch_id")
+    found = scan.name_conflicts(watch, m.where("section = 'published'").withColumnRenamed("id", "mark_id"), stats, k=10, sounds=False)
+    return found.withColumn("overlap", F.array_join("overlap", ","))
+
+
 # ---- feeds -----------------------------------------------------------------------------------------------------------
 
 EV = "ev AS (SELECT event_id, user_id AS id, CASE event_type WHEN 'click' THEN 'cancellation' WHEN 'purchase' THEN 'transfer' WHEN 'error' THEN 'bankruptcy' WHEN 'view' THEN 'merger' ELSE 'renewal' END AS event_type, CAST(ts AS DATE) AS event_date FROM events)"
