@@ -15,7 +15,7 @@ from tessera.functions import scores as S
 from tessera.functions import status as ST
 from tessera.functions import text as X
 from tessera.functions import visual as V
-from tessera.operators import corpus, feeds, lexicon, merge, retrieval, rows, scan, scoring, search
+from tessera.operators import corpus, feeds, lexicon, merge, nearest, retrieval, rows, scan, scoring, search
 from tessera.plans.catalog import AS_OF, GRAMS, TM, jaccard_sql, query, read, trademarks
 from tessera.plans.pair_sql import SCORED, STATISTICS, TRIGRAMS, lookup_sql
 from tessera.plans.registry import RISK, as_of
@@ -144,7 +144,7 @@ def q6(spark, sf):
  SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""")
 def j13(spark, sf):
     e, _ = vectors(spark, sf)
-    return search.nearest_many(e, e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), "id", "a", 5)
+    return nearest.nearest_many(e, e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), "id", "a", 5)
 
 
 @query("q8_design_search", f"""WITH {MK}, {VEC}, {NAME_GRAMS}, t AS (SELECT id, round({jaccard_sql('g', 'p')}, 6) AS text FROM g WHERE contains(n, 'ander the') OR {jaccard_sql('g', 'p')} > 0.2 ORDER BY text DESC, id LIMIT 200),

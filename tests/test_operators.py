@@ -1,9 +1,12 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, feeds, lifecycle, merge, retrieval, rows, scan, search
+from tessera.operators import corpus, feeds, lifecycle, merge, nearest, retrieval, rows, scan, search
 
 DAY = dt.date(2024, 1, 1)
 
@@ -129,3 +132,46 @@ def test_prescreen_caps_and_pool(spark):
     by_stage = {s: sum(s in r.stages for r in got) for s in retrieval.STAGES}
     assert by_stage["exact"] == 25 and by_stage["short-token"] == 120 and by_stage["any-token"] == 40 and by_stage["phonetic"] == 0
     assert max(r.stage_no for r in retrieval.prescreen(rows, "Red Widget", ["widget", "red"], limit=30).collect()) <= 1
+
+
+def test_nearest_of_many_is_exact(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 8)) * 4
+    vectors = np.concatenate([middles[i % 12] + rng.normal(size=8) * 0.3 for i in range(3000)]).reshape(-1, 8)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(4000 + i, vectors[5].tolist()) for i in range(30)] + [(5000, [0.0] * 8), (5001, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(6)
+    asked = df.where("id % 50 = 0 or id = 5001").withColumnRenamed("id", "query_id")
+    got = {}
+    for r in nearest.nearest_many(df, asked, "id", "v", 5).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.id))
+    ids, x = np.array([i for i, v in rows if v]), np.array([v for _, v in rows if v])
+    size = np.linalg.norm(x, axis=1)
+    for i, v in rows:
+        if v and i % 50 == 0:
+            q = np.array(v)
+            s = np.divide(x @ q, size * np.linalg.norm(q), out=np.zeros(len(x)), where=(size > 0) & (np.linalg.norm(q) > 0))
+            best = sorted((-round(float(a), 6), int(j)) for a, j in zip(s, ids) if j != i)[:5]
+            assert sorted(got[i]) == [(pytest.approx(a), j) for a, j in best], i
+    assert len(got) == sum(1 for i, v in rows if v and i % 50 == 0)
+    assert nearest.nearest_many(df.where("id = 5001"), asked, "id", "v", 5).collect() == []
+
+
+def test_bounds_spare_most_blocks(spark):
+    """Of clustered rows only a small share is scored."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 16))
+    df = spark.createDataFrame([(i, (middles[i % 40] + rng.normal(size=16) * 0.05).tolist()) for i in range(4000)], "id long, v array<double>").repartition(2)
+    sizes = []
+    met = nearest._met
+
+    def counted(pairs, blocks, queries, slots):
+        sizes.append(pairs.join(blocks.select("block", F.size("keys").alias("n")), "block").agg(F.sum("n")).first()[0] or 0)
+        return met(pairs, blocks, queries, slots)
+
+    nearest._met = counted
+    try:
+        asked = df.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+        assert nearest.nearest_many(df, asked, "id", "v", 10).count() == 400
+    finally:
+        nearest._met = met
+    assert sum(sizes) < 0.2 * 40 * 4000, sizes
