@@ -33,6 +33,10 @@ _GEN = "({0} = 'generic')"
 _CUT = "SELECT word, left(word, i - 1) AS root, substr(word, i) AS suffix FROM {0}, range(5, length(word) - 1) AS r(i) WHERE substr(word, i) IN (SELECT suffix FROM sfx)"
 #: Longest common block of a and b: its length l, the earliest in a (m is -i), then the earliest in b.
 _BLOCK = "list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n))), lambda n: struct_pack(l := n, m := -i)))))"
+#: Ratios ra(x, y, r) of the pairs in sp(x, y): twice the letters in matching blocks over all letters.
+BLOCKS = f"""bl AS (SELECT x, y, x AS a, y AS b FROM sp UNION ALL SELECT x, y, n.a, n.b FROM (SELECT x, y, unnest([struct_pack(a := left(a, -f.m - 1), b := left(b, strpos(b, substr(a, -f.m, f.l)) - 1)), struct_pack(a := substr(a, -f.m + f.l), b := substr(b, strpos(b, substr(a, -f.m, f.l)) + f.l))]) AS n
+   FROM (SELECT *, {_BLOCK} AS f FROM bl WHERE a <> '' AND b <> '') WHERE f IS NOT NULL) WHERE n.a <> '' AND n.b <> ''),
+ ra AS MATERIALIZED (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 1 ELSE 2 * coalesce(sum(({_BLOCK}).l), 0)::DOUBLE / (length(x) + length(y)) END AS r FROM bl GROUP BY x, y)"""
 _HAS = "len(list_filter({0}, lambda z: z.{1} = {2})) > 0"
 
 
@@ -79,9 +83,7 @@ SCORED = f"""nm AS MATERIALIZED (SELECT name, {NORM.format("name")} AS norm FROM
   FROM (SELECT tl.*, coalesce(rt.cls = 'generic', false) AND length(x) - length(tail) >= 2 AND length(y) - length(tail) >= 2 AS cut FROM tl LEFT JOIN rt ON rt.word = tail AND length(tail) >= 4)),
  wr AS (SELECT DISTINCT x.t AS x, y.t AS y FROM (SELECT unnest(qr) AS x, tr FROM hd), unnest(tr) AS u(y) WHERE x.t <> y.t),
  sp AS MATERIALIZED (SELECT p AS x, z AS y FROM rr UNION SELECT x, y FROM wr UNION SELECT qn, tn FROM hd),
- bl AS (SELECT x, y, x AS a, y AS b FROM sp UNION ALL SELECT x, y, n.a, n.b FROM (SELECT x, y, unnest([struct_pack(a := left(a, -f.m - 1), b := left(b, strpos(b, substr(a, -f.m, f.l)) - 1)), struct_pack(a := substr(a, -f.m + f.l), b := substr(b, strpos(b, substr(a, -f.m, f.l)) + f.l))]) AS n
-   FROM (SELECT *, {_BLOCK} AS f FROM bl WHERE a <> '' AND b <> '') WHERE f IS NOT NULL) WHERE n.a <> '' AND n.b <> ''),
- ra AS MATERIALIZED (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 1 ELSE 2 * coalesce(sum(({_BLOCK}).l), 0)::DOUBLE / (length(x) + length(y)) END AS r FROM bl GROUP BY x, y),
+ {BLOCKS},
  fz AS MATERIALIZED (SELECT rr.x, rr.y, CASE WHEN shared IS NULL THEN r WHEN length(p) < 4 OR length(z) < 4 THEN 0 WHEN r < 0.72 THEN least(0.45::DOUBLE, r * 0.60::DOUBLE) ELSE r END::DOUBLE AS f FROM rr JOIN ra ON ra.x = p AND ra.y = z),
  si AS MATERIALIZED (SELECT x, y, f, round(CASE WHEN u >= 0.84 THEN u WHEN u >= 0.74 AND least(length(x), length(y)) >= 4 THEN u * 0.95::DOUBLE END, 4) AS sim FROM (SELECT *, CASE WHEN least(length(x), length(y)) >= 4 AND abs(length(x) - length(y)) >= 2
    AND (starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x)) THEN least(f, 0.69::DOUBLE) ELSE f END AS u FROM fz) WHERE u >= 0.74),

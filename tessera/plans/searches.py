@@ -17,7 +17,7 @@ from tessera.functions import text as X
 from tessera.functions import visual as V
 from tessera.operators import corpus, feeds, lexicon, merge, nearest, retrieval, rows, scan, scoring, search
 from tessera.plans.catalog import AS_OF, GRAMS, TM, jaccard_sql, query, read, trademarks
-from tessera.plans.pair_sql import SCORED, STATISTICS, TRIGRAMS, lookup_sql
+from tessera.plans.pair_sql import BLOCKS, SCORED, STATISTICS, TRIGRAMS, lookup_sql
 from tessera.plans.registry import RISK, as_of
 
 MK = r"""mk AS (SELECT doc_id AS id, translate(array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')[1:3], ' '), 'sogSOG', 'şöğŞÖĞ') AS name, source AS holder, lang,
@@ -306,13 +306,6 @@ def w2(spark, sf):
     return p.join(first, "k").select("p_partkey", "canonical")
 
 
-@query("x14_multilevel_similarity")
-def x14(spark, sf):
-    """Every distinct name against one, its words weighed by their class in the corpus."""
-    names = marks(spark, sf).select("name").where("name <> ''").distinct().withColumn("query", F.lit("Ander the thing"))
-    return scoring.multilevel(names, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"))
-
-
 #: Logo signals of a mark: odd divisors keep totals off the borders of rounding.
 SIGNALS = "sg AS (SELECT id, name, (id % 97) / 97.0::DOUBLE AS c, (id % 89) / 89.0::DOUBLE AS d, (id % 83) / 83.0::DOUBLE AS o, id % 3 > 0 AS has, id % 5 = 0 AS pa, id % 4 = 0 AS pb FROM mk)"
 
@@ -353,6 +346,23 @@ def q3_sound(spark, sf):
     return scoring.hybrid_risk(scored, "query", "name").select("id", F.col("score").alias("text"), "path", "visual", "total", "risk_level")
 
 
+@query("x14_multilevel_similarity", f"""WITH RECURSIVE {MK}, pr AS (SELECT row_number() OVER () AS id, 'Ander the thing' AS a, name AS b FROM (SELECT DISTINCT name FROM mk WHERE name <> '')), {STATISTICS}, {SCORED} SELECT a AS query, b AS name, level AS similarity FROM lv""")
+def x14(spark, sf):
+    """Every distinct name against one, its words weighed by their class in the corpus."""
+    names = marks(spark, sf).select("name").where("name <> ''").distinct().withColumn("query", F.lit("Ander the thing"))
+    return scoring.multilevel(names, "query", "name", corpus.word_statistics(read(spark, sf, "documents"), "text"))
+
+
+@query("x10_difference_ratios", f"""WITH RECURSIVE {MK}, n AS (SELECT DISTINCT name, {NORM_TR.format('name')} AS x FROM mk), sp AS MATERIALIZED (SELECT x, 'serle ander' AS y FROM n UNION SELECT x, 'and er' FROM n UNION SELECT replace(x, ' ', ''), 'ander' FROM n), {BLOCKS},
+ o AS (SELECT name, n.x, a.r AS ratio, greatest(b.r, c.r) AS best, length(replace(n.x, ' ', '')) AS l FROM n JOIN ra a ON a.x = n.x AND a.y = 'serle ander' JOIN ra b ON b.x = n.x AND b.y = 'and er' JOIN ra c ON c.x = replace(n.x, ' ', '') AND c.y = 'ander')
+ SELECT name, round(ratio, 6) AS ratio, CASE WHEN l = 0 THEN 0 WHEN replace(x, ' ', '') = 'ander' THEN 1 ELSE round(least(best, 0.68::DOUBLE, CASE WHEN least(l, 5)::DOUBLE / greatest(l, 5) < 0.60 THEN 0.62 ELSE 1 END::DOUBLE), 4) END::DOUBLE AS ocr FROM o""")
+def x10(spark, sf):
+    """Matching blocks of every name with one, and its likeness to a text read from a logo."""
+    names = marks(spark, sf).select("name").distinct()
+    ratio = F.round(P.difference_ratio(X.normalize(F.col("name")), F.lit("serle ander")), 6)
+    return names.select("name", ratio.alias("ratio"), P.ocr_similarity(F.col("name"), F.lit("and er")).alias("ocr"))
+
+
 #: Statistics of the marks' own words, their profile included, as words of eight marks or more have it.
 PROFILE = f"""tk AS (SELECT id, holder, classes, {TOKENS} AS ws FROM mk WHERE trim(name) <> ''), dd AS (SELECT id, holder, classes, unnest(list_distinct(ws)) AS word, ws[1] AS head, ws[-1] AS tail, len(ws) AS n FROM tk),
  bs AS (SELECT word, count(*) AS df, count(*) FILTER (word = head) AS f, count(*) FILTER (word = tail) AS l, count(*) FILTER (n = 1) AS s, count(DISTINCT holder) AS holders FROM dd GROUP BY word),
