@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import dates as D
 from tessera.functions import status as ST
+from tessera.operators import rows
 
 RANK = {"BLT": 1, "GZ": 2, "APP": 3}
 
@@ -185,3 +187,32 @@ def merge_into_gazette(gazette: DataFrame, disc: DataFrame, key: str, kept: list
     filled = lambda c: F.nullif(F.trim(F.col(f"d.{c}")), F.lit("")) if disc.schema[c].dataType.typeName() == "string" else F.col(f"d.{c}")
     value = lambda c: F.col(f"g.{c}") if c not in disc.columns else F.coalesce(f"g.{c}", filled(c)) if c in kept else F.coalesce(filled(c), f"g.{c}")
     return g.join(d, key, "full").select(key, *[value(c).alias(c) for c in rest], F.col("g").isNull().alias("appended"))
+
+
+def same_bulletin(a: Column, b: Column) -> Column:
+    """The number of the bulletin that two deliveries of a record are of; two that differ fail the job.
+
+    Records of different bulletins would be united without a sign, so the check is a part of the plan.
+    """
+    x, y = D.bulletin_number(a), D.bulletin_number(b)
+    clash = F.raise_error(F.concat(F.lit("bulletin numbers differ: "), a, F.lit(" and "), b)).cast("string")
+    return F.when(x.isNotNull() & y.isNotNull() & (x != y), clash).otherwise(F.coalesce(x, y))
+
+
+def continue_gazette(gazette: DataFrame, disc: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """As merge_into_gazette(), with record_index, attorney (struct of name, firm) and bulletin_no.
+
+    What the disc alone has is numbered on, by key, from the greatest record_index of the gazette. An attorney's name
+    is the disc's where it has one, the firm always the gazette's. Bulletins must agree, as same_bulletin() demands.
+    """
+    rest = [c for c in gazette.columns if c not in ("record_index", "attorney", "bulletin_no")]
+    merged = merge_into_gazette(gazette.select(rest), disc.select([c for c in rest if c in disc.columns]), key, kept)
+    told = lambda c: F.nullif(F.trim(c), F.lit(""))
+    g = gazette.select(key, "record_index", F.col("attorney").alias("ga"), F.col("bulletin_no").alias("gb"))
+    d = disc.select(key, F.col("attorney").alias("da"), F.col("bulletin_no").alias("db"))
+    attorney = F.struct(F.coalesce(told(F.col("da.name")), F.col("ga.name")).alias("name"), F.col("ga.firm").alias("firm"))
+    both = merged.join(g, key, "left").join(d, key, "left").withColumns({"attorney": attorney, "bulletin_no": same_bulletin(F.col("gb"), F.col("db"))}).drop("ga", "da", "gb", "db")
+    last = F.broadcast(gazette.agg(F.coalesce(F.max("record_index"), F.lit(0)).alias("__last")))  # one row
+    fresh = both.where("appended").crossJoin(last)
+    numbered = rows.numbered(fresh, [F.col(key).asc()], 1, "__n").withColumn("record_index", F.col("__last") + F.col("__n")).drop("__last", "__n")
+    return both.where("not appended").unionByName(numbered)

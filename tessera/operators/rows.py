@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import cut
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of every key; Spark drops later rows before the shuffle (WindowGroupLimit)."""
@@ -50,3 +52,23 @@ def class_overlap_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, classe
     """Distinct (a_id, b_id) that share a class, by an equi join on exploded classes; 99 is first written out as 1..45."""
     spread = lambda df, c: df.select(c, F.explode(F.when(F.array_contains(classes, 99), F.sequence(F.lit(1), F.lit(45))).otherwise(F.array_distinct(F.col(classes)))).alias("class"))
     return spread(a, a_id).join(spread(b, b_id), "class").select(a_id, b_id).distinct()
+
+
+#: Row numbers within a partition in what monotonically_increasing_id() gives.
+_ROW_BITS = 33
+
+
+def numbered(df: DataFrame, order: list[Column], start: Column | int = 1, name: str = "n") -> DataFrame:
+    """df with `name`, dense numbers from `start` in the order given, without a window over all rows.
+
+    Rows are dealt by ranges of the order and sorted there; a partition's rows count on from those of the partitions
+    before, of which there is one row each. Jobs run while this is called.
+    """
+    held = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__id", F.monotonically_increasing_id())
+    held = held.withColumn("__run", F.shiftright("__id", _ROW_BITS))
+    runs = held.groupBy(F.col("__run").alias("__of")).agg(F.count("*").alias("__n"), F.min("__id").alias("__low"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(runs.select("__of", (before - F.col("__low")).alias("__start")))  # a row for each partition
+    base = start if isinstance(start, Column) else F.lit(start)
+    placed = held.join(starts, F.col("__run") == F.col("__of"))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__id") + F.col("__start") + base).alias(name))

@@ -84,6 +84,36 @@ def holder_watch(watch: DataFrame, records: DataFrame) -> DataFrame:
     return watch.select("watch_id", F.lower(F.trim("holder")).alias("h")).join(records.withColumn("h", F.lower(F.trim("holder"))), "h").drop("h")
 
 
+#: What a record of a section says of the right it refers to.
+LIFECYCLE = {"article_42_change_requests": "lifecycle_change_request", "article_42_finalized": "lifecycle_finalized", "corrections": "lifecycle_correction"}
+
+
+def lifecycle_watch(watch: DataFrame, records: DataFrame) -> DataFrame:
+    """(watch_id, record_id, match_type) of records that refer to a watched registration by any of three numbers.
+
+    watch: watch_id, registration_no; records: record_id, section, registration_no, existing_registration_no and
+    correction_of (a text). One equi join over the distinct numbers of a record, so neither an OR nor a row twice.
+    """
+    kinds = F.create_map(*[F.lit(x) for kv in LIFECYCLE.items() for x in kv])
+    numbers = F.array_distinct(F.array_compact(F.array(*[F.col(c).cast("string") for c in ("registration_no", "existing_registration_no", "correction_of")])))
+    told = records.select("record_id", F.coalesce(kinds[F.col("section")], F.lit("lifecycle_change_request")).alias("match_type"), F.explode(numbers).alias("no"))
+    return watch.select("watch_id", F.col("registration_no").cast("string").alias("no")).join(told, "no").select("watch_id", "record_id", "match_type")
+
+
+def state_changes(before: DataFrame, after: DataFrame, key: str, watched: list[str]) -> DataFrame:
+    """(key, change, field, old, new) between two snapshots: rows that came, rows that went, and values that differ.
+
+    One full join on the key; values are compared as texts, nulls included.
+    """
+    side = lambda df, n: df.select(key, F.struct(*[F.col(c).cast("string").alias(c) for c in watched]).alias(n))
+    both = side(before, "a").join(side(after, "b"), key, "full")
+    change = lambda kind, field, old, new: F.struct(F.lit(kind).alias("change"), F.lit(field).cast("string").alias("field"), old.cast("string").alias("old"), new.cast("string").alias("new"))
+    none = F.lit(None)
+    differ = [F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), change("changed", c, F.col(f"a.{c}"), F.col(f"b.{c}"))) for c in watched]
+    found = F.when(F.col("a").isNull(), F.array(change("came", None, none, none))).when(F.col("b").isNull(), F.array(change("went", None, none, none))).otherwise(F.array_compact(F.array(*differ)))
+    return both.select(key, F.explode(found).alias("x")).select(key, "x.change", "x.field", "x.old", "x.new")
+
+
 def portfolio(records: DataFrame, names: str, wanted: str) -> DataFrame:
     """Records in whose list of names the wanted one is, compared without punctuation and case."""
     return records.where(F.array_contains(F.transform(names, X.holder_key), X.holder_key(F.lit(wanted))))

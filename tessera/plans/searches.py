@@ -676,3 +676,40 @@ def q28(spark, sf):
     gazette = p.where(k % 3 != 0).select(k.alias("k"), F.col("p_name").alias("title"), F.lit("pdf").alias("section"))
     disc = p.where(k % 2 == 0).select(k.alias("k"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_brand")).alias("title"), F.lit("cd").alias("section"))
     return merge.merge_into_gazette(gazette, disc, "k", ["section"])
+
+
+@query("q28_record_numbers", """WITH g AS (SELECT p_partkey AS k, p_name AS title, 'pdf' AS section, 2 * p_partkey AS record_index, 'G ' || p_brand AS gname, p_type AS firm, '2024-0' || (p_size % 9 + 1) AS gb FROM part WHERE p_partkey % 3 <> 0),
+ d AS (SELECT p_partkey AS k, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS title, 'cd' AS section, CASE WHEN p_size % 7 <> 0 THEN 'D ' || p_brand END AS dname, '2024/' || (p_size % 9 + 1) AS db FROM part WHERE p_partkey % 2 = 0),
+ m AS (SELECT k, coalesce(d.title, g.title) AS title, coalesce(g.section, d.section) AS section, record_index, coalesce(dname, gname) AS name, firm, CASE WHEN gb IS NULL THEN db ELSE replace(gb, '-0', '/') END AS bulletin_no FROM g FULL JOIN d USING (k))
+ SELECT k, title, section, coalesce(record_index, (SELECT max(record_index) FROM g) + row_number() OVER (PARTITION BY record_index IS NULL ORDER BY k)) AS record_index, name, firm, bulletin_no FROM m""")
+def q28_numbers(spark, sf):
+    """Records of a disc put into the gazette's, numbered on; attorneys of both; bulletins that must agree."""
+    p, k = read(spark, sf, "part"), F.col("p_partkey")
+    month = (F.col("p_size") % 9 + 1).cast("string")
+    gazette = p.where(k % 3 != 0).select(k.alias("k"), F.col("p_name").alias("title"), F.lit("pdf").alias("section"), (2 * k).alias("record_index"), F.struct(F.concat(F.lit("G "), "p_brand").alias("name"), F.col("p_type").alias("firm")).alias("attorney"), F.concat(F.lit("2024-0"), month).alias("bulletin_no"))
+    disc = p.where(k % 2 == 0).select(k.alias("k"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_brand")).alias("title"), F.lit("cd").alias("section"), F.struct(F.when(F.col("p_size") % 7 == 0, " ").otherwise(F.concat(F.lit("D "), "p_brand")).alias("name")).alias("attorney"), F.concat(F.lit("2024/"), month).alias("bulletin_no"))
+    done = merge.continue_gazette(gazette, disc, "k", ["section"])
+    return done.select("k", "title", "section", "record_index", "attorney.name", "attorney.firm", "bulletin_no")
+
+
+@query("q14_lifecycle_watch", f"""WITH {MK}, r AS (SELECT id AS record_id, section, id // 3 AS existing, id // 5 AS registration, CAST(id // 7 AS VARCHAR) AS correction FROM mk)
+ SELECT s_suppkey AS watch_id, record_id, CASE section WHEN 'corrections' THEN 'lifecycle_correction' WHEN 'registered' THEN 'lifecycle_finalized' ELSE 'lifecycle_change_request' END AS match_type
+ FROM supplier JOIN r ON r.existing = s_suppkey OR r.registration = s_suppkey OR r.correction = CAST(s_suppkey AS VARCHAR)""")
+def q14_lifecycle(spark, sf):
+    m = marks(spark, sf)
+    sections = F.create_map(*[F.lit(x) for kv in {"corrections": "corrections", "registered": "article_42_finalized", "changes": "article_42_change_requests"}.items() for x in kv])
+    div = lambda n: F.expr(f"id div {n}")
+    records = m.select(F.col("id").alias("record_id"), sections[F.col("section")].alias("section"), div(5).alias("registration_no"), div(3).alias("existing_registration_no"), div(7).cast("string").alias("correction_of"))
+    watch = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("watch_id"), F.col("s_suppkey").alias("registration_no"))
+    return scan.lifecycle_watch(watch, records)
+
+
+@query("q14_state_changes", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_custkey AS owner FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 8 <> 0 THEN o_custkey END AS owner FROM orders WHERE o_orderkey % 13 <> 0)
+ SELECT k, 'came' AS change, NULL AS field, NULL AS old, NULL AS new FROM b WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT k, 'went', NULL, NULL, NULL FROM a WHERE k NOT IN (SELECT k FROM b)
+ UNION ALL SELECT k, 'changed', 'status', a.status, b.status FROM a JOIN b USING (k) WHERE a.status IS DISTINCT FROM b.status UNION ALL SELECT k, 'changed', 'owner', a.owner::VARCHAR, b.owner::VARCHAR FROM a JOIN b USING (k) WHERE a.owner IS DISTINCT FROM b.owner""")
+def q14_changes(spark, sf):
+    """Two snapshots of states: what came, went or changed."""
+    o, k = read(spark, sf, "orders"), F.col("o_orderkey")
+    before = o.where(k % 11 != 0).select(k.alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner"))
+    after = o.where(k % 13 != 0).select(k.alias("k"), F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"), F.when(k % 8 != 0, F.col("o_custkey")).alias("owner"))
+    return scan.state_changes(before, after, "k", ["status", "owner"])

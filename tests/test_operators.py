@@ -175,3 +175,18 @@ def test_bounds_spare_most_blocks(spark):
     finally:
         nearest._met = met
     assert sum(sizes) < 0.2 * 40 * 4000, sizes
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("n")).repartition(7)
+    got = rows.numbered(df, [F.col("k").desc()], 10, "no").collect()
+    assert {r.k: r.no for r in got} == {k: 10 + 4999 - k for k in range(5000)} and got[0].n == "x"
+    assert rows.numbered(df.limit(0), [F.col("k").asc()]).collect() == []
+
+
+def test_bulletins_that_differ_fail(spark):
+    side = lambda no: spark.createDataFrame([(1, "t", ("a", "f"), no, 4)], "k int, title string, attorney struct<name: string, firm: string>, bulletin_no string, record_index int")
+    merged = merge.continue_gazette(side("2025-08"), side("2025/8").drop("record_index"), "k", []).first()
+    assert (merged.bulletin_no, merged.record_index) == ("2025/8", 4)
+    with pytest.raises(Exception, match="bulletin numbers differ"):
+        merge.continue_gazette(side("2025-08"), side("2025/9").drop("record_index"), "k", []).collect()
