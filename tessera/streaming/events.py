@@ -6,11 +6,11 @@ keys again, so the states equal those of one fold over everything.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from tessera.functions import text as X
@@ -77,6 +77,58 @@ def start_fold(events: DataFrame, store: str, states: str, checkpoint: str, avai
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 
+#: The state store that keeps maps of its own, entry by entry, and its changes as a log.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class History(StatefulProcessor):
+    """Keeps the events of a key by fingerprint, and hands on all of them whenever one is new."""
+
+    def __init__(self, schema: str):
+        self.schema = schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getMapState("events", "fingerprint string", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  the interface's names
+        fresh = False
+        for row in rows:
+            mark = (row["fingerprint"],)
+            if not self.events.containsKey(mark):
+                self.events.updateValue(mark, tuple(row))
+                fresh = True
+        if fresh:
+            for value in self.events.values():
+                yield Row(**dict(zip(self.names, value, strict=True)))
+
+    @property
+    def names(self) -> list[str]:
+        return [part.split(" ")[0] for part in self.schema.split(", ")]
+
+    def close(self) -> None:
+        pass
+
+
+def start_keyed_fold(events: DataFrame, states: str, checkpoint: str, fold: Callable[[DataFrame], DataFrame] = lifecycle.trademark_fold, key: str = "application_no") -> StreamingQuery:
+    """As start_fold(), without a store to read again: every key's events lie in keyed state, once by fingerprint.
+
+    Events may come late, out of order or twice. A batch hands on all events of the keys to which it brings new ones, and
+    their fold is written as the batch's part of `states`, which a repeated batch overwrites; current_states() reads them.
+    State is kept in RocksDB, whose changes Spark writes to `checkpoint`, so it survives lost executors. Columns of
+    events must be of plain types.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    marked = events.withColumn("fingerprint", X.fingerprint(*[F.col(c) for c in events.columns]))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema)
+    histories = marked.groupBy(key).transformWithState(History(schema), schema, "Append", "None")
+
+    def write(batch: DataFrame, number: int) -> None:
+        fold(batch.drop("fingerprint")).write.mode("overwrite").parquet(f"{states}/batch={number}")
+
+    return histories.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current_states(spark: SparkSession, states: str) -> DataFrame:
     """The newest state of every key."""
     rows = spark.read.parquet(states)

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -65,6 +66,22 @@ def test_incremental_fold_equals_full(spark, sf, tmp_path):
     assert sorted(map(str, stream.current_states(spark, str(tmp_path / "compact")).select(full.columns).collect())) == sorted(map(str, full.collect()))
 
 
+def test_keyed_fold_equals_one_fold_over_all(spark, tmp_path):
+    """Late, repeated and disordered batches, a restart between them, and the states of one fold over everything."""
+    shape = "application_no bigint, event_type string, event_subtype string, new_value string, bulletin_date date, created_at timestamp, id bigint"
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    kinds = ["renewal", "transfer", "seizure", "restriction_lift", "cancellation"]
+    rows = [(i % 7, kinds[i % 5], "court" if i % 9 == 0 else "x", f"H{i % 3}" if i % 4 else None, day(i * 37 % 200) if i % 11 else None, dt.datetime(2024, 1, 1, i % 24), i) for i in range(120)]
+    whole = spark.createDataFrame(rows, shape)
+    source, states, check = (str(tmp_path / n) for n in ("in", "states", "check"))
+    for part in ("id % 3 = 2", "id % 3 = 0 or id < 20", "id % 3 = 1 or id > 100"):
+        whole.where(part).coalesce(1).write.mode("append").parquet(source)
+        events = stream.event_stream(spark, source, shape, 1)
+        stream.start_keyed_fold(events, states, check).awaitTermination(240)
+    got, full = stream.current_states(spark, states), lifecycle.trademark_fold(whole)
+    assert sorted(map(str, got.select(full.columns).collect())) == sorted(map(str, full.collect()))
+
+
 def test_streaming_windows(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(str(tmp_path / "in"))
     events = stream.event_stream(spark, str(tmp_path / "in"), "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
