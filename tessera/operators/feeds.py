@@ -35,3 +35,35 @@ def source_overlap(records: DataFrame, key: str, source: str) -> DataFrame:
     """Number of keys by the combination of sources that hold them."""
     sets = records.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(source)), "+").alias("sources"), F.count("*").alias("n"))
     return sets.groupBy("sources").agg(F.count("*").alias("n_keys"), F.max("n").alias("most_rows"))
+
+
+#: Days to the deadline at most, by urgency; as filters they are cumulative.
+URGENT = {"critical": 7, "urgent": 14, "soon": 30}
+#: Months after its expiry for which a mark still stands against others.
+GRACE_MONTHS = 6
+
+
+def conflict_leads(
+    conflicts: DataFrame, marks: DataFrame, organizations: DataFrame, watched: DataFrame, as_of: Column, least: float = 0.5, urgency: str | None = None, nice_class: int | None = None, k: int = 50
+) -> DataFrame:
+    """Open conflicts that an organisation may be told of: the k nearest to their deadline, then of the highest score.
+
+    conflicts: id, new_mark_id, existing_mark_id, existing_holder_id, existing_app_no, score, overlapping (classes),
+    deadline; marks: id, name, expiry; organizations: id; watched: application_no, is_active. A lead has a score of at
+    least `least`, shared classes and a deadline to come; the existing mark's expiry, if known, is no longer past than
+    GRACE_MONTHS; its holder is no organisation of the service and it is on none of the active watches.
+    """
+    left = F.datediff("deadline", as_of)
+    open_ones = conflicts.where((left >= 0) & (F.col("score") >= least) & (F.coalesce(F.size("overlapping"), F.lit(0)) > 0))
+    if urgency:
+        open_ones = open_ones.where(left <= URGENT[urgency])
+    if nice_class is not None:
+        open_ones = open_ones.where(F.array_contains("overlapping", nice_class))
+    free = open_ones.join(organizations.select(F.col("id").alias("existing_holder_id")), "existing_holder_id", "left_anti")
+    free = free.join(watched.where("is_active").select(F.col("application_no").alias("existing_app_no")), "existing_app_no", "left_anti")
+    side = lambda n: marks.select(F.col("id").alias(f"{n}_mark_id"), F.col("name").alias(f"{n}_mark_name"), F.col("expiry").alias(f"{n}_expiry"))
+    named = free.join(side("new"), "new_mark_id", "left").join(side("existing"), "existing_mark_id", "left")
+    live = named.where(F.col("existing_expiry").isNull() | (F.col("existing_expiry") >= F.add_months(as_of, -GRACE_MONTHS)))
+    level = F.coalesce(*[F.when(left <= days, name) for name, days in URGENT.items()], F.lit("normal"))
+    told = live.select("id", "new_mark_name", "existing_mark_name", "score", F.array_sort("overlapping").alias("overlapping"), left.alias("days_left"), level.alias("urgency"))
+    return told.orderBy("days_left", F.desc("score"), "id").limit(k)

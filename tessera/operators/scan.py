@@ -73,6 +73,12 @@ def name_conflicts(watch: DataFrame, marks: DataFrame, stats: DataFrame, least:
     return best.select("watch_id", "mark_id", "score", "path", S.risk_level(F.col("score")).alias("risk_level"), F.lit("TEXT").alias("conflict_type"), overlap.alias("overlap"))
 
 
+def reasons(score: Column, overlap: Column, registered: Column) -> Column:
+    """What a conflict rests on, in words."""
+    shared = F.when(F.size(overlap) > 0, F.concat(F.lit("classes "), F.array_join(overlap, ",")))
+    return F.concat_ws("; ", F.when(score >= 0.8, "similar text"), shared, F.when(registered, "registered"))
+
+
 def event_alerts(events: DataFrame, watch: DataFrame, alerted: DataFrame) -> DataFrame:
     """Events on watched applications for which no alert stands yet (application_no, event_type, event_date, watch_id)."""
     hits = events.join(watch.select("application_no", "watch_id"), "application_no")

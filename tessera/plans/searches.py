@@ -416,6 +416,10 @@ _FULL = "CASE WHEN list_contains({0}, 99) THEN range(1, 46) ELSE {0} END"
 _SHARED = "CASE WHEN list_contains(wc, 99) OR list_contains(mc, 99) THEN list_distinct(wc || mc) ELSE list_intersect(list_distinct(wc), mc) END"
 
 
+#: New marks of a month, and marks that stand.
+LIVE = """nw AS (SELECT * FROM wm WHERE section = 'published' AND day BETWEEN DATE '2020-01-01' AND DATE '2020-01-31'), lv0 AS (SELECT * FROM wm WHERE section IN ('registered', 'changes') AND day + INTERVAL 120 MONTH >= DATE '2030-06-01' - 183)"""
+
+
 def with_all(m: DataFrame) -> DataFrame:
     """Marks of which some bear class 99."""
     return m.withColumn("classes", F.array(F.when(F.col("id") % 31 == 0, 99).otherwise(F.get("classes", F.lit(0))), F.get("classes", F.lit(1))))
@@ -439,6 +443,26 @@ def q12_scan(spark, sf):
     return found.withColumn("overlap", F.array_join("overlap", ","))
 
 
+@query("q13_conflict_scan", f"""WITH RECURSIVE {MK}, wm AS (SELECT *, {_CLASSES} AS c FROM mk), {STATISTICS}, {LIVE},
+ g AS MATERIALIZED (SELECT name, replace({NORM_TR.format('name')}, ' ', '') AS cn, {TRIGRAMS.format('name')} AS g FROM (SELECT DISTINCT name FROM mk)),
+ pr AS (SELECT row_number() OVER () AS id, a.name AS a, b.name AS b FROM (SELECT DISTINCT name FROM nw) a, (SELECT DISTINCT name FROM lv0) b), {SCORED},
+ ck AS (SELECT pr.a, pr.b, score, path FROM scored JOIN pr USING (id) JOIN hd ON hd.a = pr.a AND hd.b = pr.b JOIN g x ON x.name = pr.a JOIN g y ON y.name = pr.b
+  WHERE score >= 0.5 AND ((x.cn = y.cn AND x.cn <> '') OR len(list_filter(hd.q, lambda u: u.role <> 'generic' AND len(list_filter(hd.t, lambda v: v.role <> 'generic' AND (v.t = u.t OR (starts_with(v.t, u.t) AND length(v.t) - length(u.t) >= 3)))) > 0)) > 0
+   OR coalesce(len(list_intersect(x.g, y.g))::DOUBLE / nullif(len(list_distinct(x.g || y.g)), 0), 0) >= 0.3)),
+ pp AS (SELECT w.id AS watch_id, m.id AS mark_id, score, w.c AS wc, m.c AS mc, m.section FROM nw w JOIN ck ON ck.a = w.name JOIN lv0 m ON m.name = ck.b AND w.holder <> m.holder AND w.application_no <> m.application_no AND list_has_any({_FULL.format('w.c')}, {_FULL.format('m.c')}))
+ SELECT watch_id, mark_id, score, {RISK} AS risk_level, concat_ws('; ', CASE WHEN score >= 0.8 THEN 'similar text' END, 'classes ' || array_to_string(list_sort({_SHARED}), ','), CASE WHEN section = 'registered' THEN 'registered' END) AS reasons
+ FROM (SELECT *, row_number() OVER (PARTITION BY watch_id ORDER BY score DESC, mark_id) AS r FROM pp) WHERE r <= 20""")
+def q13_scan(spark, sf):
+    """Marks whose publication falls in one month against all that stand, not expired by more than the grace of six months."""
+    m = with_all(marks(spark, sf))
+    new = m.where((F.col("section") == "published") & F.col("day").between(F.lit("2020-01-01"), F.lit("2020-01-31"))).withColumnRenamed("id", "watch_id")
+    standing = m.where(F.col("section").isin("registered", "changes") & (F.add_months("day", 120) >= F.date_sub(F.lit("2030-06-01").cast("date"), 183)))
+    found = scan.name_conflicts(new, standing.withColumnRenamed("id", "mark_id"), corpus.word_statistics(read(spark, sf, "documents"), "text"), sounds=False)
+    registered = standing.select(F.col("id").alias("mark_id"), (F.col("section") == "registered").alias("registered"))
+    told = found.join(registered, "mark_id")
+    return told.select("watch_id", "mark_id", "score", "risk_level", scan.reasons(F.col("score"), F.col("overlap"), F.col("registered")).alias("reasons"))
+
+
 # ---- feeds -----------------------------------------------------------------------------------------------------------
 
 EV = "ev AS (SELECT event_id, user_id AS id, CASE event_type WHEN 'click' THEN 'cancellation' WHEN 'purchase' THEN 'transfer' WHEN 'error' THEN 'bankruptcy' WHEN 'view' THEN 'merger' ELSE 'renewal' END AS event_type, CAST(ts AS DATE) AS event_date FROM events)"
@@ -449,19 +473,19 @@ def mark_events(spark, sf):
     return read(spark, sf, "events").select("event_id", F.col("user_id").alias("id"), kinds[F.col("event_type")].alias("event_type"), F.col("ts").cast("date").alias("event_date"))
 
 
-def _feed(name: str, kinds: list[str], months: int):
+def _feed(name: str, kinds: list[str], months: int, day: str = AS_OF):
     listed = ", ".join(f"'{k}'" for k in kinds)
 
-    @query(name, f"""WITH {TM}, {EV} SELECT event_id, id, name, holder, event_type, event_date, date_diff('day', event_date, DATE '{AS_OF}') AS days_since FROM ev JOIN tm USING (id) WHERE event_type IN ({listed}) AND event_date >= CAST(DATE '{AS_OF}' - INTERVAL {months} MONTH AS DATE)""")
+    @query(name, f"""WITH {TM}, {EV} SELECT event_id, id, name, holder, event_type, event_date, date_diff('day', event_date, DATE '{day}') AS days_since FROM ev JOIN tm USING (id) WHERE event_type IN ({listed}) AND event_date >= CAST(DATE '{day}' - INTERVAL {months} MONTH AS DATE)""")
     def feed(spark, sf):
-        found = search.lead_feed(mark_events(spark, sf), trademarks(spark, sf).select("id", "name", "holder"), kinds, as_of(), months)
+        found = search.lead_feed(mark_events(spark, sf), trademarks(spark, sf).select("id", "name", "holder"), kinds, F.lit(day).cast("date"), months)
         return found.select("event_id", "id", "name", "holder", "event_type", "event_date", "days_since")
 
     return feed
 
 
 _feed("q16_cancellation_feed", ["cancellation"], 12)
-_feed("q16_transfer_feed", ["transfer", "merger", "partial_transfer"], 5)
+_feed("q16_transfer_feed", ["transfer", "merger", "partial_transfer"], 12, "2025-01-15")
 _feed("q16_bankruptcy_feed", ["bankruptcy"], 24)
 
 
@@ -713,3 +737,23 @@ def q14_changes(spark, sf):
     before = o.where(k % 11 != 0).select(k.alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner"))
     after = o.where(k % 13 != 0).select(k.alias("k"), F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"), F.when(k % 8 != 0, F.col("o_custkey")).alias("owner"))
     return scan.state_changes(before, after, "k", ["status", "owner"])
+
+
+@query("q16_conflict_leads", f"""WITH {TM}, c AS (SELECT o_orderkey AS id, o_custkey % 500 AS nid, o_orderkey % 1900 AS eid, o_orderkey % 100 AS hid, '2001/' || o_orderkey % 1900 AS app, (o_orderkey * 7 % 101) / 100.0::DOUBLE AS score,
+  CASE WHEN o_orderkey % 12 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN [] ELSE [CAST(o_orderkey % 45 + 1 AS INTEGER), CAST(o_custkey % 45 + 1 AS INTEGER)] END AS cls, date_diff('day', DATE '{AS_OF}', DATE '{AS_OF}' + CAST(o_orderkey % 120 - 40 AS INTEGER)) AS n FROM orders)
+ SELECT c.id, a.name AS new_mark_name, b.name AS existing_mark_name, score, array_to_string(list_sort(cls), ',') AS overlapping, n AS days_left, CASE WHEN n <= 7 THEN 'critical' WHEN n <= 14 THEN 'urgent' WHEN n <= 30 THEN 'soon' ELSE 'normal' END AS urgency
+ FROM c LEFT JOIN tm a ON a.id = nid LEFT JOIN tm b ON b.id = eid WHERE n >= 0 AND n <= 30 AND score >= 0.6 AND len(cls) > 0 AND (b.applied IS NULL OR b.applied + INTERVAL 120 MONTH >= DATE '{AS_OF}' - INTERVAL 6 MONTH)
+ AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = hid AND s_suppkey % 3 = 0) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 2 = 0 AND '2001/' || c_custkey * 3 = app) ORDER BY n, score DESC, c.id LIMIT 50""")
+def q16_leads(spark, sf):
+    """Conflicts made of orders, between marks made of parts, for organisations made of suppliers."""
+    o, k = read(spark, sf, "orders"), F.col("o_orderkey")
+    classes = F.when(k % 12 == 0, None).when(k % 6 == 0, F.array().cast("array<int>")).otherwise(F.array((k % 45 + 1).cast("int"), (F.col("o_custkey") % 45 + 1).cast("int")))
+    conflicts = o.select(
+        k.alias("id"), (F.col("o_custkey") % 500).alias("new_mark_id"), (k % 1900).alias("existing_mark_id"), (k % 100).alias("existing_holder_id"), F.concat(F.lit("2001/"), (k % 1900).cast("string")).alias("existing_app_no"),
+        (k * 7 % 101 / F.lit(100.0)).alias("score"), classes.alias("overlapping"), F.date_add(as_of(), (k % 120 - 40).cast("int")).alias("deadline"),
+    )
+    tm = trademarks(spark, sf).select("id", "name", F.add_months("applied", 120).alias("expiry"))
+    organizations = read(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id"))
+    watched = read(spark, sf, "customer").select(F.concat(F.lit("2001/"), (F.col("c_custkey") * 3).cast("string")).alias("application_no"), (F.col("c_custkey") % 2 == 0).alias("is_active"))
+    found = feeds.conflict_leads(conflicts, tm, organizations, watched, as_of(), 0.6, "soon")
+    return found.withColumns({"overlapping": F.array_join("overlapping", ","), "days_left": F.col("days_left").cast("long")})
