@@ -115,8 +115,9 @@ def tags(page: str) -> list[tuple[int, int, bool, str, str]]:
         return found[k] if k < len(found) else -1
 
     while (at := page.find("<", at)) >= 0:
-        m = _HEAD.match(page, at)
-        if not m or at > last and not m[1]:
+        # without a ">" to come there is no tag, and no name to be read to the page's end
+        m = _HEAD.match(page, at) if at <= last or page.startswith("<!--", at) else None
+        if not m:
             at += 1
             continue
         start = at
