@@ -75,21 +75,22 @@ def offered_cuts(ids: np.ndarray, kinds: np.ndarray, doc_ends: np.ndarray, penal
     """
     size, found = len(ids), kinds[ids]
     sentence, clause = np.flatnonzero(found == SENTENCE) + 1, np.flatnonzero(found == CLAUSE) + 1
-    marks = np.union1d(sentence, doc_ends)
-    starts, stops = _within(marks, size, long)
+    offered = np.zeros(size + 1, bool)
+    offered[sentence] = offered[doc_ends] = True
+    starts, stops = _within(np.flatnonzero(offered), size, long)
     k = np.searchsorted(starts, clause, side="right") - 1
     inside = clause[(k >= 0) & (clause < stops[np.maximum(k, 0)])] if len(starts) else clause[:0]
-    ends = np.union1d(marks, inside)
-    starts, stops = _within(ends, size, window)
+    offered[inside] = True
+    starts, stops = _within(np.flatnonzero(offered), size, window)
     counts = (stops - starts - 1) // grain
     inner = np.repeat(starts, counts) + grain * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + 1)
-    ends = np.union1d(ends, inner)
-    if size and (not len(ends) or ends[-1] != size):
-        ends = np.append(ends, size)
-    cost = np.full(len(ends), penalties[3])
+    offered[inner] = True
+    offered[size] = size > 0
+    cost = np.full(size + 1, penalties[3])
     for at, p in ((inside, penalties[2]), (sentence, penalties[1]), (doc_ends, penalties[0])):
-        cost[np.isin(ends, at)] = p
-    return ends, cost
+        cost[at] = p
+    ends = np.flatnonzero(offered)
+    return ends, cost[ends]
 
 
 class LibraryCodec(Codec):
