@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import classes as C
 from tessera.operators.lineage import cut
 
 
@@ -48,10 +49,32 @@ def having_any(df: DataFrame, others: list[tuple[DataFrame, str]], key: str) ->
     return df.join(wanted.distinct(), key, "left_semi")
 
 
-def class_overlap_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, classes: str = "classes") -> DataFrame:
-    """Distinct (a_id, b_id) that share a class, by an equi join on exploded classes; 99 is first written out as 1..45."""
-    spread = lambda df, c: df.select(c, F.explode(F.when(F.array_contains(classes, 99), F.sequence(F.lit(1), F.lit(45))).otherwise(F.array_distinct(F.col(classes)))).alias("class"))
-    return spread(a, a_id).join(spread(b, b_id), "class").select(a_id, b_id).distinct()
+def class_overlap_counts(a: DataFrame, b: DataFrame, a_id: str, b_id: str, classes: str = "classes") -> DataFrame:
+    """(a_id, n, first) for every id of a that shares a class with one of b: how many ids of b do, and the smallest.
+
+    Ids with equal sets of classes are counted first, so that sets meet instead of ids and no pair of ids is made; sets
+    meet by an equi join on classes. 99 is written out as 1..45, and an id of several rows has the classes of all.
+    """
+    sets = lambda df, c: df.groupBy(c).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(C.expand(F.col(classes))))))).alias("set"))
+    mine = sets(a, a_id)
+    counted = sets(b, b_id).groupBy("set").agg(F.count(b_id).alias("n"), F.min(b_id).alias("first"))
+    spread = lambda df, name: df.select(F.col("set").alias(name), *[c for c in df.columns if c != "set"], F.explode("set").alias("class"))
+    met = spread(mine.select("set").distinct(), "sa").join(spread(counted, "sb"), "class").dropDuplicates(["sa", "sb"])
+    return mine.join(met.groupBy(F.col("sa").alias("set")).agg(F.sum("n").alias("n"), F.min("first").alias("first")), "set").select(a_id, "n", "first")
+
+
+def first_others(df: DataFrame, by: list[str], own: list[str], order: list[Column], k: int) -> DataFrame:
+    """Rows of which, within every `by`, those first k are never lost that differ from any given values in all of `own`.
+
+    For one column, or two: a row among the first k that are left when a value of each column is excluded has fewer than k
+    kept rows before it, and of the excluded values at most as many as a value may keep. Null never equals a value.
+    """
+    m = len(own)
+    if m > 1:
+        df = first_per_key(df, [*by, *own], order, k)  # else a value excluded in one column could fill up the other's
+    for c in own:
+        df = first_per_key(df, [*by, c], order, m * k)
+    return first_per_key(df, by, order, k + m * m * k)
 
 
 #: Row numbers within a partition in what monotonically_increasing_id() gives.

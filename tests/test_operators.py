@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import random
 
 import numpy as np
@@ -190,3 +191,57 @@ def test_bulletins_that_differ_fail(spark):
     assert (merged.bulletin_no, merged.record_index) == ("2025/8", 4)
     with pytest.raises(Exception, match="bulletin numbers differ"):
         merge.continue_gazette(side("2025-08"), side("2025/9").drop("record_index"), "k", []).collect()
+
+
+def test_class_overlaps_are_counted_without_pairs(spark):
+    rng = random.Random(3)
+    sets = [[1], [2, 3], [99], [3, 3, 4], [], None, [5, None], [99, 7], [46]]
+    a = [(i, rng.choice(sets)) for i in range(60)] + [(1, [3]), (None, [1])]
+    b = [(i, rng.choice(sets)) for i in range(60)] + [(2, [5]), (2, [4]), (None, [1])]
+    full = lambda c: set(range(1, 46)) if 99 in (c or []) else {x for x in c or [] if x is not None}
+    wanted = {}
+    for i, c in a:
+        wanted.setdefault(i, set()).update(j for j, d in b if full(c) & full(d))
+    schema = "id int, classes array<int>"
+    got = rows.class_overlap_counts(spark.createDataFrame(a, schema).withColumnRenamed("id", "x"), spark.createDataFrame(b, schema).withColumnRenamed("id", "y"), "x", "y").collect()
+    assert {r.x: (r.n, r.first) for r in got} == {i: (len(js - {None}), min(js - {None})) for i, js in wanted.items() if js}
+    # a class that all bear: forty thousand ids a side, which as pairs would be 1.6 thousand million
+    many = spark.range(40_000).select("id", F.array(F.lit(7)).alias("classes"))
+    found = rows.class_overlap_counts(many.withColumnRenamed("id", "x"), many.withColumnRenamed("id", "y"), "x", "y")
+    assert found.agg(F.count("*"), F.min("n"), F.max("n"), F.max("first")).first() == (40_000, 40_000, 40_000, 0)
+
+
+@pytest.mark.parametrize("own", [["h"], ["h", "p"]])
+def test_first_others_lose_no_row_that_is_needed(spark, own):
+    rng = random.Random(len(own))
+    data = [(i, rng.choice("gg2"), rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(["p", "p", "q", "r", None])) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, g string, h string, p string")
+    kept = {r.id for r in rows.first_others(df, ["g"], own, [F.col("id")], 4).collect()}
+    assert len(kept) < 200
+    for g, h, p in itertools.product("g2", "abcx", "pqrx"):
+        left = [i for i, x, y, z in data if x == g and y != h and ("p" not in own or z != p)]
+        assert kept >= set(left[:4])
+
+
+def test_conflicts_among_copies(spark):
+    rng = random.Random(8)
+    names, holders, sets = ["blue gear", "blue gears", "red gear", "odd", None], ["A", " A", "B", "C", "", None], [[1], [2, 3], [99], [3, 1]]
+    draw = lambda n: [(i, rng.choice(names), rng.choice(sets), rng.choice(holders)) for i in range(n)]
+    w, m = draw(50), draw(300)
+    schema = "id int, name string, classes array<int>, holder string"
+    got = scan.conflicts(spark.createDataFrame(w, schema).withColumnRenamed("id", "watch_id"), spark.createDataFrame(m, schema).withColumnRenamed("id", "mark_id"), 0.5, 6).collect()
+    grams = lambda t: {f"  {x} "[i : i + 3] for x in t.split() for i in range(len(x) + 1)}
+    full = lambda c: set(range(1, 46)) if 99 in c else set(c)
+    for i, name, classes, holder in w:
+        met = [
+            (-round(len(grams(name) & grams(n)) / len(grams(name) | grams(n)), 6), j, sorted(full(classes) & full(c))) for j, n, c, h in m
+            if name and n and full(classes) & full(c) and not ((holder or "").strip() and (holder or "").strip() == (h or "").strip())
+        ]
+        wanted = sorted(x for x in met if x[0] <= -0.5)[:6]
+        assert sorted((-r.similarity, r.mark_id, r.overlap) for r in got if r.watch_id == i) == wanted, (i, name, holder)
+
+
+def test_a_full_pool_shuts_stages_that_own_no_row(spark):
+    df = spark.createDataFrame([(i, "the and") for i in range(3)], "id int, name string")
+    got = retrieval.prescreen(df, "The and", ["the", "and"], limit=3).collect()
+    assert [(r.id, r.stage, r.stages) for r in got] == [(i, "exact", ["exact"]) for i in range(3)]
