@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import classes as C
 from tessera.functions import scores as S
 from tessera.functions import text as X
-from tessera.operators import lexicon, scoring
+from tessera.operators import lexicon, rows, scoring
 from tessera.operators.lineage import cut
 from tessera.operators.retrieval import similar_names
-from tessera.operators.rows import first_per_key
 
 
-def same_holder(a: Column, b: Column) -> Column:
-    return F.coalesce((F.trim(a) != "") & (F.trim(a) == F.trim(b)), F.lit(False))
+def _first_marks(watch: DataFrame, marks: DataFrame, near: DataFrame, score: str, own: list[str], k: int) -> DataFrame:
+    """(watch_id, cw, cm, mark_id and what near holds of the names) of the k marks of the highest score for every watched item.
+
+    near: na, nb, score and more. A pair needs a shared class and no value of `own` in common. Rows alike in name and
+    classes meet as one: of each such group of marks, and of what a group of watched items finds, rows.first_others()
+    keeps as many as any item may need, so that what is made grows with the rows, not with the pairs of copies.
+    """
+    others = [c for c in near.columns if c not in ("na", "nb")]
+    value = lambda c: F.nullif(F.trim(c), F.lit("")) if c == "holder" else F.col(c)
+    side = lambda df, key, name, cls, full: df.select(key, F.col("name").alias(name), F.array_sort(F.array_distinct("classes")).alias(cls), C.expand(F.col("classes")).alias(full), *[value(c).alias(f"{c}_of") for c in own])
+    mine = [f"{c}_of" for c in own]
+    w, m = side(watch, "watch_id", "na", "cw", "fw"), side(marks, "mark_id", "nb", "cm", "fm")
+    firsts = rows.first_others(m, ["nb", "cm"], mine, [F.col("mark_id")], k)
+    groups = firsts.groupBy("nb", "cm").agg(F.first("fm").alias("fm"), F.collect_list(F.struct("mark_id", *mine)).alias("ms"))  # at most k or a few times k marks
+    met = w.select("na", "cw", "fw").distinct().join(near, "na").alias("n").join(groups.alias("g"), (F.col("n.nb") == F.col("g.nb")) & F.arrays_overlap("fw", "fm"))
+    each = met.select("na", "cw", "cm", *others, F.explode("ms").alias("x")).select("na", "cw", "cm", *others, "x.*")
+    best = rows.first_others(each, ["na", "cw"], mine, [F.desc(score), F.col("mark_id")], k)
+    lists = best.groupBy("na", "cw").agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("less"), "mark_id", "cm", *others, *mine))).alias("found"))
+    same = lambda x: [F.coalesce(x[c] == F.col(c), F.lit(False)) for c in mine]
+    free = F.slice(F.filter("found", lambda x: ~reduce(lambda p, q: p | q, same(x))), 1, k)
+    told = w.join(lists, ["na", "cw"]).select("watch_id", "cw", F.explode(free).alias("x")).select("watch_id", "cw", "x.mark_id", "x.cm", *[f"x.{c}" for c in others])
+    return rows.first_per_key(told, ["watch_id"], [F.desc(score), F.col("mark_id")], k)  # an item may stand in several rows
 
 
 def conflicts(watch: DataFrame, marks: DataFrame, least: float = 0.5, k: int = 10) -> DataFrame:
@@ -23,16 +44,10 @@ def conflicts(watch: DataFrame, marks: DataFrame, least: float = 0.5, k: int = 1
 
     watch: watch_id, name, classes, holder; marks: mark_id, name, classes, holder. A pair needs a shared class, a
     trigram similarity of at least `least` and different holders. Distinct names meet on trigrams first, which is the
-    more selective key; only the k best rows of a watched item leave a task.
+    more selective key.
     """
-    near = similar_names(watch, marks, "name", least)
-    w = watch.select("watch_id", F.col("name").alias("na"), C.expand(F.col("classes")).alias("cw"), F.col("holder").alias("hw"))
-    m = marks.select("mark_id", F.col("name").alias("nb"), C.expand(F.col("classes")).alias("cm"), F.col("holder").alias("hm"))
-    # classes and holders are part of the join's condition, so that no pair of rows that fails them is ever made
-    both = (F.col("near.nb") == F.col("m.nb")) & F.arrays_overlap("cw", "cm") & ~same_holder(F.col("hw"), F.col("hm"))
-    pairs = w.join(near, "na").alias("near").join(m.alias("m"), both).select("watch_id", "mark_id", "similarity", "cw", "cm")
-    best = first_per_key(pairs, ["watch_id"], [F.desc("similarity"), F.col("mark_id")], k)
-    return best.select("watch_id", "mark_id", "similarity", F.array_sort(F.array_intersect("cw", "cm")).alias("overlap"))
+    best = _first_marks(watch, marks, similar_names(watch, marks, "name", least), "similarity", ["holder"], k)
+    return best.select("watch_id", "mark_id", "similarity", C.overlap(F.col("cw"), F.col("cm")).alias("overlap"))
 
 
 def name_candidates(watch: DataFrame, marks: DataFrame, stats: DataFrame, least: float = 0.3) -> DataFrame:
@@ -61,12 +76,7 @@ def name_conflicts(watch: DataFrame, marks: DataFrame, stats: DataFrame, least:
     holds class 99, all that they name. Distinct pairs of names are scored once, by scoring.score_pairs().
     """
     near = scoring.score_pairs(name_candidates(watch, marks, stats), "na", "nb", stats, sounds).where(F.col("score") >= least).select("na", "nb", "score", "path")
-    w = watch.select("watch_id", F.col("name").alias("na"), F.col("classes").alias("cw"), F.col("holder").alias("hw"), F.col("application_no").alias("aw"))
-    m = marks.select("mark_id", F.col("name").alias("nb"), F.col("classes").alias("cm"), F.col("holder").alias("hm"), F.col("application_no").alias("am"))
-    mine = same_holder(F.col("hw"), F.col("hm")) | F.coalesce(F.col("aw") == F.col("am"), F.lit(False))
-    gate = (F.col("near.nb") == F.col("m.nb")) & F.arrays_overlap(C.expand(F.col("cw")), C.expand(F.col("cm"))) & ~mine
-    pairs = w.join(near, "na").alias("near").join(m.alias("m"), gate).select("watch_id", "mark_id", "score", "path", "cw", "cm")
-    best = first_per_key(pairs, ["watch_id"], [F.desc("score"), F.col("mark_id")], k)
+    best = _first_marks(watch, marks, near, "score", ["holder", "application_no"], k)
     every = F.array_contains("cw", C.ALL) | F.array_contains("cm", C.ALL)
     overlap = F.array_sort(F.when(every, F.array_union("cw", "cm")).otherwise(F.array_intersect("cw", "cm")))
     # meanings of names no longer count, so a conflict rests on the text
