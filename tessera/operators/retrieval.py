@@ -37,6 +37,12 @@ STAGES = {
 }
 
 
+def _with_similarity(df: DataFrame, text: str, query: Column) -> DataFrame:
+    """df with `similar`, the trigram similarity of a column to the query, whose trigrams are made once and not per row."""
+    own = F.broadcast(df.sparkSession.range(1).select(X.trigrams(query).alias("__q")))  # one row
+    return df.crossJoin(own).withColumn("similar", X.set_similarity(X.trigrams(F.col(text)), F.col("__q"))).drop("__q")
+
+
 def prescreen(rows: DataFrame, query: str, anchors: list[str], key: str = "id", name: str = "name", image: list[float] | None = None, vector: str | None = None, ocr: str | None = None, sounds: DataFrame | None = None, limit: int = 500) -> DataFrame:
     """Candidates (key, stage_no, stage, score, stages) for a name by the registry's eleven stages; the first owns a row.
 
@@ -57,7 +63,7 @@ def prescreen(rows: DataFrame, query: str, anchors: list[str], key: str = "id",
     word = [F.contains(padded, F.lit(f" {a} ")) for a in short]
     part = [F.contains("norm", F.lit(a)) | F.contains(compact, F.lit(a)) for a in broad]
     every, some = lambda tests: reduce(lambda x, y: x & y, tests), lambda tests: reduce(lambda x, y: x | y, tests)
-    similar = X.trigram_similarity(F.col("norm"), qn)
+    held, similar = _with_similarity(held, "norm", qn), F.col("similar")
     tests: dict[str, tuple[Column, Column]] = {
         "exact": (F.col("norm") == qn, F.lit(0)),
         "compact": ((qc != "") & F.contains(compact, qc), F.when(compact == qc, 0).otherwise(1)),
@@ -102,15 +108,16 @@ def staged(rows: DataFrame, query: str, key: str = "id", name: str = "name", lim
     """
     caps = caps or CAPS
     q = F.lit(query)
-    held = rows.select(F.col(key), F.col(name).alias("n"), X.normalize(F.col(name)).alias("norm"))
-    qn, qc = X.normalize(q), X.compact(q)
+    # ids and names are a narrow table in few files, so they are dealt to all tasks before names are compared
+    spread = rows.select(F.col(key), F.col(name).alias("n")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = _with_similarity(spread.withColumn("norm", X.normalize(F.col("n"))), "n", q)
+    qn, qc, similar = X.normalize(q), X.compact(q), F.col("similar")
     compact = F.replace("norm", F.lit(" "), F.lit(""))
     size = lambda c: F.length(c).cast("double")
     within = F.contains(compact, qc) | F.contains(qc, compact)
     ratio = F.least(size(compact), size(qc)) / F.greatest(size(compact), size(qc))
     words = X.token_set(q)
     shared = F.size(F.array_intersect(F.array_distinct(F.split("norm", " ", -1)), words))
-    similar = X.trigram_similarity(F.col("n"), q)
     tests = [
         ("exact", F.col("norm") == qn, F.lit(1.0)),
         ("compact", compact == qc, F.lit(0.98)),
@@ -126,12 +133,14 @@ def staged(rows: DataFrame, query: str, key: str = "id", name: str = "name", lim
 
 
 def _first_stage_owns(found: DataFrame, key: str, limit: int) -> DataFrame:
-    """One row per key of the stages' rows, at most the sum of their caps: its first stage, and all that found it."""
-    mine = W.partitionBy(key).orderBy("stage_no")
-    first = found.withColumn("n_before", F.row_number().over(mine) - 1)
-    owned = first.where("n_before = 0").groupBy("stage_no").agg(F.count("*").alias("owned"))
-    before = owned.select(F.col("stage_no").alias("s"), F.coalesce(F.sum("owned").over(W.orderBy("stage_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("pool"))
-    open_stages = found.join(F.broadcast(before), F.col("stage_no") == F.col("s"), "left").where(F.coalesce("pool", F.lit(0)) < limit)  # a row a stage
+    """One row per key of the stages' rows, at most the sum of their caps: its first stage, and all that found it.
+
+    pool counts the rows that earlier stages own, for stages that own none, too. Its window holds no more than those
+    capped rows, and the stages are found in one pass over the table.
+    """
+    owns = found.withColumn("owns", F.row_number().over(W.partitionBy(key).orderBy("stage_no")) == 1)
+    earlier = W.orderBy("stage_no").rangeBetween(W.unboundedPreceding, -1)
+    open_stages = owns.withColumn("pool", F.coalesce(F.sum(F.col("owns").cast("int")).over(earlier), F.lit(0))).where(F.col("pool") < limit)
     best = open_stages.groupBy(key).agg(
         F.min("stage_no").alias("stage_no"),
         F.min_by("stage", "stage_no").alias("stage"),
