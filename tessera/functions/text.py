@@ -17,7 +17,8 @@ def turkish_lower(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Folded to a-z, 0-9 and single blanks; null and empty texts give an empty one."""
-    folded = F.translate(turkish_lower(F.coalesce(c, F.lit(""))), MARKED, BARE)
+    # both small letters i end as a plain one, so only the dotted capital needs a rule of its own before lower()
+    folded = F.translate(F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("İ"), F.lit("i"))), MARKED, BARE)
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 

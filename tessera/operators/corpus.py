@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.lineage import cut
 
 GENERIC, SEMI = 0.005, 0.001
 
@@ -18,14 +19,15 @@ def word_statistics(docs: DataFrame, text: str) -> DataFrame:
     """word, doc_freq, idf, word_class and is_generic. N counts rows with a text that is not blank.
 
     One pass: every row gives its distinct words and a mark of its own, counted in two stages before and after one
-    shuffle. N is the mark's count, read from the same exchange.
+    shuffle. N is the mark's count, read from the same exchange: the mark is told by an aggregate, since a filter on
+    the word itself would be moved before the exchange of one side, and both would be computed.
     """
     live = docs.where(F.trim(F.col(text)) != "")
-    counts = live.select(F.explode(F.array_append(F.array_distinct(X.tokens(F.col(text))), F.lit(_TEXT))).alias("word")).groupBy("word").agg(F.count("*").alias("doc_freq"))
-    n = F.broadcast(counts.agg(F.max(F.when(F.col("word") == _TEXT, F.col("doc_freq"))).alias("n_docs")))  # one row
+    counts = live.select(F.explode(F.array_append(F.array_distinct(X.tokens(F.col(text))), F.lit(_TEXT))).alias("word")).groupBy("word").agg(F.count("*").alias("doc_freq"), F.min(F.col("word") == _TEXT).alias("whole"))
+    n = F.broadcast(counts.agg(F.max(F.when(F.col("whole"), F.col("doc_freq"))).alias("n_docs")))  # one row
     share = F.col("doc_freq") / F.col("n_docs")
     word_class = F.when(share > GENERIC, "generic").when(share > SEMI, "semi_generic").otherwise("distinctive")
-    return counts.where(F.col("word") != _TEXT).crossJoin(n).select(
+    return counts.where(~F.col("whole")).crossJoin(n).select(
         "word", "doc_freq", F.round(F.log(F.col("n_docs") / F.col("doc_freq")), 4).alias("idf"), word_class.alias("word_class"), (share > GENERIC).alias("is_generic")
     )
 
@@ -122,6 +124,10 @@ def partner_counts(docs: DataFrame, text: str, words: DataFrame | None = None) -
 
 
 def lexical_statistics(docs: DataFrame, text: str, holder: str, classes: str, least: int | None = None) -> DataFrame:
-    """word_statistics() with the profile of descriptors() where a word is frequent enough: what lexicon.roles() asks for."""
+    """word_statistics() with the profile of descriptors() where a word is frequent enough: what lexicon.roles() asks for.
+
+    The profile's parts each read the three columns, so these are written once: they may come of a far wider table.
+    """
+    docs = cut(docs.select(*dict.fromkeys((text, holder, classes))))
     profile = descriptors(docs, text, holder, classes, least).select("word", "first", "last", "single", "signals", "score", "descriptor_like")
     return word_statistics(docs, text).join(profile, "word", "left")

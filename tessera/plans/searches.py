@@ -16,6 +16,7 @@ from tessera.functions import status as ST
 from tessera.functions import text as X
 from tessera.functions import visual as V
 from tessera.operators import corpus, feeds, lexicon, merge, nearest, retrieval, rows, scan, scoring, search
+from tessera.operators.lineage import cut
 from tessera.plans.catalog import AS_OF, GRAMS, TM, jaccard_sql, query, read, trademarks
 from tessera.plans.pair_sql import BLOCKS, SCORED, STATISTICS, TRIGRAMS, lookup_sql
 from tessera.plans.registry import RISK, as_of
@@ -29,7 +30,7 @@ VEC = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE)
 
 def marks(spark, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), lambda w: w != "")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+", 5), lambda w: w != "")  # the rest of a text, which is no name, stays whole
     return read(spark, sf_dir, "documents").select(
         k.alias("id"), F.translate(F.array_join(F.slice(words, 1, 3), " "), "sogSOG", "şöğŞÖĞ").alias("name"), F.col("source").alias("holder"), "lang",
         F.array((k % 45 + 1).cast("int"), (k * 7 % 45 + 1).cast("int")).alias("classes"), F.date_add(F.lit("2020-01-01").cast("date"), (k % 1500).cast("int")).alias("day"),
@@ -389,7 +390,7 @@ def q3_caps(spark, sf):
 def x12(spark, sf):
     """Every word of the marks: its role, its class (of its stem, if it has none of its own), and the parts of glued words."""
     m = marks(spark, sf)
-    stats = corpus.lexical_statistics(m, "name", "holder", "classes", least=8)
+    stats = cut(corpus.lexical_statistics(m, "name", "holder", "classes", least=8))  # read by each lookup
     words = m.select(F.explode(F.split(X.normalize(F.col("name")), " ", -1)).alias("word")).where("word <> ''").distinct()
     return lexicon.segmented(words, stats).select("word", "role", F.col("class").alias("word_class"), F.array_join(F.transform("parts", lambda p: p["t"]), "+").alias("parts"))
 

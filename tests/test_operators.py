@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import corpus, feeds, lifecycle, merge, nearest, retrieval, rows, scan, search
 
 DAY = dt.date(2024, 1, 1)
@@ -245,3 +246,24 @@ def test_a_full_pool_shuts_stages_that_own_no_row(spark):
     df = spark.createDataFrame([(i, "the and") for i in range(3)], "id int, name string")
     got = retrieval.prescreen(df, "The and", ["the", "and"], limit=3).collect()
     assert [(r.id, r.stage, r.stages) for r in got] == [(i, "exact", ["exact"]) for i in range(3)]
+
+
+def test_statistics_read_their_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        read.add(1)
+        return t
+
+    docs = spark.createDataFrame([(f"Blue İris {i % 7}x", f"h{i}", [i % 5]) for i in range(40)], "t string, holder string, classes array<int>")
+    docs = docs.select(F.udf(seen, "string").asNondeterministic()("t").alias("t"), "holder", "classes")
+    for statistics in (lambda: corpus.word_statistics(docs, "t"), lambda: corpus.lexical_statistics(docs, "t", "holder", "classes", least=2)):
+        before = read.value
+        assert {r.word: r.doc_freq for r in statistics().collect()} == {"blue": 40, "iris": 40} | {f"{k}x": 6 if k < 5 else 5 for k in range(7)}
+        assert read.value - before == 40
+
+
+def test_folding_keeps_the_turkish_rule(spark):
+    every = spark.range(1, 0x3000).select(F.concat(F.lit("I"), F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE"), F.lit("İ")).alias("t"))
+    told = F.trim(F.regexp_replace(F.translate(text.turkish_lower(F.col("t")), text.MARKED, text.BARE), "[^a-z0-9]+", " "))
+    assert every.where(text.normalize(F.col("t")) != told).count() == 0
