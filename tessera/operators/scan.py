@@ -75,6 +75,8 @@ def name_conflicts(watch: DataFrame, marks: DataFrame, stats: DataFrame, least:
     different holders and applications, and a score of at least `least`. overlap is what both share or, where either
     holds class 99, all that they name. Distinct pairs of names are scored once, by scoring.score_pairs().
     """
+    used = ["name", "classes", "holder", "application_no"]
+    watch, marks, stats = cut(watch.select("watch_id", *used)), cut(marks.select("mark_id", *used)), cut(stats)  # each is read by many steps
     near = scoring.score_pairs(name_candidates(watch, marks, stats), "na", "nb", stats, sounds).where(F.col("score") >= least).select("na", "nb", "score", "path")
     best = _first_marks(watch, marks, near, "score", ["holder", "application_no"], k)
     every = F.array_contains("cw", C.ALL) | F.array_contains("cm", C.ALL)
