@@ -163,8 +163,8 @@ BY_SOUND = ((0.90, 0.55, 0.82, 0.78), (0.84, 0.60, 0.78, 0.72))  # sound, spelli
 LEAST_RATIO = min(ratio for _, ratio, *_ in BY_SOUND)
 
 
-def may_match(x: Column, y: Column) -> Column:
-    """Whether two words may have a ratio of LEAST_RATIO: by their lengths, and by the letters that they share.
+def may_match(x: Column, y: Column, least: float = LEAST_RATIO) -> Column:
+    """Whether two words may have a ratio of `least`: by their lengths, and by the letters that they share.
 
     Lossless: twice the shared letters over all letters is no less than the ratio, and taking a shared ending away
     from both, as fuzzy ratios do, only lowers this bound.
@@ -172,7 +172,7 @@ def may_match(x: Column, y: Column) -> Column:
     count = lambda w, c: F.length(w) - F.length(F.replace(w, c, F.lit("")))
     total = F.length(x) + F.length(y)
     shared = F.aggregate(F.array_distinct(F.split(x, "", -1)), F.lit(0), lambda s, c: s + F.when(c == "", 0).otherwise(F.least(count(x, c), count(y, c))))
-    return (2 * F.least(F.length(x), F.length(y)) >= LEAST_RATIO * total) & (2 * shared >= LEAST_RATIO * total)
+    return (2 * F.least(F.length(x), F.length(y)) >= least * total) & (2 * shared >= least * total)
 
 
 def fuzzy(pairs: DataFrame, stats: DataFrame) -> DataFrame:

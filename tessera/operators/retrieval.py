@@ -185,30 +185,48 @@ def unified(registries: dict[str, DataFrame], k: int = 50) -> DataFrame:
     return counted.orderBy(F.desc("similarity"), "registry", "id").limit(k)
 
 
-def similar_names(a: DataFrame, b: DataFrame, name: str, least: float) -> DataFrame:
+def _gram_code(g: Column) -> Column:
+    """A trigram as one number of its three code points, which tells it from any other."""
+    point = lambda i: F.ascii(F.substr(g, F.lit(i), F.lit(1))).cast("bigint")
+    return point(1) * (1 << 42) + point(2) * (1 << 21) + point(3)
+
+
+def similar_names(a: DataFrame, b: DataFrame, name: str, least: float, held: tuple[str, ...] = (), before: Column | None = None, fits: Column | None = None) -> DataFrame:
     """(na, nb, similarity) of distinct names with a trigram similarity of at least `least` > 0.
 
     Exact without a nested loop: two such names share one of the size - ceil(least * size) + 1 rarest trigrams of
-    either (prefix filter), rarity being counted over both sides; names whose sizes alone rule a pair out don't
-    meet. A common trigram is in few prefixes, and what is left of its skew the adaptive join splits.
+    either (prefix filter), rarity being counted over both sides. They meet at each shared one, but a pair is made at the
+    first alone, if what follows there may suffice, and is measured on the spot: no pair is written that is not similar.
+    A common trigram is in few prefixes, and what is left of its skew the adaptive join splits.
+
+    held: columns that both sides have besides, of any row of a name. Pairs whose a_<column> and b_<column> don't meet
+    `before` are not measured, and similar ones that don't meet `fits` are left out.
     """
+    more = [F.first(c, ignorenulls=True).alias(c) for c in held]
 
     def grams(df: DataFrame) -> DataFrame:
-        return df.select(F.col(name).alias("n")).where(F.col(name).isNotNull()).distinct().select("n", X.trigrams(F.col("n")).alias("g")).where(F.size("g") > 0)
+        rows = df.select(F.col(name).alias("n"), *held).where("n is not null")
+        rows = rows.groupBy("n").agg(*more) if held else rows.distinct()
+        return rows.withColumn("g", F.transform(X.trigrams(F.col("n")), _gram_code)).where(F.size("g") > 0)
 
     ga, gb = grams(a), grams(b)
-    rarity = ga.union(gb).distinct().select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("f"))
-
-    def prefix(g: DataFrame) -> DataFrame:
-        ranked = g.select("n", F.explode("g").alias("gram")).join(rarity, "gram").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("fg"))
-        kept = ranked.select("n", F.transform("fg", lambda x: x["gram"]).alias("g"))
-        keep = F.size("g") - F.ceil(F.size("g") * F.lit(least) - 1e-9) + 1
-        return kept.select("n", "g", F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("gram"))
-
-    x, y = prefix(ga), prefix(gb)
-    sized = (F.size("gb") >= F.size("ga") * F.lit(least) - 1e-9) & (F.size("ga") >= F.size("gb") * F.lit(least) - 1e-9)
-    met = x.select(F.col("n").alias("na"), F.col("g").alias("ga"), "gram").join(y.select(F.col("n").alias("nb"), F.col("g").alias("gb"), "gram"), "gram").where(sized)
-    return met.dropDuplicates(["na", "nb"]).select("na", "nb", F.round(X.set_similarity(F.col("ga"), F.col("gb")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    rarity = ga.select("n", "g").union(gb.select("n", "g")).distinct().select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("f"))
+
+    def prefix(g: DataFrame, p: str) -> DataFrame:
+        ranked = g.select("n", *held, F.explode("g").alias("gram")).join(rarity, "gram").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("fg"), *more)
+        kept = ranked.select(F.col("n").alias(f"n{p}"), *[F.col(c).alias(f"{p}_{c}") for c in held], F.transform("fg", lambda x: x["gram"]).alias(f"g{p}")).withColumn(f"s{p}", F.size(f"g{p}"))
+        keep = F.col(f"s{p}") - F.ceil(F.col(f"s{p}") * F.lit(least) - 1e-9) + 1
+        return kept.select("*", F.posexplode(F.slice(f"g{p}", F.lit(1), keep.cast("int"))).alias(f"i{p}", "gram"))
+
+    x, y = prefix(ga, "a"), prefix(gb, "b")
+    # where a pair meets first, the trigrams from there on are all that it may share
+    enough = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= (F.col("sa") + F.col("sb")) * (least / (1 + least)) - 1e-5
+    met = x.join(y, "gram").where(enough if before is None else enough & before)
+    met = met.select("*", F.explode(F.array(F.array_intersect("ga", "gb"))).alias("shared"))  # worked out once, in the order of ga
+    n = F.size("shared")
+    similarity = F.round(n / (F.col("sa") + F.col("sb") - n), 6)
+    first = (similarity >= least) & (F.get("shared", F.lit(0)) == F.col("gram"))
+    return met.where(first if fits is None else F.when(first, fits)).select("na", "nb", similarity.alias("similarity"))
 
 
 def fuzzy_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, name: str, least: float) -> DataFrame:

@@ -39,6 +39,18 @@ def _first_marks(watch: DataFrame, marks: DataFrame, near: DataFrame, score: str
     return rows.first_per_key(told, ["watch_id"], [F.desc(score), F.col("mark_id")], k)  # an item may stand in several rows
 
 
+def _may_share() -> Column:
+    """Whether names a and b may share a class by their bits; no pair that does is missed."""
+    return F.col("a_bits").bitwiseAND(F.col("b_bits")) != 0
+
+
+def _names_with_classes(df: DataFrame) -> DataFrame:
+    """(name, bits) of distinct names; bits holds the classes of all rows of the name, each as one of 64 bits."""
+    bit = lambda c: F.coalesce(F.call_function("shiftleft", F.lit(1).cast("bigint"), c), F.lit(0).cast("bigint"))
+    of_row = F.aggregate(C.expand(F.col("classes")), F.lit(0).cast("bigint"), lambda s, c: s.bitwiseOR(bit(c)))
+    return df.where("name is not null").groupBy("name").agg(F.bit_or(F.coalesce(of_row, F.lit(0).cast("bigint"))).alias("bits"))
+
+
 def conflicts(watch: DataFrame, marks: DataFrame, least: float = 0.5, k: int = 10) -> DataFrame:
     """The k most similar marks for every watched item: (watch_id, mark_id, similarity, overlap).
 
@@ -46,26 +58,34 @@ def conflicts(watch: DataFrame, marks: DataFrame, least: float = 0.5, k: int = 1
     trigram similarity of at least `least` and different holders. Distinct names meet on trigrams first, which is the
     more selective key.
     """
-    best = _first_marks(watch, marks, similar_names(watch, marks, "name", least), "similarity", ["holder"], k)
+    near = similar_names(_names_with_classes(watch), _names_with_classes(marks), "name", least, ("bits",), _may_share())
+    best = _first_marks(watch, marks, near, "similarity", ["holder"], k)
     return best.select("watch_id", "mark_id", "similarity", C.overlap(F.col("cw"), F.col("cm")).alias("overlap"))
 
 
-def name_candidates(watch: DataFrame, marks: DataFrame, stats: DataFrame, least: float = 0.3) -> DataFrame:
-    """(na, nb): every pair of distinct names of both sides that the registry's retrieval would bring together.
+def name_candidates(watch: DataFrame, marks: DataFrame, stats: DataFrame, score: float, sounds: bool, least: float = 0.3) -> DataFrame:
+    """(na, nb): every pair of distinct names of both sides that the registry's retrieval would bring together and may score `score`.
 
     Names equal but for blanks, names that share an anchor (a word or part of one that is not generic), names of which
     one has an anchor that begins, three letters longer, with an anchor of the other, and names whose trigram similarity
-    is at least `least`. Each rule is an equi join on keys of its own, so no pair of names that shares none is ever made.
+    is at least `least`; rows of both must share a class. Each rule is an equi join on keys of its own, so no pair of names
+    that shares none is ever made, and what is known of both names rules out most pairs where they meet: those with too
+    low a score by scoring.may_reach(), and those without a shared class.
     """
-    both = cut(watch.select("name").union(marks.select("name")).where("name is not null").distinct())
-    words = cut(lexicon.names(both, "name", stats, scoring.LEVEL_WEIGHTS))
+    one, two = _names_with_classes(watch), _names_with_classes(marks)
+    words = cut(lexicon.names(one.select("name").union(two.select("name")).distinct(), "name", stats, scoring.LEVEL_WEIGHTS)).select("name", "norm", "words")
+    one, two = cut(words.join(one, "name")), cut(words.join(two, "name"))
+    bounded = score > scoring.UNMET
+    fits = scoring.may_reach(F.col("a_norm"), F.col("b_norm"), F.col("a_words"), F.col("b_words"), score, sounds) if bounded else F.lit(True)
+    able = scoring.may_meet(F.col("words")) if bounded else F.lit(True)
     anchors = F.transform(F.filter("words", lambda w: ~lexicon.generic(w["role"])), lambda w: w["t"])
     begun = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(t) - 4)), lambda i: F.substr(t, F.lit(1), F.when(i == 0, F.length(t)).otherwise(i)))
     compact = F.replace("norm", F.lit(" "), F.lit(""))
-    named = lambda side, keys: words.join(side.select("name").distinct(), "name").select("name", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), compact)), keys))).alias("key")).where("key <> '='")
-    one = named(watch, anchors).select(F.col("name").alias("na"), "key")
-    two = named(marks, F.flatten(F.transform(anchors, begun))).select(F.col("name").alias("nb"), "key")
-    return cut(one.join(two, "key").select("na", "nb").union(similar_names(watch, marks, "name", least).select("na", "nb")).distinct())
+    keyed = lambda df, p, keys: df.select(F.col("name").alias(f"n{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("bits", "norm", "words")], F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), compact)), keys))).alias("key")).where("key <> '='")
+    none = F.array().cast("array<string>")
+    met = keyed(one, "a", F.when(able, anchors).otherwise(none)).join(keyed(two, "b", F.flatten(F.transform(anchors, begun))), "key").where(_may_share() & fits)
+    similar = similar_names(one.where(able), two, "name", least, ("bits", "norm", "words"), _may_share(), fits)
+    return cut(met.select("na", "nb").union(similar.select("na", "nb")).distinct())
 
 
 def name_conflicts(watch: DataFrame, marks: DataFrame, stats: DataFrame, least: float = 0.5, k: int = 20, sounds: bool = True) -> DataFrame:
@@ -77,7 +97,7 @@ def name_conflicts(watch: DataFrame, marks: DataFrame, stats: DataFrame, least:
     """
     used = ["name", "classes", "holder", "application_no"]
     watch, marks, stats = cut(watch.select("watch_id", *used)), cut(marks.select("mark_id", *used)), cut(stats)  # each is read by many steps
-    near = scoring.score_pairs(name_candidates(watch, marks, stats), "na", "nb", stats, sounds).where(F.col("score") >= least).select("na", "nb", "score", "path")
+    near = scoring.score_pairs(name_candidates(watch, marks, stats, least, sounds), "na", "nb", stats, sounds).where(F.col("score") >= least).select("na", "nb", "score", "path")
     best = _first_marks(watch, marks, near, "score", ["holder", "application_no"], k)
     every = F.array_contains("cw", C.ALL) | F.array_contains("cm", C.ALL)
     overlap = F.array_sort(F.when(every, F.array_union("cw", "cm")).otherwise(F.array_intersect("cw", "cm")))

@@ -94,6 +94,56 @@ def containment(qn: Column, tn: Column, q: Column, t: Column) -> Column:
     )
 
 
+def begins(a: Column, w: Column) -> Column:
+    """Whether an anchor is another one or, three letters shorter, its beginning."""
+    return (a["t"] == w["t"]) | (F.startswith(w["t"], a["t"]) & (F.length(w["t"]) - F.length(a["t"]) >= 3))
+
+
+#: No score is greater where no anchor is met, where the first name has none or semi-generic ones alone, or either has no words.
+UNMET = max(NO_WORDS, *[CAPS[c] for c in ("generic_only", "missing_anchor", "contained_without_anchor", "semi_only", "no_common", "no_anchor")])
+
+
+def may_meet(words: Column) -> Column:
+    """Whether a name of these words may score more than UNMET against any but its equals."""
+    has = lambda *roles: F.exists(words, lambda w: w["role"].isin(*roles))
+    return has("distinctive", "common_anchor") | (has("weak_anchor") & ~has("semi_generic"))
+
+
+def may_reach(qn: Column, tn: Column, q: Column, t: Column, least: float, sounds: bool) -> Column:
+    """Whether two names may score `least`, by their norms and words alone, without a ratio; no pair that does is missed.
+
+    It rests on `least` being above UNMET: names equal but for blanks reach it. Else an anchor of the first, of those that the caps ask
+    for, must stand in the second, be like one of its anchors by length and letters, or begin one where a name is within
+    the other. Where but one anchor is shared, none is like another and both names have more, the cap of change on both
+    sides is known but for their generic words, which count as matched.
+    """
+    squeeze = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    ratio = lexicon.LEAST_RATIO if sounds else lexicon.NEARLY
+    qc, tc = squeeze(qn), squeeze(tn)
+    within = F.contains(tc, qc) | F.contains(qc, tc)
+    alike = lambda x, y: ~_short(x) & ~_short(y) & lexicon.may_match(x["t"], y["t"], ratio)
+    like = lambda x, y: anchor(y["role"]) & ((x["t"] == y["t"]) | (within & begins(x, y)) | alike(x, y))
+    telling = F.exists(q, lambda w: w["role"] == "distinctive")
+    common = F.exists(q, lambda w: w["role"] == "common_anchor")
+    # a name without distinctive words needs one of its common anchors, if it has any
+    needed = lambda x: anchor(x["role"]) & (telling | ~common | (x["role"] == "common_anchor"))
+    meets = may_meet(q) & F.exists(q, lambda x: needed(x) & F.exists(t, lambda y: like(x, y)))
+
+    heavy = lambda ws: F.filter(ws, lambda w: anchor(w["role"]))
+    total = lambda ws: _sum(ws, lambda w: -w["less"])
+    own, other = heavy(q), heavy(t)
+    shared = F.filter(own, lambda x: F.exists(other, lambda y: x["t"] == y["t"]))
+    one = F.get(shared, F.lit(0))
+    alone = (F.size(own) > 1) & (F.size(other) > 1) & (F.size(shared) == 1) & (one["role"] != "weak_anchor")
+    near = F.exists(own, lambda x: F.exists(other, lambda y: (x["t"] != y["t"]) & alike(x, y)))
+    weight, brand = -one["less"], lambda ws: _count(ws, lambda w: w["role"].isin("common_anchor", "distinctive") & (w["t"] != one["t"]))
+    cover = weight / F.greatest(total(own), total(other))
+    part = lambda ws, anchors: 1 - (total(anchors) - weight) / total(ws)  # noqa: E731  generic words count as matched
+    added = F.least(F.lit(0.24), (F.size(own) + F.size(other) - 3) * 0.04) + F.least(F.lit(0.12), (brand(own) + brand(other)) * 0.02)
+    most = S.bounded(*ADDED["changed_on_both_sides"], cover * 0.45 + F.least(part(q, own), part(t, other)) * 0.35 + 0.20 - added)
+    return (qc == tc) | (meets & ~F.coalesce(alone & (most < least - 1e-4) & ~near, F.lit(False)))
+
+
 def _matched(pairs: DataFrame, words: DataFrame, stats: DataFrame, sounds: bool) -> DataFrame:
     """Distinct pairs (a, b) with both names' words and their alignment m."""
     side = lambda n, p: words.select(F.col("name").alias(n), *[F.col(c).alias(f"{p}{c}") for c in ("norm", "words", "ordered", "split", "raw")])
@@ -258,12 +308,11 @@ def _scored(pairs: DataFrame, stats: DataFrame, sounds: bool, overrides: DataFra
         "qc": squeeze(qn), "tc": squeeze(tn), "tri": X.trigram_similarity(c("a"), c("b")), "level": _multilevel("q_norm", "t_norm", F.transform(told, lambda x: x["t"]), F.transform(told, lambda x: x["w"])),
         "sound": P.sound_similarity(qn, tn) if sounds else F.lit(0.0),
     })
-    begun = lambda a, w: (a["t"] == w["t"]) | (F.startswith(w["t"], a["t"]) & (F.length(w["t"]) - F.length(a["t"]) >= 3))
     part = containment(qn, tn, c("q_words"), c("t_words"))
     glued = c("q_split") & (F.size("exact_anchors") > 0) & (F.length("qc") >= 4) & F.contains(c("tc"), c("qc"))
     compound = F.when(glued, F.least(F.lit(0.96), 0.88 + 0.08 * F.length("qc") / F.length("tc"))).otherwise(0.0)
     held = held.withColumns({"inside": F.greatest(part, compound), "matched": _count(hits, lambda h: anchor(h["xr"])), "letters": F.greatest("tri", "level")})
-    within = lambda ws: (c("inside") > 0) & F.exists(ws, lambda a: F.exists("t_anchors", lambda w: begun(a, w)))
+    within = lambda ws: (c("inside") > 0) & F.exists(ws, lambda a: F.exists("t_anchors", lambda w: begins(a, w)))
     held = held.withColumns({"kept": within(c("q_anchors")), "kept_common": within(F.filter("q_anchors", lambda a: a["role"] == "common_anchor"))})
     held = held.withColumn("lexical", (c("matched") > 0) | c("kept"))
     recall, precision = c("recall"), c("precision")
