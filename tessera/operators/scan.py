@@ -97,7 +97,9 @@ def name_conflicts(watch: DataFrame, marks: DataFrame, stats: DataFrame, least:
     """
     used = ["name", "classes", "holder", "application_no"]
     watch, marks, stats = cut(watch.select("watch_id", *used)), cut(marks.select("mark_id", *used)), cut(stats)  # each is read by many steps
-    near = scoring.score_pairs(name_candidates(watch, marks, stats, least, sounds), "na", "nb", stats, sounds).where(F.col("score") >= least).select("na", "nb", "score", "path")
+    pairs = name_candidates(watch, marks, stats, least, sounds)
+    scored = cut(scoring.score_pairs(pairs, "na", "nb", stats, sounds, least=least).select("na", "nb", "score", "path"))  # else a filter would have each score worked out twice
+    near = scored.where(F.col("score") >= least)
     best = _first_marks(watch, marks, near, "score", ["holder", "application_no"], k)
     every = F.array_contains("cw", C.ALL) | F.array_contains("cm", C.ALL)
     overlap = F.array_sort(F.when(every, F.array_union("cw", "cm")).otherwise(F.array_intersect("cw", "cm")))

@@ -296,34 +296,29 @@ def guards(held: DataFrame) -> DataFrame:
     })
 
 
-def _scored(pairs: DataFrame, stats: DataFrame, sounds: bool, overrides: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a, b) with r: struct of score, path and caps."""
+#: What the score is made of, of all that guards() and the steps before it give.
+_USED = [
+    "a", "b", "q_norm", "t_norm", "q_words", "t_words", "q_raw", "t_raw", "q_split", "hits", "q_anchors", "t_anchors", "exact_anchors", "recall", "precision", "good",
+    "core", "core_cap", "weak_shared", "acronym", "inexact", "short_inexact", "headless",
+]
+
+
+def _scored(pairs: DataFrame, stats: DataFrame, sounds: bool, overrides: DataFrame | None, least: float) -> DataFrame:
+    """Distinct pairs (a, b) with r: struct of score, path and caps; without pairs whose caps are below `least`."""
     words = cut(lexicon.names(pairs.select(F.col("a").alias("n")).union(pairs.select("b")), "n", stats, LEVEL_WEIGHTS, overrides))
-    held = cut(guards(added_matter(evidence(_matched(pairs, words, stats, sounds)))))
+    held = cut(guards(added_matter(evidence(_matched(pairs, words, stats, sounds)))).select(*_USED, F.col("m.shy").alias("shy")))
     c = F.col
     squeeze = lambda x: F.replace(x, F.lit(" "), F.lit(""))
     qn, tn, hits = c("q_norm"), c("t_norm"), c("hits")
     told = F.array_distinct(F.concat("q_raw", "t_raw"))
-    held = held.withColumns({
-        "qc": squeeze(qn), "tc": squeeze(tn), "tri": X.trigram_similarity(c("a"), c("b")), "level": _multilevel("q_norm", "t_norm", F.transform(told, lambda x: x["t"]), F.transform(told, lambda x: x["w"])),
-        "sound": P.sound_similarity(qn, tn) if sounds else F.lit(0.0),
-    })
+    held = held.withColumns({"qc": squeeze(qn), "tc": squeeze(tn)})
     part = containment(qn, tn, c("q_words"), c("t_words"))
     glued = c("q_split") & (F.size("exact_anchors") > 0) & (F.length("qc") >= 4) & F.contains(c("tc"), c("qc"))
     compound = F.when(glued, F.least(F.lit(0.96), 0.88 + 0.08 * F.length("qc") / F.length("tc"))).otherwise(0.0)
-    held = held.withColumns({"inside": F.greatest(part, compound), "matched": _count(hits, lambda h: anchor(h["xr"])), "letters": F.greatest("tri", "level")})
+    held = held.withColumns({"inside": F.greatest(part, compound), "matched": _count(hits, lambda h: anchor(h["xr"]))})
     within = lambda ws: (c("inside") > 0) & F.exists(ws, lambda a: F.exists("t_anchors", lambda w: begins(a, w)))
     held = held.withColumns({"kept": within(c("q_anchors")), "kept_common": within(F.filter("q_anchors", lambda a: a["role"] == "common_anchor"))})
     held = held.withColumn("lexical", (c("matched") > 0) | c("kept"))
-    recall, precision = c("recall"), c("precision")
-    aligned = _share(2 * recall * precision, recall + precision) * (0.8 + 0.2 * c("good"))
-    spelled = F.when(c("lexical"), F.least(F.lit(0.75), c("letters") * 0.80 + recall * 0.20)).otherwise(F.least(F.lit(0.45), c("letters") * 0.55))
-    heard = F.when(c("sound") >= 0.82, F.when(c("lexical") | (c("letters") >= 0.55), F.least(F.lit(0.72), 0.42 + c("sound") * 0.30)).otherwise(F.least(F.lit(0.45), c("sound") * 0.40))).otherwise(0.0)
-    limit = F.when(c("short_inexact"), CAPS["short_inexact"]).otherwise(1.0)
-    # of equal components the first named
-    parts = [(aligned, "alignment"), (c("inside"), "containment"), (spelled, "spelling"), (heard, "sound"), (c("core"), "core")]
-    best = F.array_max(F.array(*[F.struct(F.least(v, limit).alias("score"), F.lit(-i).alias("no"), F.lit(p).alias("path")) for i, (v, p) in enumerate(parts)]))
-
     have = lambda role: _count(c("q_words"), lambda w: w["role"] == role)
     got = lambda role: _count(hits, lambda h: h["xr"] == role)
     plain = F.exists(hits, lambda h: lexicon.generic(h["xr"]))
@@ -345,35 +340,51 @@ def _scored(pairs: DataFrame, stats: DataFrame, sounds: bool, overrides: DataFra
         F.when(c("acronym").isNotNull(), cap("acronym", c("acronym"))),
         F.when(c("short_inexact"), cap("short_inexact")),
         F.when(c("inexact").isNotNull(), cap("inexact_anchor", c("inexact"))),
-        F.when(c("m.shy") & (F.size("q_anchors") > 0) & (c("matched") == 0), cap("short_anchor")),
+        F.when(c("shy") & (F.size("q_anchors") > 0) & (c("matched") == 0), cap("short_anchor")),
         F.when(c("headless"), cap("no_first_anchor")),
         F.when(~c("lexical"), cap("no_anchor")),
     ))
-    held = held.withColumns({"best": best, "caps": caps})
+    held = held.withColumn("caps", caps)
+    lowest = F.coalesce(F.array_min(F.transform("caps", lambda x: x["value"])), F.lit(1.0))
+    empty = (F.size("q_words") == 0) | (F.size("t_words") == 0)
+    if least > 0:  # no more is worked out where the caps are too low; names equal but for blanks have a score of their own
+        held = held.where(empty | (c("qc") == c("tc")) | (lowest >= least - 1e-4))
+    held = held.withColumns({
+        "tri": X.trigram_similarity(c("a"), c("b")), "level": _multilevel("q_norm", "t_norm", F.transform(told, lambda x: x["t"]), F.transform(told, lambda x: x["w"])),
+        "sound": P.sound_similarity(qn, tn) if sounds else F.lit(0.0),
+    }).withColumn("letters", F.greatest("tri", "level"))
+    recall, precision = c("recall"), c("precision")
+    aligned = _share(2 * recall * precision, recall + precision) * (0.8 + 0.2 * c("good"))
+    spelled = F.when(c("lexical"), F.least(F.lit(0.75), c("letters") * 0.80 + recall * 0.20)).otherwise(F.least(F.lit(0.45), c("letters") * 0.55))
+    heard = F.when(c("sound") >= 0.82, F.when(c("lexical") | (c("letters") >= 0.55), F.least(F.lit(0.72), 0.42 + c("sound") * 0.30)).otherwise(F.least(F.lit(0.45), c("sound") * 0.40))).otherwise(0.0)
+    limit = F.when(c("short_inexact"), CAPS["short_inexact"]).otherwise(1.0)
+    # of equal components the first named
+    parts = [(aligned, "alignment"), (c("inside"), "containment"), (spelled, "spelling"), (heard, "sound"), (c("core"), "core")]
+    best = F.array_max(F.array(*[F.struct(F.least(v, limit).alias("score"), F.lit(-i).alias("no"), F.lit(p).alias("path")) for i, (v, p) in enumerate(parts)]))
+    held = held.withColumn("best", best)
     nothing = F.array().cast("array<string>")
     fixed = lambda v, p, n=nothing: F.struct(F.round(v, 4).alias("score"), F.lit(p).alias("path"), n.alias("caps"))
-    least = F.coalesce(F.array_min(F.transform("caps", lambda x: x["value"])), F.lit(1.0))
-    empty = (F.size("q_words") == 0) | (F.size("t_words") == 0)
     return held.select("a", "b", (
         F.when(empty & (c("qc") == c("tc")) & (F.length("qc") >= 2), fixed(F.lit(COMPACT), "compact"))
         .when(empty, fixed(F.least(F.lit(NO_WORDS), c("tri") * 0.50), "no words", F.array(F.lit("no_anchor"))))
         .when(qn == tn, fixed(F.lit(EXACT), "exact"))
         .when((F.length("qc") >= 4) & (c("qc") == c("tc")), fixed(F.lit(COMPACT), "compact"))
-        .otherwise(F.struct(F.round(F.least(c("best.score"), least), 4).alias("score"), c("best.path").alias("path"), F.transform("caps", lambda x: x["name"]).alias("caps")))
+        .otherwise(F.struct(F.round(F.least(c("best.score"), lowest), 4).alias("score"), c("best.path").alias("path"), F.transform("caps", lambda x: x["name"]).alias("caps")))
     ).alias("r"))
 
 
-def score_pairs(pairs: DataFrame, a: str, b: str, stats: DataFrame, sounds: bool = True, overrides: DataFrame | None = None) -> DataFrame:
+def score_pairs(pairs: DataFrame, a: str, b: str, stats: DataFrame, sounds: bool = True, overrides: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """pairs with score (0 to 1), path and caps (names of those that apply), of the name in column a against that in b.
 
     Null names are empty. Equal normalised names score 1; equal compact ones of four letters 0.96; without words at
     most 0.45. Otherwise the greatest of alignment, containment, spelling, sound and copied core counts, under the caps
     of absent anchors, added matter, weak or inexact anchors. stats: word, word_class and, where known, idf and the
     profile of corpus.lexical_statistics(); overrides (word): words that count as generic. Without `sounds` neither
-    words nor names match by sound. Distinct pairs of names are scored once and joined back.
+    words nor names match by sound. Distinct pairs of names are scored once and joined back. Pairs whose caps alone are
+    below `least` are left out; others of a lower score are not.
     """
     named = pairs.withColumns({"__a": F.coalesce(F.col(f"`{a}`"), F.lit("")), "__b": F.coalesce(F.col(f"`{b}`"), F.lit(""))})
-    found = _scored(cut(named.select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct()), cut(stats), sounds, overrides)
+    found = _scored(cut(named.select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct()), cut(stats), sounds, overrides, least)
     scored = named.join(found.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("r").alias("__r")), ["__a", "__b"])
     return scored.select(*[F.col(f"`{c}`") for c in pairs.columns], F.col("__r.score").alias("score"), F.col("__r.path").alias("path"), F.col("__r.caps").alias("caps"))
 

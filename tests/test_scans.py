@@ -77,3 +77,12 @@ def test_conflicts_equal_all_pairs(spark, least):
         found = sorted((-score[name, n], j) for j, n, c, h, o in m if name and n and met(name, n) and score[name, n] >= least and full(classes) & full(c) and not same(holder, h) and no != o)
         assert sorted((-r.score, r.mark_id) for r in got if r.watch_id == i) == found[:5], (i, name)
     assert len(got) > 30
+
+
+def test_pairs_of_low_caps_are_left_out_and_no_others(spark):
+    stats = spark.createDataFrame(KNOWN, STATS)
+    df = spark.createDataFrame([(a, b) for a in NAMES for b in NAMES[::5]], "a string, b string")
+    every = {(r.a, r.b): r.score for r in scoring.score_pairs(df, "a", "b", stats, sounds=False).collect()}
+    some = {(r.a, r.b): r.score for r in scoring.score_pairs(df, "a", "b", stats, sounds=False, least=0.5).collect()}
+    assert len(some) < len(every) / 2 and some.items() <= every.items()
+    assert {p for p, s in every.items() if s >= 0.5} <= set(some)
